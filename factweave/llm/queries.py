@@ -5,11 +5,51 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factweave.llm import license_scan, sentencepiece_codec
+from factweave.llm import license_scan, media, secret_scan, sentencepiece_codec, url_filter
 from factweave.llm.common import table
 
+#: The same shrinkage in DuckDB's SQL.
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
+), o AS (
+  SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END AS bad FROM p JOIN labels ON doc_id = page_id
+), h AS (
+  SELECT host, regexp_extract(host, '[^.]+\.[^.]+$|^[^.]*$') AS domain, count(*) AS n, sum(bad)::BIGINT AS k FROM o WHERE bad IS NOT NULL GROUP BY host
+), d AS (
+  SELECT domain, split_part(domain, '.', -1) AS suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM h GROUP BY ALL
+), s AS (
+  SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM d GROUP BY suffix
+), raw AS (
+  SELECT lv, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, count(*)::DOUBLE AS g, sum(n * n)::DOUBLE AS n2, sum(k * k / n) AS kk
+  FROM (SELECT 'h' AS lv, n::DOUBLE AS n, k::DOUBLE AS k FROM h UNION ALL SELECT 'd', n, k FROM d UNION ALL SELECT 's', n, k FROM s) GROUP BY lv
+), mom AS (
+  SELECT lv, g, k / n AS p, CASE WHEN g > 1 THEN (n - n2 / n) / (g - 1) END AS size, CASE WHEN g > 1 THEN (kk - n * (k / n) * (k / n)) / (g - 1) END AS ms FROM raw
+), st AS (
+  SELECT lv, CASE WHEN g > 1 AND size > 0 AND (ms - p * (1 - p)) / size > 0
+    THEN greatest(1.0, least(1000.0, p * (1 - p) / ((ms - p * (1 - p)) / size) - 1)) ELSE 1000.0 END AS s FROM mom
+), sm AS (
+  SELECT suffix, ((SELECT s FROM st WHERE lv = 's') * (SELECT (sum(k) + 1) / (sum(n) + 2) FROM s) + k) / ((SELECT s FROM st WHERE lv = 's') + n) AS m FROM s
+), dm AS (
+  SELECT domain, ((SELECT s FROM st WHERE lv = 'd') * m + k) / ((SELECT s FROM st WHERE lv = 'd') + n) AS m FROM d JOIN sm USING (suffix)
+), hm AS (
+  SELECT host, n, x.s, (x.s * m + k) / (x.s + n) AS mean FROM h JOIN dm USING (domain), (SELECT s FROM st WHERE lv = 'h') x
+), bad AS (
+  SELECT host FROM hm WHERE mean - 1.645 * sqrt(mean * (1 - mean) / (s + n + 1)) > 0.5
+), r AS (
+  SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM r
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,9 +70,23 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), model_path())
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled outcomes: `labels` by page number; a page is bad if its label has no quality or is toxic."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0).alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), labels)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_license_scan, op6_sentencepiece)}
+    return {f.__name__: f for f in (op4_license_scan, op6_sentencepiece, op7_media, op9_url_filter, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_url_filter": OP9_SQL}
