@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factweave.llm import license_scan, media, secret_scan, sentencepiece_codec, url_filter
+from factweave.llm import fingerprint, license_scan, media, mixing, secret_scan, sentencepiece_codec, url_filter
 from factweave.llm.common import table
 
 #: The same shrinkage in DuckDB's SQL.
@@ -62,10 +62,18 @@ def model_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_digest(table(spark, sf_dir, "documents"), model_path())
 
@@ -85,7 +93,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_license_scan, op6_sentencepiece, op7_media, op9_url_filter, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_fingerprint, op4_license_scan, op5_mix, op6_sentencepiece, op7_media, op9_url_filter, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
