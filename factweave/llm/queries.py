@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factweave.llm import fingerprint, license_scan, media, mixing, secret_scan, sentencepiece_codec, url_filter
+from factweave.llm import fingerprint, license_scan, media, mixing, quality, secret_scan, sentencepiece_codec, url_filter
 from factweave.llm.common import table
 
 #: The same shrinkage in DuckDB's SQL.
@@ -82,6 +82,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled outcomes: `labels` by page number; a page is bad if its label has no quality or is toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull(), 0).alias("bad"))
@@ -93,7 +97,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_fingerprint, op4_license_scan, op5_mix, op6_sentencepiece, op7_media, op9_url_filter, op10_secret_scan)}
+    return {f.__name__: f for f in (op3_fingerprint, op4_license_scan, op5_mix, op6_sentencepiece, op7_media, op8_quality, op9_url_filter, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
