@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factweave.llm import fingerprint, jaccard, license_scan, media, mixing, quality, secret_scan, sentencepiece_codec, url_filter
+from factweave.llm import fingerprint, jaccard, license_scan, lm_score, media, mixing, quality, secret_scan, sentencepiece_codec, url_filter
 from factweave.llm.common import table
 
 #: The same shrinkage in DuckDB's SQL.
@@ -62,6 +62,10 @@ def model_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"), model_path())
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four words and 85 in 100, as the contract fixes."""
     return jaccard.groups(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
@@ -102,7 +106,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_jaccard_join, op3_fingerprint, op4_license_scan, op5_mix, op6_sentencepiece, op7_media, op8_quality, op9_url_filter, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_lm_score, op2_jaccard_join, op3_fingerprint, op4_license_scan, op5_mix, op6_sentencepiece, op7_media, op8_quality, op9_url_filter, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
