@@ -7,7 +7,9 @@ Exact at every size, in four steps:
     n - ceil(t n) + 1 shingles in any one order of all shingles. The order
     puts shingles last that are frequent in a sample; that changes the cost
     only, never the result. Equal sets become one class.
- 2. Classes that share a prefix shingle are joined by stars into coarse groups.
+ 2. Classes that share a prefix shingle meet, in order of size. Bitmap signatures
+    (a bit is the parity of the shingles that hash to it) bound each pair's
+    overlap from above, and pairs that may link are joined into coarse groups.
  3. A coarse group is cut into tiles of about TILE classes. Within a tile,
     classes are ordered by size, so partners lie in a band of sizes; bitmap
     signatures bound the overlap from above by their differing bits, and what
@@ -42,7 +44,9 @@ TILE, HUBS = 128, 48
 ORDER_SAMPLE, ORDER_SHINGLES = 4096, 50_000
 CACHE_WORDS = 300_000
 
-SETS = "doc_id long, n_shingles long, digest binary, prefix array<long>"
+SETS = "doc_id long, n_shingles long, digest binary, signature binary, prefix array<long>"
+#: Groups of classes that share a shingle are compared in whole arrays up to this size, and class by class above.
+SMALL = 32
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -81,6 +85,12 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def signature(a: np.ndarray) -> np.ndarray:
+    """Parities of a set's hashes on the least power of two of bits, 64 or more, that is at least its size."""
+    bits = max(64, 1 << (len(a) - 1).bit_length())
+    return np.packbits((np.bincount((a & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+
+
 def frequent_shingles(docs: DataFrame, k: int, sample: int = ORDER_SAMPLE, keep: int = ORDER_SHINGLES) -> np.ndarray:
     """At most `keep` shingles that stand in 3 or more documents of a sample of about `sample`. They order the prefixes only."""
     rows = docs.count()
@@ -122,12 +132,91 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 sets = [shingle(t) for t in texts]
                 digests = [hashlib.blake2b(a.tobytes(), digest_size=16).digest() for a in sets]
                 prefixes = [prefix(a).view(np.int64) if len(a) else np.zeros(0, np.int64) for a in sets]
+                signatures = [signature(a).tobytes() if len(a) else b"" for a in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(a) for a in sets], pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(a) for a in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), lists], ["doc_id", "n_shingles", "digest", "signature", "prefix"])
 
     return map_arrow(docs, run, SETS)
 
 
+class Group:
+    """Rows (token, id, n, signature) in order of token and size."""
+
+    def __init__(self, token: np.ndarray, ids: np.ndarray, n: np.ndarray, signatures: list[bytes]):
+        self.token, self.ids, self.n = token, ids, n
+        self.words = np.array([len(x) // 8 for x in signatures], np.int64)
+        width = int(self.words.max())
+        self.full = np.frombuffer(b"".join(x.ljust(width * 8, b"\0") for x in signatures), np.uint64).reshape(len(ids), width)
+        # a signature of half the bits is the two halves, one upon the other
+        self.half = np.zeros_like(self.full)
+        for w in np.unique(self.words[self.words > 1]).tolist():
+            rows = np.flatnonzero(self.words == w)
+            self.half[rows, : w // 2] = self.full[rows, : w // 2] ^ self.full[rows, w // 2 : w]
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, num: int, den: int) -> np.ndarray:
+        """Of pairs of rows, n[i] <= n[j]: whether sizes and differing bits leave room for a link."""
+        ok = num * self.n[j] <= den * self.n[i]
+        i, j = i[ok], j[ok]
+        other = np.where((self.words[j] > self.words[i])[:, None], self.half[j], self.full[j])
+        both = self.n[i] + self.n[j]
+        differ = np.bitwise_count(self.full[i] ^ other).sum(axis=1, dtype=np.int64)
+        ok[ok] = ((both - differ) // 2) * (num + den) >= num * both
+        return ok
+
+    def candidates(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pairs that may link and connect all that may: every pair of small groups, a spanning forest of large ones."""
+        begin = np.flatnonzero(np.r_[True, self.token[1:] != self.token[:-1]])
+        size = np.diff(np.r_[begin, len(self.token)])
+        end = np.repeat(begin + size, size)
+        small = np.flatnonzero(np.repeat(size <= SMALL, size))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for lag in range(1, int(min(SMALL, size.max()))):
+            i = small[small + lag < end[small]]
+            if not len(i):
+                break
+            ok = self.may_link(i, i + lag, num, den)
+            out.append((self.ids[i[ok]], self.ids[i[ok] + lag]))
+        for b, m in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist()):
+            root = np.arange(m)
+            for i in range(m):
+                last = np.searchsorted(self.n[b : b + m], self.n[b + i] * den // num, "right")
+                j = np.arange(i + 1, last)
+                j = j[root[j] != root[i]]
+                j = j[self.may_link(np.full(len(j), b + i), b + j, num, den)]
+                if len(j):
+                    first = j[np.unique(root[j], return_index=True)[1]]  # one of each component
+                    out.append((np.full(len(first), self.ids[b + i]), self.ids[b + first]))
+                    root[np.isin(root, root[j])] = root[i]
+        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows (token, id, n, signature) that share a token and may link, as far as they connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> pa.RecordBatch:
+            g = Group(*(table.column(c).to_numpy() for c in ("token", "id", "n")), table.column("signature").to_pylist())
+            a, b = g.candidates(num, den)
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        for batch in batches:  # a token's rows stand together, maybe over several batches
+            token = batch.column("token").to_numpy()
+            cut = len(token) - int((token == token[-1]).sum())
+            if cut or (held and held[-1].column("token")[0].as_py() != token[0]):
+                yield done(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "id")
+    return map_arrow(dealt, run, "a long, b long").distinct()
+
+
 def linked(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, active: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect a tile's labels: a spanning forest over all links of active sets with any, found by bitmaps and then exactly."""
     order = np.argsort([len(a) for a in sets], kind="stable")
@@ -216,10 +305,12 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     full = sets.where("n_shingles > 0")
     classes = full.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "jaccard-classes")
-    tokens = full.join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles"), "digest"), ["doc_id", "n_shingles", "digest"], "left_semi")
-    tokens = tokens.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token"))
-    stars = tokens.groupBy("token").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("token", "hub")
-    coarse = components(tokens.join(stars, "token").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles"), "digest"), ["doc_id", "n_shingles", "digest"], "left_semi")
+    # tokens are dealt out once, for counting and for what is left; most stand in one class only
+    tokens = reps.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token")).repartition("token")
+    shared = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("token")
+    rows = tokens.join(shared, "token").join(full.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature"), "id")
+    coarse = components(candidates(rows, num, den))
     counts = coarse.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "coarse")
     members = coarse.select("id", F.col("root").alias("coarse")).join(counts, "coarse")
     members = materialize(members.join(docs.withColumnRenamed("doc_id", "id"), "id").select("id", "coarse", "n", "text"), "jaccard-members")
