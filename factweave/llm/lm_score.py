@@ -48,7 +48,7 @@ SINGLES, RARE = 224, 32
 CLASSES = SINGLES + RARE
 KEY, WIDTH = 8, 16
 CONTEXT, STRIDE = 8, 24
-PASSAGE, SPAN, ROUNDS = 32, 16, 2
+PASSAGE, SPAN, ROUNDS = 32, 32, 2
 BATCH, RATE = 64, 0.003
 HOT = 65_536
 FLUSH_WORDS, CACHE_WORDS = 250_000, 150_000
@@ -229,15 +229,35 @@ def _forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def log10_likelihoods(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """log10 of each target's probability, 0 for padding; in parts that stay in a core's cache."""
-    out = np.zeros(y.shape)
-    for a in range(0, len(x), 2 * BATCH):
-        part = y[a : a + 2 * BATCH].ravel()
-        logits = _forward(p, x[a : a + 2 * BATCH])[-1]
-        logits -= logits.max(1, keepdims=True)
-        own = logits[np.arange(len(part)), np.maximum(part, 0)]
+    """log10 of each target's probability, 0 for padding; in parts that stay in a core's cache.
+
+    As _forward, but with exponentials of plain scores: masks and distances are
+    factors, padding has value and weight 0, and sums come with the products.
+    Scores are clipped where float32 would overflow; logits are first shifted
+    if the parameters let them grow that large.
+    """
+    reach = np.linalg.norm(p["own"], axis=1).max() + np.linalg.norm(p["value"], axis=1).max()
+    shift = reach * np.linalg.norm(p["out"], axis=0).max() + np.abs(p["bias"]).max() > 80
+    near = np.where(_DISTANCE >= 0, np.exp(p["near"] - p["near"].max())[np.maximum(_DISTANCE, 0)], 0).astype(np.float32)
+    query = p["query"] * np.float32(KEY**-0.5)
+    value = np.concatenate([p["value"], np.ones((CLASSES + 1, 1), np.float32)], axis=1)
+    value[PAD] = 0
+    ones, out = np.ones(CLASSES, np.float32), np.zeros(y.shape)
+    for a in range(0, len(x), BATCH // 2):
+        part, target = x[a : a + BATCH // 2], y[a : a + BATCH // 2].ravel()
+        asks = part[:, CONTEXT:]
+        weights = np.matmul(query[asks], p["key"][part].transpose(0, 2, 1))
+        np.exp(np.minimum(weights, 60, out=weights), out=weights)
+        weights *= near
+        h = np.matmul(weights, value[part])
+        h = (h[..., :WIDTH] / np.maximum(h[..., WIDTH:], np.float32(1e-30)) + p["own"][asks]).reshape(-1, WIDTH)
+        logits = h @ p["out"]
+        logits += p["bias"]
+        if shift:
+            logits -= logits.max(1, keepdims=True)
+        own = logits[np.arange(len(target)), np.maximum(target, 0)]
         np.exp(logits, out=logits)
-        out[a : a + 2 * BATCH] = np.where(part >= 0, (own - np.log(logits.sum(1))) / np.log(10), 0).reshape(-1, STRIDE)
+        out[a : a + BATCH // 2] = np.where(target >= 0, (own - np.log(logits @ ones)) / np.log(10), 0).reshape(-1, STRIDE)
     return out
 
 
