@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from factweave.llm.common import documents_text, map_arrow, materialize, slices
 from factweave.llm.components import components
@@ -320,3 +320,12 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     same = full.join(classes, ["n_shingles", "digest"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
     roots = components(one.unionByName(two).unionByName(same))
     return sets.select("doc_id", "n_shingles").join(roots.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The document with the least id of each group, with the columns of docs; of rows that share that id, the least text."""
+    found = groups(docs, k, num, den)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    packed = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("own"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("own"))  # the join has dealt the rows out by doc_id already
+    return packed.join(first, "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
