@@ -313,7 +313,7 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     coarse = components(candidates(rows, num, den))
     counts = coarse.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "coarse")
     members = coarse.select("id", F.col("root").alias("coarse")).join(counts, "coarse")
-    members = materialize(members.join(docs.withColumnRenamed("doc_id", "id"), "id").select("id", "coarse", "n", "text"), "jaccard-members")
+    members = materialize(docs.withColumnRenamed("doc_id", "id").join(members.hint("merge"), "id").select("id", "coarse", "n", "text"), "jaccard-members")
     # rows that share an id are told apart by their sets; links and labels go by id
     one = materialize(verified(_first_tiles(members), k, num, den), "jaccard-links")
     two = materialize(verified(_rest_tiles(members, components(one)), k, num, den), "jaccard-links")
@@ -328,4 +328,4 @@ def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     packed = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("own"))
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("own"))  # the join has dealt the rows out by doc_id already
-    return packed.join(first, "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+    return packed.join(first.hint("merge"), "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
