@@ -21,8 +21,8 @@ class by counts, so every id has a probability. A text is its subword ids and
 one end; windows of CONTEXT + STRIDE overlap by CONTEXT, and score STRIDE ids
 each, so each is scored once, in batched masked attention.
 
-Base scores need the count of every word. The HOT most frequent words go to all
-tasks; the others join the count table by word, so neither is the table ever in
+Base scores need the count of every word. Words that are at least one in HOT of
+all, so HOT words at most, go to all tasks; the others join the count table by word, so neither is the table ever in
 one place nor is there a hot key.
 
 Null and empty texts are one end. Repeated rows give repeated rows. Without
@@ -34,24 +34,26 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from factweave.llm.common import map_arrow, materialize, slices
+from factweave.llm.common import BATCH_ROWS, map_arrow, materialize, slices
 from factweave.llm.pieces import EOS, SPACE, codec
 
 FOLDS, HELD_OUT = 7, 2
-SINGLES, RARE = 224, 32
+SINGLES, RARE = 128, 32
 CLASSES = SINGLES + RARE
 KEY, WIDTH = 8, 16
 CONTEXT, STRIDE = 8, 24
 PASSAGE, SPAN, ROUNDS = 32, 32, 2
 BATCH, RATE = 64, 0.003
-HOT = 65_536
-FLUSH_WORDS, CACHE_WORDS = 250_000, 150_000
+#: Words that are at least one in HOT of all: at most HOT words, whatever the corpus.
+HOT = 500_000
+FLUSH_WORDS, CACHE_WORDS = 250_000, 250_000
 PAD = CLASSES  # no id: before a text
 
 _GATHERED = "word binary, n long, passage binary"
@@ -99,26 +101,52 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(list(counts), list(counts.values()), [])
 
 
-def _ids(coder, words: list[bytes]) -> list[np.ndarray]:
-    """Subword ids of words, each with a space before it."""
-    return [np.frombuffer(x, "<u4") for x in coder.encode_words([SPACE + w.decode("utf-8", "replace").replace(SPACE, " ").replace(" ", SPACE) for w in words])]
+def _ids(coder, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of words, each with a space before it, in one array; and how many each has."""
+    texts = [SPACE + w.decode("utf-8", "replace") for w in words]
+    return coder.encode_flat(texts)
 
 
-def _id_counts(counts: DataFrame, model_path: str) -> DataFrame:
+def _encoded(counts: DataFrame, model_path: str) -> DataFrame:
+    """(ids, sizes, n) of the words of each batch, as arrays in binary: each word is encoded once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = codec(model_path)
+
+        def done(words: list[bytes], n: list[int]) -> pa.RecordBatch:
+            ids, sizes = _ids(coder, words)
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids.astype("<u2"), sizes.astype("<i4"), np.array(n, "<i8"))], ["ids", "sizes", "n"])
+
+        words, n = [], []
+        for batch in batches:
+            words += batch.column("word").to_pylist()
+            n += batch.column("n").to_pylist()
+            if len(words) >= 16 * BATCH_ROWS:
+                yield done(words, n)
+                words, n = [], []
+        if words:
+            yield done(words, n)
+
+    return materialize(map_arrow(counts.where(F.col("word") != b""), run, "ids binary, sizes binary, n binary"), "lm-encoded")
+
+
+def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for ids, sizes, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "n"))):
+        yield np.frombuffer(ids, "<u2").astype(np.int64), np.frombuffer(sizes, "<i4"), np.frombuffer(n, "<i8")
+
+
+def _id_counts(encoded: DataFrame) -> DataFrame:
     """(id, n) of all subwords of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, total = codec(model_path), None
+        total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            total = np.zeros(len(coder.pieces), np.int64) if total is None else total
-            ids = [x if w else np.array([EOS]) for w, x in zip(words, _ids(coder, words))]
-            total += np.bincount(np.concatenate(ids), np.repeat(n, list(map(len, ids))), len(total)).astype(np.int64)
-        if total is not None:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+            for ids, sizes, n in _arrays(batch):
+                total += np.bincount(ids, np.repeat(n, sizes), len(total)).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    return map_arrow(counts, run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_arrow(encoded, run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -140,33 +168,28 @@ class Vocabulary:
         self.end = int(self.of[EOS])
 
 
-def _followers(counts: DataFrame, vocabulary: Vocabulary, model_path: str) -> np.ndarray:
+def _followers(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """How often each class follows each within words; ends of words meet beginnings by chance, for the first embeddings only."""
-    shared = counts.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, of = codec(model_path), shared.value.of.astype(np.int64)
+        of = shared.value.astype(np.int64)
         inside, first, last = np.zeros(CLASSES * CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
         for batch in batches:
-            words, n = batch.column("word").to_pylist(), batch.column("n").to_numpy()
-            keep = [i for i, w in enumerate(words) if w]
-            if not keep:
-                continue
-            ids, n = _ids(coder, [words[i] for i in keep]), n[keep]
-            size = np.array(list(map(len, ids)))
-            flat, each = of[np.concatenate(ids)], np.repeat(n, size)
-            ends = np.cumsum(size) - 1
-            within = np.ones(len(flat), bool)
-            within[ends] = False
-            at = np.flatnonzero(within)
-            inside += np.bincount(flat[at] * CLASSES + flat[at + 1], each[at], CLASSES * CLASSES)
-            first += np.bincount(flat[ends - size + 1], n, CLASSES)
-            last += np.bincount(flat[ends], n, CLASSES)
+            for ids, sizes, n in _arrays(batch):
+                flat, each = of[ids], np.repeat(n, sizes)
+                ends = np.cumsum(sizes) - 1
+                within = np.ones(len(flat), bool)
+                within[ends] = False
+                at = np.flatnonzero(within)
+                inside += np.bincount(flat[at] * CLASSES + flat[at + 1], each[at], CLASSES * CLASSES)
+                first += np.bincount(flat[ends - sizes + 1], n, CLASSES)
+                last += np.bincount(flat[ends], n, CLASSES)
         code, value = np.arange(CLASSES * (CLASSES + 2)), np.concatenate([inside, first, last])
         at = np.flatnonzero(value)
         yield pa.RecordBatch.from_arrays([pa.array(code[at]), pa.array(value[at])], ["code", "n"])
 
-    got = map_arrow(counts, run, "code long, n double").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES * (CLASSES + 2) rows
+    got = map_arrow(encoded, run, "code long, n double").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES * (CLASSES + 2) rows
     value = np.zeros(CLASSES * (CLASSES + 2))
     value[got["code"].to_numpy()] = got["n"].to_numpy()
     inside, first, last = value[: CLASSES * CLASSES].reshape(CLASSES, CLASSES), value[-2 * CLASSES : -CLASSES], value[-CLASSES:]
@@ -333,6 +356,13 @@ def _round(passages: DataFrame, p: dict[str, np.ndarray], vocabulary: Vocabulary
     return out
 
 
+def _classes_of(coder, of: np.ndarray, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Classes of each word's subwords as bytes, with all ids in one array and how many each word has."""
+    ids, sizes = _ids(coder, words)
+    data, cut = of[ids].tobytes(), (np.cumsum(sizes) * 2).tolist()
+    return [data[a:b] for a, b in zip([0, *cut], cut)], ids, sizes
+
+
 _WORDS: dict[bytes, bytes] = {}
 
 
@@ -342,7 +372,7 @@ def _encode_words(coder, vocab: Vocabulary, texts: list[list[bytes]]) -> list[np
     if len(_WORDS) + len(missing) > CACHE_WORDS:
         _WORDS.clear()
         missing = list({w for words in texts for w in words})
-    _WORDS.update((w, vocab.of[x].tobytes()) for w, x in zip(missing, _ids(coder, missing)))
+    _WORDS.update(zip(missing, _classes_of(coder, vocab.of, missing)[0]))
     return [np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), np.uint16) for words in texts]
 
 
@@ -355,44 +385,55 @@ class Scorer:
         self.hot = {w: float(np.log10(n + 1.0)) for w, n in hot.items()}
         self.end = float(np.log10(ends + 1.0)) - self.unit
         self.known_end = int(ends > 0)
-        self.known: dict[bytes, tuple[bytes, float]] = {}
+        self.starts = np.zeros(0, np.int64)
+        self.forget()
+
+    def forget(self) -> None:
+        """No word is remembered. Of each word: its place, the classes of its subwords, their shares, and its base score (rare: none)."""
+        self.place: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+        self.flat, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        self.share, self.base = np.zeros(0), np.zeros(0)
+
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """Places of words; new ones are encoded together. When there would be too many, the old ones are forgotten."""
+        try:
+            return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            missing = list({w for w in words if w not in self.place})
+        if len(self.words) + len(missing) > CACHE_WORDS and self.words:
+            self.forget()
+            missing = list(set(words))
+        ids, sizes = _ids(self.coder, missing)
+        self.place.update(zip(missing, range(len(self.words), len(self.words) + len(missing))))
+        self.words += missing
+        self.flat, self.sizes = np.concatenate([self.flat, self.vocab.of[ids]]), np.concatenate([self.sizes, sizes])
+        self.share = np.concatenate([self.share, np.add.reduceat(self.vocab.share[ids], np.cumsum(sizes) - sizes)])
+        self.base = np.concatenate([self.base, np.array([self.hot.get(w, np.nan) for w in missing]) - self.unit])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def texts(self, texts: list[str]) -> list[tuple]:
         """(n_tokens, n_known, base_score, score, rare words, their counts) of each text; rare words are not in n_known and base_score."""
         split = [words_of(t) for t in texts]
-        counts = [Counter(words) for words in split]
-        known = self.known
-        missing = list({w for c in counts for w in c if w not in known})
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = list({w for c in counts for w in c})
-        of, share = self.vocab.of, self.vocab.share
-        ids = _ids(self.coder, missing)
-        if missing:
-            sizes = np.array(list(map(len, ids)))
-            flat = np.concatenate(ids)
-            shares = np.add.reduceat(share[flat], np.cumsum(sizes) - sizes).tolist()
-            data, cut = of[flat].tobytes(), (np.cumsum(sizes) * 2).tolist()
-            known.update((w, (data[a:b], s)) for w, a, b, s in zip(missing, [0, *cut], cut, shares))
-        out, end = [], np.array([self.vocab.end], np.uint16).tobytes()
-        rows, shares = [], []
-        for words, c in zip(split, counts):
-            rows.append(b"".join([*(known[w][0] for w in words), end]))
-            base, n_known, share_sum, rare_w, rare_n = self.end, self.known_end, float(share[EOS]), [], []
-            for w, n in c.items():
-                share_sum += n * known[w][1]
-                if (log := self.hot.get(w)) is None:
-                    rare_w.append(w)
-                    rare_n.append(n)
-                else:
-                    base += n * (log - self.unit)
-                    n_known += n
-            shares.append(share_sum)
-            out.append((len(words) + 1, n_known, base, rare_w, rare_n))
-        ends = np.cumsum([len(r) // 2 for r in rows])
-        x, y, text = windows(np.frombuffer(b"".join(rows), np.uint16).astype(np.int64), ends, self.vocab.end)
-        score = np.bincount(text, log10_likelihoods(self.p, x, y).sum(1), len(texts)) + shares
-        return [(n, k, b, s, w, m) for (n, k, b, w, m), s in zip(out, score.tolist())]
+        n_docs, n_words = len(texts), np.array(list(map(len, split)))
+        doc = np.repeat(np.arange(n_docs), n_words)
+        at = self.learn(list(chain.from_iterable(split)))
+        base, sizes = self.base[at], self.sizes[at]
+        rare = np.isnan(base)
+        known = n_words - np.bincount(doc[rare], minlength=n_docs) + self.known_end
+        scores = np.bincount(doc, np.where(rare, 0, base), n_docs) + self.end
+        few, times = np.unique(doc[rare] * len(self.words) + at[rare], return_counts=True)
+        cut = np.searchsorted(few // max(1, len(self.words)), np.arange(n_docs + 1))
+        names, times = [self.words[i] for i in (few % max(1, len(self.words))).tolist()], times.tolist()
+        where = np.arange(sizes.sum()) + np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes) if len(at) else np.zeros(0, np.int64)
+        ends = np.cumsum(np.bincount(doc, sizes, n_docs).astype(np.int64) + 1)
+        ids, inner = np.full(ends[-1], self.vocab.end, np.int64), np.ones(ends[-1], bool)
+        inner[ends - 1] = False
+        ids[inner] = self.flat[where]
+        x, y, text = windows(ids, ends, self.vocab.end)
+        score = np.bincount(text, log10_likelihoods(self.p, x, y).sum(1), n_docs) + np.bincount(doc, self.share[at], n_docs) + self.vocab.share[EOS]
+        return [(n + 1, k, b, s, names[i:j], times[i:j]) for n, k, b, s, i, j in zip(n_words.tolist(), known.tolist(), scores.tolist(), score.tolist(), cut, cut[1:])]
 
 
 def score(docs: DataFrame, model_path: str) -> DataFrame:
@@ -404,14 +445,16 @@ def score(docs: DataFrame, model_path: str) -> DataFrame:
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == b"", F.col("n"))).alias("ends")).first()
     n, v, ends = total["n"] or 0, total["v"], total["ends"] or 0
     n_ids = np.zeros(len(codec(model_path).pieces), np.int64)
-    got = _id_counts(counts, model_path).toPandas()  # at most the vocabulary
+    encoded = _encoded(counts, model_path)
+    got = _id_counts(encoded).toPandas()  # at most the vocabulary
     n_ids[got["id"].to_numpy()] = got["n"].to_numpy()
+    n_ids[EOS] += ends
     vocabulary = Vocabulary(n_ids)
-    p = start(vocabulary, _followers(counts, vocabulary, model_path))
+    p = start(vocabulary, _followers(encoded, vocabulary))
     passages = gathered.where("passage is not null").select("passage")
     for r in range(ROUNDS):
         p = _round(passages, p, vocabulary, model_path, RATE / (r + 1))
-    hot = {bytes(r["word"]): r["n"] for r in counts.where(F.col("word") != b"").orderBy(F.desc("n"), "word").limit(HOT).collect()}
+    hot = {bytes(r["word"]): r["n"] for r in counts.where((F.col("word") != b"") & (F.col("n") * HOT >= n)).collect()}
     shared = spark.sparkContext.broadcast((p, vocabulary, hot, ends, n, v, model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,8 +120,14 @@ class PieceCodec:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
+        ids, sizes = self.encode_flat(words)
+        data, ends = ids.astype("<u4").tobytes(), (np.cumsum(sizes) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in one array, and how many each has."""
         if not words:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         starts = np.zeros(len(points), bool)
@@ -158,8 +164,7 @@ class PieceCodec:
             ids, of = np.repeat(ids, count), np.repeat(of, count)
             for p, r in zip(put.tolist(), raw):
                 ids[p : p + len(r)] = r
-        data, ends = ids.astype("<u4").tobytes(), (np.cumsum(np.bincount(of, minlength=len(words))) * 4).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
+        return ids, np.bincount(of, minlength=len(words))
 
     def _rounds(self, symbols: np.ndarray, segment: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         done_at, done = [], []
