@@ -1,0 +1,137 @@
+"""Entries of a recall: query terms, surface seeds, phrase search with bm25, and overviews."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from factweave import constants as K
+from factweave.functions import identifiers as ids, text
+from factweave.operators import validity
+from factweave.operators.projection import Projection
+
+
+def query_terms(query: str, terms: list[str] | None = None) -> list[tuple[str, str]]:
+    """(term, normal name) of a request, at most TERMS: given terms in their order, else the query and its runs of letters and digits, longest first."""
+    if len(query) > K.QUERY_POINTS:
+        raise ValueError("QUERY_TOO_LONG")
+    if terms is not None:
+        found = [(t, n) for t in terms if len(t) <= K.TERM_POINTS and (n := text.normal_name(t))]
+        return found[: K.TERMS]
+    runs = [query, *("".join(g) for g in _runs(query))]
+    found = [(t, n) for t in runs if (n := text.normal_name(t)) and len(n) >= K.TERM_LEAST and len(t) <= K.TERM_POINTS]
+    order = sorted(range(len(found)), key=lambda i: (-len(found[i][1]), i))
+    return [found[i] for i in order][: K.TERMS]
+
+
+def _runs(query: str) -> list[list[str]]:
+    out: list[list[str]] = [[]]
+    for c in query:
+        if unicodedata.category(c)[0] in "LN":
+            out[-1].append(c)
+        elif out[-1]:
+            out.append([])
+    return [g for g in out if g]
+
+
+def values(spark: SparkSession, terms: list[tuple[str, str]]) -> DataFrame:
+    """(term_order, term, surface_norm): an inline source that keeps the order."""
+    return spark.createDataFrame([(i, t, n) for i, (t, n) in enumerate(terms)], "term_order int, term string, surface_norm string")
+
+
+def surface_seeds(p: Projection, requested: DataFrame, limit: int = K.SEEDS) -> DataFrame:
+    """(scope_key, entity_id, matched_term, surface_norm, seed_order, more): entities whose names or aliases are requested.
+
+    Redirected entities lead to where they have gone. Within a term the order is
+    that of the ids as text; an entity counts once, at its first term.
+    """
+    hits = p.surface_forms.join(F.broadcast(requested), "surface_norm")  # at most TERMS rows
+    to = p.id_redirects.where("kind = 'entity'").select("scope_key", F.col("old_id").alias("entity_id"), "new_id")
+    hits = hits.join(to, ["scope_key", "entity_id"], "left").withColumn("entity_id", F.coalesce("new_id", "entity_id")).drop("new_id")
+    first = hits.groupBy("scope_key", "entity_id").agg(F.min(F.struct("term_order", "surface_norm", "term")).alias("f"))
+    order = Window.partitionBy("scope_key").orderBy("f.term_order", "entity_id")
+    n = F.row_number().over(order)
+    ranked = first.withColumn("seed_order", n - 1).where(F.col("seed_order") <= limit)
+    more = F.max((F.col("seed_order") >= limit).cast("int")).over(Window.partitionBy("scope_key"))
+    return ranked.withColumn("more", more).where(F.col("seed_order") < limit).select("scope_key", "entity_id", F.col("f.term").alias("matched_term"), F.col("f.surface_norm").alias("surface_norm"), "seed_order", "more")
+
+
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f]")
+
+
+def phrases(terms: list[str]) -> list[str]:
+    """Phrases for a text search: without controls, trimmed, PHRASE_LEAST code points at least, PHRASES at most."""
+    cleaned = [text.trimmed(_CONTROL.sub("", t)) for t in terms]
+    return [t for t in cleaned if len(t) >= K.PHRASE_LEAST][: K.PHRASES]
+
+
+def bm25(texts: DataFrame, wanted: list[str]) -> DataFrame:
+    """texts (..., raw_text) that contain a phrase, with score (less is better) and the first phrase that matches.
+
+    Statistics are over all rows given, whatever their scope or state. Terms are
+    trigrams, so a row's length is its code points less two; matches overlap and
+    ignore case. One pass counts, one scores; phrases are a short list.
+    """
+    wanted = [p.lower() for p in wanted]
+    rows = texts.withColumn("folded", text.folded("raw_text")).withColumn("length", F.greatest(F.length("raw_text") - 2, F.lit(0)))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum(F.col("folded").contains(p).cast("long")).alias(f"n{i}") for i, p in enumerate(wanted))).first()
+    if not wanted or not stats["n"]:
+        return rows.where(F.lit(False)).withColumn("score", F.lit(0.0)).withColumn("phrase", F.lit(0)).drop("folded", "length")
+    score: Column = F.lit(0.0)
+    first = F.lit(None).cast("int")
+    for i in reversed(range(len(wanted))):
+        first = F.when(F.col("folded").contains(wanted[i]), i).otherwise(first)
+    for i, p in enumerate(wanted):
+        n = stats[f"n{i}"] or 0
+        odds = (stats["n"] - n + 0.5) / (n + 0.5)
+        import math
+
+        idf = max(math.log(odds), 0.0) or 1e-6
+        f = F.when(F.col("folded").contains(p), text.occurrences(F.col("folded"), p)).otherwise(0)
+        score = score - F.when(f > 0, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("length") / stats["mean"]))).otherwise(0.0)
+    return rows.withColumn("phrase", first).where("phrase is not null").withColumn("score", score).drop("folded", "length")
+
+
+def search(texts: DataFrame, wanted: list[str], limit: int = K.FTS_ROWS) -> DataFrame:
+    """The best `limit` rows of a phrase search, better scores and then newer rows first."""
+    return bm25(texts, wanted).orderBy(F.round("score", 9), F.desc("seq")).limit(limit)
+
+
+def raw_only(raw: DataFrame, stated: DataFrame) -> DataFrame:
+    """Raw statements (scope_key, raw_text, ...) without drafts, whose text no statement of a valid claim has: a claim's text never comes back as raw."""
+    return raw.join(stated.select("scope_key", "raw_text").distinct(), ["scope_key", "raw_text"], "left_anti")
+
+
+def incidents(claims: DataFrame) -> DataFrame:
+    """(scope_key, from_id, claim_id, to_id or null): claims from both their ends; a loop counts once."""
+    out = claims.select("scope_key", F.col("subject_id").alias("from_id"), "claim_id", F.col("object_id").alias("to_id"))
+    back = claims.where("object_id is not null and object_id != subject_id").select("scope_key", F.col("object_id").alias("from_id"), "claim_id", F.col("subject_id").alias("to_id"))
+    return out.unionByName(back)
+
+
+def overview_entities(claims: DataFrame, entities: DataFrame, limit: int = K.OVERVIEW_SEEDS) -> DataFrame:
+    """The entities of most valid claims in each scope: (scope_key, entity_id, name, incident_claims, last_seen_at, place)."""
+    both = incidents(claims).join(claims.select("scope_key", "claim_id", "last_seen_at"), ["scope_key", "claim_id"])
+    agg = both.groupBy("scope_key", F.col("from_id").alias("entity_id")).agg(F.countDistinct("claim_id").alias("incident_claims"), F.max("last_seen_at").alias("last_seen_at"))
+    order = Window.partitionBy("scope_key").orderBy(F.desc("incident_claims"), F.desc("last_seen_at"), ids.numeric(F.col("entity_id")))
+    top = agg.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    return top.join(entities.select("scope_key", F.col("id").alias("entity_id"), "name"), ["scope_key", "entity_id"])
+
+
+def overview_raw(raw: DataFrame, now: int, limit: int = K.LIMIT) -> DataFrame:
+    """The newest raw statements of each scope that live at `now`."""
+    order = Window.partitionBy("scope_key").orderBy(F.desc("created_at"), F.desc("seq"))
+    return raw.where(validity.unexpired(now)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
+def phrase_seeds(hits: DataFrame, p: Projection, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seeds, pins) of phrase hits (scope_key, event_id, place): ends of the valid claims that they support, subjects before objects; and the claims, at depth 0."""
+    s = p.claim_support.where("live = 1").join(hits.select("scope_key", "event_id", "place"), ["scope_key", "event_id"]).join(valid.select("scope_key", "claim_id", "subject_id", "object_id", "origin_seq"), ["scope_key", "claim_id"])
+    ends = s.select("scope_key", "place", "draft_index", "claim_id", "origin_seq", F.posexplode(F.array("subject_id", "object_id")).alias("end", "entity_id")).where("entity_id is not null")
+    first = ends.groupBy("scope_key", "entity_id").agg(F.min(F.struct("place", "draft_index", "origin_seq", "end")).alias("f"))
+    order = Window.partitionBy("scope_key").orderBy("f", "entity_id")
+    seeds = first.withColumn("seed_order", F.row_number().over(order) - 1).where(F.col("seed_order") < K.SEEDS).select("scope_key", "entity_id", "seed_order")
+    pins = s.groupBy("scope_key", "claim_id").agg(F.min("place").alias("seed_order"), F.first("subject_id").alias("anchor_id")).withColumn("depth", F.lit(0))
+    return seeds, pins
