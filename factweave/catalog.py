@@ -34,8 +34,13 @@ def shared(spark: SparkSession, sf_dir: str) -> dict:
     return _SHARED[key]
 
 
+#: Columns that may be null are shown as double, so that both engines give one type for them.
+_OPEN = ("expires_at", "effective_expires_at")
+
+
 def _out(df: DataFrame) -> DataFrame:
-    return df.select(*(F.col(f.name).cast("long").alias(f.name) if isinstance(f.dataType, (T.IntegerType, T.ShortType)) else F.col(f.name) for f in df.schema))
+    small = (T.IntegerType, T.ShortType)
+    return df.select(*(F.col(f.name).cast("double" if f.name in _OPEN else "long").alias(f.name) if f.name in _OPEN or isinstance(f.dataType, small) else F.col(f.name) for f in df.schema))
 
 
 def journal_scan(spark, d):
@@ -301,14 +306,14 @@ def _case(column: str, table: dict) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
 
 
-_EV = f"""ev0 AS (SELECT event_id + 1 AS seq, user_id, event_type, json_extract_string(props, '$.k') AS k, 'u:' || (user_id % 4) || '/p:events' AS scope_key, CAST(floor(epoch(ts)) AS BIGINT) AS at,
+_EV = f"""ev0 AS (SELECT event_id + 1 AS seq, user_id, event_type, json_extract_string(props, '$.k') AS k, 'u:' || (user_id % 4) || '/p:events' AS scope_key, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
   {_case("event_type", journalize._RELATION)} AS relation, {_case("event_type", journalize._PROVENANCE)} AS provenance, {_case("event_type", journalize._TTL)} AS ttl,
   (event_id + 1) % 301 <> 5 AND (event_id + 1) % 97 <> 0 AND (event_id + 1) % 50 <> 7 AS plain FROM events),
 ev1 AS (SELECT *, CASE WHEN lag(plain) OVER w THEN lag(seq) OVER w END AS prev FROM ev0 WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
 ev AS (SELECT *, 'ev_' || lpad(CAST(seq AS VARCHAR), 26, '0') AS id, CASE WHEN seq % 301 = 5 AND prev IS NOT NULL THEN 'event_retraction' WHEN seq % 97 = 0 AND prev IS NOT NULL THEN 'claim_retraction' ELSE 'statement' END AS what FROM ev1),
 s0 AS (SELECT *, CASE WHEN seq % 50 = 7 THEN prev END AS parent, coalesce(CASE WHEN seq % 50 = 7 THEN prev END, seq) AS root FROM ev WHERE what = 'statement'),
 dead AS (SELECT DISTINCT s.seq FROM s0 s JOIN ev r ON r.what = 'event_retraction' AND (r.prev = s.seq OR (r.seq % 2 = 0 AND s.root = (SELECT root FROM s0 x WHERE x.seq = r.prev) AND s.seq < r.seq))),
-s1 AS (SELECT s.seq, s.id, s.scope_key, s.user_id, s.k, s.relation, s.parent, s.root, r.at, r.provenance, r.ttl, CASE r.ttl WHEN 'session' THEN r.at + 43200 WHEN 'weeks' THEN r.at + 2592000 END AS expires_at,
+s1 AS (SELECT s.seq, s.id, s.scope_key, s.user_id, s.k, s.relation, s.parent, s.root, r.sec, r.provenance, r.ttl, CASE r.ttl WHEN 'session' THEN r.sec + 43200 WHEN 'weeks' THEN r.sec + 2592000 END AS expires_at,
   CASE WHEN s.seq IN (SELECT seq FROM dead) THEN 'retracted' WHEN s.seq IN (SELECT parent FROM s0 WHERE parent IS NOT NULL AND seq NOT IN (SELECT seq FROM dead)) THEN 'superseded' ELSE 'live' END AS state
   FROM s0 s JOIN ev r ON r.seq = s.root),
 m AS (SELECT scope_key, seq, 0 AS pos, 'user' || user_id AS norm, 'user ' || user_id AS name, 'person' AS kind, state, root FROM s1
@@ -322,10 +327,10 @@ d AS (SELECT *, 'c' || cseq || '.0' AS claim_id FROM d1),
 ret AS (SELECT d.scope_key, d.claim_id, max(r.seq) AS r FROM ev r JOIN d ON r.what = 'claim_retraction' AND d.seq = r.prev GROUP BY ALL),
 sup AS (SELECT d.*, CASE WHEN state = 'live' AND root > coalesce(r, 0) THEN 1 ELSE 0 END AS live FROM d LEFT JOIN ret USING (scope_key, claim_id)),
 c0 AS (SELECT scope_key, claim_id, any_value(subject_id) AS subject_id, any_value(relation) AS relation, any_value(object_id) AS object_id, any_value(literal) AS literal, any_value(cseq) AS origin_seq,
-  max(CASE WHEN state = 'live' THEN root * 100000000 + seq END) AS act, arg_min(at, seq) AS anchor_at, min(CASE WHEN live = 1 THEN at END) AS first_at, max(CASE WHEN live = 1 THEN at END) AS last_at FROM sup GROUP BY ALL),
+  max(CASE WHEN state = 'live' THEN root * 100000000 + seq END) AS act, arg_min(sec, seq) AS anchor_at, min(CASE WHEN live = 1 THEN sec END) AS first_at, max(CASE WHEN live = 1 THEN sec END) AS last_at FROM sup GROUP BY ALL),
 c AS (SELECT *, CASE WHEN act IS NULL OR coalesce(r, 0) > act // 100000000 THEN 'retracted' WHEN relation = 'describes' AND max(act) OVER (PARTITION BY scope_key, subject_id, relation = 'describes') > act THEN 'superseded' ELSE 'active' END AS cstate FROM c0 LEFT JOIN ret USING (scope_key, claim_id)),
 v AS (SELECT sup.* FROM sup JOIN c USING (scope_key, claim_id) WHERE live = 1 AND sup.state = 'live' AND cstate = 'active' AND (expires_at IS NULL OR expires_at > {NOW})),
-agg AS (SELECT scope_key, claim_id, count(*) AS support_count, max(CASE provenance WHEN 'user_stated' THEN 3 WHEN 'observed' THEN 2 ELSE 1 END)::BIGINT AS strongest_rank, max(at) AS last_seen_at,
+agg AS (SELECT scope_key, claim_id, count(*) AS support_count, max(CASE provenance WHEN 'user_stated' THEN 3 WHEN 'observed' THEN 2 ELSE 1 END)::BIGINT AS strongest_rank, max(sec) AS last_seen_at,
   max(CASE WHEN relation = 'relates_to' THEN 'viewed' END) AS relation_label, CASE WHEN count(*) = count(expires_at) THEN max(expires_at) END AS effective_expires_at FROM v GROUP BY ALL),
 vc AS (SELECT agg.*, c.subject_id, c.relation, c.object_id, c.literal, c.origin_seq FROM agg JOIN c USING (scope_key, claim_id)),
 con AS (SELECT scope_key, claim_id FROM vc a WHERE relation IN ('uses', 'rejects') AND EXISTS (SELECT 1 FROM vc b WHERE b.scope_key = a.scope_key AND b.subject_id = a.subject_id AND b.object_id IS NOT DISTINCT FROM a.object_id AND b.literal IS NOT DISTINCT FROM a.literal AND b.relation = CASE a.relation WHEN 'uses' THEN 'rejects' ELSE 'uses' END)),
@@ -338,27 +343,27 @@ _TX = "tx AS (SELECT doc_id + 1 AS seq, 'u:docs/p:' || lang AS scope_key, text A
 
 def _hits(phrase: str) -> str:
     """Overlapping occurrences of a phrase, counted by places."""
-    return f"list_sum(list_transform(range(1, length(t) - {len(phrase) - 2}), i -> CASE WHEN t[i:i + {len(phrase) - 1}] = '{phrase}' THEN 1 ELSE 0 END))"
+    return f"list_sum(list_transform(range(1, length(t) - {len(phrase) - 2}), lambda i: CASE WHEN t[i:i + {len(phrase) - 1}] = '{phrase}' THEN 1 ELSE 0 END))"
 
 
 def _oracles() -> dict[str, str]:
     q = {
-        "claim_aggregate": "SELECT * FROM agg",
-        "journal_scan": """SELECT scope_key, seq, id, CASE what WHEN 'statement' THEN 'statement' ELSE 'retraction' END AS kind, at AS created_at, CASE WHEN what = 'statement' AND seq % 50 = 7 AND prev IS NOT NULL THEN 'ev_' || lpad(CAST(prev AS VARCHAR), 26, '0') END AS supersedes,
+        "claim_aggregate": "SELECT * REPLACE (effective_expires_at::DOUBLE AS effective_expires_at) FROM agg",
+        "journal_scan": """SELECT scope_key, seq, id, CASE what WHEN 'statement' THEN 'statement' ELSE 'retraction' END AS kind, sec AS created_at, CASE WHEN what = 'statement' AND seq % 50 = 7 AND prev IS NOT NULL THEN 'ev_' || lpad(CAST(prev AS VARCHAR), 26, '0') END AS supersedes,
           CASE what WHEN 'event_retraction' THEN 'ev_' || lpad(CAST(prev AS VARCHAR), 26, '0') WHEN 'claim_retraction' THEN 'c' || prev || '.0' END AS target FROM ev""",
         "draft_explode": "SELECT scope_key, seq, 0::BIGINT AS draft_index, 0::BIGINT AS position, relation, 'e' || seq || '.0' AS subject_ref, CASE WHEN relation <> 'describes' THEN 'e' || seq || '.1' END AS object_ref, 'c' || seq || '.0' AS claim_ref FROM s1",
         "body_validation": "SELECT CASE seq % 1000 WHEN 11 THEN 'INVALID_ENUM' WHEN 12 THEN 'INVALID_JSON_BODY' ELSE 'INVALID_BODY_KEYS' END AS problem, count(*) AS n FROM ev WHERE what = 'statement' AND seq % 1000 IN (11, 12, 13) GROUP BY ALL",
         "supersedes_root": "SELECT scope_key, seq, root AS root_seq, CASE WHEN parent IS NOT NULL THEN 'ev_' || lpad(CAST(parent AS VARCHAR), 26, '0') END AS parent FROM s0",
-        "statement_state": "SELECT id AS event_id, scope_key, state, root AS order_seq, at AS created_at, provenance FROM s1",
+        "statement_state": "SELECT id AS event_id, scope_key, state, root AS order_seq, sec AS created_at, provenance FROM s1",
         "effective_stream": "SELECT scope_key, id, 'statement' AS kind, root AS order_seq, seq FROM s1 WHERE state = 'live' UNION ALL SELECT scope_key, id, 'retraction', seq, seq FROM ev WHERE what <> 'statement'",
-        "statement_expiry": "SELECT id AS event_id, expires_at FROM s1",
+        "statement_expiry": "SELECT id AS event_id, expires_at::DOUBLE AS expires_at FROM s1",
         "entity_dedup": "SELECT eid AS id, scope_key, name, norm AS normal_name, kind, origin_seq FROM en",
         "surface_forms": "SELECT scope_key, norm AS surface_norm, eid AS entity_id, CASE own_state WHEN 'live' THEN 'name' ELSE 'agent_supplied' END AS origin FROM en WHERE said",
         "id_redirects": """SELECT m.scope_key, 'e' || seq || '.' || pos AS old_id, eid AS new_id, 'entity' AS kind, 'deduplicated' AS reason FROM m JOIN en USING (scope_key, norm) WHERE seq * 10 + pos <> code
           UNION ALL SELECT scope_key, 'c' || seq || '.0', claim_id, 'claim', 'deduplicated' FROM d WHERE seq <> cseq""",
         "claim_state": "SELECT claim_id AS id, scope_key, subject_id, relation, object_id, literal AS object_value, cstate AS state, origin_seq, coalesce(first_at, anchor_at) AS first_seen_at, coalesce(last_at, anchor_at) AS last_seen_at FROM c",
-        "claim_support_live": "SELECT scope_key, claim_id, id AS event_id, 0::BIGINT AS draft_index, live::BIGINT AS live, expires_at FROM sup",
-        "valid_support": "SELECT scope_key, claim_id, id AS event_id, 0::BIGINT AS draft_index, at AS created_at FROM v",
+        "claim_support_live": "SELECT scope_key, claim_id, id AS event_id, 0::BIGINT AS draft_index, live::BIGINT AS live, expires_at::DOUBLE AS expires_at FROM sup",
+        "valid_support": "SELECT scope_key, claim_id, id AS event_id, 0::BIGINT AS draft_index, sec AS created_at FROM v",
         "contested_claims": "SELECT * FROM con",
         "rank_topk": f"""SELECT scope_key, claim_id, score, text, contested, support_count, place, total, CASE WHEN total > {K.LIMIT} THEN 1 ELSE 0 END::BIGINT AS more_available FROM (
           SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY score DESC, strongest_rank DESC, support_count DESC, last_seen_at DESC, origin_seq, claim_id) AS place, count(*) OVER (PARTITION BY scope_key) AS total FROM (
