@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -42,14 +43,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from factweave.llm.common import BATCH_ROWS, map_arrow, materialize, slices
-from factweave.llm.pieces import EOS, SPACE, codec
+from factweave.llm.pieces import EOS
 
 FOLDS, HELD_OUT = 7, 2
-SINGLES, RARE = 128, 32
+SINGLES, RARE = 96, 32
 CLASSES = SINGLES + RARE
 KEY, WIDTH = 8, 16
 CONTEXT, STRIDE = 8, 24
-PASSAGE, SPAN, ROUNDS = 32, 32, 2
+PASSAGE, SPAN, ROUNDS = 32, 64, 2
 BATCH, RATE = 64, 0.003
 #: Words that are at least one in HOT of all: at most HOT words, whatever the corpus.
 HOT = 500_000
@@ -101,20 +102,26 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(list(counts), list(counts.values()), [])
 
 
-def _ids(coder, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(2)
+def _processor(model_path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=model_path)
+
+
+def _ids(model_path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of words, each with a space before it, in one array; and how many each has."""
-    texts = [SPACE + w.decode("utf-8", "replace") for w in words]
-    return coder.encode_flat(texts)
+    lists = _processor(model_path).encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
 
 
 def _encoded(counts: DataFrame, model_path: str) -> DataFrame:
     """(ids, sizes, n) of the words of each batch, as arrays in binary: each word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(model_path)
-
         def done(words: list[bytes], n: list[int]) -> pa.RecordBatch:
-            ids, sizes = _ids(coder, words)
+            ids, sizes = _ids(model_path, words)
             return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids.astype("<u2"), sizes.astype("<i4"), np.array(n, "<i8"))], ["ids", "sizes", "n"])
 
         words, n = [], []
@@ -328,10 +335,10 @@ def _round(passages: DataFrame, p: dict[str, np.ndarray], vocabulary: Vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, vocab = {k: v.copy() for k, v in shared.value[0].items()}, shared.value[1]
-        coder, state, seen = codec(model_path), {}, 0
+        state, seen = {}, 0
         for batch in batches:
             texts = batch.column("passage").to_pylist()
-            ids = _encode_words(coder, vocab, [t.split() for t in texts])
+            ids = _encode_words(model_path, vocab, [t.split() for t in texts])
             ids = [np.append(i, vocab.end) if t.endswith(b"\n") else i for t, i in zip(texts, ids)]
             sizes = np.array(list(map(len, ids)))
             if not sizes.sum():
@@ -356,9 +363,9 @@ def _round(passages: DataFrame, p: dict[str, np.ndarray], vocabulary: Vocabulary
     return out
 
 
-def _classes_of(coder, of: np.ndarray, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def _classes_of(model_path: str, of: np.ndarray, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Classes of each word's subwords as bytes, with all ids in one array and how many each word has."""
-    ids, sizes = _ids(coder, words)
+    ids, sizes = _ids(model_path, words)
     data, cut = of[ids].tobytes(), (np.cumsum(sizes) * 2).tolist()
     return [data[a:b] for a, b in zip([0, *cut], cut)], ids, sizes
 
@@ -366,13 +373,13 @@ def _classes_of(coder, of: np.ndarray, words: list[bytes]) -> tuple[list[bytes],
 _WORDS: dict[bytes, bytes] = {}
 
 
-def _encode_words(coder, vocab: Vocabulary, texts: list[list[bytes]]) -> list[np.ndarray]:
+def _encode_words(model_path: str, vocab: Vocabulary, texts: list[list[bytes]]) -> list[np.ndarray]:
     """Classes of the subwords of texts' words; a worker remembers words."""
     missing = list({w for words in texts for w in words if w not in _WORDS})
     if len(_WORDS) + len(missing) > CACHE_WORDS:
         _WORDS.clear()
         missing = list({w for words in texts for w in words})
-    _WORDS.update(zip(missing, _classes_of(coder, vocab.of, missing)[0]))
+    _WORDS.update(zip(missing, _classes_of(model_path, vocab.of, missing)[0]))
     return [np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), np.uint16) for words in texts]
 
 
@@ -380,37 +387,44 @@ class Scorer:
     """Scores texts with the model and the counts of hot words."""
 
     def __init__(self, p: dict, vocab: Vocabulary, hot: dict[bytes, int], ends: int, total: int, distinct: int, model_path: str):
-        self.p, self.vocab, self.coder = p, vocab, codec(model_path)
+        self.p, self.vocab, self.model_path = p, vocab, model_path
         self.unit = float(np.log10(total + 1.0 * (distinct + 1)))
         self.hot = {w: float(np.log10(n + 1.0)) for w, n in hot.items()}
         self.end = float(np.log10(ends + 1.0)) - self.unit
         self.known_end = int(ends > 0)
-        self.starts = np.zeros(0, np.int64)
-        self.forget()
-
-    def forget(self) -> None:
-        """No word is remembered. Of each word: its place, the classes of its subwords, their shares, and its base score (rare: none)."""
-        self.place: dict[bytes, int] = {}
+        # of each word: its place, the classes of its subwords, their shares, and its base score (rare: none); hot words come first and stay
         self.words: list[bytes] = []
         self.flat, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64)
         self.share, self.base = np.zeros(0), np.zeros(0)
+        self.place: dict[bytes, int] = {}
+        self.add(list(hot))
+        self.kept, self.hot_place = len(hot), dict(self.place)
+
+    def add(self, words: list[bytes]) -> None:
+        """Words that are not known yet are encoded together."""
+        ids, sizes = _ids(self.model_path, words)
+        self.place.update(zip(words, range(len(self.words), len(self.words) + len(words))))
+        self.words += words
+        self.flat, self.sizes = np.concatenate([self.flat, self.vocab.of[ids]]), np.concatenate([self.sizes, sizes])
+        own = np.bincount(np.repeat(np.arange(len(words)), sizes), self.vocab.share[ids], len(words))
+        self.share = np.concatenate([self.share, own])
+        self.base = np.concatenate([self.base, np.array([self.hot.get(w, np.nan) for w in words]) - self.unit])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def forget(self) -> None:
+        """Only the hot words stay."""
+        k = self.kept
+        self.place, self.words = dict(self.hot_place), self.words[:k]
+        self.flat, self.sizes, self.share, self.base = self.flat[: int(self.sizes[:k].sum())], self.sizes[:k], self.share[:k], self.base[:k]
 
     def learn(self, words: list[bytes]) -> np.ndarray:
-        """Places of words; new ones are encoded together. When there would be too many, the old ones are forgotten."""
-        try:
-            return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            missing = list({w for w in words if w not in self.place})
-        if len(self.words) + len(missing) > CACHE_WORDS and self.words:
+        """Places of words; when there would be too many, those that aren't hot are forgotten first."""
+        missing = list({w for w in words if w not in self.place})
+        if len(self.words) + len(missing) > CACHE_WORDS and len(self.words) > self.kept:
             self.forget()
-            missing = list(set(words))
-        ids, sizes = _ids(self.coder, missing)
-        self.place.update(zip(missing, range(len(self.words), len(self.words) + len(missing))))
-        self.words += missing
-        self.flat, self.sizes = np.concatenate([self.flat, self.vocab.of[ids]]), np.concatenate([self.sizes, sizes])
-        self.share = np.concatenate([self.share, np.add.reduceat(self.vocab.share[ids], np.cumsum(sizes) - sizes)])
-        self.base = np.concatenate([self.base, np.array([self.hot.get(w, np.nan) for w in missing]) - self.unit])
-        self.starts = np.cumsum(self.sizes) - self.sizes
+            missing = list({w for w in words if w not in self.place})
+        if missing:
+            self.add(missing)
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def texts(self, texts: list[str]) -> list[tuple]:
@@ -444,7 +458,7 @@ def score(docs: DataFrame, model_path: str) -> DataFrame:
     counts = materialize(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == b"", F.col("n"))).alias("ends")).first()
     n, v, ends = total["n"] or 0, total["v"], total["ends"] or 0
-    n_ids = np.zeros(len(codec(model_path).pieces), np.int64)
+    n_ids = np.zeros(_processor(model_path).get_piece_size(), np.int64)
     encoded = _encoded(counts, model_path)
     got = _id_counts(encoded).toPandas()  # at most the vocabulary
     n_ids[got["id"].to_numpy()] = got["n"].to_numpy()
