@@ -219,9 +219,28 @@ def start(vocabulary: Vocabulary, followers: np.ndarray) -> dict[str, np.ndarray
     p["own"][:CLASSES] = u[:, :WIDTH] * root / weight[:, None]
     p["own"][CLASSES], p["out"], p["bias"] = 0, root[:, None] * v[:WIDTH], vocabulary.bias.copy()
     p["near"] = -0.5 * np.arange(CONTEXT + STRIDE)
+    if followers.sum():
+        _fit_followers(p, followers)
     return {k: x.astype(np.float32) for k, x in p.items()}
 
 
+def _fit_followers(p: dict[str, np.ndarray], followers: np.ndarray, steps: int = 400, rate: float = 0.03) -> None:
+    """Fit embeddings and output to how often classes follow one another over the whole corpus, by Adam on all counts at once."""
+    share, total = followers / followers.sum(), followers.sum(1, keepdims=True) / followers.sum()
+    state = {k: [np.zeros_like(p[k]), np.zeros_like(p[k])] for k in ("own", "out", "bias")}
+    for t in range(1, steps + 1):
+        logits = p["own"][:CLASSES] @ p["out"] + p["bias"]
+        logits -= logits.max(1, keepdims=True)
+        g = np.exp(logits)
+        g = g / g.sum(1, keepdims=True) * total - share
+        grads = {"own": np.vstack([g @ p["out"].T, np.zeros((1, WIDTH))]), "out": p["own"][:CLASSES].T @ g, "bias": g.sum(0)}
+        for k, d in grads.items():
+            m, v = state[k]
+            m += 0.1 * (d - m)
+            v += 0.001 * (d * d - v)
+            p[k] -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
+
+
 _LENGTH = CONTEXT + STRIDE
 _DISTANCE = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(_LENGTH)[None, :]
 _MASK = np.where(_DISTANCE >= 0, 0, -1e9).astype(np.float32)
