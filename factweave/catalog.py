@@ -211,9 +211,9 @@ def replay_reason(spark, d):
 
 
 def upsert_changes(spark, d):
-    """Statements of the first half of the journal against all."""
+    """Statements of the journal's first events against all."""
     s = shared(spark, d)
-    half = projection_of(s["j"].where(F.col("seq") <= 5000)).statements
+    half = projection_of(s["j"].where(F.col("seq") <= 500)).statements
     return dispatch.changes(half, s["p"].statements, ["event_id"])
 
 
@@ -404,6 +404,10 @@ def _oracles() -> dict[str, str]:
       SELECT scope_key, id, groups, CASE WHEN groups > 1 THEN 1 ELSE 0 END::BIGINT AS blocked, 'e' || k || '.0' AS new_id FROM e JOIN (SELECT normal_name, count(DISTINCT new_name) AS groups FROM e GROUP BY ALL) USING (normal_name) JOIN (SELECT new_name, min(o) AS k FROM e GROUP BY ALL) USING (new_name)"""
     out["star_contested"] = """WITH u AS (SELECT DISTINCT n_name, p_brand, CASE l_returnflag WHEN 'R' THEN 'rejects' ELSE 'uses' END AS relation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
       SELECT 'u:star/p:tpch' AS scope_key, n_name || '/' || relation || '/' || p_brand AS claim_id FROM u a WHERE EXISTS (SELECT 1 FROM u b WHERE b.n_name = a.n_name AND b.p_brand = a.p_brand AND b.relation <> a.relation)"""
+    early = _EV.replace("FROM events)", "FROM events WHERE event_id < 500)")
+    rows = "SELECT id AS event_id, scope_key, state, root AS order_seq, sec AS created_at, provenance, expires_at FROM s1"
+    out["upsert_changes"] = f"""WITH a AS (WITH {early} {rows}), b AS (WITH {_EV} {rows}) SELECT event_id, CASE WHEN a.state IS NULL THEN 'insert' ELSE 'update' END AS change FROM b LEFT JOIN a USING (event_id)
+      WHERE a.state IS NULL OR (a.state, a.order_seq, a.created_at, a.provenance, coalesce(a.expires_at, 0)) <> (b.state, b.order_seq, b.created_at, b.provenance, coalesce(b.expires_at, 0))"""
     out["incremental_vs_replay"] = "SELECT 0::BIGINT AS n"
     out["fold_parity"] = "SELECT name, 0::BIGINT AS n FROM (VALUES ('statements'), ('entities'), ('surface_forms'), ('claims'), ('claim_support'), ('id_redirects')) t(name)"
     return out

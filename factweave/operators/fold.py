@@ -47,6 +47,7 @@ class Claim:
     at: int
     state: str = "retracted"
     act: tuple | None = None
+    supports: list = field(default_factory=list)
 
 
 @dataclass
@@ -78,6 +79,8 @@ class Scope:
     kinds: list[tuple] = field(default_factory=list)
     moved: dict[str, tuple[str, str]] = field(default_factory=dict)
     gone: dict[str, Claim] = field(default_factory=dict)
+    same: dict[tuple, str] = field(default_factory=dict)  # claims by identity
+    slot: dict[str, str] = field(default_factory=dict)  # the active value of each subject
 
     # --- redirects
 
@@ -127,11 +130,12 @@ class Scope:
                 del self.claims[c.id]
                 if reason == "merge":
                     self.gone[c.id] = c
-            names = {c.id for c in others}
-            for s in self.supports:
-                if s.claim in names:
+                for s in c.supports:
                     s.claim = first.id
+                first.supports += c.supports
+                c.supports = []
             first.state, first.act = state, act
+        self.same = {self.identity(c): c.id for c in self.claims.values()}
 
     def settle(self) -> None:
         """Of active values of one slot the one activated last stays."""
@@ -144,12 +148,13 @@ class Scope:
             for c in rows:
                 if c is not last:
                     c.state = "superseded"
+        self.slot = {subject: max(rows, key=lambda c: c.act).id for subject, rows in slots.items()}
 
     # --- anchors: every occurrence has an entity and a claim, dead or not
 
     def anchor(self) -> None:
         first: dict[str, str] = {}
-        claims: dict[tuple, str] = {}
+        claims = self.same
         for s in sorted(self.statements.values(), key=lambda s: s.seq):
             position = 0
             for i, d in enumerate(s.drafts):
@@ -178,6 +183,7 @@ class Scope:
                     self.claims[c.id] = c
                 d["support"] = Support(self.now(c.id), s, i)
                 self.supports.append(d["support"])
+                self.claims[d["support"].claim].supports.append(d["support"])
         self.first = first
 
     # --- events
@@ -221,10 +227,12 @@ class Scope:
             if same in seen:
                 raise Refused("DUPLICATE_STATEMENT_CLAIM")
             seen.add(same)
-            found = next((c for c in self.claims.values() if self.identity(c) == same), None)
+            found = self.claims[self.same[same]] if same in self.same else None
             if found is None:  # the anchor's own claim, under the name that it has now
                 found = self.claims[self.now(want.id)]
+                self.same.pop(self.identity(found), None)
                 found.subject, found.object = want.subject, want.object
+                self.same[same] = found.id
             elif self.now(want.id) != found.id:
                 own = self.claims[self.now(want.id)]
                 own.subject, own.object = want.subject, want.object
@@ -232,11 +240,16 @@ class Scope:
                 self.settle()
                 found = self.claims[self.now(found.id)]
             if found.relation == K.SINGLE:
-                for c in self.claims.values():
-                    if c is not found and c.relation == K.SINGLE and c.state == "active" and self.now(c.subject) == self.now(found.subject):
-                        c.state = "superseded"
+                rival = self.claims.get(self.slot.get(self.now(found.subject), ""))
+                if rival is not None and rival is not found and rival.state == "active":
+                    rival.state = "superseded"
+                self.slot[self.now(found.subject)] = found.id
             found.state, found.act = "active", (s.order, s.seq, i)
-            d["support"].claim, d["support"].live = found.id, 1
+            support = d["support"]
+            if support.claim != found.id:
+                self.claims[support.claim].supports.remove(support)
+                found.supports.append(support)
+            support.claim, support.live = found.id, 1
 
     def earlier(self, identifier: str, seq: int, problem: str) -> None:
         if id_key(identifier) >= (seq, 0):
@@ -269,8 +282,8 @@ class Scope:
         found = self.claims.get(self.now(claim))
         if found is None:
             raise Refused("CLAIM_RETRACTION_TARGET_NOT_FOUND")
-        for s in self.supports:
-            if s.claim == found.id and s.event.order < seq:
+        for s in found.supports:
+            if s.event.order < seq:
                 s.live = 0
         found.state = "retracted"
 

@@ -10,11 +10,24 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from factweave import constants as K, schema
 from factweave.operators import fold, prescan, projection
 from factweave.operators.projection import Projection
+from factweave.scratch import materialize
+
+
+#: Scopes of up to so many events go through the fold when they are written: one job instead of many, with the same rows.
+FOLD_EVENTS = 20_000
+
+
+def project_written(journal: DataFrame) -> Projection:
+    """The projection of the scopes that a write touches."""
+    most = journal.groupBy("scope_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    return fold.project(journal) if most <= FOLD_EVENTS else project(journal)
 
 
 def project(journal: DataFrame) -> Projection:
     """Each scope the cheapest way that is right for it: set-based, or by the fold."""
-    ordered = projection.ordered_scopes(journal)
+    ordered = materialize(projection.ordered_scopes(journal), "ordered")
+    if ordered.isEmpty():
+        return projection.project(journal)
     a = projection.project(journal.join(ordered, "scope_key", "left_anti"))
     b = fold.project(journal.join(ordered, "scope_key", "left_semi"))
     return Projection(**{k: t.select(*schema.TABLES[k].names).unionByName(b.tables()[k].select(*schema.TABLES[k].names)) for k, t in a.tables().items()})
@@ -119,7 +132,7 @@ def execute(store: Store, intents: list[tuple[str, str, dict]], now: int) -> dic
         raise fold.Refused(bad[0]["problem"])
     if bad := prescan.supersedes_violations(own).take(1):
         raise fold.Refused(bad[0]["problem"])
-    fresh = project(own)
+    fresh = project_written(own)
     kept = {n: replaced(store.table(n).select(*schema.TABLES[n].names), t, scopes) for n, t in fresh.tables().items()}
     published = store.publish(full, Projection(**kept), now)
     return {"events": [r[1] for r in rows], "mode": {r["scope_key"]: r["mode"] for r in mode(new).collect()}, "last_seq": last + len(rows), "version": published.version}

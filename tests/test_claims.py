@@ -389,7 +389,8 @@ def test_answers(spark):
     assert a.entry == "surface" and [c["text"] for c in a.claims] == ["Ada 사용 Engine", "Engine 포함 Wheel"]
     assert a.claims[1]["path"] == "Ada → Engine → Wheel"
     b = ask(query="daily", detail="full")
-    assert b.entry == "fts" and b.claims[0]["claim_id"] == "c1.0" and b.claims[0]["statements"][0]["raw_text"] == "Ada uses the Engine daily"
+    assert b.entry == "fts" and [(x["claim_id"], x["depth"]) for x in b.claims] == [("c2.0", 0), ("c1.0", 0)]  # both ends of the hit are seeds; the newer first
+    assert b.claims[1]["statements"][0]["raw_text"] == "Ada uses the Engine daily"
     c = ask(query="loose note")
     assert c.entry == "fts" and [r["raw_text"] for r in c.raw] == ["a loose note on Engines"]
     d = ask()
