@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from factweave import constants as K, schema
 from factweave.functions import identifiers as ids
-from factweave.operators import checks, fold, masking, prescan, projection, ranking, recall, traversal, validity
+from factweave.operators import answers, checks, fold, masking, prescan, projection, ranking, recall, redirects, traversal, validity
 from factweave.operators.projection import Projection
 from factweave.plans import dispatch
 from factweave.scratch import materialize, scratch_root
@@ -277,6 +277,28 @@ def incremental_vs_replay(spark, d):
     return grown.exceptAll(whole).unionByName(whole.exceptAll(grown)).agg(F.count("*").alias("n"))
 
 
+def redirect_compression(spark, d):
+    """Chains of up to four hops over the events' ids: each id leads to the one before, but for multiples of five."""
+    e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 5 != 0").select(F.lit(journalize.CHAIN).alias("scope_key"), "event_id")
+    ref = lambda n: ids.make("e", n, F.lit(0))
+    r = e.select("scope_key", ref(F.col("event_id")).alias("old_id"), ref(F.col("event_id") - 1).alias("new_id"), F.lit("entity").alias("kind"), F.lit("merge").alias("reason"))
+    return redirects.compressed(r)
+
+
+def surface_dump(spark, d):
+    """Surface forms as canonical JSON, one line for each."""
+    s = shared(spark, d)["p"].surface_forms
+    return s.select("scope_key", F.to_json(F.struct("surface_norm", "entity_id", "origin")).alias("line"))
+
+
+def recall_answer(spark, d):
+    """The assembled answer to one request."""
+    s = shared(spark, d)
+    a = answers.recall_answer(s["p"], s["j"], answers.Request("u:1/p:events", query="user 5"), NOW)
+    rows = [(a.entry, c["place"], c["claim_id"], c["text"], c["score"], c["depth"], c["path"]) for c in a.claims]
+    return spark.createDataFrame(rows, "entry string, place int, claim_id string, text string, score long, depth int, path string")
+
+
 def mask_secrets(spark, d):
     t = journalize.texts(spark, d)
     return t.select("seq", masking.mask("raw_text").alias("masked")).select("seq", F.sha2("masked", 256).alias("digest"), F.contains("masked", F.lit("[REDACTED:")).alias("hit"))
@@ -286,7 +308,7 @@ def stream_projection(spark, d):
     """The events journal in files, through the streaming projector: statements by state."""
     from factweave.streaming import projector
 
-    base = f"{scratch_root(spark)}/factweave/stream-{abs(hash((d, tempfile.mktemp())))}"
+    base = f"{scratch_root(spark)}/factweave/stream-{uuid.uuid4().hex}"
     shared(spark, d)["j"].where(F.col("seq") <= 2000).repartitionByRange(2, "seq").write.parquet(f"{base}/in")
     q = projector.project_stream(projector.journal_stream(spark, f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
@@ -297,7 +319,7 @@ def queries() -> dict[str, Query]:
     own = (
         claim_aggregate, journal_scan, draft_explode, body_validation, supersedes_root, statement_state, effective_stream, statement_expiry, entity_dedup, surface_forms, id_redirects, claim_state, claim_support_live, valid_support,
         contested_claims, rank_topk, overview_entities, overview_raw, surface_seed_lookup, phrase_match, bm25_topk, fts_raw_suppression, links_incidents, hub_topk, bfs_reached, bfs_paths, invariants, expiry_mismatch,
-        identity_dry_run, rollout_metrics, dispatch_mode, replay_reason, upsert_changes, star_contested, canonical_digest, fold_parity, merge_alias_projection, incremental_vs_replay, mask_secrets, stream_projection,
+        identity_dry_run, rollout_metrics, dispatch_mode, replay_reason, upsert_changes, star_contested, canonical_digest, fold_parity, merge_alias_projection, incremental_vs_replay, redirect_compression, surface_dump, recall_answer, mask_secrets, stream_projection,
     )
     return {f.__name__: (lambda spark, d, f=f: _out(f(spark, d))) for f in own}
 
@@ -404,6 +426,8 @@ def _oracles() -> dict[str, str]:
       SELECT scope_key, id, groups, CASE WHEN groups > 1 THEN 1 ELSE 0 END::BIGINT AS blocked, 'e' || k || '.0' AS new_id FROM e JOIN (SELECT normal_name, count(DISTINCT new_name) AS groups FROM e GROUP BY ALL) USING (normal_name) JOIN (SELECT new_name, min(o) AS k FROM e GROUP BY ALL) USING (new_name)"""
     out["star_contested"] = """WITH u AS (SELECT DISTINCT n_name, p_brand, CASE l_returnflag WHEN 'R' THEN 'rejects' ELSE 'uses' END AS relation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
       SELECT 'u:star/p:tpch' AS scope_key, n_name || '/' || relation || '/' || p_brand AS claim_id FROM u a WHERE EXISTS (SELECT 1 FROM u b WHERE b.n_name = a.n_name AND b.p_brand = a.p_brand AND b.relation <> a.relation)"""
+    out["redirect_compression"] = f"SELECT '{journalize.CHAIN}' AS scope_key, 'e' || event_id || '.0' AS old_id, 'e' || (event_id // 5 * 5) || '.0' AS new_id, 'entity' AS kind, 'merge' AS reason, event_id % 5 AS hops FROM events WHERE event_id % 5 <> 0"
+    out["surface_dump"] = f"""WITH {_EV} SELECT scope_key, '{{"surface_norm":"' || norm || '","entity_id":"' || eid || '","origin":"' || CASE own_state WHEN 'live' THEN 'name' ELSE 'agent_supplied' END || '"}}' AS line FROM en WHERE said"""
     early = _EV.replace("FROM events)", "FROM events WHERE event_id < 500)")
     rows = "SELECT id AS event_id, scope_key, state, root AS order_seq, sec AS created_at, provenance, expires_at FROM s1"
     out["upsert_changes"] = f"""WITH a AS (WITH {early} {rows}), b AS (WITH {_EV} {rows}) SELECT event_id, CASE WHEN a.state IS NULL THEN 'insert' ELSE 'update' END AS change FROM b LEFT JOIN a USING (event_id)

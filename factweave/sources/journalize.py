@@ -8,8 +8,8 @@ from factweave.functions import identifiers as ids
 
 #: The time at which the queries over the events journal look: near the end of its days.
 NOW = 1_706_500_000
-_FIELDS = ("seq", "id", "scope_key", "kind", "body", "actor", "branch", "session", "created_at")
-#: Members of a scope of the star journal that one customer or supplier group holds.
+#: The scope of chains of ids.
+CHAIN = "u:chain/p:events"
 _PROVENANCE = {"signup": "user_stated", "purchase": "observed", "error": "observed", "view": "inferred", "click": "inferred"}
 _RELATION = {"purchase": "uses", "error": "rejects", "click": "contains", "signup": "describes", "view": "relates_to"}
 _TTL = {"purchase": "permanent", "click": "weeks", "view": "session", "error": "permanent", "signup": "permanent"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factweave import constants as K, schema
 from factweave.functions import text
-from factweave.operators import answers, checks, fold, masking, prescan, projection, ranking, recall, traversal, validity, writes
+from factweave.operators import answers, checks, fold, masking, prescan, projection, ranking, recall, redirects, traversal, validity, writes
 from factweave.plans import dispatch
 from factweave.scratch import scratch_root
 
@@ -460,6 +460,20 @@ def test_changes(spark):
     assert {tuple(r) for r in dispatch.changes(old, new, ["k"]).collect()} == {("b", "update"), ("c", "remove"), ("d", "insert")}
 
 
+def test_redirects(spark):
+    chain = [(S, f"e{i}.0", f"e{i - 1}.0", "entity", "merge") for i in range(2, 20)]
+    bad = [(S, "e50.0", "e51.0", "entity", "merge"), (S, "e51.0", "e50.0", "entity", "merge"), (S, "e60.0", "e60.0", "entity", "merge"), (S, "e61.0", "c1.0", "entity", "merge"), (S, "e62.0", "e99.0", "entity", "merge"), (S, "e63.0", "e1.0", "entity", "merge"), (S, "e63.0", "e2.0", "entity", "merge")]
+    columns = "scope_key string, old_id string, new_id string, kind string, reason string"
+    r = spark.createDataFrame(chain, columns)
+    assert {(x["old_id"], x["new_id"], x["hops"]) for x in redirects.compressed(r).collect()} == {(f"e{i}.0", "e1.0", i - 1) for i in range(2, 20)}
+    anchors = spark.createDataFrame([(S, f"e{i}.0", "entity") for i in range(1, 70)] + [(S, "c1.0", "claim")], "scope_key string, id string, kind string")
+    assert redirects.violations(r, anchors).count() == 0
+    got = {(x["old_id"], x["problem"]) for x in redirects.violations(spark.createDataFrame(chain + bad, columns), anchors).collect()}
+    assert {("e50.0", "CYCLE_OR_TOO_LONG"), ("e60.0", "SELF_REDIRECT"), ("e61.0", "KIND_MISMATCH"), ("e62.0", "DANGLING_REDIRECT"), ("e63.0", "SEVERAL_REDIRECTS")} <= got
+    refs = spark.createDataFrame([(S, "e9.0"), (S, "e1.0")], "scope_key string, id string")
+    assert [x["id"] for x in redirects.resolved(refs, redirects.compressed(r), "id").collect()] == ["e1.0", "e1.0"]
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     from factweave.streaming import projector
 
