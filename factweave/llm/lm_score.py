@@ -35,7 +35,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,7 @@ CONTEXT, STRIDE = 8, 24
 PASSAGE, SPAN, ROUNDS = 32, 64, 2
 BATCH, RATE = 64, 0.003
 #: Words that are at least one in HOT of all: at most HOT words, whatever the corpus.
-HOT = 500_000
+HOT = 1_000_000
 FLUSH_WORDS, CACHE_WORDS = 250_000, 250_000
 PAD = CLASSES  # no id: before a text
 
@@ -292,21 +292,30 @@ def log10_likelihoods(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) ->
     value = np.concatenate([p["value"], np.ones((CLASSES + 1, 1), np.float32)], axis=1)
     value[PAD] = 0
     ones, out = np.ones(CLASSES, np.float32), np.zeros(y.shape)
+    size = min(len(x), BATCH // 2)
+    # each step writes into a buffer of its own: fresh arrays of this size would cost more than the arithmetic
+    space = lambda *shape: np.empty((size, *shape), np.float32)
+    q_, k_, v_, own_, w_, h_ = space(STRIDE, KEY), space(_LENGTH, KEY), space(_LENGTH, WIDTH + 1), space(STRIDE, WIDTH + 1), space(STRIDE, _LENGTH), space(STRIDE, WIDTH + 1)
+    logits_ = np.empty((size * STRIDE, CLASSES), np.float32)
+    own = np.concatenate([p["own"], np.zeros((CLASSES + 1, 1), np.float32)], axis=1)
+    last = np.concatenate([p["out"], p["bias"][None]])  # the attended 1 takes the bias along
+    take = lambda table, at, into: np.take(table, at, axis=0, out=into, mode="clip")
     for a in range(0, len(x), BATCH // 2):
         part, target = x[a : a + BATCH // 2], y[a : a + BATCH // 2].ravel()
+        n = len(part)
         asks = part[:, CONTEXT:]
-        weights = np.matmul(query[asks], p["key"][part].transpose(0, 2, 1))
+        weights = np.matmul(take(query, asks, q_[:n]), take(p["key"], part, k_[:n]).transpose(0, 2, 1), out=w_[:n])
         np.exp(np.minimum(weights, 60, out=weights), out=weights)
         weights *= near
-        h = np.matmul(weights, value[part])
-        h = (h[..., :WIDTH] / np.maximum(h[..., WIDTH:], np.float32(1e-30)) + p["own"][asks]).reshape(-1, WIDTH)
-        logits = h @ p["out"]
-        logits += p["bias"]
+        h = np.matmul(weights, take(value, part, v_[:n]), out=h_[:n])
+        h /= np.maximum(h[..., WIDTH:], np.float32(1e-30))
+        h += take(own, asks, own_[:n])
+        logits = np.dot(h.reshape(-1, WIDTH + 1), last, out=logits_[: n * STRIDE])
         if shift:
             logits -= logits.max(1, keepdims=True)
-        own = logits[np.arange(len(target)), np.maximum(target, 0)]
+        hit = logits[np.arange(len(target)), np.maximum(target, 0)]
         np.exp(logits, out=logits)
-        out[a : a + BATCH // 2] = np.where(target >= 0, (own - np.log(logits @ ones)) / np.log(10), 0).reshape(-1, STRIDE)
+        out[a : a + BATCH // 2] = np.where(target >= 0, (hit - np.log(logits @ ones)) / np.log(10), 0).reshape(-1, STRIDE)
     return out
 
 
@@ -438,13 +447,17 @@ class Scorer:
 
     def learn(self, words: list[bytes]) -> np.ndarray:
         """Places of words; when there would be too many, those that aren't hot are forgotten first."""
-        missing = list({w for w in words if w not in self.place})
-        if len(self.words) + len(missing) > CACHE_WORDS and len(self.words) > self.kept:
+        for _ in range(2):
+            at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+            unknown = np.flatnonzero(at < 0).tolist()
+            missing = list({words[i] for i in unknown})
+            if len(self.words) + len(missing) <= CACHE_WORDS or len(self.words) == self.kept:
+                break
             self.forget()
-            missing = list({w for w in words if w not in self.place})
         if missing:
             self.add(missing)
-        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            at[unknown] = [self.place[words[i]] for i in unknown]
+        return at
 
     def texts(self, texts: list[str]) -> list[tuple]:
         """(n_tokens, n_known, base_score, score, rare words, their counts) of each text; rare words are not in n_known and base_score."""
