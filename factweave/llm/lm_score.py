@@ -46,7 +46,7 @@ from factweave.llm.common import BATCH_ROWS, map_arrow, materialize, slices
 from factweave.llm.pieces import EOS
 
 FOLDS, HELD_OUT = 7, 2
-SINGLES, RARE = 96, 32
+SINGLES, RARE = 80, 16
 CLASSES = SINGLES + RARE
 KEY, WIDTH = 8, 16
 CONTEXT, STRIDE = 8, 24
@@ -54,7 +54,7 @@ PASSAGE, SPAN, ROUNDS = 32, 64, 2
 BATCH, RATE = 64, 0.003
 #: Words that are at least one in HOT of all: at most HOT words, whatever the corpus.
 HOT = 1_000_000
-FLUSH_WORDS, CACHE_WORDS = 250_000, 250_000
+FLUSH_WORDS, CACHE_WORDS = 400_000, 250_000
 PAD = CLASSES  # no id: before a text
 
 _GATHERED = "word binary, n long, passage binary"
