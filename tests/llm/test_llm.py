@@ -92,11 +92,12 @@ def test_lm_windows_score_each_id_once_and_see_nothing_later():
     x, y, text = lm_score.windows(ids, ends, 0)
     assert sorted(y[y >= 0].tolist()) == ids.tolist()
     assert [sorted(y[text == t][y[text == t] >= 0].tolist()) for t in range(3)] == [list(range(1, 71)), [71], list(range(72, 101))]
+    x, y, text = lm_score.windows(ids % (lm_score.CLASSES - 1), ends, 0)  # from here on ids are classes
     rng = np.random.default_rng(2)
     p = {k: rng.normal(0, 0.3, s).astype(np.float32) for k, s in lm_score.SHAPES.items()}
     before = lm_score.log10_likelihoods(p, x, y)
     later = x.copy()
-    later[0, -1] = 99  # the last input of the first window
+    later[0, -1] = lm_score.CLASSES - 1  # the last input of the first window
     after = lm_score.log10_likelihoods(p, later, y)
     assert np.allclose(before[0, :-1], after[0, :-1]) and not np.allclose(before[0, -1], after[0, -1])
 
@@ -104,7 +105,7 @@ def test_lm_windows_score_each_id_once_and_see_nothing_later():
 def test_lm_gradients():
     rng = np.random.default_rng(4)
     p = {k: rng.normal(0, 0.3, s) for k, s in lm_score.SHAPES.items()}
-    x, y, _ = lm_score.windows(rng.integers(0, 100, 60), np.array([40, 60]), 7)
+    x, y, _ = lm_score.windows(rng.integers(0, lm_score.CLASSES, 60), np.array([40, 60]), 7)
     loss = lambda q: -lm_score.log10_likelihoods({k: v.astype(np.float32) for k, v in q.items()}, x, y).sum() * np.log(10) / (y >= 0).sum()
     g = lm_score.gradients({k: v.astype(np.float32) for k, v in p.items()}, x, y)
     for k in p:
