@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from factweave import constants as K, schema
 from factweave.functions import identifiers as ids
-from factweave.operators import answers, checks, fold, masking, prescan, projection, ranking, recall, redirects, traversal, validity
+from factweave.operators import answers, checks, fold, lookup, masking, prescan, projection, ranking, redirects, traversal, validity
 from factweave.operators.projection import Projection
 from factweave.plans import dispatch
 from factweave.scratch import materialize, scratch_root
@@ -120,38 +120,38 @@ def rank_topk(spark, d):
 
 def overview_entities(spark, d):
     s = shared(spark, d)
-    return recall.overview_entities(s["valid"], s["p"].entities)
+    return lookup.overview_entities(s["valid"], s["p"].entities)
 
 
 def overview_raw(spark, d):
     t = journalize.texts(spark, d).withColumn("created_at", F.lit(1_700_000_000) + F.col("seq") % 1000).withColumn("expires_at", F.when(F.col("seq") % 3 == 0, F.col("created_at") + 500))
-    return recall.overview_raw(t, 1_700_000_900).select("scope_key", "seq", "created_at", "place")
+    return lookup.overview_raw(t, 1_700_000_900).select("scope_key", "seq", "created_at", "place")
 
 
 _TERMS = ["user 7", "item 5", "User-7", "ITEM_42", "nobody"]
 
 
 def surface_seed_lookup(spark, d):
-    terms = recall.query_terms("ignored", _TERMS)
-    return recall.surface_seeds(shared(spark, d)["p"], recall.values(spark, terms))
+    terms = lookup.query_terms("ignored", _TERMS)
+    return lookup.surface_seeds(shared(spark, d)["p"], lookup.values(spark, terms))
 
 
 def phrase_match(spark, d):
-    t = recall.bm25(journalize.texts(spark, d), ["Released under", "token ="])
+    t = lookup.bm25(journalize.texts(spark, d), ["Released under", "token ="])
     return t.select("scope_key", "seq", "phrase")
 
 
 def bm25_topk(spark, d):
-    return recall.search(journalize.texts(spark, d), ["licen", "tion the"]).select("scope_key", "seq", F.round("score", 6).alias("score"), "phrase")
+    return lookup.search(journalize.texts(spark, d), ["licen", "tion the"]).select("scope_key", "seq", F.round("score", 6).alias("score"), "phrase")
 
 
 def fts_raw_suppression(spark, d):
     t = journalize.texts(spark, d)
-    return recall.raw_only(t, t.where(F.col("seq") % 5 == 0)).select("scope_key", "seq")
+    return lookup.raw_only(t, t.where(F.col("seq") % 5 == 0)).select("scope_key", "seq")
 
 
 def links_incidents(spark, d):
-    return recall.incidents(shared(spark, d)["valid"])
+    return lookup.incidents(shared(spark, d)["valid"])
 
 
 def hub_topk(spark, d):
@@ -291,10 +291,10 @@ def surface_dump(spark, d):
     return s.select("scope_key", F.to_json(F.struct("surface_norm", "entity_id", "origin")).alias("line"))
 
 
-def recall_answer(spark, d):
+def assembled_answer(spark, d):
     """The assembled answer to one request."""
     s = shared(spark, d)
-    a = answers.recall_answer(s["p"], s["j"], answers.Request("u:1/p:events", query="user 5"), NOW)
+    a = answers.answer(s["p"], s["j"], answers.Request("u:1/p:events", query="user 5"), NOW)
     rows = [(a.entry, c["place"], c["claim_id"], c["text"], c["score"], c["depth"], c["path"]) for c in a.claims]
     return spark.createDataFrame(rows, "entry string, place int, claim_id string, text string, score long, depth int, path string")
 
@@ -319,7 +319,7 @@ def queries() -> dict[str, Query]:
     own = (
         claim_aggregate, journal_scan, draft_explode, body_validation, supersedes_root, statement_state, effective_stream, statement_expiry, entity_dedup, surface_forms, id_redirects, claim_state, claim_support_live, valid_support,
         contested_claims, rank_topk, overview_entities, overview_raw, surface_seed_lookup, phrase_match, bm25_topk, fts_raw_suppression, links_incidents, hub_topk, bfs_reached, bfs_paths, invariants, expiry_mismatch,
-        identity_dry_run, rollout_metrics, dispatch_mode, replay_reason, upsert_changes, star_contested, canonical_digest, fold_parity, merge_alias_projection, incremental_vs_replay, redirect_compression, surface_dump, recall_answer, mask_secrets, stream_projection,
+        identity_dry_run, rollout_metrics, dispatch_mode, replay_reason, upsert_changes, star_contested, canonical_digest, fold_parity, merge_alias_projection, incremental_vs_replay, redirect_compression, surface_dump, assembled_answer, mask_secrets, stream_projection,
     )
     return {f.__name__: (lambda spark, d, f=f: _out(f(spark, d))) for f in own}
 

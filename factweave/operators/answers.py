@@ -1,4 +1,4 @@
-"""The answer to a recall: entry, traversal, ranking, raw texts in the places left, notes and details."""
+"""The answer to a query: entry, traversal, ranking, raw texts in the places left, notes and details."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from factweave import constants as K
 from factweave.functions import text
-from factweave.operators import prescan, ranking, recall, traversal, validity
+from factweave.operators import lookup, prescan, ranking, traversal, validity
 from factweave.operators.projection import Projection
 
 
@@ -44,36 +44,36 @@ def _seeds(seeds: DataFrame, shown: str) -> DataFrame:
     return seeds.select(F.lit(0).alias("request_id"), "scope_key", "entity_id", "seed_order", F.expr(shown).alias("display"))
 
 
-def recall_answer(p: Projection, journal: DataFrame, request: Request, now: int) -> Answer:
+def answer(p: Projection, journal: DataFrame, request: Request, now: int) -> Answer:
     """Names first; if none leads to a valid claim, phrases; without a query, an overview. All of it at one time and one version."""
     spark = journal.sparkSession
     mine, p = journal.where(F.col("scope_key") == request.scope), in_scope(p, request.scope)
     valid = validity.valid_claims(p, validity.claim_aggregate(p, mine, now)).cache()
     stated = prescan.statements(mine).cache()
-    raws = recall.raw_only(validity.live_statements(stated, now).where(F.size("parsed") == 0), _valid_texts(stated, p, valid))
+    raws = lookup.raw_only(validity.live_statements(stated, now).where(F.size("parsed") == 0), _valid_texts(stated, p, valid))
     answer, pins, seeds, texts = Answer("none"), None, None, None
     try:
         if request.query is None:
             answer.entry = "overview"
-            top = recall.overview_entities(valid, p.entities, min(request.limit, K.OVERVIEW_SEEDS) + 1)
+            top = lookup.overview_entities(valid, p.entities, min(request.limit, K.OVERVIEW_SEEDS) + 1)
             if top.count() > min(request.limit, K.OVERVIEW_SEEDS):
                 answer.notes.append("more_entities_available")
             seeds = _seeds(top.where(F.col("place") <= min(request.limit, K.OVERVIEW_SEEDS)).withColumn("seed_order", F.col("place") - 1), "name")
-            depth, texts = 0, recall.overview_raw(raws, now, request.limit + 1)
+            depth, texts = 0, lookup.overview_raw(raws, now, request.limit + 1)
         else:
             depth = request.depth
-            terms = recall.query_terms(request.query, request.terms)
+            terms = lookup.query_terms(request.query, request.terms)
             if terms:
-                found = recall.surface_seeds(p, recall.values(spark, terms))
-                meets = found.join(recall.incidents(valid).select("scope_key", F.col("from_id").alias("entity_id")), ["scope_key", "entity_id"], "left_semi")
+                found = lookup.surface_seeds(p, lookup.values(spark, terms))
+                meets = found.join(lookup.incidents(valid).select("scope_key", F.col("from_id").alias("entity_id")), ["scope_key", "entity_id"], "left_semi")
                 if not meets.isEmpty():
                     answer.entry, seeds = "surface", _seeds(found, "matched_term")
                     if found.where("more = 1").count():
                         answer.notes.append("more_seeds_available")
             if seeds is None:
-                wanted = recall.phrases([request.query, *(request.terms or [])])
+                wanted = lookup.phrases([request.query, *(request.terms or [])])
                 all_ = prescan.parsed(journal.where("kind = 'statement'")).select("seq", F.col("id").alias("event_id"), "scope_key", F.col("b.raw_text").alias("raw_text"))
-                hits = recall.bm25(all_, wanted).where(F.col("scope_key") == request.scope).join(validity.live_statements(p.statements, now).select("event_id"), "event_id", "left_semi")
+                hits = lookup.bm25(all_, wanted).where(F.col("scope_key") == request.scope).join(validity.live_statements(p.statements, now).select("event_id"), "event_id", "left_semi")
                 order = Window.partitionBy("scope_key").orderBy(F.round("score", 9), F.desc("seq"))
                 hits = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= K.FTS_ROWS + 1).cache()
                 if hits.count() > K.FTS_ROWS:
@@ -83,7 +83,7 @@ def recall_answer(p: Projection, journal: DataFrame, request: Request, now: int)
                     answer.notes.append("phrase_search_skipped")
                 elif not hits.isEmpty():
                     answer.entry = "fts"
-                    found, pins = recall.phrase_seeds(hits, p, valid)
+                    found, pins = lookup.phrase_seeds(hits, p, valid)
                     seeds = _seeds(found, "null")
                     texts = hits.join(raws.select(F.col("id").alias("event_id")), "event_id", "left_semi")
         if seeds is not None:

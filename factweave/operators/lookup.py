@@ -1,4 +1,4 @@
-"""Entries of a recall: query terms, surface seeds, phrase search with bm25, and overviews."""
+"""Entries of a query: query terms, surface seeds, phrase search with bm25, and overviews."""
 
 from __future__ import annotations
 

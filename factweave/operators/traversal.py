@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from factweave import constants as K
 from factweave.functions import identifiers as ids, text
-from factweave.operators import recall
+from factweave.operators import lookup
 from factweave.scratch import materialize
 
 
@@ -17,7 +17,7 @@ def ranked_incidents(claims: DataFrame, fanout: int = K.FANOUT) -> tuple[DataFra
     entities and requests.
     """
     facts = claims.select("scope_key", "claim_id", "support_count", "strongest_rank", "last_seen_at", "origin_seq")
-    both = recall.incidents(claims).join(facts, ["scope_key", "claim_id"])
+    both = lookup.incidents(claims).join(facts, ["scope_key", "claim_id"])
     order = Window.partitionBy("scope_key", "from_id").orderBy(F.desc("support_count"), F.desc("strongest_rank"), F.desc("last_seen_at"), F.asc("origin_seq"), ids.position_of(F.col("claim_id")), F.asc("claim_id"))
 
     def best(rows: DataFrame) -> DataFrame:

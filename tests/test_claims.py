@@ -1,4 +1,4 @@
-"""The claims model: rules one by one, parity of both projections, metamorphic relations, and recall."""
+"""The claims model: rules one by one, parity of both projections, metamorphic relations, and lookup."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from factweave import constants as K, schema
 from factweave.functions import text
-from factweave.operators import answers, checks, fold, masking, prescan, projection, ranking, recall, redirects, traversal, validity, writes
+from factweave.operators import answers, checks, fold, lookup, masking, prescan, projection, ranking, redirects, traversal, validity, writes
 from factweave.plans import dispatch
 from factweave.scratch import scratch_root
 
@@ -285,7 +285,7 @@ def test_body_violations(spark):
     assert got == {2: "INVALID_BODY_KEYS", 3: "INVALID_DRAFT", 4: "CASCADE_MISSING", 5: "TARGET_NOT_FOUND"}
 
 
-# --- validity and recall
+# --- validity and lookup
 
 
 def graph(spark, edges, now=T0 + 500):
@@ -353,12 +353,12 @@ def test_hub_keeps_the_best_links(spark):
 
 
 def test_query_terms():
-    assert recall.query_terms("find the Engine!") == [("find the Engine!", "findtheengine!"), ("Engine", "engine"), ("find", "find"), ("the", "the")]
-    assert recall.query_terms("x", ["B", "A"]) == [("B", "b"), ("A", "a")]
+    assert lookup.query_terms("find the Engine!") == [("find the Engine!", "findtheengine!"), ("Engine", "engine"), ("find", "find"), ("the", "the")]
+    assert lookup.query_terms("x", ["B", "A"]) == [("B", "b"), ("A", "a")]
 
 
 def test_phrases():
-    assert recall.phrases(["ab", " abc\x00 ", "x" * 4]) == ["abc", "xxxx"]
+    assert lookup.phrases(["ab", " abc\x00 ", "x" * 4]) == ["abc", "xxxx"]
 
 
 def test_bm25_by_sqlite(spark):
@@ -373,7 +373,7 @@ def test_bm25_by_sqlite(spark):
         pytest.skip("no trigram tokenizer here")
     db.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", rows)
     want = dict(db.execute("SELECT rowid, bm25(t) FROM t WHERE t MATCH '\"alpha\" OR \"bet\"'"))
-    got = {r["seq"]: r["score"] for r in recall.bm25(spark.createDataFrame(rows, "seq long, raw_text string"), ["alpha", "bet"]).collect()}
+    got = {r["seq"]: r["score"] for r in lookup.bm25(spark.createDataFrame(rows, "seq long, raw_text string"), ["alpha", "bet"]).collect()}
     assert got == {k: pytest.approx(s, rel=1e-9) for k, s in want.items()}
 
 
@@ -384,7 +384,7 @@ def test_answers(spark):
     log.add("statement", {"raw_text": "a loose note on Engines", "parsed": [], "provenance": "observed", "ttl": "permanent"})
     j = log.df(spark)
     p = projection.project(j)
-    ask = lambda **k: answers.recall_answer(p, j, answers.Request(S, **k), T0 + 500)
+    ask = lambda **k: answers.answer(p, j, answers.Request(S, **k), T0 + 500)
     a = ask(query="Ada")
     assert a.entry == "surface" and [c["text"] for c in a.claims] == ["Ada 사용 Engine", "Engine 포함 Wheel"]
     assert a.claims[1]["path"] == "Ada → Engine → Wheel"
