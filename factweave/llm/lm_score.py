@@ -8,9 +8,9 @@ HELD_OUT; what is learned grows with them:
  - subword counts, and how subwords follow one another within words: from all
    words with their counts. They give the model's classes, its output bias and
    its first embeddings;
- - training passages: every SPAN-th passage of PASSAGE words, from all places
-   of all training texts, written to a table. Each task of a round trains its
-   share by Adam, and the parameters are averaged by Spark, ROUNDS times.
+ - training passages: all of all training texts, PASSAGE words each, written to
+   a table; an empty text is a passage of its end. Each task of a round trains
+   its share by Adam, and the parameters are averaged by Spark, ROUNDS times.
 
 The model is one head of causal self-attention in numpy over subword ids: a
 position's query meets the keys of up to CONTEXT ids before it, with a bias for
@@ -50,7 +50,7 @@ SINGLES, RARE = 80, 16
 CLASSES = SINGLES + RARE
 KEY, WIDTH = 8, 16
 CONTEXT, STRIDE = 8, 24
-PASSAGE, SPAN, ROUNDS = 32, 64, 2
+PASSAGE, ROUNDS = 32, 2
 BATCH, RATE = 64, 0.003
 #: Words that are at least one in HOT of all: at most HOT words, whatever the corpus.
 HOT = 1_000_000
@@ -87,12 +87,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in slices(batch):
             passages = []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
+            for text in texts:
                 words = words_of(text)
                 counts.update(words)
                 counts[b""] += 1
-                first = (doc_id or 0) % SPAN  # another place in each text
-                passages += [_passage(words, a) for a in range(first * PASSAGE, len(words), SPAN * PASSAGE)]
+                passages += [_passage(words, a) for a in range(0, max(1, len(words)), PASSAGE)]
             if passages:
                 yield rows([], [], passages)
             if len(counts) > FLUSH_WORDS:

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,14 @@ def test_lm_learns(spark, sf_dir):
     assert -got["score"].sum() / np.log10(2) / got["n_tokens"].sum() < 30  # an untrained model takes 15 bits for each subword
 
 
+def test_lm_trains_on_every_word_of_every_text():
+    long = " ".join(f"w{i}" for i in range(5 * lm_score.PASSAGE + 3))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [63, None, 5, 7], "text": ["a b", "c", long, ""]})
+    got = [p for b in lm_score._gather(iter([batch])) for p in b.column("passage").to_pylist() if p is not None]
+    assert [w for p in got for w in p.split()] == f"a b c {long}".encode().split()
+    assert sum(p.startswith(b"\n") for p in got) == sum(p.endswith(b"\n") for p in got) == 4
+
+
 def test_lm_empty(spark, odd):
     assert lm_score.score(empty(spark, odd), queries.model_path()).count() == 0
 
