@@ -232,12 +232,16 @@ def canonical_digest(spark, d):
 
 
 def fold_parity(spark, d):
-    """The fold's tables against the set-based ones: rows that only one of them has, by table; all zero. Over one scope's first events."""
-    j = materialize(shared(spark, d)["j"].where(F.col("seq") <= 600), "journal")
-    a, b = projection.project(j), fold.project(j)
+    """The fold's tables against the set-based ones: rows that only one of them has, by table; all zero. Over the whole journal."""
+    s = shared(spark, d)
+    return differing(s["p"].tables(), fold.project(s["j"]).tables())
+
+
+def differing(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): rows that only one of two projections has, by table."""
     rows = []
     for name, s in schema.TABLES.items():
-        x, y = (materialize(p.tables()[name].select(*s.names), "parity") for p in (a, b))
+        x, y = (materialize(t[name].select(*s.names), "parity") for t in (a, b))
         rows.append(x.exceptAll(y).unionByName(y.exceptAll(x)).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
     return reduce(DataFrame.unionByName, rows)
 
@@ -261,20 +265,18 @@ def merge_alias_projection(spark, d):
 
 
 def incremental_vs_replay(spark, d):
-    """Projections after appending in three batches, scope by scope, against one replay: differing digests; none."""
-    j = shared(spark, d)["j"].where(F.col("seq") <= 900)
-    digests = []
-    for limit in (300, 600, 900):
-        part = materialize(j.where(F.col("seq") <= limit), "journal")
-        touched = part.where(F.col("seq") > limit - 300).select("scope_key").distinct()
-        fresh = projection.project(part.join(touched, "scope_key", "left_semi"))
-        last = materialize(fresh.statements.select("scope_key", "event_id", "state"), "incremental")
-        digests.append((touched, last))
-    grown = digests[0][1]
-    for touched, last in digests[1:]:
-        grown = dispatch.replaced(grown, last, touched)
-    whole = projection_of(j).statements.select("scope_key", "event_id", "state")
-    return grown.exceptAll(whole).unionByName(whole.exceptAll(grown)).agg(F.count("*").alias("n"))
+    """Projections after appending the whole journal in three batches, scope by scope, against one replay: rows of the six tables that only one of them has; none."""
+    s = shared(spark, d)
+    j, grown, before = s["j"], None, 0
+    last = j.agg(F.max("seq")).first()[0] or 0
+    for limit in (last // 3, 2 * last // 3, last):
+        part = j.where(F.col("seq") <= limit)
+        touched = materialize(part.where(F.col("seq") > before).select("scope_key").distinct(), "touched")
+        fresh = projection_of(part.join(touched, "scope_key", "left_semi")).tables()
+        fresh = {k: materialize(t, "incremental") for k, t in fresh.items()}
+        grown = fresh if grown is None else {k: dispatch.replaced(grown[k], t, touched) for k, t in fresh.items()}
+        before = limit
+    return differing(grown, s["p"].tables()).agg(F.sum("n").alias("n"))
 
 
 def redirect_compression(spark, d):
@@ -305,11 +307,11 @@ def mask_secrets(spark, d):
 
 
 def stream_projection(spark, d):
-    """The events journal in files, through the streaming projector: statements by state."""
+    """The whole events journal in files, through the streaming projector: statements by state."""
     from factweave.streaming import projector
 
     base = f"{scratch_root(spark)}/factweave/stream-{uuid.uuid4().hex}"
-    shared(spark, d)["j"].where(F.col("seq") <= 2000).repartitionByRange(2, "seq").write.parquet(f"{base}/in")
+    shared(spark, d)["j"].repartitionByRange(2, "seq").write.parquet(f"{base}/in")
     q = projector.project_stream(projector.journal_stream(spark, f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
     return projector.projected(spark, f"{base}/out", "statements").groupBy("scope_key", "state").agg(F.count("*").alias("n"))
