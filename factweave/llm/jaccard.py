@@ -323,9 +323,16 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
 
 
 def representatives(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The document with the least id of each group, with the columns of docs; of rows that share that id, the least text."""
-    found = groups(docs, k, num, den)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    packed = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("own"))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("own"))  # the join has dealt the rows out by doc_id already
-    return packed.join(first.hint("merge"), "doc_id", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+    """One row of each group of near copies, with the columns of docs: that with the least id, null ids last, and of several such the least key.
+
+    A row's key is a hash of its id and text, so rows that share an id are linked
+    by their texts only, and rows with null ids are judged like others. Rows of
+    the same id and text are copies; without text too.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("text").isNull(), F.coalesce("text", F.lit("")))
+    found = groups(docs.select(key.alias("doc_id"), "text"), k, num, den).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    slim = docs.select(key.alias("key"), F.col("doc_id").alias("own")).distinct()
+    first = slim.join(found.hint("merge"), "key").groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull(), "own", "key")).alias("least")).select(F.col("least.key").alias("key"))
+    packed = docs.select(key.alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # the join has dealt the rows out by key already
+    return packed.join(first.hint("merge"), "key", "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")

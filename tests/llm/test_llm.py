@@ -208,6 +208,28 @@ def test_jaccard_empty_and_representatives(spark, odd):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(roots)
 
 
+def test_representatives_lose_near_copies_only(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a + " end"), (5, b), (None, c), (None, c + " end"), (None, d), (None, b + " end"), (None, None), (7, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit(1) for x in ("key", "row", "own", "nth", "component_id")})
+    kept = jaccard.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, a), (5, b), (7, c), (None, d), (None, None)], key=str)
+
+
+def test_pipeline_keeps_rows_without_id(spark, odd, labels, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, n: labels)
+    lone, twins = " ".join(f"a{i}" for i in range(60)), [" ".join(f"{x}{i}" for i in range(60)) for x in "bc"]
+    own = spark.createDataFrame([(None, lone, "en", "s0", 1), *((500, x, "en", "s0", 1) for x in twins)], DOCS)
+    docs = odd.unionByName(own.withColumns({c: F.lit(1) for c in odd.columns if c not in own.columns}))
+    for _, stage in corpus_pipeline.STAGES[1:3]:
+        docs = stage(spark, docs, "")
+        assert {(None, lone), *((500, x) for x in twins)} <= {(r["doc_id"], r["text"]) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[3:]:
+        docs = stage(spark, docs, "")
+        assert docs.where("doc_id is null or doc_id = 500").count() > 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (3, 9), (9, 8), (8, 20), (20, 21), (5, 5)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
