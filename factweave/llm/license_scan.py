@@ -108,6 +108,70 @@ PASSAGES = (
     ("copyright", "copyright", r"copyright (?:c )?(?:1[89]|20)[0-9][0-9]", 7, 0.4),
 )
 
+#: The same of the standard notices, titles and reference lines of each license, and of bare full names (priority 6).
+_FSF = r"(?: as)? published by the free software foundation (?:either )?version "
+_MAY = r"redistribute it and or modify it under the terms of (?:the )?"
+_LATER = r"(?: of the license)?(?: or at your option any later version)?"
+_VERSION = r" (?:version |v )?"
+NOTICES = (
+    ("gpl-2", "general public", _MAY + r"(?:gnu )?general public license" + _FSF + "2" + _LATER, 1, 1.0),
+    ("gpl-3", "general public", _MAY + r"(?:gnu )?general public license" + _FSF + "3" + _LATER, 1, 1.0),
+    ("gpl", "general public", _MAY + r"(?:gnu )?general public license", 2, 0.95),
+    ("gpl", "general public", r"received a copy of the gnu general public license", 4, 0.9),
+    ("gpl-2", "general public", r"gnu general public license version 2(?: june 1991)?", 2, 0.95),
+    ("gpl-3", "general public", r"gnu general public license version 3(?: 29 june 2007)?", 2, 0.95),
+    ("gpl-2", "gnu org", r"gnu org licenses (?:old licenses )?gpl 2 0", 3, 0.9),
+    ("gpl-3", "gnu org", r"gnu org licenses gpl 3 0", 3, 0.9),
+    ("gpl", "general public", r"(?:gnu )?general public license", 6, 0.6),
+    ("lgpl-2.1", "lesser general", _MAY + r"(?:gnu )?lesser general public license" + _FSF + "2 1" + _LATER, 1, 1.0),
+    ("lgpl-3", "lesser general", _MAY + r"(?:gnu )?lesser general public license" + _FSF + "3" + _LATER, 1, 1.0),
+    ("lgpl", "general public", _MAY + r"(?:gnu )?(?:lesser|library) general public license", 2, 0.95),
+    ("lgpl", "general public", r"received a copy of the gnu (?:lesser|library) general public license", 4, 0.9),
+    ("lgpl-2.1", "lesser general", r"gnu lesser general public license version 2 1(?: february 1999)?", 2, 0.95),
+    ("lgpl-3", "lesser general", r"gnu lesser general public license version 3(?: 29 june 2007)?", 2, 0.95),
+    ("lgpl", "library general", r"gnu library general public license version 2(?: june 1991)?", 2, 0.95),
+    ("lgpl-2.1", "gnu org", r"gnu org licenses (?:old licenses )?lgpl 2 1", 3, 0.9),
+    ("lgpl-3", "gnu org", r"gnu org licenses lgpl 3 0", 3, 0.9),
+    ("lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public license", 6, 0.6),
+    ("agpl-3", "affero", _MAY + r"(?:gnu )?affero general public license(?:" + _FSF + "3" + _LATER + ")?", 1, 1.0),
+    ("agpl-3", "affero", r"received a copy of the gnu affero general public license", 4, 0.9),
+    ("agpl-3", "affero", r"gnu affero general public license version 3(?: 19 november 2007)?", 2, 0.95),
+    ("agpl-3", "gnu org", r"gnu org licenses agpl 3 0", 3, 0.9),
+    ("agpl-3", "affero", r"(?:gnu )?affero general public license", 6, 0.6),
+    ("mpl-2", "mozilla", r"subject to the terms of the mozilla public license v(?:ersion)? 2 0", 1, 1.0),
+    ("mpl-1.1", "mozilla", r"subject to the (?:terms of the )?mozilla public license v(?:ersion)? 1 1", 1, 1.0),
+    ("mpl-1.1", "mozilla", r"mozilla public license" + _VERSION + "1 1", 3, 0.95),
+    ("mpl-2", "mozilla", r"mozilla public license" + _VERSION + "2 0", 3, 0.95),
+    ("mpl-2", "mozilla org", r"mozilla org mpl 2 0", 3, 0.9),
+    ("mpl-2", "mozilla", r"mozilla public license", 6, 0.6),
+    ("epl-1", "eclipse", r"(?:available under the terms of the )?eclipse public license (?:version |v )?v?1 0", 1, 0.95),
+    ("epl-2", "eclipse", r"(?:available under the terms of the )?eclipse public license (?:version |v )?v?2 0", 1, 0.95),
+    ("epl-1", "eclipse org", r"eclipse org legal epl v10", 3, 0.9),
+    ("epl-2", "eclipse org", r"eclipse org legal epl (?:v20|2 0)", 3, 0.9),
+    ("epl", "eclipse", r"eclipse public license", 6, 0.6),
+    ("eupl", "european union", r"european union public licen[cs]e(?: (?:version |v )?v?1 [012])?", 3, 0.9),
+    ("cddl", "common development", r"(?:subject to the terms of the )?common development and distribution license(?: cddl)?(?: version 1 [01])?", 3, 0.95),
+    ("apache-1.1", "apache software", r"apache software license version 1 1", 2, 0.95),
+    ("apache-2", "apache org", r"apache org licenses license 2 0", 3, 0.9),
+    ("bsd-3", "endorse or promote", r"may be used to endorse or promote products derived from this software", 2, 0.9),
+    ("bsd-4", "advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1, 0.95),
+    ("isc", "hereby granted", r"permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted", 1, 1.0),
+    ("postgresql", "written agreement", r"without fee and without a written agreement is hereby granted", 1, 1.0),
+    ("zlib", "permission is granted", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", 1, 1.0),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 1, 1.0),
+    ("wtfpl", "what the fuck", r"do what the fuck you want to public license", 1, 1.0),
+    ("boost-1", "boost", r"boost software license version 1 0(?: august 17th 2003)?", 2, 0.95),
+    ("openssl", "openssl", r"developed by the openssl project for use in the openssl toolkit", 2, 0.9),
+    ("ofl-1.1", "open font", r"(?:sil )?open font license(?: version 1 1(?: 26 february 2007)?)?", 3, 0.9),
+    ("odbl", "open database", r"open database licen[cs]e(?: odbl)?(?: v1 0)?", 3, 0.9),
+    ("cc0", "cc0", r"cc0 1 0 universal", 2, 0.95),
+    ("cc0", "neighboring rights", r"waived all copyright and related or neighboring rights", 2, 0.95),
+    *((label, key, regex, 3, 0.9) for label, tail, url in (
+        ("cc-by-nc-sa", r" non ?commercial share ?alike", "by nc sa"), ("cc-by-nc-nd", r" non ?commercial no ?deriv(?:ative)?s", "by nc nd"), ("cc-by-nc", r" non ?commercial", "by nc"),
+        ("cc-by-sa", r" share ?alike", "by sa"), ("cc-by-nd", r" no ?deriv(?:ative)?s", "by nd"), ("cc-by", "", "by"),
+    ) for key, regex in (("creative commons", f"creative commons attribution{tail}(?: [1234] [05])?(?: (?:international|unported|generic))?(?: (?:public )?license)?"), ("creativecommons org", f"creativecommons org licenses {url} [1234] [05]"))),
+)
+
 
 class Rule(NamedTuple):
     priority: int
@@ -119,9 +183,9 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """All rules in order of priority, then as written: every form with every name, then the passages."""
+    """All rules in order of priority, then as written: every form with every name, then the passages and notices."""
     found = [(p, label, key, conf, form.format(name)) for p, conf, form in FORMS for label, key, name in NAMES]
-    found += [(p, label, key, conf, regex) for label, key, regex, p, conf in PASSAGES]
+    found += [(p, label, key, conf, regex) for label, key, regex, p, conf in PASSAGES + NOTICES]
     found = sorted(enumerate(found), key=lambda x: (x[1][0], x[0]))
     return [Rule(p, i, label, key.encode(), conf, re.compile(b" " + regex.encode() + b"(?= )")) for i, (_, (p, label, key, conf, regex)) in enumerate(found)]
 
@@ -132,7 +196,7 @@ class Scanner:
         for rule in rules():
             by.setdefault(rule.keyword, []).append(rule)
         self.by_keyword = by
-        self.gates = (b"licen", b"spdx", b"copyright", b"public domain", b"hereby granted", b"permission to use", b"redistribution", b"rights reserved", b"proprietary", b"cc by", b"apache license", b"released under", b"under the", b"under ", b"governed by")
+        self.gates = (b"licen", b"spdx", b"copyright", b"public domain", b"hereby granted", b"permission to use", b"redistribution", b"rights reserved", b"proprietary", b"cc by", b"apache license", b"released under", b"under the", b"under ", b"governed by", b"permission is granted", b"unencumbered", b"written agreement", b"endorse or promote", b"advertising materials", b"openssl project", b"cc0", b"neighboring rights", b"creative commons", b"mozilla org", b"eclipse org")
         self.base = [(f" {phrase} ".encode(), label) for phrase, label in BASE]
 
     def scan(self, text: str) -> tuple:

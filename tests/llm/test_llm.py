@@ -304,6 +304,25 @@ def test_license_scan_labels(text, label):
     assert license_scan.Scanner().scan(text)[5] == label
 
 
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    (GNU.format("General Public License", "2"), "gpl-2"), (GNU.format("General Public License", "3"), "gpl-3"), (GNU.format("Lesser General Public License", "2.1"), "lgpl-2.1"), (GNU.format("Lesser General Public License", "3"), "lgpl-3"), (GNU.format("Library General Public License", "2"), "lgpl"), (GNU.format("Affero General Public License", "3"), "agpl-3"),
+    ("redistribute it and/or modify it under the terms of the GNU General Public License", "gpl"), ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "gpl-2"), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "gpl-3"), ("GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999", "lgpl-2.1"), ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "agpl-3"),
+    ("You should have received a copy of the GNU Lesser General Public License along with this program", "lgpl"), ("see the GNU General Public License for more details", "gpl"), ("see <https://www.gnu.org/licenses/gpl-3.0.html>", "gpl-3"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2"), ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\")", "mpl-1.1"), ("Mozilla Public License Version 2.0", "mpl-2"),
+    ("made available under the terms of the Eclipse Public License 2.0 which is available at", "epl-2"), ("available under the terms of the Eclipse Public License v1.0", "epl-1"), ("Eclipse Public License - v 2.0", "epl-2"), ("EUROPEAN UNION PUBLIC LICENCE v. 1.2", "eupl"), ("subject to the terms of the Common Development and Distribution License", "cddl"),
+    ("The Apache Software License, Version 1.1", "apache-1.1"), ("http://www.apache.org/licenses/LICENSE-2.0", "apache-2"), ("All advertising materials mentioning features or use of this software must display the following acknowledgement:", "bsd-4"),
+    ("may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-3"), ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "isc"), ("without fee, and without a written agreement is hereby granted", "postgresql"),
+    ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely", "zlib"), ("This is free and unencumbered software released into the public domain.", "unlicense"), ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "wtfpl"), ("Boost Software License - Version 1.0 - August 17th, 2003", "boost-1"),
+    ("developed by the OpenSSL Project for use in the OpenSSL Toolkit", "openssl"), ("SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007", "ofl-1.1"), ("Open Database License (ODbL)", "odbl"), ("CC0 1.0 Universal", "cc0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa"), ("Creative Commons Attribution-NoDerivatives 4.0 International", "cc-by-nd"), ("Creative Commons Attribution 4.0 International", "cc-by"), ("https://creativecommons.org/licenses/by-sa/4.0/", "cc-by-sa"),
+])
+def test_license_notices(text, label):
+    assert license_scan.Scanner().scan(text)[5] == label
+
+
 def test_license_rules_suppress_contained_detections():
     assert len(license_scan.rules()) > 200
     kept = license_scan.Scanner().scan("released under the MIT license")
