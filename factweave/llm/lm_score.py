@@ -2,32 +2,40 @@
 
 Words are the runs between ASCII white space, with A-Z in lower case. The
 training documents are those whose crc32(doc_id as text) mod FOLDS is not
-HELD_OUT; what is learned grows with them:
+HELD_OUT; all that is learned comes from all of them and grows with them:
 
  - every word's count (base scores), added up over all of them;
- - subword counts, and how subwords follow one another within words: from all
-   words with their counts. They give the model's classes, its output bias and
-   its first embeddings;
- - training passages: all of all training texts, PASSAGE words each, written to
-   a table; an empty text is a passage of its end. Each task of a round trains
-   its share by Adam, and the parameters are averaged by Spark, ROUNDS times.
-
-The model is one head of causal self-attention in numpy over subword ids: a
-position's query meets the keys of up to CONTEXT ids before it, with a bias for
-their distance; its own embedding and what it attends to give the logits of the
-next id. The next id is a class (the SINGLES most frequent ids are classes of
-their own, the others form RARE classes by frequency) times its share of the
-class by counts, so every id has a probability. A text is its subword ids and
-one end; windows of CONTEXT + STRIDE overlap by CONTEXT, and score STRIDE ids
-each, so each is scored once, in batched masked attention.
+ - how subwords follow one another: each word is encoded once and counts as
+   often as it stands. Steps (two subwords before, next subword or word end) that
+   are at least one in STEPS of all words are kept, so at most a few times STEPS;
+   classes of subwords and how class follows class come from all steps;
+ - the attention's parameters: every training text passes once through Adam in
+   numpy, dealt over ROUNDS by a hash; each task of a round trains on its texts,
+   and Spark averages the parameters by the words seen.
+
+The model predicts every subword id from those before it. One head of causal
+self-attention looks back at up to CONTEXT + STRIDE ids; what it gathers (the
+language and manner of the text) is added to the logits with which classes follow
+one another. A class's probability times the id's share of the class is the
+probability of an id. This distribution is mixed with the kept steps by absolute
+discounting: what the steps leave over goes to the network, and where a step
+ends the word, the network chooses among ids that begin one. So every id of the
+vocabulary has a probability at every place, and they add up to one. The
+gradient is that of the mixed likelihood.
+
+A text is its subword ids and one end. Windows of CONTEXT + STRIDE ids overlap by
+CONTEXT and score STRIDE ids each, so each id is scored once, in batched masked
+attention.
 
 Base scores need the count of every word. Words that are at least one in HOT of
-all, so HOT words at most, go to all tasks; the others join the count table by word, so neither is the table ever in
-one place nor is there a hot key.
+all, so HOT words at most, go to all tasks; the others join the count table by
+word, so neither is the table ever in one place nor is there a hot key.
 
 Null and empty texts are one end. Repeated rows give repeated rows. Without
-training documents all counts are 0 and the model stays as it starts, uniform.
-Other columns are ignored. An empty table gives an empty one.
+training documents all counts are 0 and the model stays as it starts. Averages
+depend on how the input is split, so scores of other layouts of one table differ
+slightly; base scores don't. Other columns are ignored. An empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -46,18 +54,21 @@ from factweave.llm.common import BATCH_ROWS, map_arrow, materialize, slices
 from factweave.llm.pieces import EOS
 
 FOLDS, HELD_OUT = 7, 2
-SINGLES, RARE = 80, 16
-CLASSES = SINGLES + RARE
+#: Classes: ids of their own, then rare ids that begin a word, then rare ids within words.
+SINGLES, RARE = 352, 16
+CLASSES = SINGLES + 2 * RARE
 KEY, WIDTH = 8, 16
-CONTEXT, STRIDE = 8, 24
-PASSAGE, ROUNDS = 32, 2
-BATCH, RATE = 64, 0.003
-#: Words that are at least one in HOT of all: at most HOT words, whatever the corpus.
-HOT = 1_000_000
+CONTEXT, STRIDE = 24, 40
+BATCH, RATE = 64, 0.01
+#: Hash values (of SHARES) of the documents of each round; every document is in one of them.
+SHARES, ROUNDS = 16, ((0, 1), (1, 5), (5, 16))
+#: Words that are at least one in HOT of all: at most HOT words, whatever the corpus. Steps likewise.
+HOT, STEPS = 1_000_000, 300_000
+DISCOUNT = 0.85
 FLUSH_WORDS, CACHE_WORDS = 400_000, 250_000
 PAD = CLASSES  # no id: before a text
+NONE = 0xFFFF  # no subword before, or no subword after: ids are below it
 
-_GATHERED = "word binary, n long, passage binary"
 _SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare_word array<binary>, rare_n array<long>"
 
 
@@ -69,36 +80,23 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
-def _passage(words: list[bytes], at: int) -> bytes:
-    """PASSAGE words; a line end before them says that the text begins there, one behind them that it ends."""
-    return b"\n" * (at == 0) + b" ".join(words[at : at + PASSAGE]) + b"\n" * (at + PASSAGE >= len(words))
-
-
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial word counts and passages of training texts; an empty word counts the ends."""
+    """Partial word counts of training texts; an empty word counts the ends."""
     counts: Counter[bytes] = Counter()
 
-    def rows(words: list[bytes], n: list[int], passages: list[bytes]) -> pa.RecordBatch:
-        more = len(passages)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words + [None] * more, pa.binary()), pa.array(n + [None] * more, pa.int64()), pa.array([None] * len(words) + passages, pa.binary())], ["word", "n", "passage"]
-        )
+    def rows() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for part, texts in slices(batch):
-            passages = []
+        for _, texts in slices(batch):
             for text in texts:
-                words = words_of(text)
-                counts.update(words)
-                counts[b""] += 1
-                passages += [_passage(words, a) for a in range(0, max(1, len(words)), PASSAGE)]
-            if passages:
-                yield rows([], [], passages)
+                counts.update(words_of(text))
+            counts[b""] += len(texts)
             if len(counts) > FLUSH_WORDS:
-                yield rows(list(counts), list(counts.values()), [])
+                yield rows()
                 counts.clear()
     if counts:
-        yield rows(list(counts), list(counts.values()), [])
+        yield rows()
 
 
 @lru_cache(2)
@@ -108,6 +106,15 @@ def _processor(model_path: str):
     return sentencepiece.SentencePieceProcessor(model_file=model_path)
 
 
+@lru_cache(2)
+def begins(model_path: str) -> np.ndarray:
+    """Which ids begin a word; the end of a text counts as one."""
+    p = _processor(model_path)
+    out = np.array([p.id_to_piece(i).startswith("▁") for i in range(p.get_piece_size())])
+    out[EOS] = True
+    return out
+
+
 def _ids(model_path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Subword ids of words, each with a space before it, in one array; and how many each has."""
     lists = _processor(model_path).encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
@@ -136,293 +143,243 @@ def _encoded(counts: DataFrame, model_path: str) -> DataFrame:
     return materialize(map_arrow(counts.where(F.col("word") != b""), run, "ids binary, sizes binary, n binary"), "lm-encoded")
 
 
-def _arrays(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for ids, sizes, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "n"))):
-        yield np.frombuffer(ids, "<u2").astype(np.int64), np.frombuffer(sizes, "<i4"), np.frombuffer(n, "<i8")
+def steps_of(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps after each id of words in one array, as (two ids before) << 16 | next; and where words begin. NONE stands before and after a word."""
+    starts = np.cumsum(sizes) - sizes
+    first = np.zeros(len(ids), bool)
+    first[starts[sizes > 0]] = True
+    before = np.where(first, NONE, np.r_[NONE, ids[:-1]] if len(ids) else ids)
+    last = np.r_[first[1:], True] if len(ids) else first
+    after = np.where(last, NONE, np.r_[ids[1:], NONE] if len(ids) else ids)
+    return before << 32 | ids << 16 | after, first
 
 
-def _id_counts(encoded: DataFrame) -> DataFrame:
-    """(id, n) of all subwords of all words."""
+def _step_counts(encoded: DataFrame) -> DataFrame:
+    """(step, n): how often each step is taken in all words; a step of -1 - id counts the words that begin with an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
-        for batch in batches:
-            for ids, sizes, n in _arrays(batch):
-                total += np.bincount(ids, np.repeat(n, sizes), len(total)).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
-    return map_arrow(encoded, run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for ids, sizes, n in zip(*(batch.column(c).to_pylist() for c in ("ids", "sizes", "n"))):
+                ids, sizes, n = np.frombuffer(ids, "<u2").astype(np.int64), np.frombuffer(sizes, "<i4"), np.frombuffer(n, "<i8")
+                step, first = steps_of(ids, sizes)
+                held.append((np.r_[step, -1 - ids[first]], np.r_[np.repeat(n, sizes), n[sizes > 0]]))
+                if len(held) == 64:
+                    held = [added()]
+                    if len(held[0][0]) > FLUSH_WORDS:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], ["step", "n"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in added()], ["step", "n"])
+
+    return materialize(map_arrow(encoded, run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")), "lm-steps")
+
+
+def _id_counts(steps: DataFrame, size: int) -> np.ndarray:
+    """How often each id stands: each is the middle of one step."""
+    got = steps.where("step >= 0").groupBy(F.shiftright("step", 16).bitwiseAND(F.lit(0xFFFF)).alias("id")).agg(F.sum("n").alias("n")).toPandas()  # at most the vocabulary
+    out = np.zeros(size, np.int64)
+    out[got["id"].to_numpy(np.int64)] = got["n"].to_numpy()
+    return out
 
 
 class Vocabulary:
-    """Ids to classes, and log10 of each id's share of its class."""
+    """Ids to classes, each id's share of its class, and which classes begin a word: a class has ids that do or ids that don't."""
 
-    def __init__(self, n: np.ndarray):
-        smooth = n.astype(np.float64) + 1
+    def __init__(self, n: np.ndarray, start: np.ndarray):
+        smooth = n.astype(np.float64) + 0.1
         order = np.argsort(-smooth, kind="stable")
         order = np.concatenate([[EOS], order[order != EOS]])
-        rest = order[SINGLES:]
-        # rare classes of about the same weight
-        edge = np.minimum((np.cumsum(smooth[rest]) / smooth[rest].sum() * RARE).astype(int), RARE - 1)
         self.of = np.empty(len(n), np.uint16)
         self.of[order[:SINGLES]] = np.arange(SINGLES)
-        self.of[rest] = SINGLES + edge
+        rest = order[SINGLES:]
+        for base, part in ((SINGLES, rest[start[rest]]), (SINGLES + RARE, rest[~start[rest]])):
+            # rare classes of about the same weight
+            self.of[part] = base + np.minimum((np.cumsum(smooth[part]) / max(smooth[part].sum(), 1e-9) * RARE).astype(int), RARE - 1)
         weight = np.bincount(self.of, smooth, CLASSES)
-        self.share = np.log10(smooth / weight[self.of])
-        self.bias = np.log(np.maximum(weight, 1) / np.maximum(weight, 1).sum())
+        self.share = (smooth / weight[self.of]).astype(np.float32)
+        self.weight = np.maximum(weight, 1e-9)
+        self.begins = np.zeros(CLASSES, bool)
+        self.begins[self.of[start]] = True
         self.end = int(self.of[EOS])
 
 
-def _followers(encoded: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """How often each class follows each within words; ends of words meet beginnings by chance, for the first embeddings only."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary.of)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.astype(np.int64)
-        inside, first, last = np.zeros(CLASSES * CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
-        for batch in batches:
-            for ids, sizes, n in _arrays(batch):
-                flat, each = of[ids], np.repeat(n, sizes)
-                ends = np.cumsum(sizes) - 1
-                within = np.ones(len(flat), bool)
-                within[ends] = False
-                at = np.flatnonzero(within)
-                inside += np.bincount(flat[at] * CLASSES + flat[at + 1], each[at], CLASSES * CLASSES)
-                first += np.bincount(flat[ends - sizes + 1], n, CLASSES)
-                last += np.bincount(flat[ends], n, CLASSES)
-        code, value = np.arange(CLASSES * (CLASSES + 2)), np.concatenate([inside, first, last])
-        at = np.flatnonzero(value)
-        yield pa.RecordBatch.from_arrays([pa.array(code[at]), pa.array(value[at])], ["code", "n"])
-
-    got = map_arrow(encoded, run, "code long, n double").groupBy("code").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES * (CLASSES + 2) rows
-    value = np.zeros(CLASSES * (CLASSES + 2))
-    value[got["code"].to_numpy()] = got["n"].to_numpy()
-    inside, first, last = value[: CLASSES * CLASSES].reshape(CLASSES, CLASSES), value[-2 * CLASSES : -CLASSES], value[-CLASSES:]
-    return inside + np.outer(last, first) / max(1.0, first.sum())
-
-
-SHAPES = {"query": (CLASSES + 1, KEY), "key": (CLASSES + 1, KEY), "value": (CLASSES + 1, WIDTH), "own": (CLASSES + 1, WIDTH), "out": (WIDTH, CLASSES), "bias": (CLASSES,), "near": (CONTEXT + STRIDE,)}
-
-
-def start(vocabulary: Vocabulary, followers: np.ndarray) -> dict[str, np.ndarray]:
-    """First parameters: a low-rank model of which class follows which, and attention that fades with distance."""
-    rng = np.random.default_rng(7)
-    p = {k: rng.normal(0, 0.05, s) for k, s in SHAPES.items()}
-    share = np.exp(vocabulary.bias)
-    total = followers.sum(1, keepdims=True)
-    logs = np.log((followers + 20 * share) / (total + 20)) - vocabulary.bias
-    weight = np.sqrt(share)
-    u, s, v = np.linalg.svd(logs * weight[:, None], full_matrices=False)
-    root = np.sqrt(s[:WIDTH])
-    p["own"][:CLASSES] = u[:, :WIDTH] * root / weight[:, None]
-    p["own"][CLASSES], p["out"], p["bias"] = 0, root[:, None] * v[:WIDTH], vocabulary.bias.copy()
-    p["near"] = -0.5 * np.arange(CONTEXT + STRIDE)
-    if followers.sum():
-        _fit_followers(p, followers)
-    return {k: x.astype(np.float32) for k, x in p.items()}
-
-
-def _fit_followers(p: dict[str, np.ndarray], followers: np.ndarray, steps: int = 400, rate: float = 0.03) -> None:
-    """Fit embeddings and output to how often classes follow one another over the whole corpus, by Adam on all counts at once."""
-    share, total = followers / followers.sum(), followers.sum(1, keepdims=True) / followers.sum()
-    state = {k: [np.zeros_like(p[k]), np.zeros_like(p[k])] for k in ("own", "out", "bias")}
-    for t in range(1, steps + 1):
-        logits = p["own"][:CLASSES] @ p["out"] + p["bias"]
-        logits -= logits.max(1, keepdims=True)
-        g = np.exp(logits)
-        g = g / g.sum(1, keepdims=True) * total - share
-        grads = {"own": np.vstack([g @ p["out"].T, np.zeros((1, WIDTH))]), "out": p["own"][:CLASSES].T @ g, "bias": g.sum(0)}
-        for k, d in grads.items():
-            m, v = state[k]
-            m += 0.1 * (d - m)
-            v += 0.001 * (d * d - v)
-            p[k] -= rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
+class Steps:
+    """Kept steps by absolute discounting: the share of each after its two subwords, and what those leave to the network."""
+
+    def __init__(self, step: np.ndarray, n: np.ndarray, total: np.ndarray):
+        order = np.argsort(step)
+        self.step, own = step[order], np.maximum(n[order] - DISCOUNT, 0) / total[order]
+        self.own = own.astype(np.float32)
+        self.context, at = np.unique(self.step >> 16, return_inverse=True)
+        self.left = np.maximum(1 - np.bincount(at, own, len(self.context)), 0).astype(np.float32)
+
+    def of(self, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(share, left) of steps; where nothing is kept, all is left."""
+        if not len(self.step):
+            return np.zeros(len(step), np.float32), np.ones(len(step), np.float32)
+        at = np.minimum(np.searchsorted(self.step, step), len(self.step) - 1)
+        context = step >> 16
+        of = np.minimum(np.searchsorted(self.context, context), len(self.context) - 1)
+        return np.where(self.step[at] == step, self.own[at], 0), np.where(self.context[of] == context, self.left[of], 1)
+
+
+def _kept(steps: DataFrame, words: int) -> Steps:
+    """Steps that are at least one in STEPS of all words: as many as STEPS times the subwords of a word, at most."""
+    real = steps.where("step >= 0").withColumn("context", F.shiftright("step", 16))
+    total = real.groupBy("context").agg(F.sum("n").alias("total"))
+    got = real.where(F.col("n") * STEPS >= words).join(total, "context").select("step", "n", "total").toPandas()
+    return Steps(*(got[c].to_numpy(np.int64) for c in ("step", "n", "total")))
+
+
+def _followers(steps: DataFrame, vocabulary: Vocabulary, ends: int) -> np.ndarray:
+    """How often each class follows each, over all steps: ends of words meet beginnings by chance."""
+    spark = steps.sparkSession
+    of = spark.createDataFrame([(i, int(c)) for i, c in enumerate(vocabulary.of)], "id int, class int")  # the vocabulary
+    part = lambda shift: F.shiftright("step", shift).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    real = steps.where("step >= 0").select(part(16).alias("a"), part(0).alias("b"), "n")
+    begun = steps.where("step < 0").select(F.lit(NONE).alias("a"), (-1 - F.col("step")).cast("int").alias("b"), "n")
+    named = real.unionByName(begun).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for c in ("a", "b"):
+        named = named.join(F.broadcast(of.withColumnsRenamed({"id": c, "class": f"c{c}"})), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", F.lit(CLASSES)))
+    got = named.groupBy("ca", "cb").agg(F.sum("n").alias("n")).toPandas()  # at most the square of the classes
+    table = np.zeros((CLASSES + 1, CLASSES + 1))
+    table[got["ca"].to_numpy(), got["cb"].to_numpy()] = got["n"].to_numpy()
+    first = table[CLASSES, :CLASSES].copy()
+    first[vocabulary.end] += ends
+    return table[:CLASSES, :CLASSES] + np.outer(table[:CLASSES, CLASSES], first) / max(1.0, first.sum())
 
 
 _LENGTH = CONTEXT + STRIDE
 _DISTANCE = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(_LENGTH)[None, :]
-_MASK = np.where(_DISTANCE >= 0, 0, -1e9).astype(np.float32)
+SHAPES = {"query": (CLASSES + 1, KEY), "key": (CLASSES + 1, KEY), "value": (CLASSES + 1, WIDTH), "out": (WIDTH, CLASSES), "near": (_LENGTH,)}
+
+
+def start(vocabulary: Vocabulary, followers: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """First parameters, and the logits with which classes follow one another (rows: the class before, PAD last), which stay."""
+    rng = np.random.default_rng(7)
+    p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in SHAPES.items()}
+    p["near"] = (-0.02 * np.arange(_LENGTH)).astype(np.float32)
+    share = vocabulary.weight / vocabulary.weight.sum()
+    rows = np.log((followers + 20 * share) / (followers.sum(1, keepdims=True) + 20))
+    return p, np.vstack([rows, np.log(share)]).astype(np.float32)
 
 
-def windows(ids: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, text of each window) of texts in one array that end before `ends`: a text follows an end, and before it is padding.
+def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(before, at, text) of texts of so many ids, one after another: places of the inputs and targets of each window, and its text.
 
-    Targets beyond a text are -1.
+    Inputs are -1 for the end before a text and -2 before that; targets beyond a text are -1.
     """
-    sizes = np.diff(np.r_[0, ends])
-    starts = ends - sizes
+    starts = np.cumsum(sizes) - sizes
     count = -(-sizes // STRIDE)
     text = np.repeat(np.arange(len(sizes)), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     at = nth[:, None] * STRIDE + np.arange(STRIDE)
-    inside = at < sizes[text][:, None]
-    target = np.where(inside, ids[np.minimum(starts[text][:, None] + at, len(ids) - 1)], -1)
+    target = np.where(at < sizes[text][:, None], starts[text][:, None] + at, -1)
     before = nth[:, None] * STRIDE - CONTEXT - 1 + np.arange(_LENGTH)
-    source = np.where((before >= 0) & (before < sizes[text][:, None]), ids[np.clip(starts[text][:, None] + before, 0, len(ids) - 1)], np.where(before == -1, end, PAD))
+    source = np.where(before >= 0, np.minimum(starts[text][:, None] + before, starts[text][:, None] + sizes[text][:, None] - 1), np.where(before == -1, -1, -2))
     return source, target, text
 
 
-def _forward(p: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Attention, hidden states and logits of the last STRIDE positions of windows x."""
-    q, k, v = p["query"][x[:, CONTEXT:]], p["key"][x], p["value"][x]
-    a = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(KEY**-0.5)
-    a += p["near"][np.maximum(_DISTANCE, 0)] + _MASK
-    a += np.where(x == PAD, np.float32(-1e9), np.float32(0))[:, None, :]
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    h = (p["own"][x[:, CONTEXT:]] + np.matmul(a, v)).reshape(-1, WIDTH)
-    return q, k, v, a, h, h @ p["out"] + p["bias"]
+class Tokens:
+    """The ids of texts, one after another: their class, share of it, step's share and what it leaves, and whether they begin a word."""
 
+    def __init__(self, kind: np.ndarray, share: np.ndarray, own: np.ndarray, left: np.ndarray, begins: np.ndarray, sizes: np.ndarray, end: int):
+        self.kind, self.share, self.own, self.left, self.begins, self.sizes, self.end = kind, share, own, left, begins, sizes, end
 
-def log10_likelihoods(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """log10 of each target's probability, 0 for padding; in parts that stay in a core's cache.
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(inputs, places of targets, text of each window)."""
+        source, target, text = windows(self.sizes)
+        x = np.where(source >= 0, self.kind[np.maximum(source, 0)], np.where(source == -1, self.end, PAD))
+        return x, target, text
 
-    As _forward, but with exponentials of plain scores: masks and distances are
-    factors, padding has value and weight 0, and sums come with the products.
-    Scores are clipped where float32 would overflow; logits are first shifted
-    if the parameters let them grow that large.
-    """
-    reach = np.linalg.norm(p["own"], axis=1).max() + np.linalg.norm(p["value"], axis=1).max()
-    shift = reach * np.linalg.norm(p["out"], axis=0).max() + np.abs(p["bias"]).max() > 80
-    near = np.where(_DISTANCE >= 0, np.exp(p["near"] - p["near"].max())[np.maximum(_DISTANCE, 0)], 0).astype(np.float32)
-    query = p["query"] * np.float32(KEY**-0.5)
-    value = np.concatenate([p["value"], np.ones((CLASSES + 1, 1), np.float32)], axis=1)
-    value[PAD] = 0
-    ones, out = np.ones(CLASSES, np.float32), np.zeros(y.shape)
-    size = min(len(x), BATCH // 2)
-    # each step writes into a buffer of its own: fresh arrays of this size would cost more than the arithmetic
-    space = lambda *shape: np.empty((size, *shape), np.float32)
-    q_, k_, v_, own_, w_, h_ = space(STRIDE, KEY), space(_LENGTH, KEY), space(_LENGTH, WIDTH + 1), space(STRIDE, WIDTH + 1), space(STRIDE, _LENGTH), space(STRIDE, WIDTH + 1)
-    logits_ = np.empty((size * STRIDE, CLASSES), np.float32)
-    own = np.concatenate([p["own"], np.zeros((CLASSES + 1, 1), np.float32)], axis=1)
-    last = np.concatenate([p["out"], p["bias"][None]])  # the attended 1 takes the bias along
-    take = lambda table, at, into: np.take(table, at, axis=0, out=into, mode="clip")
-    for a in range(0, len(x), BATCH // 2):
-        part, target = x[a : a + BATCH // 2], y[a : a + BATCH // 2].ravel()
-        n = len(part)
-        asks = part[:, CONTEXT:]
-        weights = np.matmul(take(query, asks, q_[:n]), take(p["key"], part, k_[:n]).transpose(0, 2, 1), out=w_[:n])
-        np.exp(np.minimum(weights, 60, out=weights), out=weights)
-        weights *= near
-        h = np.matmul(weights, take(value, part, v_[:n]), out=h_[:n])
-        h /= np.maximum(h[..., WIDTH:], np.float32(1e-30))
-        h += take(own, asks, own_[:n])
-        logits = np.dot(h.reshape(-1, WIDTH + 1), last, out=logits_[: n * STRIDE])
-        if shift:
-            logits -= logits.max(1, keepdims=True)
-        hit = logits[np.arange(len(target)), np.maximum(target, 0)]
-        np.exp(logits, out=logits)
-        out[a : a + BATCH // 2] = np.where(target >= 0, (hit - np.log(logits @ ones)) / np.log(10), 0).reshape(-1, STRIDE)
-    return out
-
-
-def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log-likelihood of a batch."""
-    q, k, v, a, h, logits = _forward(p, x)
-    logits -= logits.max(1, keepdims=True)
-    g = np.exp(logits)
-    g /= g.sum(1, keepdims=True)
-    flat = y.ravel()
-    live = flat >= 0
-    g[np.arange(len(flat)), np.maximum(flat, 0)] -= 1
-    g *= live[:, None] / np.float32(max(1, live.sum()))
-    b = len(x)
-    hot = np.zeros((b * _LENGTH, CLASSES + 1), np.float32)
-    hot[np.arange(b * _LENGTH), x.ravel()] = 1
-    hot_q = hot.reshape(b, _LENGTH, -1)[:, CONTEXT:].reshape(b * STRIDE, -1)
-    dh = g @ p["out"].T
-    dc = dh.reshape(b, STRIDE, WIDTH)
-    da = np.matmul(dc, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    scale = np.float32(KEY**-0.5)
-    dq, dk, dv = np.matmul(ds, k) * scale, np.matmul(ds.transpose(0, 2, 1), q) * scale, np.matmul(a.transpose(0, 2, 1), dc)
-    near = np.bincount(np.maximum(_DISTANCE, 0).ravel(), np.where(_DISTANCE >= 0, ds.sum(0), 0).ravel(), _LENGTH)
-    return {
-        "query": hot_q.T @ dq.reshape(-1, KEY), "key": hot.T @ dk.reshape(-1, KEY), "value": hot.T @ dv.reshape(-1, WIDTH),
-        "own": hot_q.T @ dh, "out": h.T @ g, "bias": g.sum(0), "near": near.astype(np.float32),
-    }
-
-
-def train_local(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, state: dict, rate: float = RATE) -> None:
-    """One Adam step for each batch, in place."""
-    for a in range(0, len(x), BATCH):
-        state["t"] = t = state.get("t", 0) + 1
-        for name, g in gradients(p, x[a : a + BATCH], y[a : a + BATCH]).items():
-            m, v = state.setdefault(name, [np.zeros_like(g), np.zeros_like(g)])
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p[name] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-
-
-def _round(passages: DataFrame, p: dict[str, np.ndarray], vocabulary: Vocabulary, model_path: str, rate: float) -> dict[str, np.ndarray]:
-    """One round: each task trains on its passages, and the parameters are averaged by the passages that they have seen."""
-    shared = passages.sparkSession.sparkContext.broadcast((p, vocabulary))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, vocab = {k: v.copy() for k, v in shared.value[0].items()}, shared.value[1]
-        state, seen = {}, 0
-        for batch in batches:
-            texts = batch.column("passage").to_pylist()
-            ids = _encode_words(model_path, vocab, [t.split() for t in texts])
-            ids = [np.append(i, vocab.end) if t.endswith(b"\n") else i for t, i in zip(texts, ids)]
-            sizes = np.array(list(map(len, ids)))
-            if not sizes.sum():
-                continue
-            x, y, of = windows(np.concatenate(ids).astype(np.int64), np.cumsum(sizes), vocab.end)
-            inner = np.array([not t.startswith(b"\n") for t in texts])[of] & np.r_[True, of[1:] != of[:-1]]
-            y[inner, 0] = -1  # what stands before it is unknown
-            train_local(own, x, y, state, rate)
-            seen += len(texts)
-        if seen:
-            value = np.concatenate([own[k].ravel() for k in SHAPES]).astype(np.float64) * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value) + 1)), pa.array(np.append(value, seen))], ["i", "v"])
 
-    got = map_arrow(passages, run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()  # the parameters
-    if not len(got):
-        return p
-    flat = got.sort_values("i")["v"].to_numpy()
-    flat, out, at = flat[:-1] / flat[-1], {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name], at = flat[at : at + n].reshape(shape).astype(np.float32), at + n
-    return out
+class Net:
+    """The mixed model: likelihoods of targets, and gradients of their mean."""
 
+    def __init__(self, p: dict[str, np.ndarray], rows: np.ndarray, begins: np.ndarray):
+        self.p, self.rows = p, rows
+        self.sides = np.stack([np.ones(CLASSES), begins]).astype(np.float32)
 
-def _classes_of(model_path: str, of: np.ndarray, words: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Classes of each word's subwords as bytes, with all ids in one array and how many each word has."""
-    ids, sizes = _ids(model_path, words)
-    data, cut = of[ids].tobytes(), (np.cumsum(sizes) * 2).tolist()
-    return [data[a:b] for a, b in zip([0, *cut], cut)], ids, sizes
-
-
-_WORDS: dict[bytes, bytes] = {}
-
-
-def _encode_words(model_path: str, vocab: Vocabulary, texts: list[list[bytes]]) -> list[np.ndarray]:
-    """Classes of the subwords of texts' words; a worker remembers words."""
-    missing = list({w for words in texts for w in words if w not in _WORDS})
-    if len(_WORDS) + len(missing) > CACHE_WORDS:
-        _WORDS.clear()
-        missing = list({w for words in texts for w in words})
-    _WORDS.update(zip(missing, _classes_of(model_path, vocab.of, missing)[0]))
-    return [np.frombuffer(b"".join(map(_WORDS.__getitem__, words)), np.uint16) for words in texts]
-
-
-class Scorer:
-    """Scores texts with the model and the counts of hot words."""
-
-    def __init__(self, p: dict, vocab: Vocabulary, hot: dict[bytes, int], ends: int, total: int, distinct: int, model_path: str):
-        self.p, self.vocab, self.model_path = p, vocab, model_path
-        self.unit = float(np.log10(total + 1.0 * (distinct + 1)))
-        self.hot = {w: float(np.log10(n + 1.0)) for w, n in hot.items()}
-        self.end = float(np.log10(ends + 1.0)) - self.unit
-        self.known_end = int(ends > 0)
-        # of each word: its place, the classes of its subwords, their shares, and its base score (rare: none); hot words come first and stay
+    def _attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        p = self.p
+        near = np.where(_DISTANCE >= 0, np.exp(p["near"])[np.maximum(_DISTANCE, 0)], 0).astype(np.float32)
+        value = np.concatenate([p["value"], np.ones((CLASSES + 1, 1), np.float32)], axis=1)
+        value[PAD] = 0  # padding has neither value nor weight
+        q, k, v = p["query"][x[:, CONTEXT:]] * np.float32(KEY**-0.5), p["key"][x], value[x]
+        w = np.matmul(q, k.transpose(0, 2, 1))
+        np.exp(np.minimum(w, 60, out=w), out=w)
+        w *= near
+        h = np.matmul(w, v)
+        h /= np.maximum(h[..., WIDTH:], np.float32(1e-30))
+        return q, k, v, w, h[..., :WIDTH].reshape(-1, WIDTH)
+
+    def _mixed(self, x: np.ndarray, h: np.ndarray, t: Tokens, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        e = h @ self.p["out"]
+        e += self.rows[x[:, CONTEXT:].ravel()]
+        np.exp(np.minimum(e, 60, out=e), out=e)
+        z = e @ self.sides.T
+        at = np.maximum(at.ravel(), 0)
+        hit = e[np.arange(len(at)), t.kind[at]] * t.share[at]
+        plain, begun = t.left[at] * hit / z[:, 0], t.own[at]
+        begun = np.where(t.begins[at], begun * hit / np.maximum(z[:, 1], np.float32(1e-30)), begun)
+        return e, z, plain, begun, at
+
+    def likelihoods(self, t: Tokens, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 of each target's probability, 0 beyond texts; in parts that stay in a core's cache."""
+        out = np.zeros(at.shape)
+        for a in range(0, len(x), BATCH // 2):
+            part, target = x[a : a + BATCH // 2], at[a : a + BATCH // 2]
+            _, _, plain, begun, _ = self._mixed(part, self._attend(part)[-1], t, target)
+            out[a : a + BATCH // 2] = np.where(target >= 0, np.log10(np.maximum(plain + begun, 1e-37)).reshape(-1, STRIDE), 0)
+        return out
+
+    def gradients(self, t: Tokens, x: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean negative log-likelihood of a batch."""
+        q, k, v, w, h = self._attend(x)
+        e, z, plain, begun, at = self._mixed(x, h, t, target)
+        live = target.ravel() >= 0
+        scale = live / (np.maximum(plain + begun, np.float32(1e-37)) * max(1, live.sum()))
+        u, b = np.where(t.begins[at], begun, 0) * scale, plain * scale
+        e *= np.stack([b / z[:, 0], u / np.maximum(z[:, 1], 1e-30)], axis=1).astype(np.float32) @ self.sides
+        e[np.arange(len(at)), t.kind[at]] -= (u + b).astype(np.float32)
+        dh = (e @ self.p["out"].T).reshape(len(x), STRIDE, WIDTH)
+        a = w / np.maximum(np.matmul(w, v[..., WIDTH:]), np.float32(1e-30))
+        a *= (x != PAD)[:, None, :]
+        v = v[..., :WIDTH]
+        da = np.matmul(dh, v.transpose(0, 2, 1))
+        da -= (dh * h.reshape(dh.shape)).sum(2, keepdims=True)
+        da *= a
+        dq, dk, dv = np.matmul(da, k) * np.float32(KEY**-0.5), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)
+        near = np.bincount(np.maximum(_DISTANCE, 0).ravel(), np.where(_DISTANCE >= 0, da.sum(0), 0).ravel(), _LENGTH)
+        add = lambda kind, d, n: np.bincount((kind[..., None] * n + np.arange(n)).ravel(), d.ravel(), (CLASSES + 1) * n).reshape(-1, n)
+        return {"query": add(x[:, CONTEXT:], dq, KEY), "key": add(x, dk, KEY), "value": add(x, dv, WIDTH), "out": h.T @ e, "near": near}
+
+    def train(self, t: Tokens, state: dict, rate: float = RATE) -> None:
+        """One Adam step for each batch of windows, in place."""
+        x, at, _ = t.windows()
+        for a in range(0, len(x), BATCH):
+            state["t"] = n = state.get("t", 0) + 1
+            for name, g in self.gradients(t, x[a : a + BATCH], at[a : a + BATCH]).items():
+                m, v = state.setdefault(name, [np.zeros(g.shape), np.zeros(g.shape)])
+                m += 0.1 * (g - m)
+                v += 0.005 * (g * g - v)
+                self.p[name] -= (rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.995**n)) + 1e-8)).astype(np.float32)
+
+
+class Book:
+    """What a task remembers of words: ids, steps, and log10 of count + 1 (rare words: none). Hot words come first and stay."""
+
+    def __init__(self, vocabulary: Vocabulary, steps: Steps, hot: dict[bytes, int], model_path: str):
+        self.vocabulary, self.steps, self.hot, self.model_path = vocabulary, steps, hot, model_path
+        self.begins = begins(model_path)
         self.words: list[bytes] = []
-        self.flat, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64)
-        self.share, self.base = np.zeros(0), np.zeros(0)
+        self.ids, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.own, self.left, self.base = np.zeros(0, np.float32), np.zeros(0, np.float32), np.zeros(0)
         self.place: dict[bytes, int] = {}
         self.add(list(hot))
         self.kept, self.hot_place = len(hot), dict(self.place)
@@ -430,27 +387,28 @@ class Scorer:
     def add(self, words: list[bytes]) -> None:
         """Words that are not known yet are encoded together."""
         ids, sizes = _ids(self.model_path, words)
+        own, left = self.steps.of(steps_of(ids, sizes)[0])
         self.place.update(zip(words, range(len(self.words), len(self.words) + len(words))))
         self.words += words
-        self.flat, self.sizes = np.concatenate([self.flat, self.vocab.of[ids]]), np.concatenate([self.sizes, sizes])
-        own = np.bincount(np.repeat(np.arange(len(words)), sizes), self.vocab.share[ids], len(words))
-        self.share = np.concatenate([self.share, own])
-        self.base = np.concatenate([self.base, np.array([self.hot.get(w, np.nan) for w in words]) - self.unit])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.own, self.left = np.concatenate([self.own, own]), np.concatenate([self.left, left])
+        self.base = np.concatenate([self.base, np.log10(np.array([self.hot.get(w, np.nan) for w in words]) + 1.0)])
         self.starts = np.cumsum(self.sizes) - self.sizes
 
     def forget(self) -> None:
         """Only the hot words stay."""
         k = self.kept
+        n = int(self.sizes[:k].sum())
         self.place, self.words = dict(self.hot_place), self.words[:k]
-        self.flat, self.sizes, self.share, self.base = self.flat[: int(self.sizes[:k].sum())], self.sizes[:k], self.share[:k], self.base[:k]
+        self.ids, self.own, self.left, self.sizes, self.base = self.ids[:n], self.own[:n], self.left[:n], self.sizes[:k], self.base[:k]
 
-    def learn(self, words: list[bytes]) -> np.ndarray:
+    def places(self, words: list[bytes]) -> np.ndarray:
         """Places of words; when there would be too many, those that aren't hot are forgotten first."""
         for _ in range(2):
             at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
             unknown = np.flatnonzero(at < 0).tolist()
             missing = list({words[i] for i in unknown})
-            if len(self.words) + len(missing) <= CACHE_WORDS or len(self.words) == self.kept:
+            if len(self.words) + len(missing) <= CACHE_WORDS + self.kept or len(self.words) == self.kept:
                 break
             self.forget()
         if missing:
@@ -458,26 +416,82 @@ class Scorer:
             at[unknown] = [self.place[words[i]] for i in unknown]
         return at
 
+    def tokens(self, at: np.ndarray, n_words: np.ndarray) -> Tokens:
+        """The ids of texts of so many words at these places, each text followed by its end."""
+        vocabulary, sizes, doc = self.vocabulary, self.sizes[at], np.repeat(np.arange(len(n_words)), n_words)
+        length = np.bincount(doc, sizes, len(n_words)).astype(np.int64) + 1
+        where = np.arange(sizes.sum()) + np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes) if len(at) else np.zeros(0, np.int64)
+        ends = np.cumsum(length)
+        inner = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+        inner[ends - 1] = False
+        ids = np.full(len(inner), EOS)
+        ids[inner] = self.ids[where]
+        # a step stands at the id before it; the first id of a text follows an end for certain
+        own, left = np.ones(len(ids), np.float32), np.zeros(len(ids), np.float32)
+        own[inner], left[inner] = self.own[where], self.left[where]
+        own, left = np.r_[np.float32(1), own[:-1]], np.r_[np.float32(0), left[:-1]]
+        first = np.zeros(len(ids), bool)
+        first[ends - 1] = True
+        if len(sizes):
+            begun = np.cumsum(sizes) - sizes + doc  # ends of earlier texts stand between
+            first[begun[sizes > 0]] = True
+        return Tokens(vocabulary.of[ids].astype(np.int64), vocabulary.share[ids], own, left, first & self.begins[ids], length, vocabulary.end)
+
+
+def _round(docs: DataFrame, p: dict[str, np.ndarray], fixed: tuple, rate: float) -> dict[str, np.ndarray]:
+    """One round: each task trains on its texts, and the parameters are averaged by the windows that they have seen."""
+    shared = docs.sparkSession.sparkContext.broadcast((p, *fixed))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, state, seen = None, {}, 0
+        for batch in batches:
+            for _, texts in slices(batch):
+                if net is None:
+                    own, rows, vocabulary, steps, hot, model_path = shared.value
+                    net, book = Net({k: v.copy() for k, v in own.items()}, rows, vocabulary.begins), Book(vocabulary, steps, hot, model_path)
+                split = [words_of(t) for t in texts]
+                tokens = book.tokens(book.places(list(chain.from_iterable(split))), np.array(list(map(len, split))))
+                net.train(tokens, state, rate)
+                seen += int(tokens.sizes.sum())
+        if seen:
+            value = np.concatenate([net.p[k].ravel() for k in SHAPES]).astype(np.float64) * seen
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(value) + 1)), pa.array(np.append(value, seen))], ["i", "v"])
+
+    got = map_arrow(docs, run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()  # the parameters
+    if not len(got):
+        return p
+    flat = got.sort_values("i")["v"].to_numpy()
+    flat, out, at = flat[:-1] / flat[-1], {}, 0
+    for name, shape in SHAPES.items():
+        n = int(np.prod(shape))
+        out[name], at = flat[at : at + n].reshape(shape).astype(np.float32), at + n
+    return out
+
+
+class Scorer:
+    """Scores texts with the model and the counts of hot words."""
+
+    def __init__(self, p: dict, rows: np.ndarray, vocabulary: Vocabulary, steps: Steps, hot: dict[bytes, int], model_path: str, ends: int, total: int, distinct: int):
+        self.net, self.book = Net(p, rows, vocabulary.begins), Book(vocabulary, steps, hot, model_path)
+        self.unit = float(np.log10(total + 1.0 * (distinct + 1)))
+        self.end, self.known_end = float(np.log10(ends + 1.0)) - self.unit, int(ends > 0)
+
     def texts(self, texts: list[str]) -> list[tuple]:
         """(n_tokens, n_known, base_score, score, rare words, their counts) of each text; rare words are not in n_known and base_score."""
-        split = [words_of(t) for t in texts]
+        split, book = [words_of(t) for t in texts], self.book
         n_docs, n_words = len(texts), np.array(list(map(len, split)))
         doc = np.repeat(np.arange(n_docs), n_words)
-        at = self.learn(list(chain.from_iterable(split)))
-        base, sizes = self.base[at], self.sizes[at]
+        at = book.places(list(chain.from_iterable(split)))
+        base = book.base[at] - self.unit
         rare = np.isnan(base)
         known = n_words - np.bincount(doc[rare], minlength=n_docs) + self.known_end
         scores = np.bincount(doc, np.where(rare, 0, base), n_docs) + self.end
-        few, times = np.unique(doc[rare] * len(self.words) + at[rare], return_counts=True)
-        cut = np.searchsorted(few // max(1, len(self.words)), np.arange(n_docs + 1))
-        names, times = [self.words[i] for i in (few % max(1, len(self.words))).tolist()], times.tolist()
-        where = np.arange(sizes.sum()) + np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes) if len(at) else np.zeros(0, np.int64)
-        ends = np.cumsum(np.bincount(doc, sizes, n_docs).astype(np.int64) + 1)
-        ids, inner = np.full(ends[-1], self.vocab.end, np.int64), np.ones(ends[-1], bool)
-        inner[ends - 1] = False
-        ids[inner] = self.flat[where]
-        x, y, text = windows(ids, ends, self.vocab.end)
-        score = np.bincount(text, log10_likelihoods(self.p, x, y).sum(1), n_docs) + np.bincount(doc, self.share[at], n_docs) + self.vocab.share[EOS]
+        few, times = np.unique(doc[rare] * len(book.words) + at[rare], return_counts=True)
+        cut = np.searchsorted(few // max(1, len(book.words)), np.arange(n_docs + 1))
+        names, times = [book.words[i] for i in (few % max(1, len(book.words))).tolist()], times.tolist()
+        tokens = book.tokens(at, n_words)
+        x, target, text = tokens.windows()
+        score = np.bincount(text, self.net.likelihoods(tokens, x, target).sum(1), n_docs)
         return [(n + 1, k, b, s, names[i:j], times[i:j]) for n, k, b, s, i, j in zip(n_words.tolist(), known.tolist(), scores.tolist(), score.tolist(), cut, cut[1:])]
 
 
@@ -485,22 +499,21 @@ def score(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out(), F.lit(False)).alias("held_out"))
-    gathered = materialize(map_arrow(docs.where(~F.col("held_out")).select("doc_id", "text"), _gather, _GATHERED), "lm-gathered")
-    counts = materialize(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    training = docs.where(~F.col("held_out")).select("doc_id", "text")
+    counts = materialize(map_arrow(training, _gather, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word") == b"", F.col("n"))).alias("ends")).first()
     n, v, ends = total["n"] or 0, total["v"], total["ends"] or 0
-    n_ids = np.zeros(_processor(model_path).get_piece_size(), np.int64)
-    encoded = _encoded(counts, model_path)
-    got = _id_counts(encoded).toPandas()  # at most the vocabulary
-    n_ids[got["id"].to_numpy()] = got["n"].to_numpy()
+    steps = _step_counts(_encoded(counts, model_path))
+    n_ids = _id_counts(steps, _processor(model_path).get_piece_size())
     n_ids[EOS] += ends
-    vocabulary = Vocabulary(n_ids)
-    p = start(vocabulary, _followers(encoded, vocabulary))
-    passages = gathered.where("passage is not null").select("passage")
-    for r in range(ROUNDS):
-        p = _round(passages, p, vocabulary, model_path, RATE / (r + 1))
+    vocabulary = Vocabulary(n_ids, begins(model_path))
+    p, rows = start(vocabulary, _followers(steps, vocabulary, ends))
     hot = {bytes(r["word"]): r["n"] for r in counts.where((F.col("word") != b"") & (F.col("n") * HOT >= n)).collect()}
-    shared = spark.sparkContext.broadcast((p, vocabulary, hot, ends, n, v, model_path))
+    fixed = (rows, vocabulary, _kept(steps, n), hot, model_path)
+    deal = F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))
+    for first, last in ROUNDS:
+        p = _round(training.where(deal.between(first, last - 1)), p, fixed, RATE)
+    shared = spark.sparkContext.broadcast((p, *fixed, ends, n, v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid, scorer = TaskContext.get().partitionId() << 33, None

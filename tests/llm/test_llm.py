@@ -74,62 +74,104 @@ def test_lm_base_scores(odd, monkeypatch):
     assert np.allclose([g[4] for g in got], [w[4] for w in want])
 
 
-def test_lm_probabilities_add_up_and_scores_are_whole():
-    rng = np.random.default_rng(1)
-    vocab = lm_score.Vocabulary(rng.integers(0, 50, 32000))
-    assert np.allclose(np.bincount(vocab.of, 10**vocab.share, lm_score.CLASSES), 1)
-    p = {k: rng.normal(0, 0.3, s).astype(np.float32) for k, s in lm_score.SHAPES.items()}
-    x, y, _ = lm_score.windows(np.array([5, 9, 3, vocab.end]), np.array([4]), vocab.end)
-    each = np.array([10 ** lm_score.log10_likelihoods(p, x, np.full_like(y, c))[0] for c in range(lm_score.CLASSES)])
-    assert np.allclose(each[:, :4].sum(0), 1, atol=1e-4)
-    plain = lm_score._forward(p, x)[-1]
-    plain = plain - np.log(np.exp(plain).sum(1, keepdims=True))
-    assert np.allclose(lm_score.log10_likelihoods(p, x, y)[0, :4] * np.log(10), plain[np.arange(4), y[0, :4]], atol=1e-4)
+def small_book(seed=1):
+    """A book, a net with random parameters and some texts over few words."""
+    rng = np.random.default_rng(seed)
+    path = queries.model_path()
+    words = [b"the", b"then", b"there", b"other", b"mother", b"th", b"x1", b"ordinary"]
+    ids, sizes = lm_score._ids(path, words)
+    n = np.arange(2, len(words) + 2)
+    step, first = lm_score.steps_of(ids, sizes)
+    keys, at = np.unique(step, return_inverse=True)
+    count = np.bincount(at, np.repeat(n, sizes)).astype(np.int64)
+    context, of = np.unique(keys >> 16, return_inverse=True)
+    kept = rng.random(len(keys)) < 0.7
+    steps = lm_score.Steps(keys[kept], count[kept], np.bincount(of, count)[of].astype(np.int64)[kept])
+    n_ids = np.bincount(ids, np.repeat(n, sizes), 32000).astype(np.int64)
+    n_ids[lm_score.EOS] = 5
+    vocab = lm_score.Vocabulary(n_ids, lm_score.begins(path))
+    p, rows = lm_score.start(vocab, rng.integers(0, 9, (lm_score.CLASSES, lm_score.CLASSES)).astype(float))
+    p = {k: rng.normal(0, 0.4, v.shape).astype(np.float32) for k, v in p.items()}
+    book = lm_score.Book(vocab, steps, {w: int(c) for w, c in zip(words[:3], n)}, path)
+    texts = [b"the other then unknown mother", b"", b" ".join(rng.choice(words, 90).tolist()), b"th"]
+    split = [t.split() for t in texts]
+    tokens = book.tokens(book.places([w for t in split for w in t]), np.array(list(map(len, split))))
+    return book, lm_score.Net(p, rows, vocab.begins), tokens, split
+
+
+def test_lm_probabilities_of_all_ids_add_up():
+    book, net, tokens, split = small_book()
+    ids, sizes = lm_score._ids(book.model_path, split[0])
+    start = book.begins
+    for place in (0, 1, 2, len(ids)):  # before the first text, after some of its ids, and at its end
+        if place:
+            context = lm_score.steps_of(ids, sizes)[0][place - 1] >> 16 << 16
+            own, left = book.steps.of(np.where(start, context | lm_score.NONE, context | np.arange(32000)))
+        else:
+            own, left = start.astype(np.float32), np.zeros(32000, np.float32)
+        t = lm_score.Tokens(book.vocabulary.of.astype(np.int64), book.vocabulary.share, own, left, start, np.array([32000]), tokens.end)
+        x, target, _ = tokens.windows()
+        x, at = np.repeat(x[:1], 800, axis=0), np.zeros((800, lm_score.STRIDE), np.int64)
+        at[:, place] = 0
+        total = 0.0
+        for a in range(0, 32000, 800):
+            at[:, place] = np.arange(a, a + 800)
+            total += (10 ** net.likelihoods(t, x, at)[:, place]).sum()
+        assert total == pytest.approx(1, abs=2e-3)
 
 
 def test_lm_windows_score_each_id_once_and_see_nothing_later():
-    ids = np.arange(1, 101)
-    ends = np.array([70, 71, 100])
-    x, y, text = lm_score.windows(ids, ends, 0)
-    assert sorted(y[y >= 0].tolist()) == ids.tolist()
-    assert [sorted(y[text == t][y[text == t] >= 0].tolist()) for t in range(3)] == [list(range(1, 71)), [71], list(range(72, 101))]
-    x, y, text = lm_score.windows(ids % (lm_score.CLASSES - 1), ends, 0)  # from here on ids are classes
-    rng = np.random.default_rng(2)
-    p = {k: rng.normal(0, 0.3, s).astype(np.float32) for k, s in lm_score.SHAPES.items()}
-    before = lm_score.log10_likelihoods(p, x, y)
+    x, at, text = lm_score.windows(np.array([170, 1, 129]))
+    assert sorted(at[at >= 0].tolist()) == list(range(300))
+    assert [sorted(at[text == t][at[text == t] >= 0].tolist()) for t in range(3)] == [list(range(170)), [170], list(range(171, 300))]
+    first = x[text == 2][0]
+    assert first[lm_score.CONTEXT] == -1 and (first[: lm_score.CONTEXT] == -2).all()
+    assert (x[(text == 0).nonzero()[0][1]][lm_score.CONTEXT + 1 :] == at[1][:-1]).all()
+    _, net, tokens, _ = small_book()
+    x, at, _ = tokens.windows()
+    before = net.likelihoods(tokens, x, at)
     later = x.copy()
-    later[0, -1] = lm_score.CLASSES - 1  # the last input of the first window
-    after = lm_score.log10_likelihoods(p, later, y)
-    assert np.allclose(before[0, :-1], after[0, :-1]) and not np.allclose(before[0, -1], after[0, -1])
+    later[0, -1] = (x[0, -1] + 1) % lm_score.CLASSES  # the last input of the first window
+    after = net.likelihoods(tokens, later, at)
+    assert np.allclose(before[0, :-1], after[0, :-1])
 
 
 def test_lm_gradients():
-    rng = np.random.default_rng(4)
-    p = {k: rng.normal(0, 0.3, s) for k, s in lm_score.SHAPES.items()}
-    x, y, _ = lm_score.windows(rng.integers(0, lm_score.CLASSES, 60), np.array([40, 60]), 7)
-    loss = lambda q: -lm_score.log10_likelihoods({k: v.astype(np.float32) for k, v in q.items()}, x, y).sum() * np.log(10) / (y >= 0).sum()
-    g = lm_score.gradients({k: v.astype(np.float32) for k, v in p.items()}, x, y)
-    for k in p:
-        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
-        up, down = ({n: v.copy() for n, v in p.items()} for _ in range(2))
-        up[k][at] += 0.02
-        down[k][at] -= 0.02
-        assert (loss(up) - loss(down)) / 0.04 == pytest.approx(g[k][at], rel=0.1, abs=2e-4)
-
-
-def test_lm_learns(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = lm_score.score(docs, queries.model_path()).where("held_out").toPandas()
-    assert got["score"].corr(got["base_score"]) > 0.95
-    assert -got["score"].sum() / np.log10(2) / got["n_tokens"].sum() < 30  # an untrained model takes 15 bits for each subword
+    _, net, tokens, _ = small_book()
+    x, at, _ = tokens.windows()
+    loss = lambda: -net.likelihoods(tokens, x, at).sum() * np.log(10) / (at >= 0).sum()
+    g = net.gradients(tokens, x, at)
+    for k, own in net.p.items():
+        place = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        kept, found = own[place], []
+        for d in (0.02, -0.02):
+            own[place] = kept + np.float32(d)
+            found.append(loss())
+        own[place] = kept
+        assert (found[0] - found[1]) / 0.04 == pytest.approx(g[k][place], rel=0.1, abs=2e-4)
+
+
+def two_languages(seed, words):
+    """Texts that keep to one of two halves of the words: what a text has said tells what it will say."""
+    rng = random.Random(seed)
+    half = len(words) // 2
+    return [(i, " ".join(rng.choices(words[i % 2 * half :][:half], k=rng.randint(20, 80)))) for i in range(2500)]
+
+
+def test_lm_beats_word_counts_on_held_out_texts_of_each_corpus(spark):
+    """Two corpora in one session: nothing is carried over from one to the other, and each model learns from what stands before."""
+    for seed, words in ((1, [f"{a}{b}" for a in ("the", "on", "ver", "pla", "str") for b in ("ing", "er", "ate", "um", "ix", "o")]), (2, [f"{a}{b}" for a in ("qui", "zor", "bra", "men", "ul") for b in ("a", "eth", "on", "ist", "yr", "ing")])):
+        docs = spark.createDataFrame(two_languages(seed, words), "doc_id long, text string")
+        got = lm_score.score(docs, queries.model_path()).where("held_out").toPandas()
+        bits = {c: -got[c].sum() / np.log10(2) / got["n_tokens"].sum() for c in ("score", "base_score")}
+        assert bits["score"] < bits["base_score"] - 0.3, bits
 
 
-def test_lm_trains_on_every_word_of_every_text():
-    long = " ".join(f"w{i}" for i in range(5 * lm_score.PASSAGE + 3))
-    batch = pa.RecordBatch.from_pydict({"doc_id": [63, None, 5, 7], "text": ["a b", "c", long, ""]})
-    got = [p for b in lm_score._gather(iter([batch])) for p in b.column("passage").to_pylist() if p is not None]
-    assert [w for p in got for w in p.split()] == f"a b c {long}".encode().split()
-    assert sum(p.startswith(b"\n") for p in got) == sum(p.endswith(b"\n") for p in got) == 4
+def test_lm_counts_every_word_and_trains_on_every_text(spark, monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [63, None, 5, 7], "text": ["a b", "c", "a " * 5000, ""]})
+    assert sum((Counter(dict(zip(*(c.to_pylist() for c in b.columns)))) for b in lm_score._gather(iter([batch]))), Counter()) == {b"a": 5001, b"b": 1, b"c": 1, b"": 4}
+    shares = [s for a, b in lm_score.ROUNDS for s in range(a, b)]
+    assert shares == list(range(lm_score.SHARES))
 
 
 def test_lm_empty(spark, odd):
