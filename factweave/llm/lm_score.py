@@ -17,11 +17,11 @@ The model predicts every subword id from those before it. One head of causal
 self-attention looks back at up to CONTEXT + STRIDE ids; what it gathers (the
 language and manner of the text) is added to the logits with which classes follow
 one another. A class's probability times the id's share of the class is the
-probability of an id. This distribution is mixed with the kept steps by absolute
-discounting: what the steps leave over goes to the network, and where a step
-ends the word, the network chooses among ids that begin one. So every id of the
-vocabulary has a probability at every place, and they add up to one. The
-gradient is that of the mixed likelihood.
+probability of an id. This is mixed with the kept steps by absolute discounting:
+what the steps leave over goes to the network, and where the word ends, by a step
+or by how often words end after such a class, the network chooses among ids that
+begin one. So every id of the vocabulary has a probability at every place, and
+they add up to one. The gradient is that of the mixed likelihood.
 
 A text is its subword ids and one end. Windows of CONTEXT + STRIDE ids overlap by
 CONTEXT and score STRIDE ids each, so each id is scored once, in batched masked
@@ -54,12 +54,14 @@ from factweave.llm.common import BATCH_ROWS, map_arrow, materialize, slices
 from factweave.llm.pieces import EOS
 
 FOLDS, HELD_OUT = 7, 2
-#: Classes: ids of their own, then rare ids that begin a word, then rare ids within words.
+#: Ids that are classes of their own, and classes of rare ids that begin a word; as many of those within words.
 SINGLES, RARE = 352, 16
 CLASSES = SINGLES + 2 * RARE
 KEY, WIDTH = 8, 16
 CONTEXT, STRIDE = 24, 40
 BATCH, RATE = 64, 0.01
+#: Places whose logits are computed together.
+CHUNK = 256
 #: Hash values (of SHARES) of the documents of each round; every document is in one of them.
 SHARES, ROUNDS = 16, ((0, 1), (1, 5), (5, 16))
 #: Words that are at least one in HOT of all: at most HOT words, whatever the corpus. Steps likewise.
@@ -188,23 +190,27 @@ def _id_counts(steps: DataFrame, size: int) -> np.ndarray:
 
 
 class Vocabulary:
-    """Ids to classes, each id's share of its class, and which classes begin a word: a class has ids that do or ids that don't."""
+    """Ids to classes and each id's share of its class. Classes of ids that begin a word (an end counts as one) come first, `begun` of them, then those of ids within words."""
 
     def __init__(self, n: np.ndarray, start: np.ndarray):
         smooth = n.astype(np.float64) + 0.1
         order = np.argsort(-smooth, kind="stable")
         order = np.concatenate([[EOS], order[order != EOS]])
-        self.of = np.empty(len(n), np.uint16)
-        self.of[order[:SINGLES]] = np.arange(SINGLES)
-        rest = order[SINGLES:]
-        for base, part in ((SINGLES, rest[start[rest]]), (SINGLES + RARE, rest[~start[rest]])):
+        single = np.zeros(len(n), bool)
+        single[order[:SINGLES]] = True
+        self.of, at = np.empty(len(n), np.uint16), 0
+        for side in (start, ~start):
+            own = order[side[order] & single[order]]
+            self.of[own] = at + np.arange(len(own))
+            rest = order[side[order] & ~single[order]]
             # rare classes of about the same weight
-            self.of[part] = base + np.minimum((np.cumsum(smooth[part]) / max(smooth[part].sum(), 1e-9) * RARE).astype(int), RARE - 1)
+            self.of[rest] = at + len(own) + np.minimum((np.cumsum(smooth[rest]) / max(smooth[rest].sum(), 1e-9) * RARE).astype(int), RARE - 1)
+            at += len(own) + RARE
+            if side is start:
+                self.begun = at
         weight = np.bincount(self.of, smooth, CLASSES)
         self.share = (smooth / weight[self.of]).astype(np.float32)
         self.weight = np.maximum(weight, 1e-9)
-        self.begins = np.zeros(CLASSES, bool)
-        self.begins[self.of[start]] = True
         self.end = int(self.of[EOS])
 
 
@@ -259,14 +265,14 @@ _DISTANCE = CONTEXT + np.arange(STRIDE)[:, None] - np.arange(_LENGTH)[None, :]
 SHAPES = {"query": (CLASSES + 1, KEY), "key": (CLASSES + 1, KEY), "value": (CLASSES + 1, WIDTH), "out": (WIDTH, CLASSES), "near": (_LENGTH,)}
 
 
-def start(vocabulary: Vocabulary, followers: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """First parameters, and the logits with which classes follow one another (rows: the class before, PAD last), which stay."""
+def start(vocabulary: Vocabulary, followers: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """First parameters, and what stays: the logits with which classes follow one another (rows: the class before, PAD last), and how often a word ends after each."""
     rng = np.random.default_rng(7)
     p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in SHAPES.items()}
     p["near"] = (-0.02 * np.arange(_LENGTH)).astype(np.float32)
     share = vocabulary.weight / vocabulary.weight.sum()
-    rows = np.log((followers + 20 * share) / (followers.sum(1, keepdims=True) + 20))
-    return p, np.vstack([rows, np.log(share)]).astype(np.float32)
+    rows = np.vstack([(followers + 20 * share) / (followers.sum(1, keepdims=True) + 20), share])
+    return p, (np.log(rows).astype(np.float32), rows[:, : vocabulary.begun].sum(1).astype(np.float32))
 
 
 def windows(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,11 +305,20 @@ class Tokens:
 
 
 class Net:
-    """The mixed model: likelihoods of targets, and gradients of their mean."""
+    """The mixed model: likelihoods of targets, and gradients of their mean.
 
-    def __init__(self, p: dict[str, np.ndarray], rows: np.ndarray, begins: np.ndarray):
-        self.p, self.rows = p, rows
-        self.sides = np.stack([np.ones(CLASSES), begins]).astype(np.float32)
+    After an id, a kept step or what the steps leave says whether the word ends;
+    then the network chooses among the classes that begin a word. Within a word it
+    chooses among the others, as far as the steps leave room. So each target needs
+    the logits of its own side only.
+    """
+
+    def __init__(self, p: dict[str, np.ndarray], fixed: tuple[np.ndarray, np.ndarray], begun: int):
+        self.p, self.ends = p, fixed[1]
+        self.sides = (slice(begun, CLASSES), slice(0, begun))  # within words, at their beginning
+        self.rows = [np.ascontiguousarray(fixed[0][:, side]) for side in self.sides]
+        # fresh arrays of this size would cost more than the arithmetic
+        self.space = [np.empty((2, CHUNK, side.stop - side.start), np.float32) for side in self.sides]
 
     def _attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         p = self.p
@@ -316,38 +331,53 @@ class Net:
         w *= near
         h = np.matmul(w, v)
         h /= np.maximum(h[..., WIDTH:], np.float32(1e-30))
-        return q, k, v, w, h[..., :WIDTH].reshape(-1, WIDTH)
+        return q, k, v, w, np.ascontiguousarray(h[..., :WIDTH]).reshape(-1, WIDTH)
 
-    def _mixed(self, x: np.ndarray, h: np.ndarray, t: Tokens, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        e = h @ self.p["out"]
-        e += self.rows[x[:, CONTEXT:].ravel()]
+    def _mixed(self, side: int, out: np.ndarray, before: np.ndarray, h: np.ndarray, t: Tokens, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of at most CHUNK targets of one side: exponentials of its logits, their sums, what the network gives the target, and what the steps do."""
+        n, space = len(at), self.space[side]
+        e = np.dot(h, out, out=space[0, :n])
+        e += np.take(self.rows[side], before, axis=0, out=space[1, :n], mode="clip")
         np.exp(np.minimum(e, 60, out=e), out=e)
-        z = e @ self.sides.T
-        at = np.maximum(at.ravel(), 0)
-        hit = e[np.arange(len(at)), t.kind[at]] * t.share[at]
-        plain, begun = t.left[at] * hit / z[:, 0], t.own[at]
-        begun = np.where(t.begins[at], begun * hit / np.maximum(z[:, 1], np.float32(1e-30)), begun)
-        return e, z, plain, begun, at
+        z = e.sum(1)
+        net = e[np.arange(n), t.kind[at] - self.sides[side].start] * t.share[at] / z
+        own, left = t.own[at], t.left[at]
+        if side:
+            return e, z, net * (own + left * self.ends[before]), np.float32(0)
+        return e, z, net * left * (1 - self.ends[before]), own
+
+    def _each(self, x: np.ndarray, h: np.ndarray, t: Tokens, target: np.ndarray) -> Iterator[tuple]:
+        """(side, output of the side, places, results of _mixed) in parts that stay in a core's cache."""
+        before, begins = x[:, CONTEXT:].ravel(), t.begins[np.maximum(target, 0)]
+        for side in (0, 1):
+            out = np.ascontiguousarray(self.p["out"][:, self.sides[side]])
+            places = np.flatnonzero((begins == side) & (target >= 0))
+            for a in range(0, len(places), CHUNK):
+                part = places[a : a + CHUNK]
+                yield side, out, part, self._mixed(side, out, before[part], h[part], t, target[part])
 
     def likelihoods(self, t: Tokens, x: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 of each target's probability, 0 beyond texts; in parts that stay in a core's cache."""
-        out = np.zeros(at.shape)
-        for a in range(0, len(x), BATCH // 2):
-            part, target = x[a : a + BATCH // 2], at[a : a + BATCH // 2]
-            _, _, plain, begun, _ = self._mixed(part, self._attend(part)[-1], t, target)
-            out[a : a + BATCH // 2] = np.where(target >= 0, np.log10(np.maximum(plain + begun, 1e-37)).reshape(-1, STRIDE), 0)
-        return out
+        """log10 of each target's probability, 0 beyond texts."""
+        out = np.zeros(at.size)
+        for a in range(0, len(x), BATCH):
+            part, target = x[a : a + BATCH], at[a : a + BATCH].ravel()
+            for _, _, places, (_, _, net, own) in self._each(part, self._attend(part)[-1], t, target):
+                out[a * STRIDE + places] = np.log10(np.maximum(net + own, 1e-37))
+        return out.reshape(at.shape)
 
     def gradients(self, t: Tokens, x: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-likelihood of a batch."""
         q, k, v, w, h = self._attend(x)
-        e, z, plain, begun, at = self._mixed(x, h, t, target)
-        live = target.ravel() >= 0
-        scale = live / (np.maximum(plain + begun, np.float32(1e-37)) * max(1, live.sum()))
-        u, b = np.where(t.begins[at], begun, 0) * scale, plain * scale
-        e *= np.stack([b / z[:, 0], u / np.maximum(z[:, 1], 1e-30)], axis=1).astype(np.float32) @ self.sides
-        e[np.arange(len(at)), t.kind[at]] -= (u + b).astype(np.float32)
-        dh = (e @ self.p["out"].T).reshape(len(x), STRIDE, WIDTH)
+        target = target.ravel()
+        count = np.float32(max(1, (target >= 0).sum()))
+        dh, dout = np.zeros_like(h), np.zeros((WIDTH, CLASSES), np.float32)
+        for side, out, places, (e, z, net, own) in self._each(x, h, t, target):
+            weight = net / (np.maximum(net + own, np.float32(1e-37)) * count)
+            e *= (weight / z)[:, None]
+            e[np.arange(len(places)), t.kind[target[places]] - self.sides[side].start] -= weight
+            dh[places] = e @ out.T
+            dout[:, self.sides[side]] += h[places].T @ e
+        dh = dh.reshape(len(x), STRIDE, WIDTH)
         a = w / np.maximum(np.matmul(w, v[..., WIDTH:]), np.float32(1e-30))
         a *= (x != PAD)[:, None, :]
         v = v[..., :WIDTH]
@@ -357,7 +387,7 @@ class Net:
         dq, dk, dv = np.matmul(da, k) * np.float32(KEY**-0.5), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)
         near = np.bincount(np.maximum(_DISTANCE, 0).ravel(), np.where(_DISTANCE >= 0, da.sum(0), 0).ravel(), _LENGTH)
         add = lambda kind, d, n: np.bincount((kind[..., None] * n + np.arange(n)).ravel(), d.ravel(), (CLASSES + 1) * n).reshape(-1, n)
-        return {"query": add(x[:, CONTEXT:], dq, KEY), "key": add(x, dk, KEY), "value": add(x, dv, WIDTH), "out": h.T @ e, "near": near}
+        return {"query": add(x[:, CONTEXT:], dq, KEY), "key": add(x, dk, KEY), "value": add(x, dv, WIDTH), "out": dout, "near": near}
 
     def train(self, t: Tokens, state: dict, rate: float = RATE) -> None:
         """One Adam step for each batch of windows, in place."""
@@ -448,7 +478,7 @@ def _round(docs: DataFrame, p: dict[str, np.ndarray], fixed: tuple, rate: float)
             for _, texts in slices(batch):
                 if net is None:
                     own, rows, vocabulary, steps, hot, model_path = shared.value
-                    net, book = Net({k: v.copy() for k, v in own.items()}, rows, vocabulary.begins), Book(vocabulary, steps, hot, model_path)
+                    net, book = Net({k: v.copy() for k, v in own.items()}, rows, vocabulary.begun), Book(vocabulary, steps, hot, model_path)
                 split = [words_of(t) for t in texts]
                 tokens = book.tokens(book.places(list(chain.from_iterable(split))), np.array(list(map(len, split))))
                 net.train(tokens, state, rate)
@@ -471,8 +501,8 @@ def _round(docs: DataFrame, p: dict[str, np.ndarray], fixed: tuple, rate: float)
 class Scorer:
     """Scores texts with the model and the counts of hot words."""
 
-    def __init__(self, p: dict, rows: np.ndarray, vocabulary: Vocabulary, steps: Steps, hot: dict[bytes, int], model_path: str, ends: int, total: int, distinct: int):
-        self.net, self.book = Net(p, rows, vocabulary.begins), Book(vocabulary, steps, hot, model_path)
+    def __init__(self, p: dict, rows: tuple, vocabulary: Vocabulary, steps: Steps, hot: dict[bytes, int], model_path: str, ends: int, total: int, distinct: int):
+        self.net, self.book = Net(p, rows, vocabulary.begun), Book(vocabulary, steps, hot, model_path)
         self.unit = float(np.log10(total + 1.0 * (distinct + 1)))
         self.end, self.known_end = float(np.log10(ends + 1.0)) - self.unit, int(ends > 0)
 

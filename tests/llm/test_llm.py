@@ -96,7 +96,7 @@ def small_book(seed=1):
     texts = [b"the other then unknown mother", b"", b" ".join(rng.choice(words, 90).tolist()), b"th"]
     split = [t.split() for t in texts]
     tokens = book.tokens(book.places([w for t in split for w in t]), np.array(list(map(len, split))))
-    return book, lm_score.Net(p, rows, vocab.begins), tokens, split
+    return book, lm_score.Net(p, rows, vocab.begun), tokens, split
 
 
 def test_lm_probabilities_of_all_ids_add_up():
