@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -23,14 +24,15 @@ _SHARED: dict[tuple, dict] = {}
 
 def shared(spark: SparkSession, sf_dir: str) -> dict:
     """The events journal with its projection, aggregate and valid claims: written once for each input and session, as a stored projection is."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(files)))
     if key not in _SHARED:
         j = materialize(journalize.events_journal(spark, sf_dir), "journal")
-        p = projection.project(j)
+        steps = projection.prepared(j)
+        p = projection.project_prepared(steps)
         p = Projection(**{k: materialize(t, k) for k, t in p.tables().items()})
         agg = materialize(validity.claim_aggregate(p, j, NOW), "aggregate")
-        stated = materialize(prescan.statements(j), "stated")
-        _SHARED[key] = {"j": j, "p": p, "agg": agg, "valid": materialize(validity.valid_claims(p, agg), "valid"), "stated": stated}
+        _SHARED[key] = {"j": j, "p": p, "agg": agg, "valid": materialize(validity.valid_claims(p, agg), "valid"), "stated": steps.stated, "steps": steps}
     return _SHARED[key]
 
 
@@ -174,7 +176,77 @@ def bfs_paths(spark, d):
 
 
 def invariants(spark, d):
-    return checks.violations(shared(spark, d)["p"])
+    """On a copy with faults of seven kinds: how often each invariant is broken."""
+    p = shared(spark, d)["p"]
+    seq, part = F.substring("event_id", 4, 26).cast("long"), lambda c: ids.seq_of(F.col(c))
+    bad = lambda when, value, c: F.when(when, value).otherwise(F.col(c))
+    support = p.claim_support.withColumn("expires_at", bad(seq % 7 == 0, F.lit(1).cast("long"), "expires_at")).withColumn("scope_key", bad(seq % 17 == 0, F.lit("u:none/p:events"), "scope_key")).withColumn("live", bad(seq % 11 == 0, F.lit(0), "live"))
+    claims = p.claims.withColumn("object_id", bad((F.col("origin_seq") % 13 == 0) & F.col("object_id").isNotNull(), F.lit("e0.9"), "object_id")).withColumn("object_value", bad(F.col("origin_seq") % 19 == 0, F.lit("both"), "object_value"))
+    moved = p.id_redirects.withColumn("new_id", bad(part("old_id") % 23 == 0, F.lit("e0.9"), "new_id"))
+    twice = p.entities.unionByName(p.entities.where("origin_seq % 5 = 0").withColumn("id", F.concat("id", F.lit("9"))))
+    surfaces = p.surface_forms.withColumn("entity_id", bad(part("entity_id") % 3 == 0, F.lit("e0.9"), "entity_id"))
+    return checks.violations(Projection(statements=p.statements, entities=twice, surface_forms=surfaces, claims=claims, claim_support=support, id_redirects=moved))
+
+
+def refusals(spark, d):
+    """What the set-based way refuses, by rule, on a journal in which some names are empty, some claims are stated twice, and some retracted claims aren't there or not yet."""
+    j = shared(spark, d)["j"]
+    seq, body = F.col("seq"), F.col("body")
+    wrong = F.when((F.col("kind") == "statement") & (seq % 100 == 11), F.regexp_replace(body, r'"subject":"[^"]*"', '"subject":" - "'))
+    wrong = wrong.when((F.col("kind") == "statement") & (seq % 100 == 13), F.regexp_replace(body, r'"parsed":\[(.*?)\]', '"parsed":[$1,$1]'))
+    claim = body.contains('"claim_id"')
+    wrong = wrong.when(claim & (seq % 2 == 0), F.regexp_replace(body, r'"c[0-9]+\.0"', '"c1.77"')).when(claim & (seq % 3 == 0), F.regexp_replace(body, r'"c[0-9]+\.0"', F.concat(F.lit('"c'), (seq + 5).cast("string"), F.lit('.0"'))))
+    steps = projection.prepared(j.withColumn("body", F.coalesce(wrong, body)))
+    resolved = projection.resolved_claims(steps.drafts, projection.entities_of(steps.mentioned.where("normal_name is not null")))
+    return projection.refusals(steps, resolved).groupBy("scope_key", "problem").agg(F.count("*").alias("n"))
+
+
+def row_counts(spark, d):
+    return checks.row_counts(shared(spark, d)["p"])
+
+
+def kind_conflicts(spark, d):
+    """Entities to which live statements give several kinds: here an item's kind changes with every fourth event."""
+    steps = shared(spark, d)["steps"]
+    mixed = steps.mentioned.withColumn("kind", F.when((F.col("place") == 1) & (F.col("seq") % 4 == 0), "gadget").otherwise(F.col("kind")))
+    found = projection.kind_conflicts(mixed, projection.entities_of(mixed))
+    return found.select("scope_key", "id", F.array_join("kinds", ",").alias("kinds"))
+
+
+def redirect_violations(spark, d):
+    """On the events' chain with loops, unknown ids and several ways out."""
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id")
+    ref = lambda n: ids.make("e", n, F.lit(0))
+    scope, kind = F.lit(journalize.CHAIN).alias("scope_key"), F.lit("entity").alias("kind")
+    n = F.col("event_id")
+    to = F.when(n % 7 == 3, n).when(n % 7 == 5, n + 10_000_000).otherwise(n - 1)
+    r = e.where("event_id % 5 != 0").select(scope, ref(n).alias("old_id"), ref(to).alias("new_id"), kind, F.lit("merge").alias("reason"))
+    more = e.where("event_id % 35 = 1").select(scope, ref(n).alias("old_id"), ref(n - 2).alias("new_id"), kind, F.lit("merge").alias("reason"))
+    anchors = e.select(scope, ref(n).alias("id"), kind)
+    found = redirects.violations(r.unionByName(more), anchors).where("problem in ('SELF_REDIRECT', 'DANGLING_REDIRECT', 'SEVERAL_REDIRECTS')")
+    return found.groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def reinterpretation_candidates(spark, d):
+    """Live inferred statements of the events journal at its fixed time."""
+    from factweave.operators import writes
+
+    stated = shared(spark, d)["stated"]
+    return writes.reinterpretation_candidates(stated, NOW).select("scope_key", "id", "seq")
+
+
+def trigram_postings(spark, d):
+    """The search index over all documents: each text's trigrams, counted and added up."""
+    t = lookup.postings(journalize.texts(spark, d))
+    return t.groupBy("scope_key", "seq").agg(F.count("*").alias("trigrams"), F.sum(F.length("trigram").cast("long")).alias("points"))
+
+
+def bm25_indexed(spark, d):
+    """bm25_topk by way of the index: only rows that have all trigrams of a phrase are read."""
+    t, wanted = journalize.texts(spark, d), ["licen", "tion the"]
+    few = t.join(lookup.posted(lookup.postings(t), wanted), ["scope_key", "seq"], "left_semi")
+    found = lookup.bm25(few, wanted, lookup.measured(t)).orderBy(F.round("score", 9), F.desc("seq")).limit(K.FTS_ROWS)
+    return found.select("scope_key", "seq", F.round("score", 6).alias("score"), "phrase")
 
 
 def expiry_mismatch(spark, d):
@@ -200,7 +272,11 @@ def rollout_metrics(spark, d):
 
 
 def dispatch_mode(spark, d):
-    return dispatch.mode(shared(spark, d)["j"].where(F.col("seq") % 2 == 0))
+    """By scope, and once more without reinterpretations and for plain statements only, so that each reason is seen."""
+    j = prescan.parsed(shared(spark, d)["j"])
+    plain = j.where("b.supersedes is null")
+    parts = {"all": j, "no_supersedes": plain, "statements": plain.where("kind = 'statement'")}
+    return reduce(DataFrame.unionByName, (dispatch.mode(x).withColumn("part", F.lit(k)) for k, x in parts.items()))
 
 
 def replay_reason(spark, d):
@@ -211,9 +287,10 @@ def replay_reason(spark, d):
 
 
 def upsert_changes(spark, d):
-    """Statements of the journal's first events against all."""
+    """Statements of the journal's first half against all."""
     s = shared(spark, d)
-    half = projection_of(s["j"].where(F.col("seq") <= 500)).statements
+    last = s["j"].agg(F.max("seq")).first()[0] or 0
+    half = projection_of(s["j"].where(F.col("seq") <= last // 2)).statements
     return dispatch.changes(half, s["p"].statements, ["event_id"])
 
 
@@ -232,40 +309,32 @@ def canonical_digest(spark, d):
 
 
 def fold_parity(spark, d):
-    """The fold's tables against the set-based ones: rows that only one of them has, by table; all zero. Over the whole journal."""
+    """The fold's tables against the set-based ones: rows of the fold, and rows that only one of them has, by table. Over the whole journal."""
     s = shared(spark, d)
     return differing(s["p"].tables(), fold.project(s["j"]).tables())
 
 
 def differing(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
-    """(name, n): rows that only one of two projections has, by table."""
-    rows = []
+    """(name, rows, n): rows of the second of two projections, and rows that only one has, by table."""
+    found = []
     for name, s in schema.TABLES.items():
-        x, y = (materialize(t[name].select(*s.names), "parity") for t in (a, b))
-        rows.append(x.exceptAll(y).unionByName(y.exceptAll(x)).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n"))
-    return reduce(DataFrame.unionByName, rows)
+        x, y = (t[name].select(*s.names).groupBy(*s.names).agg(F.count("*").alias(c)) for t, c in ((a, "x"), (b, "y")))
+        on = reduce(lambda p, q: p & q, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in s.names))
+        both = x.alias("a").join(y.alias("b"), on, "full_outer").select(F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+        found.append(both.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.abs(F.col("x") - F.col("y"))), F.lit(0)).alias("n")).select(F.lit(name).alias("name"), "rows", "n"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def merge_alias_projection(spark, d):
-    """Scopes with a merge and an alias, through the choice between both ways."""
-    import json
-
-    def row(seq, scope, kind, body):
-        return seq, f"ev_{seq:026d}", scope, kind, json.dumps(body), None, None, None, 1_700_000_000 + seq
-
-    def says(a, relation, b):
-        return {"raw_text": f"{a} {relation} {b}", "parsed": [{"subject": a, "relation": relation, "object": b}], "provenance": "observed", "ttl": "permanent"}
-
-    rows = []
-    for i, scope in enumerate(("u:m/p:a", "u:m/p:b")):
-        n = 10 * i
-        rows += [row(n + 1, scope, "statement", says("Alpha", "uses", "Beta")), row(n + 2, scope, "statement", says("Alfa", "uses", "Beta")), row(n + 3, scope, "merge", {"keep": f"e{n + 1}.0", "absorb": f"e{n + 2}.0"})]
-        rows += [row(n + 4, scope, "alias", {"surface": "A", "entity_id": f"e{n + 1}.0"}), row(n + 5, scope, "statement", says("A", "rejects", "Gamma"))]
-    return dispatch.project(spark.createDataFrame(rows, schema.JOURNAL)).claims
+    """The whole journal with merges, aliases and several drafts a statement, through the choice between both ways: claims, and what holds of them."""
+    j = materialize(journalize.decided_journal(spark, d), "decided")
+    p = dispatch.project(j)
+    agg = validity.claim_aggregate(p, j, NOW).select("scope_key", F.col("claim_id").alias("id"), "support_count", "relation_label")
+    return p.claims.select("id", "scope_key", "subject_id", "relation", "object_id", "object_value", "state", "origin_seq").join(agg, ["scope_key", "id"], "left").withColumn("support_count", F.coalesce("support_count", F.lit(0)))
 
 
 def incremental_vs_replay(spark, d):
-    """Projections after appending the whole journal in three batches, scope by scope, against one replay: rows of the six tables that only one of them has; none."""
+    """Projections after appending the whole journal in three batches, scope by scope, against one replay: rows of the six tables, and rows that only one of them has."""
     s = shared(spark, d)
     j, grown, before = s["j"], None, 0
     last = j.agg(F.max("seq")).first()[0] or 0
@@ -276,7 +345,7 @@ def incremental_vs_replay(spark, d):
         fresh = {k: materialize(t, "incremental") for k, t in fresh.items()}
         grown = fresh if grown is None else {k: dispatch.replaced(grown[k], t, touched) for k, t in fresh.items()}
         before = limit
-    return differing(grown, s["p"].tables()).agg(F.sum("n").alias("n"))
+    return differing(s["p"].tables(), grown)
 
 
 def redirect_compression(spark, d):
@@ -307,14 +376,14 @@ def mask_secrets(spark, d):
 
 
 def stream_projection(spark, d):
-    """The whole events journal in files, through the streaming projector: statements by state."""
+    """The whole events journal in files, through the streaming projector: rows of the six tables by scope."""
     from factweave.streaming import projector
 
     base = f"{scratch_root(spark)}/factweave/stream-{uuid.uuid4().hex}"
     shared(spark, d)["j"].repartitionByRange(2, "seq").write.parquet(f"{base}/in")
     q = projector.project_stream(projector.journal_stream(spark, f"{base}/in"), f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
-    return projector.projected(spark, f"{base}/out", "statements").groupBy("scope_key", "state").agg(F.count("*").alias("n"))
+    return checks.row_counts(dispatch.Store(spark, f"{base}/out").current().projection())
 
 
 def queries() -> dict[str, Query]:
@@ -322,6 +391,7 @@ def queries() -> dict[str, Query]:
         claim_aggregate, journal_scan, draft_explode, body_validation, supersedes_root, statement_state, effective_stream, statement_expiry, entity_dedup, surface_forms, id_redirects, claim_state, claim_support_live, valid_support,
         contested_claims, rank_topk, overview_entities, overview_raw, surface_seed_lookup, phrase_match, bm25_topk, fts_raw_suppression, links_incidents, hub_topk, bfs_reached, bfs_paths, invariants, expiry_mismatch,
         identity_dry_run, rollout_metrics, dispatch_mode, replay_reason, upsert_changes, star_contested, canonical_digest, fold_parity, merge_alias_projection, incremental_vs_replay, redirect_compression, surface_dump, assembled_answer, mask_secrets, stream_projection,
+        refusals, row_counts, kind_conflicts, redirect_violations, reinterpretation_candidates, trigram_postings, bm25_indexed,
     )
     return {f.__name__: (lambda spark, d, f=f: _out(f(spark, d))) for f in own}
 
@@ -336,7 +406,8 @@ _EV = f"""ev0 AS (SELECT event_id + 1 AS seq, user_id, event_type, json_extract_
 ev1 AS (SELECT *, CASE WHEN lag(plain) OVER w THEN lag(seq) OVER w END AS prev FROM ev0 WINDOW w AS (PARTITION BY user_id ORDER BY seq)),
 ev AS (SELECT *, 'ev_' || lpad(CAST(seq AS VARCHAR), 26, '0') AS id, CASE WHEN seq % 301 = 5 AND prev IS NOT NULL THEN 'event_retraction' WHEN seq % 97 = 0 AND prev IS NOT NULL THEN 'claim_retraction' ELSE 'statement' END AS what FROM ev1),
 s0 AS (SELECT *, CASE WHEN seq % 50 = 7 THEN prev END AS parent, coalesce(CASE WHEN seq % 50 = 7 THEN prev END, seq) AS root FROM ev WHERE what = 'statement'),
-dead AS (SELECT DISTINCT s.seq FROM s0 s JOIN ev r ON r.what = 'event_retraction' AND (r.prev = s.seq OR (r.seq % 2 = 0 AND s.root = (SELECT root FROM s0 x WHERE x.seq = r.prev) AND s.seq < r.seq))),
+whole AS (SELECT x.root, max(r.seq) AS upto FROM ev r JOIN s0 x ON x.seq = r.prev WHERE r.what = 'event_retraction' AND r.seq % 2 = 0 GROUP BY ALL),
+dead AS (SELECT s.seq FROM s0 s JOIN ev r ON r.prev = s.seq WHERE r.what = 'event_retraction' UNION SELECT s.seq FROM s0 s JOIN whole w ON w.root = s.root WHERE s.seq < w.upto),
 s1 AS (SELECT s.seq, s.id, s.scope_key, s.user_id, s.k, s.relation, s.parent, s.root, r.sec, r.provenance, r.ttl, CASE r.ttl WHEN 'session' THEN r.sec + 43200 WHEN 'weeks' THEN r.sec + 2592000 END AS expires_at,
   CASE WHEN s.seq IN (SELECT seq FROM dead) THEN 'retracted' WHEN s.seq IN (SELECT parent FROM s0 WHERE parent IS NOT NULL AND seq NOT IN (SELECT seq FROM dead)) THEN 'superseded' ELSE 'live' END AS state
   FROM s0 s JOIN ev r ON r.seq = s.root),
@@ -362,6 +433,9 @@ inc AS (SELECT scope_key, subject_id AS from_id, claim_id, object_id AS to_id FR
 rnk AS (SELECT i.*, row_number() OVER (PARTITION BY scope_key, from_id ORDER BY support_count DESC, strongest_rank DESC, last_seen_at DESC, origin_seq, claim_id) AS ri FROM inc i JOIN agg USING (scope_key, claim_id) JOIN (SELECT scope_key, claim_id, origin_seq FROM c) USING (scope_key, claim_id)),
 lnk AS (SELECT i.scope_key, i.from_id, i.claim_id, i.to_id, row_number() OVER (PARTITION BY scope_key, from_id ORDER BY support_count DESC, strongest_rank DESC, last_seen_at DESC, origin_seq, claim_id) AS rank FROM inc i JOIN agg USING (scope_key, claim_id) JOIN (SELECT scope_key, claim_id, origin_seq FROM c) USING (scope_key, claim_id) WHERE to_id IS NOT NULL)"""
 
+#: Each step is computed once, however many others read it.
+_EV = re.sub(r"^(\s*)(\w+) AS \(SELECT", r"\1\2 AS MATERIALIZED (SELECT", _EV, flags=re.M)
+
 _TX = "tx AS (SELECT doc_id + 1 AS seq, 'u:docs/p:' || lang AS scope_key, text AS raw_text, lower(text) AS t, greatest(length(text) - 2, 0) AS len FROM documents)"
 
 
@@ -400,13 +474,29 @@ def _oracles() -> dict[str, str]:
           SELECT scope_key, eid AS entity_id, min(o) AS o, arg_min(term, o) AS matched_term, arg_min(norm, o) AS surface_norm FROM en JOIN (VALUES (0, 'user 7', 'user7'), (1, 'item 5', 'item5'), (2, 'User-7', 'user7'), (3, 'ITEM_42', 'item42'), (4, 'nobody', 'nobody')) q(o, term, n) ON norm = n WHERE said GROUP BY ALL))""",
         "links_incidents": "SELECT * FROM inc",
         "hub_topk": f"SELECT scope_key, from_id, claim_id, to_id, rank, max(CASE WHEN rank > {K.FANOUT} THEN 1 ELSE 0 END) OVER (PARTITION BY scope_key, from_id)::BIGINT AS more FROM lnk QUALIFY rank <= {K.FANOUT}",
-        "invariants": "SELECT problem, 0::BIGINT AS n FROM (VALUES ('claim_subject_missing'), ('claim_object_missing'), ('claim_object_xor_literal'), ('active_claim_without_live_support'), ('support_without_claim'), ('support_without_statement'), ('support_scope_mismatch'), ('support_expiry_mismatch'), ('redirect_target_missing'), ('surface_without_entity'), ('several_active_describes'), ('duplicate_active_identity'), ('duplicate_entity_name')) t(problem)",
+        "invariants": """SELECT 'claim_subject_missing' AS problem, 0::BIGINT AS n UNION ALL SELECT 'claim_object_missing', count(*) FROM c WHERE object_id IS NOT NULL AND origin_seq % 13 = 0
+          UNION ALL SELECT 'claim_object_xor_literal', count(*) FROM c WHERE object_id IS NOT NULL AND origin_seq % 19 = 0
+          UNION ALL SELECT 'active_claim_without_live_support', count(*) FROM c WHERE cstate = 'active' AND (scope_key, claim_id) NOT IN (SELECT scope_key, claim_id FROM sup WHERE live = 1 AND seq % 11 <> 0 AND seq % 17 <> 0)
+          UNION ALL SELECT 'support_without_claim', count(*) FROM sup WHERE seq % 17 = 0 UNION ALL SELECT 'support_without_statement', 0 UNION ALL SELECT 'support_scope_mismatch', count(*) FROM sup WHERE seq % 17 = 0
+          UNION ALL SELECT 'support_expiry_mismatch', count(*) FROM sup WHERE seq % 7 = 0 UNION ALL SELECT 'redirect_target_missing', (SELECT count(*) FROM m JOIN en USING (scope_key, norm) WHERE seq * 10 + pos <> code AND seq % 23 = 0) + (SELECT count(*) FROM d WHERE seq <> cseq AND seq % 23 = 0)
+          UNION ALL SELECT 'surface_without_entity', count(*) FROM en WHERE said AND origin_seq % 3 = 0
+          UNION ALL SELECT 'several_active_describes', count(*) FROM (SELECT scope_key, subject_id FROM c WHERE cstate = 'active' AND relation = 'describes' GROUP BY ALL HAVING count(*) > 1)
+          UNION ALL SELECT 'duplicate_active_identity', count(*) FROM (SELECT scope_key, subject_id, relation, CASE WHEN origin_seq % 13 = 0 AND object_id IS NOT NULL THEN 'e0.9' ELSE object_id END AS o, CASE WHEN origin_seq % 19 = 0 THEN 'both' ELSE literal END AS l FROM c WHERE cstate = 'active' GROUP BY ALL HAVING count(*) > 1)
+          UNION ALL SELECT 'redirect_unlike_merge', 0 UNION ALL SELECT 'duplicate_entity_name', count(*) FROM en WHERE origin_seq % 5 = 0""",
+        "refusals": """SELECT scope_key, 'EMPTY_NAME' AS problem, count(*) AS n FROM s1 WHERE seq % 100 = 11 GROUP BY ALL UNION ALL SELECT scope_key, 'DUPLICATE_STATEMENT_CLAIM', count(*) FROM s1 WHERE seq % 100 = 13 AND state = 'live' GROUP BY ALL
+          UNION ALL SELECT scope_key, CASE WHEN seq % 2 = 0 THEN 'CLAIM_RETRACTION_TARGET_NOT_FOUND' ELSE 'CLAIM_RETRACTION_TARGET_NOT_PAST' END, count(*) FROM ev WHERE what = 'claim_retraction' AND (seq % 2 = 0 OR seq % 3 = 0) GROUP BY ALL""",
+        "row_counts": """SELECT scope_key, 'statements' AS name, count(*) AS n FROM s1 GROUP BY ALL UNION ALL SELECT scope_key, 'entities', count(*) FROM en GROUP BY ALL UNION ALL SELECT scope_key, 'surface_forms', count(*) FROM en WHERE said GROUP BY ALL
+          UNION ALL SELECT scope_key, 'claims', count(*) FROM c GROUP BY ALL UNION ALL SELECT scope_key, 'claim_support', count(*) FROM sup GROUP BY ALL
+          UNION ALL SELECT scope_key, 'id_redirects', count(*) FROM (SELECT m.scope_key FROM m JOIN en USING (scope_key, norm) WHERE seq * 10 + pos <> code UNION ALL SELECT scope_key FROM d WHERE seq <> cseq) GROUP BY ALL""",
+        "kind_conflicts": """SELECT scope_key, eid AS id, 'gadget,thing' AS kinds FROM en JOIN m USING (scope_key, norm) WHERE pos = 1 AND m.state = 'live' GROUP BY ALL HAVING bool_or(seq % 4 = 0) AND bool_or(seq % 4 <> 0)""",
+        "reinterpretation_candidates": f"SELECT scope_key, id, seq FROM s1 WHERE state = 'live' AND provenance = 'inferred' AND (expires_at IS NULL OR expires_at > {NOW})",
         "expiry_mismatch": "SELECT 0::BIGINT AS statement_expiry, count(*) FILTER (seq % 7 = 0) AS support_expiry, 0::BIGINT AS scope_mismatch FROM sup",
         "rollout_metrics": """SELECT scope_key, claims, active, retracted, superseded, round(relates_share, 9) AS relates_share, round(mean_support, 9) AS mean_support, round(p95_support, 9) AS p95_support, round(p99_support, 9) AS p99_support, coalesce(contested, 0) AS contested FROM (
           SELECT scope_key, count(*) AS claims, count(*) FILTER (cstate = 'active') AS active, count(*) FILTER (cstate = 'retracted') AS retracted, count(*) FILTER (cstate = 'superseded') AS superseded, avg(CASE WHEN relation = 'relates_to' THEN 1.0 ELSE 0.0 END) AS relates_share FROM c GROUP BY ALL)
           LEFT JOIN (SELECT scope_key, avg(support_count) AS mean_support, quantile_cont(support_count::DOUBLE, 0.95) AS p95_support, quantile_cont(support_count::DOUBLE, 0.99) AS p99_support FROM agg GROUP BY ALL) USING (scope_key) LEFT JOIN (SELECT scope_key, count(*) AS contested FROM con GROUP BY ALL) USING (scope_key)""",
-        "dispatch_mode": """SELECT scope_key, CASE WHEN o OR u THEN 'replay' ELSE 'incremental' END AS mode, CASE WHEN o THEN 'supersedes' WHEN u THEN 'event_retraction' ELSE 'append_only' END AS reason FROM (
-          SELECT scope_key, bool_or(what = 'statement' AND seq % 50 = 7 AND prev IS NOT NULL) AS o, bool_or(what = 'event_retraction') AS u FROM ev WHERE seq % 2 = 0 GROUP BY ALL)""",
+        "dispatch_mode": """SELECT scope_key, part, CASE WHEN o OR u THEN 'replay' ELSE 'incremental' END AS mode, CASE WHEN o THEN 'supersedes' WHEN u THEN 'event_retraction' ELSE 'append_only' END AS reason FROM (
+          SELECT scope_key, part, bool_or(over) AS o, bool_or(what = 'event_retraction') AS u FROM (SELECT *, what = 'statement' AND seq % 50 = 7 AND prev IS NOT NULL AS over FROM ev) JOIN (VALUES ('all'), ('no_supersedes'), ('statements')) t(part)
+          ON part = 'all' OR (NOT over AND (part = 'no_supersedes' OR what = 'statement')) GROUP BY ALL)""",
         "replay_reason": "SELECT DISTINCT scope_key, CASE scope_key WHEN 'u:0/p:events' THEN 'missing_meta' WHEN 'u:1/p:events' THEN 'rules_version_changed' WHEN 'u:2/p:events' THEN 'journal_sequence_changed' ELSE 'projection_invariant_failed' END AS reason FROM ev",
         "bfs_reached": f"""SELECT scope_key, claim_id, min(lv)::BIGINT AS depth FROM (SELECT scope_key, eid AS id, 0 AS lv FROM en WHERE norm IN ('user4', 'user5', 'user6', 'user7')
           UNION ALL SELECT scope_key, id, 1 FROM l1 UNION ALL SELECT scope_key, id, 2 FROM l2) x JOIN rnk USING (scope_key) WHERE from_id = id AND ri <= {K.FANOUT} GROUP BY ALL""",
@@ -430,12 +520,33 @@ def _oracles() -> dict[str, str]:
       SELECT 'u:star/p:tpch' AS scope_key, n_name || '/' || relation || '/' || p_brand AS claim_id FROM u a WHERE EXISTS (SELECT 1 FROM u b WHERE b.n_name = a.n_name AND b.p_brand = a.p_brand AND b.relation <> a.relation)"""
     out["redirect_compression"] = f"SELECT '{journalize.CHAIN}' AS scope_key, 'e' || event_id || '.0' AS old_id, 'e' || (event_id // 5 * 5) || '.0' AS new_id, 'entity' AS kind, 'merge' AS reason, event_id % 5 AS hops FROM events WHERE event_id % 5 <> 0"
     out["surface_dump"] = f"""WITH {_EV} SELECT scope_key, '{{"surface_norm":"' || norm || '","entity_id":"' || eid || '","origin":"' || CASE own_state WHEN 'live' THEN 'name' ELSE 'agent_supplied' END || '"}}' AS line FROM en WHERE said"""
-    early = _EV.replace("FROM events)", "FROM events WHERE event_id < 500)")
+    early = _EV.replace("FROM events)", "FROM events WHERE event_id + 1 <= (SELECT max(event_id) + 1 FROM events) // 2)")
     rows = "SELECT id AS event_id, scope_key, state, root AS order_seq, sec AS created_at, provenance, expires_at FROM s1"
     out["upsert_changes"] = f"""WITH a AS (WITH {early} {rows}), b AS (WITH {_EV} {rows}) SELECT event_id, CASE WHEN a.state IS NULL THEN 'insert' ELSE 'update' END AS change FROM b LEFT JOIN a USING (event_id)
       WHERE a.state IS NULL OR (a.state, a.order_seq, a.created_at, a.provenance, coalesce(a.expires_at, 0)) <> (b.state, b.order_seq, b.created_at, b.provenance, coalesce(b.expires_at, 0))"""
-    out["incremental_vs_replay"] = "SELECT 0::BIGINT AS n"
-    out["fold_parity"] = "SELECT name, 0::BIGINT AS n FROM (VALUES ('statements'), ('entities'), ('surface_forms'), ('claims'), ('claim_support'), ('id_redirects')) t(name)"
+    out["incremental_vs_replay"] = out["fold_parity"] = f"WITH {_EV}, rc AS ({q['row_counts']}) SELECT name, sum(n)::BIGINT AS rows, 0::BIGINT AS n FROM rc GROUP BY ALL"
+    out["stream_projection"] = out["row_counts"]
+    out["trigram_postings"] = f"WITH {_TX} SELECT scope_key, seq, len(list_distinct(g))::BIGINT AS trigrams, 3 * len(list_distinct(g))::BIGINT AS points FROM (SELECT scope_key, seq, list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2]) AS g FROM tx WHERE length(t) >= 3)"
+    out["bm25_indexed"] = out["bm25_topk"]
+    out["redirect_violations"] = """WITH e AS (SELECT event_id AS n FROM events), top AS (SELECT max(n) AS x FROM e), r AS (SELECT n, CASE WHEN n % 7 = 3 THEN n WHEN n % 7 = 5 THEN n + 10000000 ELSE n - 1 END AS t FROM e WHERE n % 5 <> 0 UNION ALL SELECT n, n - 2 FROM e WHERE n % 35 = 1)
+      SELECT * FROM (SELECT 'SELF_REDIRECT' AS problem, count(DISTINCT n) AS n FROM r WHERE n = t UNION ALL SELECT 'DANGLING_REDIRECT', count(DISTINCT n) FROM r WHERE n <> t AND (t < 0 OR t > (SELECT x FROM top)) UNION ALL SELECT 'SEVERAL_REDIRECTS', count(*) FROM (SELECT n FROM r GROUP BY n HAVING count(*) > 1)) WHERE n > 0"""
+    out["merge_alias_projection"] = f"""WITH {_EV[: _EV.index(',' + chr(10) + 'ev1')]},
+      dr AS (SELECT scope_key, seq, 0 AS d, 'user ' || user_id AS s, relation, CASE WHEN relation <> 'describes' THEN 'item ' || k END AS o, CASE WHEN relation = 'describes' THEN 'tier ' || (seq % 3) END AS l, CASE WHEN relation = 'relates_to' THEN 'viewed ' || (seq % 4) END AS label, false AS born FROM ev0
+        UNION ALL SELECT scope_key, seq, 1, 'item ' || k, 'relates_to', 'user ' || user_id, NULL, 'by ' || (seq % 5), false FROM ev0 WHERE relation <> 'describes' AND seq % 3 = 0),
+      us AS (SELECT user_id, scope_key, min(seq) AS first, arg_min(k, seq) AS k FROM ev0 GROUP BY ALL), kept AS (SELECT * FROM us WHERE user_id % 8 < 4), mg AS (SELECT a.user_id, b.user_id AS gone FROM kept a JOIN us b ON b.user_id = a.user_id + 4),
+      al AS (SELECT *, (SELECT max(seq) FROM ev0) + (SELECT count(*) FROM mg) + (SELECT count(*) FROM kept WHERE user_id % 3 = 0) + row_number() OVER (ORDER BY user_id) AS seq FROM kept WHERE user_id % 3 = 0),
+      ds AS (SELECT * FROM dr UNION ALL SELECT scope_key, seq, 0, 'al user ' || user_id, 'uses', 'item ' || k, NULL, NULL, true FROM al),
+      nm AS (SELECT 'user ' || gone AS name, 'user ' || user_id AS to_name FROM mg UNION ALL SELECT 'al user ' || user_id, 'user ' || user_id FROM al),
+      ent AS (SELECT scope_key, name, min(code) AS code FROM (SELECT scope_key, s AS name, seq * 10 + 2 * d AS code FROM ds UNION ALL SELECT scope_key, o, seq * 10 + 2 * d + 1 FROM ds WHERE o IS NOT NULL) GROUP BY ALL),
+      eid AS (SELECT scope_key, name, 'e' || (code // 10) || '.' || (code % 10) AS id FROM ent),
+      pre AS (SELECT scope_key, s, relation, o, l, born, min(seq * 10 + d) AS code, max(seq * 10 + d) AS act, count(*) AS n, max(CASE WHEN label IS NOT NULL THEN seq * 10 + d END) AS said_at, arg_max(label, seq * 10 + d) FILTER (label IS NOT NULL) AS label FROM ds GROUP BY ALL),
+      can AS (SELECT pre.*, coalesce(a.to_name, s) AS cs, coalesce(b.to_name, o) AS co FROM pre LEFT JOIN nm a ON a.name = s LEFT JOIN nm b ON b.name = o),
+      post AS (SELECT scope_key, cs, relation, co, l, min(code) AS code, max(act) AS act, sum(n)::BIGINT AS n, arg_max(label, said_at) FILTER (said_at IS NOT NULL) AS label FROM can GROUP BY ALL),
+      won AS (SELECT *, CASE WHEN relation = 'describes' AND act < max(act) OVER (PARTITION BY scope_key, cs, relation) THEN 'superseded' ELSE 'active' END AS state FROM post),
+      gone AS (SELECT can.scope_key, can.cs, can.relation, can.co, can.l, can.code, 'superseded' AS state FROM can JOIN post ON post.scope_key = can.scope_key AND post.cs = can.cs AND post.relation = can.relation AND post.co IS NOT DISTINCT FROM can.co AND post.l IS NOT DISTINCT FROM can.l WHERE can.code <> post.code AND NOT can.born)
+      SELECT r.scope_key, 'c' || (code // 10) || '.' || (code % 10) AS id, x.id AS subject_id, relation, y.id AS object_id, l AS object_value, state, code // 10 AS origin_seq, n AS support_count, label AS relation_label
+      FROM (SELECT scope_key, cs, relation, co, l, code, state, CASE WHEN state = 'active' THEN n ELSE 0 END::BIGINT AS n, CASE WHEN state = 'active' THEN label END AS label FROM won UNION ALL SELECT *, 0, NULL FROM gone) r
+      JOIN eid x ON x.scope_key = r.scope_key AND x.name = cs LEFT JOIN eid y ON y.scope_key = r.scope_key AND y.name = co"""
     return out
 
 

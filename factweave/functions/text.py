@@ -57,16 +57,34 @@ def _over(fn):
     return run
 
 
+def _column(column: Column | str) -> Column:
+    return F.col(column) if isinstance(column, str) else column
+
+
+def _is_ascii(column: Column) -> Column:
+    return F.length(column) == F.octet_length(column)
+
+
+def _by_alphabet(column: Column, ascii_form: Column, fn) -> Column:
+    """ASCII values by built-in functions; the others go to Python, where ASCII ones are nulls that cost nothing."""
+    ascii_only = _is_ascii(column)
+    return F.when(ascii_only, ascii_form).otherwise(_over(fn)(F.when(~ascii_only, column)))
+
+
 def normalize_name(column: Column | str) -> Column:
-    return _over(normal_name)(column)
+    c = _column(column)
+    return _by_alphabet(c, ascii_name(c), normal_name)
 
 
 def normalize_literal(column: Column | str) -> Column:
-    return _over(normal_literal)(column)
+    c = _column(column)
+    return _by_alphabet(c, F.nullif(trim(c), F.lit("")), normal_literal)
 
 
 def normalize_kind(column: Column | str) -> Column:
-    return _over(normal_kind)(column)
+    c = _column(column)
+    lower = F.lower(trim(c))
+    return _by_alphabet(c, F.when(F.length(lower).between(1, K.KIND), lower), normal_kind)
 
 
 def trim(column: Column | str) -> Column:
@@ -75,7 +93,7 @@ def trim(column: Column | str) -> Column:
 
 
 def ascii_name(column: Column | str) -> Column:
-    """normalize_name() for columns known to be ASCII: built-in functions only."""
+    """normalize_name() for ASCII values: built-in functions only."""
     return F.nullif(F.regexp_replace(F.lower(trim(column)), r"[\s_\-]+", ""), F.lit(""))
 
 
@@ -96,9 +114,18 @@ def iso_time(seconds: Column) -> Column:
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+#: Lower case goes character by character in phrase matches: a sigma is the same at a word's end, and a dotted capital i only itself.
+_KEEP, _KEPT = "İ", "\ue000"
+
+
 def folded(column: Column | str) -> Column:
     """Case-folded text for phrase matches."""
-    return F.lower(column)
+    return F.translate(F.lower(F.translate(_column(column), _KEEP, _KEPT)), "ς" + _KEPT, "σ" + _KEEP)
+
+
+def fold(value: str) -> str:
+    """The same in Python."""
+    return value.replace(_KEEP, _KEPT).lower().replace("ς", "σ").replace(_KEPT, _KEEP)
 
 
 def occurrences(text: Column, phrase: str) -> Column:

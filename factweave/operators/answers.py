@@ -44,10 +44,16 @@ def _seeds(seeds: DataFrame, shown: str) -> DataFrame:
     return seeds.select(F.lit(0).alias("request_id"), "scope_key", "entity_id", "seed_order", F.expr(shown).alias("display"))
 
 
-def answer(p: Projection, journal: DataFrame, request: Request, now: int) -> Answer:
-    """Names first; if none leads to a valid claim, phrases; without a query, an overview. All of it at one time and one version."""
+def answer(p: Projection, journal: DataFrame, request: Request, now: int, index: tuple[DataFrame, DataFrame] | None = None) -> Answer:
+    """Names first; if none leads to a valid claim, phrases; without a query, an overview. All of it at one time and one version.
+
+    index: lookup.postings() and lookup.measured() of the journal's statements, where they are stored.
+    """
     spark = journal.sparkSession
     mine, p = journal.where(F.col("scope_key") == request.scope), in_scope(p, request.scope)
+    if bad := prescan.body_violations(mine).take(1):  # what can't be read is not answered from
+        raise prescan.Refused(bad[0]["problem"])
+    held: list[DataFrame] = []
     valid = validity.valid_claims(p, validity.claim_aggregate(p, mine, now)).cache()
     stated = prescan.statements(mine).cache()
     raws = lookup.raw_only(validity.live_statements(stated, now).where(F.size("parsed") == 0), _valid_texts(stated, p, valid))
@@ -71,11 +77,14 @@ def answer(p: Projection, journal: DataFrame, request: Request, now: int) -> Ans
                     if found.where("more = 1").count():
                         answer.notes.append("more_seeds_available")
             if seeds is None:
-                wanted = lookup.phrases([request.query, *(request.terms or [])])
+                wanted = lookup.phrases([t for t, _ in terms])
                 all_ = prescan.parsed(journal.where("kind = 'statement'")).select("seq", F.col("id").alias("event_id"), "scope_key", F.col("b.raw_text").alias("raw_text"))
-                hits = lookup.bm25(all_, wanted).where(F.col("scope_key") == request.scope).join(validity.live_statements(p.statements, now).select("event_id"), "event_id", "left_semi")
+                if index is not None:
+                    all_ = all_.join(lookup.posted(index[0], wanted), ["scope_key", "seq"], "left_semi")
+                hits = lookup.bm25(all_, wanted, index and index[1]).where(F.col("scope_key") == request.scope).join(validity.live_statements(p.statements, now).select("event_id"), "event_id", "left_semi")
                 order = Window.partitionBy("scope_key").orderBy(F.round("score", 9), F.desc("seq"))
                 hits = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= K.FTS_ROWS + 1).cache()
+                held.append(hits)
                 if hits.count() > K.FTS_ROWS:
                     answer.notes.append("more_matches_available")
                 hits = hits.where(F.col("place") <= K.FTS_ROWS)
@@ -84,10 +93,11 @@ def answer(p: Projection, journal: DataFrame, request: Request, now: int) -> Ans
                 elif not hits.isEmpty():
                     answer.entry = "fts"
                     found, pins = lookup.phrase_seeds(hits, p, valid)
-                    seeds = _seeds(found, "null")
+                    shown = F.element_at(F.array(*map(F.lit, wanted)), F.col("phrase") + 1)
+                    seeds = _seeds(found.withColumn("shown", shown), "shown")
                     texts = hits.join(raws.select(F.col("id").alias("event_id")), "event_id", "left_semi")
         if seeds is not None:
-            _, reached = traversal.traverse(seeds, valid, p.entities, depth)
+            _, reached = traversal.traverse(seeds, valid, p.entities, depth, entry=answer.entry)
             if pins is not None:
                 extra = pins.join(reached.select("claim_id"), "claim_id", "left_anti")
                 reached = reached.select("scope_key", "claim_id", "depth", "seed_order", "anchor_id", "path", "hops").unionByName(extra.select("scope_key", "claim_id", "depth", "seed_order", "anchor_id", F.lit(None).cast("string").alias("path"), F.lit(0).alias("hops")))
@@ -107,6 +117,8 @@ def answer(p: Projection, journal: DataFrame, request: Request, now: int) -> Ans
     finally:
         valid.unpersist()
         stated.unpersist()
+        for df in held:
+            df.unpersist()
     return answer
 
 
@@ -119,6 +131,9 @@ def _valid_texts(stated: DataFrame, p: Projection, valid: DataFrame) -> DataFram
 def detail_rows(p: Projection, stated: DataFrame, claims: DataFrame, now: int, budget: int = K.DETAIL_BYTES, most: int = K.DETAIL_ROWS) -> DataFrame:
     """Supporting texts of claims (claim_id, place): the newest first until the shared budget is used up, then in order of time."""
     live = p.claim_support.where("live = 1").join(claims, "claim_id").join(validity.live_statements(stated, now).select(F.col("id").alias("event_id"), "seq", "created_at", "raw_text"), "event_id")
+    # of each claim only the first `most` rows can be shown, so the window without a key sees at most `most` for each of a request's claims
+    own = Window.partitionBy("claim_id").orderBy(F.desc("seq"))
+    live = live.withColumn("own", F.row_number().over(own)).where(F.col("own") <= most)
     by = Window.orderBy("place", F.desc("seq"))
     run = live.withColumn("n", F.row_number().over(by)).withColumn("bytes", F.sum(F.octet_length("raw_text")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return run.where((F.col("n") <= most) & (F.col("bytes") <= budget)).orderBy("place", "created_at", "seq").select("claim_id", "event_id", "raw_text", "created_at")

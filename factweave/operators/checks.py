@@ -32,11 +32,17 @@ def violations(p: Projection) -> DataFrame:
         "surface_without_entity": p.surface_forms.join(ids.withColumnRenamed("subject_id", "entity_id"), ["scope_key", "entity_id"], "left_anti"),
         "several_active_describes": c.where("state = 'active' and relation = 'describes'").groupBy("scope_key", "subject_id").agg(F.count("*").alias("n")).where("n > 1"),
         "duplicate_active_identity": c.where("state = 'active'").groupBy("scope_key", "subject_id", "relation", "object_id", "object_value").agg(F.count("*").alias("n")).where("n > 1"),
+        "redirect_unlike_merge": e.where("merged_into is not null").join(p.id_redirects.select("scope_key", F.col("old_id").alias("id"), F.col("new_id").alias("merged_into")), ["scope_key", "id", "merged_into"], "left_anti"),
         "duplicate_entity_name": e.where("merged_into is null").groupBy("scope_key", "normal_name").agg(F.count("*").alias("n")).where("n > 1"),
     }
     return reduce(DataFrame.unionByName, (d.agg(F.count("*").alias("n")).select(F.lit(k).alias("problem"), "n") for k, d in checks.items()))
 
 
+def row_counts(p: Projection) -> DataFrame:
+    """(scope_key, name, n): the rows of each table by scope."""
+    return reduce(DataFrame.unionByName, (t.groupBy("scope_key").agg(F.count("*").alias("n")).select("scope_key", F.lit(k).alias("name"), "n") for k, t in p.tables().items()))
+
+
 def expiry_mismatches(statements: DataFrame, support: DataFrame, ttl: DataFrame) -> DataFrame:
     """One row of three counters: expiry against lifetime (event_id, ttl), support against statement, and scopes."""
     seconds = F.lit(None).cast("long")
@@ -49,9 +55,10 @@ def expiry_mismatches(statements: DataFrame, support: DataFrame, ttl: DataFrame)
 
 
 def canonical_digest(p: Projection) -> DataFrame:
-    """(scope_key, table, n, digest): each row is encoded with types and lengths and hashed; a table's digest is that of its rows' hashes in order of the key.
+    """(scope_key, table, n, digest): each row is encoded with types and lengths and hashed; a table's digest is that of the sums of its rows' hashes, in five parts of 48 bits.
 
-    Rows' hashes are summed up by scope, so no task sees the rows of a scope together.
+    Sums don't depend on an order, so no task sees the rows of a scope together. They
+    tell tables apart that differ by accident, not ones made to collide.
     """
     out = []
     for name, df in p.tables().items():

@@ -15,14 +15,11 @@ from pyspark.sql import DataFrame, functions as F
 from factweave import constants as K, schema
 from factweave.functions import text
 from factweave.functions.identifiers import key as id_key
+from factweave.operators.prescan import Refused
 from factweave.operators.projection import Projection
 from factweave.scratch import materialize
 
 
-class Refused(ValueError):
-    """The journal breaks a rule; the argument names it."""
-
-
 @dataclass
 class Stated:
     """A statement with its root's order, time, provenance and lifetime."""
@@ -81,6 +78,8 @@ class Scope:
     gone: dict[str, Claim] = field(default_factory=dict)
     same: dict[tuple, str] = field(default_factory=dict)  # claims by identity
     slot: dict[str, str] = field(default_factory=dict)  # the active value of each subject
+    touching: dict[str, set[str]] = field(default_factory=dict)  # claims by the entities at their ends
+    named: dict[str, set[str]] = field(default_factory=dict)  # normal names by entity
 
     # --- redirects
 
@@ -93,16 +92,16 @@ class Scope:
         raise Refused("REDIRECT_TOO_LONG")
 
     def move_entity(self, old: str, new: str, reason: str) -> None:
-        """An entity becomes another: its surfaces go along, claims that now are one are joined."""
+        """An entity becomes another: its surfaces go along, claims that now are one are joined. Only what touches the entity is looked at."""
         self.moved[old] = (new, reason)
-        for found in self.surfaces.values():
-            if old in found:
-                self.surface_of(found, new, found.pop(old))
-        self.join_claims(reason)
-        self.settle()
-
-    @staticmethod
-    def surface_of(found: dict[str, str], entity: str, origin: str) -> None:
+        for normal in self.named.pop(old, ()):
+            self.surface_of(normal, new, self.surfaces[normal].pop(old))
+        self.join_claims(reason, self.touching.get(old, set()))
+        self.settle(new)
+
+    def surface_of(self, normal: str, entity: str, origin: str) -> None:
+        found = self.surfaces.setdefault(normal, {})
+        self.named.setdefault(entity, set()).add(normal)
         if K.ORIGIN_RANK[origin] > K.ORIGIN_RANK.get(found.get(entity, ""), 0):
             found[entity] = origin
 
@@ -111,14 +110,37 @@ class Scope:
     def identity(self, c: Claim) -> tuple:
         return self.now(c.subject), c.relation, None if c.object is None else self.now(c.object), c.literal
 
-    def join_claims(self, reason: str) -> None:
-        """Claims of one identity: the first id stays, in the strongest state, activated as the latest of that state."""
+    def place(self, c: Claim) -> None:
+        for e in (c.subject, c.object):
+            if e is not None:
+                self.touching.setdefault(e, set()).add(c.id)
+
+    def displace(self, c: Claim) -> None:
+        for e in (c.subject, c.object):
+            if e is not None:
+                self.touching.get(e, set()).discard(c.id)
+
+    def restate(self, c: Claim, subject: str, object_: str | None) -> None:
+        """A claim under other ends; who has its identity is for join_claims to settle."""
+        for same in [(c.subject, c.relation, c.object, c.literal), self.identity(c)]:
+            if self.same.get(same) == c.id:
+                del self.same[same]
+        self.displace(c)
+        c.subject, c.object = subject, object_
+        self.place(c)
+
+    def join_claims(self, reason: str, changed: set[str]) -> None:
+        """Claims whose ends have changed meet others of their identity: the first id stays, in the strongest state, activated as the latest of that state."""
         same: dict[tuple, list[Claim]] = {}
-        for c in self.claims.values():
+        for i in sorted(changed, key=id_key):
+            c = self.claims[i]
+            self.restate(c, self.now(c.subject), None if c.object is None else self.now(c.object))
             same.setdefault(self.identity(c), []).append(c)
-            c.subject, c.object = self.now(c.subject), None if c.object is None else self.now(c.object)
-        for rows in same.values():
+        for key, rows in same.items():
+            if (held := self.same.get(key)) is not None and all(held != c.id for c in rows):
+                rows.append(self.claims[held])
             if len(rows) == 1:
+                self.same[key] = rows[0].id
                 continue
             rows.sort(key=lambda c: id_key(c.id))
             state = next(s for s in ("active", "superseded", "retracted") if any(c.state == s for c in rows))
@@ -127,6 +149,7 @@ class Scope:
             for c in others:
                 self.moved[c.id] = (first.id, reason)
                 c.state = "superseded"
+                self.displace(c)
                 del self.claims[c.id]
                 if reason == "merge":
                     self.gone[c.id] = c
@@ -135,20 +158,18 @@ class Scope:
                 first.supports += c.supports
                 c.supports = []
             first.state, first.act = state, act
-        self.same = {self.identity(c): c.id for c in self.claims.values()}
-
-    def settle(self) -> None:
-        """Of active values of one slot the one activated last stays."""
-        slots: dict[str, list[Claim]] = {}
-        for c in self.claims.values():
-            if c.state == "active" and c.relation == K.SINGLE:
-                slots.setdefault(self.now(c.subject), []).append(c)
-        for rows in slots.values():
+            self.same[key] = first.id
+
+    def settle(self, subject: str) -> None:
+        """Of a subject's active values the one activated last stays."""
+        rows = [c for c in map(self.claims.__getitem__, self.touching.get(subject, ())) if c.subject == subject and c.state == "active" and c.relation == K.SINGLE]
+        self.slot.pop(subject, None)
+        if rows:
             last = max(rows, key=lambda c: c.act)
             for c in rows:
                 if c is not last:
                     c.state = "superseded"
-        self.slot = {subject: max(rows, key=lambda c: c.act).id for subject, rows in slots.items()}
+            self.slot[subject] = last.id
 
     # --- anchors: every occurrence has an entity and a claim, dead or not
 
@@ -181,6 +202,7 @@ class Scope:
                 else:
                     claims[same] = c.id
                     self.claims[c.id] = c
+                    self.place(c)
                 d["support"] = Support(self.now(c.id), s, i)
                 self.supports.append(d["support"])
                 self.claims[d["support"].claim].supports.append(d["support"])
@@ -204,7 +226,7 @@ class Scope:
 
     def say(self, name: str, entity: str, origin: str) -> None:
         if normal := text.normal_name(name):
-            self.surface_of(self.surfaces.setdefault(normal, {}), entity, origin)
+            self.surface_of(normal, entity, origin)
 
     def state(self, s: Stated) -> None:
         seen = set()
@@ -230,14 +252,13 @@ class Scope:
             found = self.claims[self.same[same]] if same in self.same else None
             if found is None:  # the anchor's own claim, under the name that it has now
                 found = self.claims[self.now(want.id)]
-                self.same.pop(self.identity(found), None)
-                found.subject, found.object = want.subject, want.object
+                self.restate(found, want.subject, want.object)
                 self.same[same] = found.id
             elif self.now(want.id) != found.id:
                 own = self.claims[self.now(want.id)]
-                own.subject, own.object = want.subject, want.object
-                self.join_claims("deduplicated")
-                self.settle()
+                self.restate(own, want.subject, want.object)
+                self.join_claims("deduplicated", {own.id})
+                self.settle(want.subject)
                 found = self.claims[self.now(found.id)]
             if found.relation == K.SINGLE:
                 rival = self.claims.get(self.slot.get(self.now(found.subject), ""))
@@ -387,5 +408,5 @@ def project(journal: DataFrame) -> Projection:
         made = reduce_scope(key, pdf[["seq", "id", "kind", "body", "created_at"]].to_dict("records"))
         return pd.DataFrame([(key, name, json.dumps(row, ensure_ascii=False)) for name, rows in made.items() for row in rows], columns=["scope_key", "name", "row"])
 
-    rows = materialize(journal.groupBy("scope_key").applyInPandas(run, "scope_key string, name string, row string"), "fold")
+    rows = materialize(journal.select("scope_key", "seq", "id", "kind", "body", "created_at").groupBy("scope_key").applyInPandas(run, "scope_key string, name string, row string"), "fold")
     return Projection(**{n: rows.where(F.col("name") == n).select(F.from_json("row", s).alias("r")).select("r.*") for n, s in schema.TABLES.items()})

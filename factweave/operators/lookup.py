@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
@@ -14,14 +15,21 @@ from factweave.operators.projection import Projection
 
 
 def query_terms(query: str, terms: list[str] | None = None) -> list[tuple[str, str]]:
-    """(term, normal name) of a request, at most TERMS: given terms in their order, else the query and its runs of letters and digits, longest first."""
-    if len(query) > K.QUERY_POINTS:
-        raise ValueError("QUERY_TOO_LONG")
+    """(term, normal name) of a request, at most TERMS: given terms in their order, else the query and its runs of letters and digits, longest first.
+
+    More than TERMS given terms, and empty or too long ones, are refused. Terms
+    whose name is shorter than TERM_LEAST are left out.
+    """
+    query = text.trimmed(query)
+    if not 1 <= len(query) <= K.QUERY_POINTS:
+        raise ValueError("INVALID_QUERY")
+    if terms is not None and (len(terms) > K.TERMS or not all(isinstance(t, str) and 1 <= len(t) <= K.TERM_POINTS for t in terms)):
+        raise ValueError("INVALID_TERMS")
+    named = lambda found: [(t, n) for t in map(text.trimmed, found) if (n := text.normal_name(t)) and len(n) >= K.TERM_LEAST]
     if terms is not None:
-        found = [(t, n) for t in terms if len(t) <= K.TERM_POINTS and (n := text.normal_name(t))]
-        return found[: K.TERMS]
-    runs = [query, *("".join(g) for g in _runs(query))]
-    found = [(t, n) for t in runs if (n := text.normal_name(t)) and len(n) >= K.TERM_LEAST and len(t) <= K.TERM_POINTS]
+        return named(terms)
+    runs = ["".join(g) for g in _runs(query)]
+    found = named([query, *(runs if runs != [query] else [])])
     order = sorted(range(len(found)), key=lambda i: (-len(found[i][1]), i))
     return [found[i] for i in order][: K.TERMS]
 
@@ -47,13 +55,15 @@ def surface_seeds(p: Projection, requested: DataFrame, limit: int = K.SEEDS) ->
     Redirected entities lead to where they have gone. Within a term the order is
     that of the ids as text; an entity counts once, at its first term.
     """
-    hits = p.surface_forms.join(F.broadcast(requested), "surface_norm")  # at most TERMS rows
+    if requested.limit(K.TERMS + 1).count() <= K.TERMS:
+        requested = F.broadcast(requested)
+    hits = p.surface_forms.join(requested, "surface_norm")
     to = p.id_redirects.where("kind = 'entity'").select("scope_key", F.col("old_id").alias("entity_id"), "new_id")
     hits = hits.join(to, ["scope_key", "entity_id"], "left").withColumn("entity_id", F.coalesce("new_id", "entity_id")).drop("new_id")
     first = hits.groupBy("scope_key", "entity_id").agg(F.min(F.struct("term_order", "surface_norm", "term")).alias("f"))
     order = Window.partitionBy("scope_key").orderBy("f.term_order", "entity_id")
-    n = F.row_number().over(order)
-    ranked = first.withColumn("seed_order", n - 1).where(F.col("seed_order") <= limit)
+    # the filter is on the row number itself, so each task keeps only the first rows before they are dealt out
+    ranked = first.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit + 1).withColumn("seed_order", F.col("n") - 1)
     more = F.max((F.col("seed_order") >= limit).cast("int")).over(Window.partitionBy("scope_key"))
     return ranked.withColumn("more", more).where(F.col("seed_order") < limit).select("scope_key", "entity_id", F.col("f.term").alias("matched_term"), F.col("f.surface_norm").alias("surface_norm"), "seed_order", "more")
 
@@ -67,16 +77,45 @@ def phrases(terms: list[str]) -> list[str]:
     return [t for t in cleaned if len(t) >= K.PHRASE_LEAST][: K.PHRASES]
 
 
-def bm25(texts: DataFrame, wanted: list[str]) -> DataFrame:
+def postings(texts: DataFrame) -> DataFrame:
+    """(trigram, scope_key, seq) of texts (scope_key, seq, raw_text): each text once under each run of three of its folded characters. Rows never change, so a write only adds its own."""
+    folded = F.regexp_replace(text.folded("raw_text"), "\x00", "")
+    own = texts.select("scope_key", "seq", folded.alias("t")).where(F.length("t") >= K.PHRASE_LEAST)
+    # characters first: a substring would count from the beginning each time
+    own = own.select("scope_key", "seq", F.split("t", "").alias("c"), F.length("t").alias("n"))
+    grams = F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2)))
+    return own.select(F.explode(F.array_distinct(grams)).alias("trigram"), "scope_key", "seq")
+
+
+def measured(texts: DataFrame) -> DataFrame:
+    """(scope_key, n, length) of texts: what bm25 needs of all rows, added up by scope."""
+    return texts.groupBy("scope_key").agg(F.count("*").alias("n"), F.sum(F.greatest(F.length("raw_text") - 2, F.lit(0))).alias("length"))
+
+
+def posted(index: DataFrame, wanted: list[str]) -> DataFrame:
+    """(scope_key, seq) of the rows of postings that have all trigrams of one of the phrases: few more than match."""
+    grams = {p: sorted({p[i : i + 3] for i in range(len(p) - 2)}) for p in map(text.fold, wanted)}
+    asked = [(g, k, len(own)) for k, own in enumerate(grams.values()) for g in own]
+    found = index.join(F.broadcast(index.sparkSession.createDataFrame(asked, "trigram string, phrase int, of int")), "trigram")  # the request's phrases: at most PHRASES times their length
+    return found.groupBy("scope_key", "seq", "phrase", "of").agg(F.count("*").alias("n")).where("n = of").select("scope_key", "seq").distinct()
+
+
+def bm25(texts: DataFrame, wanted: list[str], totals: DataFrame | None = None) -> DataFrame:
     """texts (..., raw_text) that contain a phrase, with score (less is better) and the first phrase that matches.
 
-    Statistics are over all rows given, whatever their scope or state. Terms are
-    trigrams, so a row's length is its code points less two; matches overlap and
-    ignore case. One pass counts, one scores; phrases are a short list.
+    Statistics are over all rows given, whatever their scope or state; with totals
+    (measured()) they are over the rows that it counts, and texts need only be
+    those that posted() finds. Terms are trigrams, so a row's length is its code
+    points less two; matches overlap and ignore case. One pass counts, one scores;
+    phrases are a short list.
     """
-    wanted = [p.lower() for p in wanted]
+    wanted = [text.fold(p) for p in wanted]
     rows = texts.withColumn("folded", text.folded("raw_text")).withColumn("length", F.greatest(F.length("raw_text") - 2, F.lit(0)))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum(F.col("folded").contains(p).cast("long")).alias(f"n{i}") for i, p in enumerate(wanted))).first()
+    hit = [F.sum(F.col("folded").contains(p).cast("long")).alias(f"n{i}") for i, p in enumerate(wanted)]
+    if totals is None:
+        stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *hit).first().asDict()
+    else:
+        stats = totals.agg(F.sum("n").alias("n"), (F.sum("length") / F.sum("n")).alias("mean")).first().asDict() | (rows.agg(*hit).first().asDict() if hit else {})
     if not wanted or not stats["n"]:
         return rows.where(F.lit(False)).withColumn("score", F.lit(0.0)).withColumn("phrase", F.lit(0)).drop("folded", "length")
     score: Column = F.lit(0.0)
@@ -86,8 +125,6 @@ def bm25(texts: DataFrame, wanted: list[str]) -> DataFrame:
     for i, p in enumerate(wanted):
         n = stats[f"n{i}"] or 0
         odds = (stats["n"] - n + 0.5) / (n + 0.5)
-        import math
-
         idf = max(math.log(odds), 0.0) or 1e-6
         f = F.when(F.col("folded").contains(p), text.occurrences(F.col("folded"), p)).otherwise(0)
         score = score - F.when(f > 0, idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("length") / stats["mean"]))).otherwise(0.0)
@@ -127,11 +164,13 @@ def overview_raw(raw: DataFrame, now: int, limit: int = K.LIMIT) -> DataFrame:
 
 
 def phrase_seeds(hits: DataFrame, p: Projection, valid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(seeds, pins) of phrase hits (scope_key, event_id, place): ends of the valid claims that they support, subjects before objects; and the claims, at depth 0."""
+    """(seeds, pins) of phrase hits (scope_key, event_id, place, phrase): ends of the valid claims that they support, subjects before objects, with the phrase that led there; and the claims, at depth 0 and the place of their subject."""
     s = p.claim_support.where("live = 1").join(hits.select("scope_key", "event_id", "place"), ["scope_key", "event_id"]).join(valid.select("scope_key", "claim_id", "subject_id", "object_id", "origin_seq"), ["scope_key", "claim_id"])
     ends = s.select("scope_key", "place", "draft_index", "claim_id", "origin_seq", F.posexplode(F.array("subject_id", "object_id")).alias("end", "entity_id")).where("entity_id is not null")
     first = ends.groupBy("scope_key", "entity_id").agg(F.min(F.struct("place", "draft_index", "origin_seq", "end")).alias("f"))
     order = Window.partitionBy("scope_key").orderBy("f", "entity_id")
-    seeds = first.withColumn("seed_order", F.row_number().over(order) - 1).where(F.col("seed_order") < K.SEEDS).select("scope_key", "entity_id", "seed_order")
-    pins = s.groupBy("scope_key", "claim_id").agg(F.min("place").alias("seed_order"), F.first("subject_id").alias("anchor_id")).withColumn("depth", F.lit(0))
-    return seeds, pins
+    shown = hits.select("scope_key", "place", "phrase")
+    every = first.withColumn("seed_order", F.row_number().over(order) - 1).withColumn("place", F.col("f.place")).join(shown, ["scope_key", "place"])  # ends of the claims of at most FTS_ROWS statements
+    seeds = every.where(F.col("seed_order") < K.SEEDS).select("scope_key", "entity_id", "seed_order", "phrase")
+    pins = s.groupBy("scope_key", "claim_id").agg(F.first("subject_id").alias("anchor_id")).withColumn("depth", F.lit(0))
+    return seeds, pins.join(every.select("scope_key", F.col("entity_id").alias("anchor_id"), "seed_order"), ["scope_key", "anchor_id"])

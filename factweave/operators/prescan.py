@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from factweave import constants as K, schema
-from factweave.functions import identifiers as ids
+from factweave.functions import identifiers as ids, text
 from factweave.scratch import materialize
 
-#: Doublings of the pointer to the parent: chains of up to 2 ** ROUNDS reinterpretations.
-ROUNDS = 20
+#: Doublings of the pointer to the parent. A chain has fewer events than 2 ** ROUNDS, so pointers that still move go in a circle.
+ROUNDS = 63
+
+
+class Refused(ValueError):
+    """The journal breaks a rule; the argument names it."""
 
 
 def parsed(journal: DataFrame) -> DataFrame:
-    """The journal with each body as a column b of one explicit type."""
-    return journal.withColumn("b", F.from_json("body", schema.BODY))
+    """The journal with each body as a column b of one explicit type; a journal that has it already stays as it is."""
+    return journal if "b" in journal.columns else journal.withColumn("b", F.from_json("body", schema.BODY))
 
 
 def body_violations(journal: DataFrame) -> DataFrame:
@@ -65,12 +69,16 @@ def roots(journal: DataFrame) -> DataFrame:
     """
     s = parsed(journal.where("kind = 'statement'")).select("scope_key", "id", "seq", F.col("b.supersedes").alias("parent"))
     moving = materialize(s.where("parent is not null").select("scope_key", "id", F.col("parent").alias("up")), "roots")
+    if moving.isEmpty():
+        return s.select("scope_key", F.col("id").alias("root_id"), "id", "seq", "parent", F.col("seq").alias("root_seq"))
     for _ in range(ROUNDS):
         far = moving.select("scope_key", F.col("id").alias("up"), F.col("up").alias("far"))
         step = materialize(moving.join(far, ["scope_key", "up"], "left").select("scope_key", "id", F.coalesce("far", "up").alias("up"), F.col("far").isNotNull().alias("moved")), "roots")
         moving = step.drop("moved")
         if step.where("moved").isEmpty():
             break
+    else:
+        raise Refused("SUPERSEDES_CYCLE")
     s = s.join(moving.withColumnRenamed("up", "root_id"), ["scope_key", "id"], "left").withColumn("root_id", F.coalesce("root_id", "id"))
     top = s.select("scope_key", F.col("id").alias("root_id"), F.col("seq").alias("root_seq"))
     return s.join(top, ["scope_key", "root_id"])
@@ -129,21 +137,33 @@ def effective_stream(journal: DataFrame) -> DataFrame:
     return live.unionByName(other)
 
 
-def supersedes_violations(journal: DataFrame) -> DataFrame:
-    """(id, problem): a parent that is missing or not earlier, content unlike the root's, or several live leaves of one root."""
+def event_violations(journal: DataFrame) -> DataFrame:
+    """(id, problem): ids that repeat, and retractions whose target is no earlier event of the scope, or a retraction."""
+    j = parsed(journal)
+    twice = j.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("DUPLICATE_EVENT_ID").alias("problem"))
+    r = j.where("b.target.event_id is not null").select("id", "seq", "scope_key", F.col("b.target.event_id").alias("t_id"))
+    of = j.select(F.col("id").alias("t_id"), F.col("kind").alias("t_kind"), F.col("seq").alias("t_seq"), F.col("scope_key").alias("t_scope"))
+    problem = F.when(F.col("t_seq").isNull() | (F.col("t_scope") != F.col("scope_key")) | (F.col("t_seq") >= F.col("seq")), "TARGET_NOT_FOUND").when(F.col("t_kind") == "retraction", "TARGET_IS_RETRACTION")
+    return twice.unionByName(r.join(of, "t_id", "left").select("id", problem.alias("problem")).where("problem is not null"))
+
+
+def supersedes_violations(journal: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """(id, problem): a parent that is missing or not earlier, content unlike the root's, or several live leaves of one root. states: statement_states(), where they are known."""
     s = parsed(journal.where("kind = 'statement'")).select("scope_key", "id", "seq", F.col("b.supersedes").alias("parent"), F.struct("b.raw_text", "b.provenance", "b.ttl").alias("content"))
     parent = s.select("scope_key", F.col("id").alias("parent"), F.col("seq").alias("p_seq"), F.col("content").alias("p_content"))
     a = s.where("parent is not null").join(parent, ["scope_key", "parent"], "left")
     bad = a.select("id", F.when(F.col("p_seq").isNull() | (F.col("p_seq") >= F.col("seq")), "SUPERSEDES_TARGET_NOT_FOUND").when(~F.col("content").eqNullSafe(F.col("p_content")), "SUPERSEDES_CONTENT_MISMATCH").alias("problem")).where("problem is not null")
-    leaves = statement_states(journal).where("state = 'live'").groupBy("scope_key", "root_id").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1")
+    states = statement_states(journal) if states is None else states
+    leaves = states.where("state = 'live'").groupBy("scope_key", "root_id").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1")
     return bad.unionByName(leaves.select("id", F.lit("MULTIPLE_LIVE_LEAVES").alias("problem")))
 
 
 def occurrences(stated: DataFrame) -> DataFrame:
-    """One row for each draft of statements(): position counts entity occurrences, of which a literal is none."""
+    """One row for each draft of statements(), with its names' and literal's identities: position counts entity occurrences, of which a literal is none."""
     s = stated.where(F.size("parsed") > 0).select("scope_key", "id", "seq", "order_seq", "created_at", "provenance", "expires_at", "state", F.posexplode("parsed").alias("draft_index", "d"), "parsed")
     before = F.aggregate(F.slice("parsed", 1, F.col("draft_index")), F.lit(0), lambda n, d: n + F.when(d["object"].isNotNull(), 2).otherwise(1))
+    names = text.normalize_name("d.subject").alias("s_norm"), text.normalize_name("d.object").alias("o_norm"), text.normalize_literal("d.object_value").alias("literal")
     return s.withColumn("position", before).select(
-        "scope_key", "id", "seq", "order_seq", "created_at", "provenance", "expires_at", "state", "draft_index", "position", "d",
+        "scope_key", "id", "seq", "order_seq", "created_at", "provenance", "expires_at", "state", "draft_index", "position", "d", *names,
         ids.make("e", F.col("seq"), F.col("position")).alias("subject_ref"), F.when(F.col("d.object").isNotNull(), ids.make("e", F.col("seq"), F.col("position") + 1)).alias("object_ref"), ids.make("c", F.col("seq"), F.col("draft_index")).alias("claim_ref"),
     )

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from factweave import constants as K
 from factweave.functions import identifiers as ids, text
 from factweave.operators import prescan
+from factweave.operators.prescan import Refused
 from factweave.scratch import materialize
 
 
@@ -31,6 +32,31 @@ class Projection:
         return dict(vars(self))
 
 
+@dataclass(frozen=True)
+class Prepared:
+    """What both ways of projecting and the choice between them share: bodies parsed once, names normalised once, each step written."""
+
+    events: DataFrame
+    stated: DataFrame
+    drafts: DataFrame
+    mentioned: DataFrame
+
+    def only(self, scopes: DataFrame, how: str) -> Prepared:
+        """The part of some scopes (left_semi), or of the others (left_anti)."""
+        return Prepared(**{k: t.join(scopes, "scope_key", how) for k, t in vars(self).items()})
+
+
+def prepared(journal: DataFrame) -> Prepared:
+    """The steps before projection. A journal that breaks a rule of events or statements is refused."""
+    events = materialize(prescan.parsed(journal), "events")
+    stated = materialize(prescan.statements(events), "statements")
+    bad = prescan.event_violations(events).unionByName(prescan.supersedes_violations(events, stated)).take(1)
+    if bad:
+        raise Refused(bad[0]["problem"])
+    drafts = materialize(prescan.occurrences(stated), "drafts")
+    return Prepared(events, stated, drafts, materialize(mentions(drafts), "mentions"))
+
+
 def _rank(column: Column, table: dict[str, int]) -> Column:
     out = F.lit(None).cast("int")
     for k, v in table.items():
@@ -41,11 +67,11 @@ def _rank(column: Column, table: dict[str, int]) -> Column:
 def mentions(drafts: DataFrame) -> DataFrame:
     """Entity occurrences of drafts: (scope_key, ref, seq, position, name, normal_name, state, order_seq, draft_index, place, kind)."""
     own = F.array(
-        F.struct(F.col("subject_ref").alias("ref"), F.col("position").alias("position"), F.col("d.subject").alias("name"), F.col("d.subject_kind").alias("kind"), F.col("d.subject_aliases").alias("aliases"), F.lit(0).alias("place")),
-        F.struct(F.col("object_ref").alias("ref"), (F.col("position") + 1).alias("position"), F.col("d.object").alias("name"), F.col("d.object_kind").alias("kind"), F.col("d.object_aliases").alias("aliases"), F.lit(1).alias("place")),
+        F.struct(F.col("subject_ref").alias("ref"), F.col("position").alias("position"), F.col("d.subject").alias("name"), F.col("s_norm").alias("normal_name"), F.col("d.subject_kind").alias("kind"), F.col("d.subject_aliases").alias("aliases"), F.lit(0).alias("place")),
+        F.struct(F.col("object_ref").alias("ref"), (F.col("position") + 1).alias("position"), F.col("d.object").alias("name"), F.col("o_norm").alias("normal_name"), F.col("d.object_kind").alias("kind"), F.col("d.object_aliases").alias("aliases"), F.lit(1).alias("place")),
     )
     m = drafts.select("scope_key", "seq", "order_seq", "state", "draft_index", F.explode(own).alias("m")).where("m.ref is not null")
-    return m.select("scope_key", "seq", "order_seq", "state", "draft_index", "m.*").withColumn("normal_name", text.normalize_name("name")).withColumn("kind", text.normalize_kind("kind"))
+    return m.select("scope_key", "seq", "order_seq", "state", "draft_index", "m.*").withColumn("kind", text.normalize_kind("kind"))
 
 
 def entities_of(mentioned: DataFrame) -> DataFrame:
@@ -57,8 +83,7 @@ def entities_of(mentioned: DataFrame) -> DataFrame:
 def resolved_claims(drafts: DataFrame, entities: DataFrame) -> DataFrame:
     """Drafts with canonical subject_id, object_id, literal, and claim_id, the first occurrence of their identity."""
     e = entities.select("scope_key", "normal_name", "id")
-    d = drafts.withColumn("s_norm", text.normalize_name("d.subject")).withColumn("o_norm", text.normalize_name("d.object")).withColumn("literal", text.normalize_literal("d.object_value"))
-    d = d.join(e.withColumnsRenamed({"normal_name": "s_norm", "id": "subject_id"}), ["scope_key", "s_norm"]).join(e.withColumnsRenamed({"normal_name": "o_norm", "id": "object_id"}), ["scope_key", "o_norm"], "left")
+    d = drafts.join(e.withColumnsRenamed({"normal_name": "s_norm", "id": "subject_id"}), ["scope_key", "s_norm"]).join(e.withColumnsRenamed({"normal_name": "o_norm", "id": "object_id"}), ["scope_key", "o_norm"], "left")
     identity = ["scope_key", "subject_id", F.col("d.relation").alias("relation"), F.coalesce("object_id", F.lit("")).alias("o"), F.coalesce("literal", F.lit("")).alias("l")]
     first = d.groupBy(*identity).agg(F.min(F.struct("seq", "draft_index", "claim_ref")).alias("f")).select("scope_key", "subject_id", "relation", "o", "l", F.col("f.claim_ref").alias("claim_id"), F.col("f.seq").alias("origin_seq"))
     keyed = d.withColumn("relation", F.col("d.relation")).withColumn("o", F.coalesce("object_id", F.lit(""))).withColumn("l", F.coalesce("literal", F.lit("")))
@@ -92,13 +117,29 @@ def claims_of(resolved: DataFrame, retracted: DataFrame) -> DataFrame:
     return c.withColumn("claim_state", state)
 
 
+def refusals(p: Prepared, resolved: DataFrame) -> DataFrame:
+    """(scope_key, seq, problem) of what the model refuses when events are applied: names without content, a claim stated twice by one live statement, and retractions of claims that aren't there or not yet."""
+    empty = p.drafts.where("s_norm is null or (d.object is not null and o_norm is null)").select("scope_key", "seq", F.lit("EMPTY_NAME").alias("problem"))
+    twice = duplicate_identities(resolved.where("state = 'live'")).select("scope_key", "seq", F.lit("DUPLICATE_STATEMENT_CLAIM").alias("problem"))
+    r = p.events.where("kind = 'retraction' and b.target.claim_id is not null").select("scope_key", "seq", F.col("b.target.claim_id").alias("claim_ref"))
+    own = resolved.select("scope_key", "claim_ref", F.lit(True).alias("known"))
+    problem = F.when(ids.seq_of(F.col("claim_ref")) >= F.col("seq"), "CLAIM_RETRACTION_TARGET_NOT_PAST").when(F.col("known").isNull(), "CLAIM_RETRACTION_TARGET_NOT_FOUND")
+    lost = r.join(own, ["scope_key", "claim_ref"], "left").select("scope_key", "seq", problem.alias("problem")).where("problem is not null")
+    return empty.unionByName(twice).unionByName(lost)
+
+
 def project(journal: DataFrame) -> Projection:
     """The projection of a journal whose scopes all fit the set-based way."""
-    stated = materialize(prescan.statements(journal), "statements")  # each step feeds several others, so each is written
-    drafts = prescan.occurrences(stated)
-    mentioned = materialize(mentions(drafts), "mentions")
-    found = materialize(entities_of(mentioned), "entities")
+    return project_prepared(prepared(journal))
+
+
+def project_prepared(p: Prepared) -> Projection:
+    """As project(). What the fold refuses is refused here too."""
+    journal, stated, drafts, mentioned = p.events, p.stated, p.drafts, p.mentioned
+    found = materialize(entities_of(mentioned), "entities")  # each step feeds several others, so each is written
     resolved = materialize(resolved_claims(drafts, found), "claims")
+    if bad := refusals(p, resolved).take(1):
+        raise Refused(bad[0]["problem"])
     retracted = materialize(retractions(journal, resolved), "retractions")
     support = materialize(supports(resolved, retracted), "supports")
     seen = support.where("live = 1").groupBy("scope_key", "claim_id").agg(F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
@@ -143,16 +184,15 @@ def redirects(mentioned: DataFrame, found: DataFrame, resolved: DataFrame) -> Da
     return e.unionByName(c).withColumn("reason", F.lit("deduplicated"))
 
 
-def ordered_scopes(journal: DataFrame) -> DataFrame:
+def ordered_scopes(p: Prepared) -> DataFrame:
     """(scope_key) of scopes that only the reducer can project: with a merge or alias that stands, or an alias that is another entity's name."""
-    decided = prescan.decisions(journal).select("scope_key").distinct()
-    drafts = prescan.occurrences(materialize(prescan.statements(journal), "statements"))
-    mentioned = materialize(mentions(drafts), "mentions")
+    decided = prescan.decisions(p.events).select("scope_key").distinct()
+    mentioned = p.mentioned
     names = mentioned.select("scope_key", "normal_name").distinct()
     aliased = mentioned.where("state = 'live' and aliases is not null").select("scope_key", F.col("normal_name").alias("of"), F.explode("aliases").alias("a")).select("scope_key", "of", text.normalize_name("a").alias("normal_name")).where("normal_name != of")
     return decided.unionByName(aliased.join(names, ["scope_key", "normal_name"]).select("scope_key").distinct()).distinct()
 
 
 def duplicate_identities(resolved: DataFrame) -> DataFrame:
-    """(scope_key, id, claim_id): a statement may state a claim once only; empty for a valid journal."""
-    return resolved.groupBy("scope_key", "id", "claim_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    """(scope_key, id, seq, claim_id): a statement may state a claim once only; empty for a valid journal."""
+    return resolved.groupBy("scope_key", "id", "seq", "claim_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")

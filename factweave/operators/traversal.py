@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factweave import constants as K
 from factweave.functions import identifiers as ids, text
@@ -28,23 +28,33 @@ def ranked_incidents(claims: DataFrame, fanout: int = K.FANOUT) -> tuple[DataFra
     return best(both.where("to_id is not null")), best(both)
 
 
-def traverse(seeds: DataFrame, claims: DataFrame, entities: DataFrame, depth: int = K.DEPTH, fanout: int = K.FANOUT) -> tuple[DataFrame, DataFrame]:
+#: What marks a phrase in a path.
+PHRASE = " (FTS)"
+
+
+def label(entry: str, display: Column, name: Column) -> Column:
+    """What a path begins with before its first name, or null: a requested name that isn't the entity's own, or the phrase that led to it."""
+    if entry == "fts":
+        return text.shown(display, PHRASE)
+    return F.when(display != name, text.shown(display)) if entry == "surface" else F.lit(None).cast("string")
+
+
+def traverse(seeds: DataFrame, claims: DataFrame, entities: DataFrame, depth: int = K.DEPTH, fanout: int = K.FANOUT, entry: str = "surface") -> tuple[DataFrame, DataFrame]:
     """(visited, reached) from seeds (request_id, scope_key, entity_id, seed_order, display).
 
     The first discovery of an entity wins: frontier order, then rank of the link.
     Claims are met at each level, the last one too; links are followed below it.
     A claim keeps its least (depth, seed, discovery, rank), with the path of the
     entity where it was met, to which its other end is added unless the claim is
-    a loop or led here.
+    a loop or led here. Hops count the steps between entities.
     """
     links, met = ranked_incidents(claims, fanout)
     links, met = materialize(links, "links"), materialize(met, "incidents")
     name = entities.select("scope_key", F.col("id").alias("entity_id"), "name")
     first = seeds.join(name, ["scope_key", "entity_id"])
-    shown = F.coalesce("display", "name")
-    path = F.when(shown == F.col("name"), F.array("name")).otherwise(F.array(shown, F.col("name")))
+    labels = first.select("request_id", "seed_order", label(entry, F.col("display"), F.col("name")).alias("label"))
     order = Window.partitionBy("request_id").orderBy("seed_order", "entity_id")
-    frontier = first.select("request_id", "scope_key", "entity_id", "seed_order", F.row_number().over(order).cast("long").alias("discovery"), path.alias("path"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("level"))
+    frontier = first.select("request_id", "scope_key", "entity_id", "seed_order", F.row_number().over(order).cast("long").alias("discovery"), F.array("name").alias("path"), F.lit(None).cast("string").alias("via"), F.lit(0).alias("level"))
     frontier = materialize(frontier, "frontier")
     visited = frontier
     for level in range(depth):
@@ -63,5 +73,6 @@ def traverse(seeds: DataFrame, claims: DataFrame, entities: DataFrame, depth: in
     best = best.select("request_id", "scope_key", "claim_id", F.col("b.level").alias("depth"), "b.seed_order", "b.discovery", F.col("b.entity_id").alias("anchor_id"), "b.to_id", "b.via", "b.path").join(other, ["scope_key", "to_id"], "left")
     adds = F.col("to_name").isNotNull() & (F.col("to_id") != F.col("anchor_id")) & ~F.col("via").eqNullSafe(F.col("claim_id"))
     full = F.when(adds, F.concat("path", F.array("to_name"))).otherwise(F.col("path"))
-    reached = best.select("request_id", "scope_key", "claim_id", "depth", "seed_order", "anchor_id", F.array_join(F.transform(full, lambda x: text.shown(x)), " → ").alias("path"), (F.size(full) - 1).alias("hops"))
+    best = best.join(labels, ["request_id", "seed_order"], "left")
+    reached = best.select("request_id", "scope_key", "claim_id", "depth", "seed_order", "anchor_id", F.concat_ws(" → ", "label", full).alias("path"), (F.size(full) - 1).alias("hops"))
     return visited.select("request_id", "scope_key", "entity_id", "level", "seed_order", "discovery", "via"), reached

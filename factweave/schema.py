@@ -51,3 +51,8 @@ KEYS = {
     "id_redirects": ("old_id",),
 }
 META = _struct("scope_key:string last_seq:long rules_version:int rebuilt_at:long")
+#: The store's table of scopes: in which folder each scope's rows are.
+SCOPES = _struct("scope_key:string folder:string last_seq:long rules_version:int rebuilt_at:long")
+#: The store's search index.
+POSTINGS = _struct("trigram:string scope_key:string seq:long")
+MEASURED = _struct("scope_key:string n:long length:long")

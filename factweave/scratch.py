@@ -5,14 +5,22 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The scratch tables of the innermost scratch() that is open.
+_OPEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scratch", default=None)
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session may leave it unset: elsewhere a local folder would keep each executor's files to itself."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.gettempdir()}/factweave-scratch"
     return root.rstrip("/")
 
@@ -26,10 +34,30 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Scratch tables made inside are removed at the end, for programs that run on: nothing lazy that reads them may leave it."""
+    token = _OPEN.set([])
+    try:
+        yield
+    finally:
+        made = _OPEN.get() or []
+        _OPEN.reset(token)
+        for spark, path in made:
+            _remove(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared scratch folder and read it back: lineage is cut, and a lost executor costs nothing done so far."""
+    """Write a table into the shared scratch folder and read it back: lineage is cut, and a lost executor costs nothing done so far.
+
+    It lasts as long as the scratch() around it, or else as the program.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/factweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    made = _OPEN.get()
+    if made is None:
+        atexit.register(_remove, spark, path)
+    else:
+        made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

@@ -60,6 +60,45 @@ def events_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("seq", ids.event_id(F.col("seq")).alias("id"), "scope_key", F.when(F.col("what") == "statement", "statement").otherwise("retraction").alias("kind"), body.alias("body"), null.alias("actor"), null.alias("branch"), null.alias("session"), "created_at")
 
 
+def decided_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J-decided: every event is a statement of one or two drafts; then users are merged in pairs (u and u + 4), some get an alias, and a statement uses it."""
+    e = events_base(spark, sf_dir).select("seq", "user_id", "k", "scope_key", "created_at", "relation")
+    literal = F.col("relation") == "describes"
+    user, item = F.concat(F.lit("user "), F.col("user_id").cast("string")), F.concat(F.lit("item "), F.col("k"))
+    null = F.lit(None).cast("string")
+
+    def draft(subject, relation, label, object_, value):
+        return F.struct(subject.alias("subject"), relation.alias("relation"), label.alias("relation_label"), object_.alias("object"), value.alias("object_value"))
+
+    own = draft(user, F.col("relation"), F.when(F.col("relation") == "relates_to", F.concat(F.lit("viewed "), (F.col("seq") % 4).cast("string"))), F.when(~literal, item), F.when(literal, F.concat(F.lit("tier "), (F.col("seq") % 3).cast("string"))))
+    back = draft(item, F.lit("relates_to"), F.concat(F.lit("by "), (F.col("seq") % 5).cast("string")), user, null)
+    parsed = F.when(~literal & (F.col("seq") % 3 == 0), F.array(own, back)).otherwise(F.array(own))
+
+    def says(drafts):
+        return F.to_json(F.struct(F.lit("said").alias("raw_text"), drafts.alias("parsed"), F.lit("observed").alias("provenance"), F.lit("permanent").alias("ttl")))
+
+    users = e.groupBy("user_id", "scope_key").agg(F.min("seq").alias("first"), F.min_by("k", "seq").alias("k"))
+    entity = ids.make("e", F.col("first"), F.lit(0))
+    other = users.select((F.col("user_id") - 4).alias("user_id"), F.col("first").alias("other"))
+    kept = users.where("user_id % 8 < 4")
+    merges = kept.join(other, "user_id").select("scope_key", F.lit("merge").alias("kind"), F.lit(0).alias("part"), "user_id", F.to_json(F.struct(entity.alias("keep"), ids.make("e", F.col("other"), F.lit(0)).alias("absorb"))).alias("body"))
+    named = kept.where("user_id % 3 = 0")
+    called = F.concat(F.lit("al "), user)
+    aliases = named.select("scope_key", F.lit("alias").alias("kind"), F.lit(1).alias("part"), "user_id", F.to_json(F.struct(called.alias("surface"), entity.alias("entity_id"))).alias("body"))
+    later = named.select("scope_key", F.lit("statement").alias("kind"), F.lit(2).alias("part"), "user_id", says(F.array(draft(called, F.lit("uses"), null, item, null))).alias("body"))
+    added = merges.unionByName(aliases).unionByName(later)
+    # places among the added events, whose number is that of users: counted by part and user over slices of users, then within a slice
+    slice_ = F.floor(F.col("user_id") / 1024)
+    cells = added.groupBy("part", slice_.alias("slice")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part", "slice").rowsBetween(Window.unboundedPreceding, -1)  # a row for 1024 users
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("part", "slice").orderBy("user_id"))
+    added = added.withColumn("slice", slice_).withColumn("nth", place).join(cells, ["part", "slice"])
+    added = added.select((e.agg(F.max("seq")).scalar() + F.col("before") + F.col("nth")).alias("seq"), "scope_key", "kind", "body", e.agg(F.max("created_at")).scalar().alias("created_at"))
+    all_ = e.select("seq", "scope_key", F.lit("statement").alias("kind"), says(parsed).alias("body"), "created_at").unionByName(added)
+    return all_.select("seq", ids.event_id(F.col("seq")).alias("id"), "scope_key", "kind", "body", null.alias("actor"), null.alias("branch"), null.alias("session"), "created_at")
+
+
 def star_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(subject, relation, object, n) of the star tables: regions contain nations, nations contain suppliers, and customers use or reject brands."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
