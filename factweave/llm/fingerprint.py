@@ -10,35 +10,38 @@ The least a of a text is its k-th sample. Two texts have the same k-th sample
 with a probability equal to their generalised Jaccard similarity (sum of least
 over sum of greatest weights), so the share of equal samples estimates it.
 
-A document's neighbour is the next one in descending doc_id. Documents are
-dealt into buckets of BUCKET consecutive ids; the first document of the next
-bucket joins each bucket as a guest, so neighbours meet by a window over a
-small bucket, and no task sees all ids.
-
-Null texts are empty. Equal texts have equal fingerprints; two empty texts have
+A document's neighbour is the next one in descending doc_id. Documents are dealt
+into ranges of ids of about BUCKET documents each, RANGES at most, whose bounds
+are quantiles of the ids: so they are alike in size whether ids are dense, sparse
+or hashed. The first document of each range is also dealt, as a guest, to the
+range that comes before it, so neighbours meet by a window over one range, and a
+text is shuffled once. Bounds and first ids are at most RANGES numbers.
+
+Null texts are empty; null ids come last. Equal texts have equal fingerprints; two empty texts have
 likeness 1, an empty and another text 0. Rows that share a doc_id are ordered
-by a hash of their text. An empty table gives an empty one; a single document
+by a hash of their text, in one range. An empty table gives an empty one; a single document
 is its own neighbour. Other columns are ignored. No user-defined functions.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from factweave.llm.common import documents_text, materialize
+from factweave.llm.common import documents_text
 
-SAMPLES = 16
-BUCKET = 256
-#: Buckets of a group, for the bucket that follows each.
-GROUP = 4096
+SAMPLES = 32
+#: Documents of a range of ids on the average, and ranges at most.
+BUCKET, RANGES = 256, 65_536
 
 
 def _uniforms(term: Column, k: int, n: int) -> list[Column]:
-    """n uniform numbers in (0, 1) from hashes of a term's hash and k: 31 bits each, two from a hash."""
+    """n uniform numbers in (0, 1) from hashes of a term's hash and k: 21 bits each, three from a hash."""
     out: list[Column] = []
-    for i in range(0, n, 2):
+    for i in range(0, n, 3):
         h = F.xxhash64(term, F.lit(k * 8 + i))
-        out += [(F.shiftrightunsigned(h, 33) + 0.5) / float(1 << 31), (h.bitwiseAND(F.lit((1 << 31) - 1)) + 0.5) / float(1 << 31)]
+        out += [(F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)) + 0.5) / float(1 << 21) for shift in (43, 22, 1)]
     return out[:n]
 
 
@@ -87,26 +90,39 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return sum((F.when(a[k].eqNullSafe(b[k]), 1).otherwise(0) for k in range(samples)), F.lit(0)) / float(samples)
 
 
-def _following(buckets: DataFrame) -> DataFrame:
-    """(bucket, top, after): after is the bucket before which this one comes in descending order; the last comes before the first."""
-    group = F.floor(F.col("bucket") / GROUP)
-    inside = buckets.withColumn("group", group).withColumn("after", F.lead("bucket").over(Window.partitionBy("group").orderBy(F.desc("bucket"))))
-    groups = inside.groupBy("group").agg(F.max("bucket").alias("head"))  # one row for BUCKET * GROUP documents
-    order = Window.orderBy(F.desc("group"))
-    groups = groups.select("group", F.coalesce(F.lead("head").over(order), F.max("head").over(Window.partitionBy())).alias("next_head"))
-    return inside.join(groups, "group").select("bucket", "top", F.coalesce("after", "next_head").alias("after"))
+def _held(values: list[int | None]) -> Column:
+    """An array of at most RANGES numbers as a constant, which the optimizer reads once."""
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+
+
+def ranges(docs: DataFrame) -> Column:
+    """The number of the range of ids that doc_id is in: how many bounds are at most as large, by binary search."""
+    n = max(1, min(RANGES, -(-docs.count() // BUCKET)))
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], min(20 * n, 2_000_000)).alias("x")).first()["x"] if n > 1 else []
+    bounds = sorted(set(bounds or []))
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    held = _held(bounds)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: at + F.when(F.get(held, at + step - 1) <= F.col("doc_id"), step).otherwise(0))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
     """(bucket, place, guest, doc_id, text, next_text): bucket and place tell rows apart."""
-    d = documents_text(docs).withColumn("bucket", F.floor(F.col("doc_id") / BUCKET))
-    tops = d.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    follow = materialize(_following(tops), "fingerprint-buckets")  # a written table: its size is known when the join below is planned
-    heads = follow.alias("f").join(follow.select(F.col("bucket").alias("after"), F.col("top").alias("head")), "after").select(F.col("f.bucket").alias("into"), "head")
-    guests = d.join(heads, d["doc_id"] == heads["head"]).select("doc_id", "text", F.col("into").alias("bucket"), F.lit(True).alias("guest"))
-    rows = d.withColumn("guest", F.lit(False)).select("doc_id", "text", "bucket", "guest").unionByName(guests)
+    d = documents_text(docs)
+    ids = d.select("doc_id")
+    bucket = ranges(ids)
+    heads = {r["bucket"]: r["head"] for r in ids.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # at most RANGES rows
+    order = sorted(heads)
+    size = order[-1] + 1 if order else 1
+    into = dict(zip(order, order[1:] + order[:1]))  # where the first document of a range is a guest: the one above, and for the topmost the lowest
+    head_of, into_of = (_held([x.get(i) for i in range(size)]) for x in (heads, into))
+    own = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("guest"))
+    also = F.struct(F.get(into_of, F.col("own")).cast("int").alias("bucket"), F.lit(True).alias("guest"))
+    is_head = F.col("doc_id").eqNullSafe(F.get(head_of, F.col("own")))
+    dealt = d.withColumn("own", bucket.cast("int")).withColumn("at", F.explode(F.when(is_head, F.array(own, also)).otherwise(F.array(own)))).select("doc_id", "text", "at.bucket", "at.guest")
     order = Window.partitionBy("bucket").orderBy("guest", F.desc("doc_id"), F.xxhash64("text"))
-    return rows.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.coalesce(F.lead("text").over(order), F.col("text")))
+    return dealt.withColumn("place", F.row_number().over(order)).withColumn("next_text", F.coalesce(F.lead("text").over(order), F.col("text")))
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
