@@ -28,6 +28,7 @@ n_shingles. An empty table gives an empty one. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from factweave.llm.common import documents_text, map_arrow, materialize, slices
 from factweave.llm.components import components
 
-#: Classes of a tile, and hubs that each tile of a larger group meets.
-TILE, HUBS = 128, 48
+#: Classes of a tile, and hubs that each tile of a larger group meets. Above SPLIT classes of one shingle, its classes are dealt out too.
+TILE, HUBS, SPLIT = 128, 48, 1024
 #: Documents of the sample that orders shingles, and how many frequent ones are told apart.
 ORDER_SAMPLE, ORDER_SHINGLES = 4096, 50_000
 CACHE_WORDS = 300_000
@@ -163,8 +164,11 @@ class Group:
         ok[ok] = ((both - differ) // 2) * (num + den) >= num * both
         return ok
 
-    def candidates(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pairs that may link and connect all that may: every pair of small groups, a spanning forest of large ones."""
+    def candidates(self, num: int, den: int, label: np.ndarray | None = None, active: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pairs that may link and connect all that may: every pair of small groups, a spanning forest of large ones.
+
+        Rows of one label are connected already, and two that aren't active needn't meet.
+        """
         begin = np.flatnonzero(np.r_[True, self.token[1:] != self.token[:-1]])
         size = np.diff(np.r_[begin, len(self.token)])
         end = np.repeat(begin + size, size)
@@ -177,11 +181,12 @@ class Group:
             ok = self.may_link(i, i + lag, num, den)
             out.append((self.ids[i[ok]], self.ids[i[ok] + lag]))
         for b, m in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist()):
-            root = np.arange(m)
+            root = np.arange(m) if label is None else np.unique(label[b : b + m], return_inverse=True)[1]
+            lasts = np.searchsorted(self.n[b : b + m], self.n[b : b + m] * den // num, "right")  # the band: sizes up to den / num times this one
             for i in range(m):
-                last = np.searchsorted(self.n[b : b + m], self.n[b + i] * den // num, "right")
-                j = np.arange(i + 1, last)
-                j = j[root[j] != root[i]]
+                j = i + 1 + np.flatnonzero(root[i + 1 : lasts[i]] != root[i])
+                if active is not None and not active[b + i]:
+                    j = j[active[b + j]]
                 j = j[self.may_link(np.full(len(j), b + i), b + j, num, den)]
                 if len(j):
                     first = j[np.unique(root[j], return_index=True)[1]]  # one of each component
@@ -190,15 +195,15 @@ class Group:
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs (a, b) of rows (token, id, n, signature) that share a token and may link, as far as they connect."""
+def met(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of rows (token, id, n, signature, label, active) that share a token and may link, as far as they connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def done(table: pa.Table) -> pa.RecordBatch:
             g = Group(*(table.column(c).to_numpy() for c in ("token", "id", "n")), table.column("signature").to_pylist())
-            a, b = g.candidates(num, den)
+            a, b = g.candidates(num, den, *(table.column(c).to_numpy() for c in ("label", "active")))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -214,7 +219,31 @@ def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
             yield done(pa.Table.from_batches(held))
 
     dealt = rows.repartition("token").sortWithinPartitions("token", "n", "id")
-    return map_arrow(dealt, run, "a long, b long").distinct()
+    return map_arrow(dealt, run, "a long, b long")
+
+
+def candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Distinct pairs (a, b) of rows (token, many, id, n, signature) that share a token, which `many` rows have, and may link, as far as they connect.
+
+    Rows of a token that more than SPLIT have are dealt by bands of sizes, each
+    band together with the next, so that all that may link still meet; and a band
+    is dealt into blocks as coarse groups are: hubs in every block first, then
+    what they don't connect, block by block. So no task holds a whole token.
+    """
+    cols = ["token", "id", "n", "signature", "label", "active"]
+    plain = rows.where(F.col("many") <= SPLIT).select("token", "id", "n", "signature", F.col("id").alias("label"), F.lit(True).alias("active"))
+    few = met(plain, num, den)
+    band = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * math.log(den / num)))
+    hot = rows.where(F.col("many") > SPLIT).withColumn("band", F.explode(F.array(band, band - 1))).select(F.xxhash64("token", "band").alias("coarse"), "id", F.col("n").alias("size"), "signature")
+    hot = materialize(hot, "jaccard-hot")
+    if hot.isEmpty():
+        return few.distinct()
+    members = materialize(hot.join(hot.groupBy("coarse").agg(F.count("*").alias("n")), "coarse"), "jaccard-hot")
+    tile = F.xxhash64("coarse", "i", "j").alias("token")
+    dealt = lambda t: met(t.select(tile, "id", F.col("size").alias("n"), "signature", "label", "active").select(*cols), num, den)
+    one = materialize(few.unionByName(dealt(_first_tiles(members, ["size", "signature"], SPLIT))).distinct(), "jaccard-pairs")
+    two = dealt(_rest_tiles(members, components(one), ["size", "signature"], SPLIT))
+    return one.unionByName(two).distinct()
 
 
 def linked(ids: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, active: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
@@ -268,38 +297,40 @@ def verified(tiles: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return tiles.groupBy("coarse", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def _block(n: str, salt: int, size: int = TILE):
+def _block(n: str, salt: int, size: int):
     """A member's block, of blocks that hold `size` members on the average."""
     return F.pmod(F.xxhash64("id", F.lit(salt)), F.ceil(F.col(n) / size)).cast("int")
 
 
-def _first_tiles(members: DataFrame) -> DataFrame:
+def _first_tiles(members: DataFrame, payload: list[str], size: int) -> DataFrame:
     """Members in blocks; the hubs of a group of several blocks are also in each other block, passive."""
-    own = members.withColumn("blocks", F.ceil(F.col("n") / TILE).cast("int")).withColumn("i", _block("n", 1))
+    own = members.withColumn("blocks", F.ceil(F.col("n") / size).cast("int")).withColumn("i", _block("n", 1, size))
     cols = ["coarse", "i", F.lit(-1).alias("j"), "id", F.col("id").alias("label")]
     hubs = own.where((F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit(2)), F.ceil(F.col("n") / HUBS)) == 0))
     hubs = hubs.withColumn("own", F.col("i")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("i != own")
-    return own.select(*cols, F.lit(True).alias("active"), "text").unionByName(hubs.select(*cols, F.lit(False).alias("active"), "text"))
+    return own.select(*cols, F.lit(True).alias("active"), *payload).unionByName(hubs.select(*cols, F.lit(False).alias("active"), *payload))
 
 
-def _rest_tiles(members: DataFrame, roots: DataFrame) -> DataFrame:
+def _rest_tiles(members: DataFrame, roots: DataFrame, payload: list[str], size: int) -> DataFrame:
     """For groups of several blocks: classes outside the main component, in blocks that meet one another and all blocks of it."""
-    large = members.where(F.col("n") > TILE)
+    large = members.where(F.col("n") > size)
     named = large.join(roots.select(F.col("id"), F.col("root")), "id", "left").withColumn("label", F.coalesce("root", "id")).drop("root")
     sizes = named.groupBy("coarse", "label").agg(F.count("*").alias("size"))
     groups = sizes.groupBy("coarse").agg(F.max(F.struct("size", "label")).alias("main"), F.sum("size").alias("all")).select("coarse", F.col("main.label").alias("main"), F.col("main.size").alias("held"), (F.col("all") - F.col("main.size")).alias("rest")).where("rest > 0")
     named = named.join(groups, "coarse").withColumn("active", F.col("label") != F.col("main"))
-    rests, mains = F.ceil(F.col("rest") / TILE).cast("int"), F.ceil(F.col("held") / TILE).cast("int")
-    cols = ["coarse", "i", "j", "id", "label", "active", "text"]
-    rest = named.where("active").withColumn("b", _block("rest", 3))
+    rests, mains = F.ceil(F.col("rest") / size).cast("int"), F.ceil(F.col("held") / size).cast("int")
+    cols = ["coarse", "i", "j", "id", "label", "active", *payload]
+    rest = named.where("active").withColumn("b", _block("rest", 3, size))
     # block pairs of the rest: tile (lesser, greater); with the main component: (block, rest blocks + its block)
     pairs = rest.withColumn("x", F.explode(F.sequence(F.lit(0), rests + mains - 1))).withColumn("i", F.when(F.col("x") < rests, F.least("b", "x")).otherwise(F.col("b"))).withColumn("j", F.when(F.col("x") < rests, F.greatest("b", "x")).otherwise(F.col("x")))
-    main = named.where(~F.col("active")).withColumn("j", rests + _block("held", 4)).withColumn("i", F.explode(F.sequence(F.lit(0), rests - 1)))
+    main = named.where(~F.col("active")).withColumn("j", rests + _block("held", 4, size)).withColumn("i", F.explode(F.sequence(F.lit(0), rests - 1)))
     return pairs.select(*cols).unionByName(main.select(*cols))
 
 
 def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: documents link when den * intersection >= num * union of their k-word shingles."""
+    if 2 * num <= den:
+        raise ValueError("thresholds above 1/2 only: signatures are halved once, and sizes lie within a factor of two")
     docs = documents_text(docs)
     sets = materialize(shingle_sets(docs, k, num, den), "jaccard-sets")
     full = sets.where("n_shingles > 0")
@@ -308,15 +339,15 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles"), "digest"), ["doc_id", "n_shingles", "digest"], "left_semi")
     # tokens are dealt out once, for counting and for what is left; most stand in one class only
     tokens = reps.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token")).repartition("token")
-    shared = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("token")
+    shared = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("many")).where("least != most").select("token", "many")
     rows = tokens.join(shared, "token").join(full.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature"), "id")
     coarse = components(candidates(rows, num, den))
     counts = coarse.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "coarse")
     members = coarse.select("id", F.col("root").alias("coarse")).join(counts, "coarse")
     members = materialize(docs.withColumnRenamed("doc_id", "id").join(members.hint("merge"), "id").select("id", "coarse", "n", "text"), "jaccard-members")
     # rows that share an id are told apart by their sets; links and labels go by id
-    one = materialize(verified(_first_tiles(members), k, num, den), "jaccard-links")
-    two = materialize(verified(_rest_tiles(members, components(one)), k, num, den), "jaccard-links")
+    one = materialize(verified(_first_tiles(members, ["text"], TILE), k, num, den), "jaccard-links")
+    two = materialize(verified(_rest_tiles(members, components(one), ["text"], TILE), k, num, den), "jaccard-links")
     same = full.join(classes, ["n_shingles", "digest"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a != b")
     roots = components(one.unionByName(two).unionByName(same))
     return sets.select("doc_id", "n_shingles").join(roots.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
