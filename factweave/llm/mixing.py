@@ -29,7 +29,7 @@ from factweave.llm.common import materialize
 WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Hash buckets of each size class of a source.
-BUCKETS = 128
+BUCKETS = 1024
 SEED = 20_240_517
 
 
@@ -76,15 +76,27 @@ def copies(docs: DataFrame, keys: list[str], weights: tuple[float, ...] = WEIGHT
     return found.withColumn("copies", F.when(F.col("size") > 0, upto(F.col("place")) - upto(F.col("place") - 1)).otherwise(0).cast("long")).drop("place")
 
 
+def _sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, source, size) of all rows, written: sums and places need them several times, texts are read once."""
+    return materialize(docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("source").cast("string").alias("source"), words().alias("size")), "mix-sizes")
+
+
 def mix_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken): taken are the words of all copies."""
-    slim = docs.select("doc_id", F.col("source").cast("string").alias("source"), words().alias("size"))
-    slim = materialize(slim, "mix-sizes")  # sums and places need the sizes several times; texts are read once
-    return copies(slim, ["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return copies(_sizes(docs), ["doc_id", "text_key"]).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixture: the rows of docs, each as many times as it is taken, with the same columns. Rows travel as one struct, so no name clashes."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("source"), words().alias("size"), F.col("doc_id").alias("key"), F.xxhash64("text").alias("text_key"))
-    taken = copies(packed, ["key", "text_key"]).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    """The mixture: the rows of docs, each as many times as mix_report() takes it, with the same columns.
+
+    Copies are counted on ids and sizes; texts are dealt once, to meet their
+    number. Rows of the same id, source and text share the copies that fall to
+    them in any order. Rows travel as one struct, so no name clashes.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.col("source").isNull(), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    taken = copies(_sizes(docs), ["doc_id", "text_key"]).select(F.xxhash64(key, "text_key").alias("key"), "copies")
+    numbers = taken.groupBy("key").agg(F.array_sort(F.collect_list("copies")).alias("each")).where(F.exists("each", lambda n: n > 0))  # a number for each repeated row
+    packed = docs.select(F.xxhash64(key, F.xxhash64("text")).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # the join has dealt the rows out by key already
+    met = packed.join(numbers.hint("merge"), "key").withColumn("nth", nth).withColumn("copies", F.get("each", F.col("nth") - 1)).where("copies > 0")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
