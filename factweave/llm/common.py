@@ -16,7 +16,7 @@ SLICE_CHARS = 2_000_000
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with batches short enough for texts of any length."""
+    """mapInArrow with batches short enough for texts of any length. The batch size is a setting of the session, read when the plan runs, so it stays set."""
     spark = df.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)

@@ -9,7 +9,8 @@ beside the time span of each block.
 
 Null and empty texts are 64 zero bytes. Equal texts give equal values: each
 text is computed alone, in chunks whose bounds depend on its length only.
-Repeated rows give repeated rows; other columns are ignored.
+Repeated rows give repeated rows; an empty table gives an empty one; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ HIGH_DB, LOW_DB = 0.5, -1.5
 FLOOR = np.float32(-12.0)
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-FULL = "doc_id long, media binary, tensors binary, segments array<struct<start:double,end:double>>"
+FULL = "doc_id long, n_bytes long, media binary, tensors binary, segments array<struct<start:double,end:double>>"
 
 
 def payload(text: str) -> tuple[int, bytes]:
@@ -153,44 +154,49 @@ def _ipc(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def stored(text: str) -> tuple[int, bytes, bytes, list[dict[str, float]]]:
+    """(unpadded bytes, media file, tensors as an Arrow stream, active segments in seconds) of a text."""
+    n, samples = payload(text)
+    media = to_wav(samples)
+    rows, segments, rate = features(media)
+    return n, media, _ipc(blocks(rows, rate)), [{"start": a * HOP / rate, "end": ((b - 1) * HOP + FRAME) / rate} for a, b in segments.tolist()]
+
+
 def store(docs: DataFrame) -> DataFrame:
-    """(doc_id, media file, tensors as an Arrow stream, active segments in seconds)."""
+    """(doc_id, n_bytes, media file, tensors as an Arrow stream, active segments in seconds)."""
+    span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
+    types = [pa.int64(), pa.binary(), pa.binary(), span]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                media = [to_wav(payload(t)[1]) for t in texts]
-                made = [features(m) for m in media]
-                spans = [[{"start": a * HOP / r, "end": ((b - 1) * HOP + FRAME) / r} for a, b in s.tolist()] for _, s, r in made]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(media, pa.binary()), pa.array([_ipc(blocks(m, r)) for m, _, r in made], pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())])))],
-                    ["doc_id", "media", "tensors", "segments"],
-                )
+                columns = list(zip(*map(stored, texts)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "n_bytes", "media", "tensors", "segments"])
 
     return map_arrow(documents_text(docs), run, FULL)
 
 
-def digest_row(text: str) -> tuple:
-    n, samples = payload(text)
-    media = to_wav(samples)
-    rows, segments, rate = features(media)
-    back = from_wav(media)[1]
-    made = blocks(rows, rate)
-    tensor = made.column("log_mel").to_numpy_ndarray()
-    quantised = np.round(tensor * 100).astype(np.int16)
-    feature = f"{len(rows)}x{MELS}/{len(quantised)}:{len(segments)}:{made.column('end')[-1].as_py():.3f}:{float(rows.mean()):.3f}:{hashlib.sha256(quantised.tobytes() + segments.astype('<i4').tobytes()).hexdigest()[:32]}"
-    return n, len(samples), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+def digest_row(n: int, media: bytes, tensors: bytes, segments: list[dict[str, float]]) -> tuple:
+    """What a stored row is told by: samples read back from the file, tensors from their stream."""
+    samples = from_wav(media)[1]
+    with pa.ipc.open_stream(tensors) as stream:
+        made = stream.read_all()
+    tensor = np.concatenate([c.to_numpy_ndarray() for c in made.column("log_mel").chunks])
+    quantised = np.round(tensor * 100).astype("<i2")
+    spans = np.array([[x["start"], x["end"]] for x in segments], "<f8")
+    feature = f"{MELS}x{BLOCK}x{len(quantised)}:{len(segments)}:{made.column('end')[-1].as_py():.3f}:{float(tensor.mean()):.3f}:{hashlib.sha256(quantised.tobytes() + spans.tobytes()).hexdigest()[:32]}"
+    return n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Sizes, hashes and a feature string of each document's stored media."""
+    """Sizes, hashes and a feature string of each document's stored media: all from the columns of store()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for batch in batches:
-            for part, texts in slices(batch):
-                columns = list(zip(*map(digest_row, texts)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", *names])
+            columns = list(zip(*(digest_row(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "media", "tensors", "segments"))))))
+            if columns:
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", *names])
 
-    return map_arrow(documents_text(docs), run, DIGEST)
+    return map_arrow(store(docs), run, DIGEST)
