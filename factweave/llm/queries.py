@@ -17,11 +17,15 @@ WITH p AS (
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)
 ), o AS (
-  SELECT host, CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END AS bad FROM p JOIN labels ON doc_id = page_id
+  SELECT host, bad FROM p JOIN (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY ALL) ON doc_id = page_id WHERE bad IS NOT NULL
+), hn AS (
+  SELECT host, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS name, count(*) AS n, sum(bad)::BIGINT AS k FROM o GROUP BY host
+), hl AS (
+  SELECT *, array_to_string(list_slice(string_split(name, '.'), -2, NULL), '.') AS two, array_to_string(list_slice(string_split(name, '.'), -3, NULL), '.') AS three, regexp_matches(name, '^[0-9]+([.][0-9]+){3}$|^\[') AS num FROM hn
 ), h AS (
-  SELECT host, regexp_extract(host, '[^.]+\.[^.]+$|^[^.]*$') AS domain, count(*) AS n, sum(bad)::BIGINT AS k FROM o WHERE bad IS NOT NULL GROUP BY host
+  SELECT host, n, k, CASE WHEN num THEN name WHEN two IN (SUFFIXES) THEN three ELSE two END AS domain, CASE WHEN num THEN '' WHEN two IN (SUFFIXES) THEN two ELSE split_part(name, '.', -1) END AS suffix FROM hl
 ), d AS (
-  SELECT domain, split_part(domain, '.', -1) AS suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM h GROUP BY ALL
+  SELECT domain, suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM h GROUP BY ALL
 ), s AS (
   SELECT suffix, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM d GROUP BY suffix
 ), raw AS (
@@ -48,7 +52,7 @@ WITH p AS (
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM r
-"""
+""".replace("SUFFIXES", ", ".join(f"'{s}'" for s in url_filter.SUFFIXES))
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,7 +106,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents"))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), model_path())
 
 
 def queries() -> dict[str, Query]:
