@@ -31,7 +31,9 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 
 #: label, keyword that must occur, what a license's name looks like in folded words.
 NAMES = (
-    ("mit", "mit", r"(?:mit|expat|x11)"),
+    ("mit", "mit", r"mit"),
+    ("mit", "expat", r"expat"),
+    ("mit", "x11", r"x11"),
     ("apache-1.1", "apache", r"apache (?:software )?(?:license )?(?:version )?1 1"),
     ("apache-2", "apache", r"apache (?:software )?(?:license )?(?:version |v )?2(?: 0)?"),
     ("agpl-3", "gpl", r"agpl ?v?3(?: 0)?"),
@@ -65,7 +67,8 @@ NAMES = (
     ("wtfpl", "wtfpl", r"wtfpl"),
     ("boost-1", "boost", r"boost (?:software )?(?:license )?(?:version )?1(?: 0)?"),
     ("artistic-2", "artistic", r"(?:perl )?artistic(?: license)?(?: 2(?: 0)?)?"),
-    ("python-2", "python", r"(?:psf|python software foundation|python)"),
+    ("python-2", "psf", r"psf"),
+    ("python-2", "python", r"(?:python software foundation|python)"),
     ("postgresql", "postgresql", r"postgresql"),
     ("openssl", "openssl", r"openssl"),
     ("php-3", "php", r"php(?: 3(?: 0[01]?)?)?"),
@@ -98,7 +101,7 @@ FORMS = (
 #: label, keyword, regex, priority, confidence of passages that name no license by a name above.
 PASSAGES = (
     ("mit", "hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy", 1, 1.0),
-    ("isc", "hereby granted", r"permission to use copy modify and or distribute this software for any purpose", 1, 1.0),
+    ("isc", "permission to use", r"permission to use copy modify and or distribute this software for any purpose", 1, 1.0),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification", 1, 0.95),
     ("cc-by-nc", "cc by nc", r"cc by nc", 2, 0.9),
     ("apache-2", "apache license", r"apache license version 2", 2, 0.95),
@@ -173,6 +176,94 @@ NOTICES = (
 )
 
 
+#: The same of clauses, warranty texts, headers, exceptions, choices of several licenses and "or later" wordings.
+_GNU = r"(?:gnu general public license|gpl)"
+_OR_LATER = r"(?: as published by the free software foundation)? (?:either )?(?:version |v )?{}(?: 0)?(?: of the license)? or (?:at your option )?any later version"
+CLAUSES = (
+    ("apache-2", "apache license", r"licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 1, 1.0),
+    ("apache-2", "except in compliance", r"you may not use this (?:file|work|software) except in compliance with the license", 4, 0.7),
+    ("apache-2", "conditions of any kind", r"distributed on an as is basis without warranties or conditions of any kind either express or implied", 3, 0.8),
+    ("apache-2", "asf", r"licensed to the apache software foundation asf under one or more contributor license agreements", 1, 1.0),
+    ("apache-2", "unless required by applicable law", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", 2, 0.9),
+    ("mit", "substantial portions", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 2, 0.9),
+    ("mit", "noninfringement", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", 2, 0.85),
+    ("mit", "deal in the software", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", 1, 1.0),
+    ("mit", "dealings in the software", r"connection with the software or the use or other dealings in the software", 4, 0.7),
+    ("bsd", "source code must retain", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 2, 0.9),
+    ("bsd", "binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 2, 0.9),
+    ("bsd-3", "nor the names of", r"neither the name of (?:the )?(?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse or promote products derived from this software", 1, 1.0),
+    ("bsd", "and contributors as is", r"this software is provided by the (?:copyright holders|regents) and contributors as is and any express or implied warranties", 2, 0.85),
+    ("bsd-4", "this product includes", r"this product includes software developed by (?:the )?(?:[^ ]+ ){1,8}and its contributors", 2, 0.9),
+    ("gpl", "without any warranty", r"this program is distributed in the hope that it will be useful but without any warranty", 3, 0.8),
+    ("gpl", "general public", r"see the gnu general public license for more details", 3, 0.85),
+    ("lgpl", "lesser general", r"this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license", 1, 0.95),
+    ("lgpl", "this library is free software", r"this library is free software you can redistribute it and or modify it", 2, 0.9),
+    ("gpl-2", "only", _GNU + r" (?:version |v )?2(?: 0)? only", 1, 1.0),
+    ("gpl-3", "only", _GNU + r" (?:version |v )?3(?: 0)? only", 1, 1.0),
+    ("gpl-2-or-later", "later", _GNU + _OR_LATER.format(2), 1, 1.0),
+    ("gpl-3-or-later", "later", _GNU + _OR_LATER.format(3), 1, 1.0),
+    ("gpl-2-or-later", "later", r"gpl 2 0 or later", 1, 1.0),
+    ("gpl-3-or-later", "later", r"gpl 3 0 or later", 1, 1.0),
+    ("lgpl-2.1-or-later", "later", r"lgpl 2 1 or later", 1, 1.0),
+    ("lgpl-3-or-later", "later", r"lgpl 3 0 or later", 1, 1.0),
+    ("agpl-3-or-later", "later", r"agpl 3 0 or later", 1, 1.0),
+    ("exception-classpath", "classpath", r"(?:with (?:the )?)?(?:gnu )?classpath exception(?: 2 0)?", 1, 0.95),
+    ("exception-classpath", "independent modules", r"gives you permission to link this library with independent modules to produce an executable", 1, 1.0),
+    ("exception-gcc-runtime", "runtime library exception", r"gcc runtime library exception(?: version 3 1)?", 1, 1.0),
+    ("exception-linux-syscall", "system calls", r"user programs that use kernel services by normal system calls", 1, 0.95),
+    ("exception-openssl", "openssl", r"special exception (?:the copyright holders give )?permission to link (?:the code of )?(?:this program|portions of this program) with the openssl library", 1, 1.0),
+    ("exception-llvm", "llvm", r"(?:with )?llvm exceptions?", 1, 0.95),
+    ("exception-autoconf", "autoconf", r"as a special exception (?:to the gnu general public license )?if you distribute this file as part of a program that contains a configuration script generated by autoconf", 1, 1.0),
+    ("exception-bison", "bison", r"as a special exception you may create a larger work that contains part or all of the bison parser skeleton", 1, 1.0),
+    ("exception-font", "font", r"as a special exception if you create a document which uses this font", 1, 1.0),
+    ("dual", "licensed under", r"(?:dual|multi|triple|tri) licensed under", 2, 0.9),
+    ("dual", "under", r"(?:licensed|available|released|distributed) under (?:either|any) of", 3, 0.8),
+    ("dual", "you may choose", r"you may choose (?:either|one of|any of) (?:the following|these) licen[cs]es?", 2, 0.9),
+    ("mpl-2", "mozilla org", r"if a copy of the mpl was not distributed with this file you can obtain one at https? mozilla org mpl 2 0", 1, 1.0),
+    ("mpl-2", "secondary licenses", r"incompatible with secondary licenses as defined by the mozilla public license", 1, 1.0),
+    ("mpl-1.1", "mozilla org", r"mozilla org mpl (?:mpl 1 1|1 1)", 3, 0.9),
+    ("epl-2", "spdx", r"spdx license identifier epl 2 0", 1, 1.0),
+    ("epl-2", "secondary licenses", r"this source code may also be made available under the following secondary licenses when the conditions for such availability", 1, 1.0),
+    ("cddl", "common development", r"the contents of this file are subject to the terms of the common development and distribution license", 1, 1.0),
+    ("isc", "author disclaims", r"the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", 1, 0.95),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", 1, 1.0),
+    ("zlib", "misrepresented", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", 1, 1.0),
+    ("unlicense", "anyone is free", r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", 1, 1.0),
+    ("boost-1", "boost", r"distributed under the boost software license version 1 0 see accompanying file", 1, 1.0),
+    ("cc0", "extent possible", r"to the extent possible under law (?:the author|(?:[^ ]+ ){1,6})(?: has)? (?:has )?(?:waived|dedicated) all copyright", 1, 1.0),
+    ("cc0", "publicdomain", r"creativecommons org publicdomain zero 1 0", 3, 0.9),
+    ("public-domain", "author disclaims copyright", r"the author disclaims copyright to this source code", 1, 1.0),
+    ("public-domain", "is claimed", r"no copyright is claimed", 4, 0.7),
+    ("python-2", "python", r"python software foundation license version 2", 2, 0.95),
+    ("php-3", "php", r"this source file is subject to version 3 0?1? ?of the php license", 1, 1.0),
+    ("artistic-2", "artistic", r"the artistic license 2 0", 2, 0.95),
+    ("artistic-1", "artistic", r"(?:the )?artistic license(?: 1 0)? with perl", 2, 0.9),
+    ("perl-5", "perl", r"(?:under )?the same terms as perl itself", 2, 0.95),
+    ("postgresql", "without fee", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee", 1, 0.95),
+    ("ofl-1.1", "reserved font name", r"with reserved font name", 3, 0.8),
+    ("eupl", "eupl", r"licensed under the eupl(?: version 1 [012])?(?: or as soon they will be approved by the european commission subsequent versions of the eupl)?", 1, 1.0),
+    ("ms-pl", "microsoft public", r"microsoft public license(?: ms pl)?", 3, 0.9),
+    ("ms-rl", "microsoft reciprocal", r"microsoft reciprocal license(?: ms rl)?", 3, 0.9),
+    ("ncsa", "university of illinois", r"university of illinois (?:at urbana champaign )?(?:ncsa )?open source license", 2, 0.95),
+    ("afl-3", "academic free", r"academic free license(?: version)?(?: 3 0)?", 3, 0.9),
+    ("osl-3", "open software license", r"open software license(?: version)?(?: 3 0)?", 3, 0.9),
+    ("upl-1", "universal permissive", r"universal permissive license(?: upl)?(?: version)?(?: 1 0)?", 3, 0.9),
+    ("sspl-1", "server side", r"server side public license(?: version 1)?", 3, 0.9),
+    ("busl-1.1", "business source", r"business source license(?: 1 1)?", 3, 0.9),
+    ("elastic-2", "elastic", r"elastic license(?: 2 0)?", 3, 0.85),
+    ("commons-clause", "commons clause", r"commons clause license condition", 1, 1.0),
+    ("json", "good not evil", r"the software shall be used for good not evil", 1, 1.0),
+    ("beerware", "beer", r"if we meet some day and you think this stuff is worth it you can buy me a beer in return", 1, 1.0),
+    ("vim", "vim license", r"vim license", 4, 0.8),
+    ("hippocratic", "hippocratic", r"hippocratic license", 4, 0.8),
+    ("blueoak-1", "blue oak", r"blue oak model license(?: 1 0 0)?", 3, 0.9),
+    ("mulan-2", "mulan", r"mulan (?:psl|permissive software license)(?: v2| version 2)?", 3, 0.9),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of this file via any medium is strictly prohibited", 1, 0.95),
+    ("proprietary", "trade secret", r"contains (?:confidential information and )?trade secrets? of", 3, 0.7),
+    ("proprietary", "may be reproduced", r"no part of this (?:publication|work|document|book) may be reproduced", 2, 0.9),
+)
+
+
 class Rule(NamedTuple):
     priority: int
     order: int
@@ -185,7 +276,7 @@ class Rule(NamedTuple):
 def rules() -> list[Rule]:
     """All rules in order of priority, then as written: every form with every name, then the passages and notices."""
     found = [(p, label, key, conf, form.format(name)) for p, conf, form in FORMS for label, key, name in NAMES]
-    found += [(p, label, key, conf, regex) for label, key, regex, p, conf in PASSAGES + NOTICES]
+    found += [(p, label, key, conf, regex) for label, key, regex, p, conf in PASSAGES + NOTICES + CLAUSES]
     found = sorted(enumerate(found), key=lambda x: (x[1][0], x[0]))
     return [Rule(p, i, label, key.encode(), conf, re.compile(b" " + regex.encode() + b"(?= )")) for i, (_, (p, label, key, conf, regex)) in enumerate(found)]
 
@@ -196,7 +287,8 @@ class Scanner:
         for rule in rules():
             by.setdefault(rule.keyword, []).append(rule)
         self.by_keyword = by
-        self.gates = (b"licen", b"spdx", b"copyright", b"public domain", b"hereby granted", b"permission to use", b"redistribution", b"rights reserved", b"proprietary", b"cc by", b"apache license", b"released under", b"under the", b"under ", b"governed by", b"permission is granted", b"unencumbered", b"written agreement", b"endorse or promote", b"advertising materials", b"openssl project", b"cc0", b"neighboring rights", b"creative commons", b"mozilla org", b"eclipse org")
+        # one look for any keyword at all: most texts have none
+        self.any = re.compile(b"|".join(sorted(map(re.escape, by), key=len)))
         self.base = [(f" {phrase} ".encode(), label) for phrase, label in BASE]
 
     def scan(self, text: str) -> tuple:
@@ -218,7 +310,7 @@ class Scanner:
 
     def detect(self, folded: bytes) -> list[tuple[Rule, int, int]]:
         """Detections that no better rule's interval contains."""
-        if not any(gate in folded for gate in self.gates):
+        if not self.any.search(folded):
             return []
         found = [(rule, m.start(), m.end()) for key, own in self.by_keyword.items() if key in folded for rule in own for m in rule.regex.finditer(folded)]
         found.sort(key=lambda x: (x[0].priority, x[1] - x[2], x[0].order, x[1]))
