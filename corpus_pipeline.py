@@ -26,7 +26,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with secrets masked in their texts."""
-    return secret_scan.redact(docs)
+    return secret_scan.redact(docs, model_path())
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
