@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from factweave import constants as K, schema
 from factweave.functions import identifiers as ids
-from factweave.operators import answers, checks, fold, lookup, masking, prescan, projection, ranking, redirects, traversal, validity
+from factweave.operators import answers, checks, fold, incremental, lookup, masking, prescan, projection, ranking, redirects, traversal, validity
 from factweave.operators.projection import Projection
 from factweave.plans import dispatch
 from factweave.scratch import materialize, scratch_root
@@ -348,6 +348,22 @@ def incremental_vs_replay(spark, d):
     return differing(s["p"].tables(), grown)
 
 
+def incremental_reducer(spark, d):
+    """Thirds of the journal's statements and claim retractions, the second and third by the incremental reducer, against one replay: rows of the six tables, and rows that only one of them has."""
+    j = prescan.parsed(shared(spark, d)["j"]).where("b.supersedes is null and b.target.event_id is null").drop("b")
+    j = materialize(j, "additions")
+    last = j.agg(F.max("seq")).first()[0] or 0
+    cuts = [0, last // 3, 2 * last // 3, last]
+    grown = projection.project(j.where(F.col("seq") <= cuts[1]))
+    for a, b in zip(cuts[1:], cuts[2:]):
+        new = j.where(F.col("seq").between(a + 1, b))
+        if not incremental.replayed_scopes(grown, new).isEmpty():
+            raise RuntimeError("REPLAY_NEEDED")
+        grown = incremental.advance(grown, j.where(F.col("seq") <= a), new)
+        grown = Projection(**{k: materialize(t.select(*schema.TABLES[k].names), k) for k, t in grown.tables().items()})
+    return differing(projection.project(j).tables(), grown.tables())
+
+
 def redirect_compression(spark, d):
     """Chains of up to four hops over the events' ids: each id leads to the one before, but for multiples of five."""
     e = spark.read.parquet(f"{d}/events.parquet").where("event_id % 5 != 0").select(F.lit(journalize.CHAIN).alias("scope_key"), "event_id")
@@ -390,7 +406,7 @@ def queries() -> dict[str, Query]:
     own = (
         claim_aggregate, journal_scan, draft_explode, body_validation, supersedes_root, statement_state, effective_stream, statement_expiry, entity_dedup, surface_forms, id_redirects, claim_state, claim_support_live, valid_support,
         contested_claims, rank_topk, overview_entities, overview_raw, surface_seed_lookup, phrase_match, bm25_topk, fts_raw_suppression, links_incidents, hub_topk, bfs_reached, bfs_paths, invariants, expiry_mismatch,
-        identity_dry_run, rollout_metrics, dispatch_mode, replay_reason, upsert_changes, star_contested, canonical_digest, fold_parity, merge_alias_projection, incremental_vs_replay, redirect_compression, surface_dump, assembled_answer, mask_secrets, stream_projection,
+        identity_dry_run, rollout_metrics, dispatch_mode, replay_reason, upsert_changes, star_contested, canonical_digest, fold_parity, merge_alias_projection, incremental_vs_replay, incremental_reducer, redirect_compression, surface_dump, assembled_answer, mask_secrets, stream_projection,
         refusals, row_counts, kind_conflicts, redirect_violations, reinterpretation_candidates, trigram_postings, bm25_indexed,
     )
     return {f.__name__: (lambda spark, d, f=f: _out(f(spark, d))) for f in own}
@@ -525,7 +541,36 @@ def _oracles() -> dict[str, str]:
     out["upsert_changes"] = f"""WITH a AS (WITH {early} {rows}), b AS (WITH {_EV} {rows}) SELECT event_id, CASE WHEN a.state IS NULL THEN 'insert' ELSE 'update' END AS change FROM b LEFT JOIN a USING (event_id)
       WHERE a.state IS NULL OR (a.state, a.order_seq, a.created_at, a.provenance, coalesce(a.expires_at, 0)) <> (b.state, b.order_seq, b.created_at, b.provenance, coalesce(b.expires_at, 0))"""
     out["incremental_vs_replay"] = out["fold_parity"] = f"WITH {_EV}, rc AS ({q['row_counts']}) SELECT name, sum(n)::BIGINT AS rows, 0::BIGINT AS n FROM rc GROUP BY ALL"
+    adding = _EV.replace("FROM ev WHERE what = 'statement')", "FROM ev WHERE what = 'statement' AND NOT (seq % 50 = 7 AND prev IS NOT NULL))").replace("r.what = 'event_retraction'", "false")
+    out["incremental_reducer"] = f"WITH {adding}, rc AS ({q['row_counts']}) SELECT name, sum(n)::BIGINT AS rows, 0::BIGINT AS n FROM rc GROUP BY ALL"
     out["stream_projection"] = out["row_counts"]
+    tables = {
+        "statements": "SELECT id AS event_id, scope_key, state, root AS order_seq, sec AS created_at, provenance, expires_at FROM s1",
+        "entities": "SELECT eid AS id, scope_key, name, norm AS normal_name, kind, NULL AS merged_into, origin_seq FROM en",
+        "surface_forms": q["surface_forms"],
+        "claims": q["claim_state"],
+        "claim_support": "SELECT scope_key, claim_id, id AS event_id, 0 AS draft_index, live, expires_at FROM sup",
+        "id_redirects": q["id_redirects"],
+    }
+    digests = []
+    for name, rows in tables.items():
+        cell = lambda f: f"coalesce('{f.dataType.typeName()[0]}' || length({f.name}::VARCHAR) || ':' || {f.name}::VARCHAR, 'n')"
+        row = " || '|' || ".join([f"'{name}'", *map(cell, schema.TABLES[name])])
+        sums = " || ':' || ".join(f"sum(('0x' || substr(h, {1 + 12 * i}, 12))::UBIGINT)::VARCHAR" for i in range(5))
+        digests.append(f"SELECT scope_key, '{name}' AS \"table\", count(*) AS n, sha256({sums}) AS digest FROM (SELECT scope_key, sha256({row}) AS h FROM ({rows})) GROUP BY scope_key")
+    out["canonical_digest"] = f"WITH {_EV} " + " UNION ALL ".join(digests)
+    users = "('user4', 'user5', 'user6', 'user7')"
+
+    def level(k: int) -> str:
+        seen = " AND ".join(f"(l.scope_key, l.to_id) NOT IN (SELECT scope_key, id FROM v{i})" for i in range(k))
+        order = "v.disc * 1000 + l.rank"
+        return f"""w{k} AS (SELECT l.scope_key, l.to_id AS id, min({order}) AS o, arg_min(l.claim_id, {order}) AS via, arg_min(v.path, {order}) AS path FROM lnk l JOIN v{k - 1} v ON v.scope_key = l.scope_key AND v.id = l.from_id WHERE l.rank <= {K.FANOUT} AND {seen} GROUP BY ALL),
+          v{k} AS (SELECT w.scope_key, w.id, (SELECT max(disc) FROM v{k - 1} b WHERE b.scope_key = w.scope_key) + row_number() OVER (PARTITION BY w.scope_key ORDER BY o) AS disc, list_append(w.path, en.name) AS path, w.via, {k} AS lv FROM w{k} w JOIN en ON en.scope_key = w.scope_key AND en.eid = w.id)"""
+
+    out["bfs_paths"] = f"""WITH {_EV}, v0 AS (SELECT scope_key, eid AS id, 1::BIGINT AS disc, [name] AS path, NULL::VARCHAR AS via, 0 AS lv FROM en WHERE norm IN {users}), {level(1)}, {level(2)},
+      best AS (SELECT v.scope_key, r.claim_id, arg_min(struct_pack(id := v.id, to_id := r.to_id, via := v.via, path := v.path), v.lv * 1000000000000 + v.disc * 1000 + r.ri) AS b FROM (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2) v JOIN rnk r ON r.scope_key = v.scope_key AND r.from_id = v.id WHERE r.ri <= {K.FANOUT} GROUP BY ALL),
+      full_ AS (SELECT best.scope_key, claim_id, b.id AS anchor_id, CASE WHEN en.name IS NOT NULL AND b.to_id <> b.id AND b.via IS DISTINCT FROM claim_id THEN list_append(b.path, en.name) ELSE b.path END AS path FROM best LEFT JOIN en ON en.scope_key = best.scope_key AND en.eid = b.to_id)
+      SELECT scope_key, claim_id, anchor_id, array_to_string(path, ' → ') AS path, (len(path) - 1)::BIGINT AS hops FROM full_"""
     out["trigram_postings"] = f"WITH {_TX} SELECT scope_key, seq, len(list_distinct(g))::BIGINT AS trigrams, 3 * len(list_distinct(g))::BIGINT AS points FROM (SELECT scope_key, seq, list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2]) AS g FROM tx WHERE length(t) >= 3)"
     out["bm25_indexed"] = out["bm25_topk"]
     out["redirect_violations"] = """WITH e AS (SELECT event_id AS n FROM events), top AS (SELECT max(n) AS x FROM e), r AS (SELECT n, CASE WHEN n % 7 = 3 THEN n WHEN n % 7 = 5 THEN n + 10000000 ELSE n - 1 END AS t FROM e WHERE n % 5 <> 0 UNION ALL SELECT n, n - 2 FROM e WHERE n % 35 = 1)

@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from factweave import constants as K, schema
-from factweave.operators import checks, fold, lookup, prescan, projection
+from factweave.operators import checks, fold, incremental, lookup, prescan, projection
 from factweave.operators.prescan import Refused
 from factweave.operators.projection import Projection
 from factweave.scratch import materialize
@@ -169,6 +169,14 @@ class Store:
 
     # --- writing
 
+    def _projected(self, touched: DataFrame, own: DataFrame, folder: str) -> Projection:
+        """The touched scopes after the events of a journal folder: grown from this version where the events only add, else replayed from their whole journals."""
+        added = materialize(self._read([folder], schema.JOURNAL, "journal").select(*schema.JOURNAL.names), "added")
+        before = Projection(**{n: materialize(t.join(touched, "scope_key", "left_semi").select(*schema.TABLES[n].names), n) for n, t in self.projection().tables().items()})
+        if self.version.number and incremental.replayed_scopes(before, added).isEmpty():
+            return incremental.advance(before, own.join(added.select("id"), "id", "left_anti"), added)
+        return project(own)
+
     def written(self, new: DataFrame, now: int, last_seq: int, epoch: int = -1) -> Store:
         """The next version: the new events, and the scopes that they touch projected from their whole journals. Refused or conflicting writes show nothing."""
         folder, v = uuid.uuid4().hex, self.version
@@ -180,7 +188,7 @@ class Store:
         own = materialize(full.join(touched, "scope_key", "left_semi"), "own")
         if bad := prescan.body_violations(own).take(1):
             raise Refused(bad[0]["problem"])
-        for name, t in project(own).tables().items():
+        for name, t in self._projected(touched, own, folder).tables().items():
             t.select(*schema.TABLES[name].names).write.partitionBy("scope_key").parquet(f"{self.path}/{name}/folder={folder}")
         # texts never change, so the search index only grows by the new ones; in order of trigrams, so that a search reads few row groups
         raw = prescan.parsed(self._read([folder], schema.JOURNAL, "journal").where("kind = 'statement'")).select("scope_key", "seq", F.col("b.raw_text").alias("raw_text"))

@@ -225,6 +225,33 @@ def test_set_based_projection_equals_the_fold(spark):
         assert got == canon(logs[i].fold()), i
 
 
+def test_growing_equals_replay(spark):
+    """Statements and claim retractions added in two parts, by the incremental reducer, against the fold of all; refusals alike."""
+    from factweave.operators import incremental
+
+    for seed in range(3):
+        rng, log = random.Random(seed), Log()
+        for n in range(26):
+            if n > 6 and rng.random() < 0.25:
+                log.drop(f"c{rng.choice([int(r[1][3:]) for r in log.rows if r[3] == 'statement'])}.0")
+            else:
+                names = [f"n{rng.randrange(5)}" for _ in range(2)]
+                log.says((names[0], rng.choice(list(K.PREDICATES)), names[1]), provenance=rng.choice(list(K.PROVENANCE_RANK)), subject_kind=rng.choice(["x", "y", None]), subject_aliases=["alias " + names[0]])
+        j, cut = log.df(spark), rng.randrange(8, 24)
+        before = projection.project(j.where(F.col("seq") <= cut))
+        new = j.where(F.col("seq") > cut)
+        assert incremental.replayed_scopes(before, new).isEmpty()
+        assert collected(incremental.advance(before, j.where(F.col("seq") <= cut), new)) == canon(log.fold()), (seed, cut)
+    at = log.drop("c999.0")
+    with pytest.raises(fold.Refused, match="CLAIM_RETRACTION_TARGET_NOT_PAST"):
+        incremental.advance(projection.project(j), j, log.df(spark).where(F.col("id") == at))
+    for event in (lambda x: x.undo(x.rows[0][1], cascade=True), lambda x: x.add("merge", {"keep": "e1.0", "absorb": "e2.0"}), lambda x: x.says(("new", "uses", "n1"), subject_aliases=["n2"])):
+        other = Log()
+        other.rows = log.rows[:-1]
+        event(other)
+        assert not incremental.replayed_scopes(projection.project(j), other.df(spark).where(F.col("seq") > len(log.rows) - 1)).isEmpty()
+
+
 def test_every_prefix_of_a_fold_keeps_its_invariants(spark):
     for seed in range(4):
         log = random_log(seed, 30, decisions=True)
