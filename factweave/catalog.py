@@ -333,6 +333,20 @@ def merge_alias_projection(spark, d):
     return p.claims.select("id", "scope_key", "subject_id", "relation", "object_id", "object_value", "state", "origin_seq").join(agg, ["scope_key", "id"], "left").withColumn("support_count", F.coalesce("support_count", F.lit(0)))
 
 
+def reference_resolution(spark, d):
+    """What names lead to after merges and aliases: entities by name or confirmed name, merged ones at their place."""
+    from factweave.operators import writes
+
+    p = dispatch.project(materialize(journalize.decided_journal(spark, d), "decided"))
+    p = Projection(**{k: materialize(t, k) for k, t in p.tables().items()})
+    names, rows = [f"{p}{n}" for p in ("user", "aluser", "item") for n in range(20)], []
+    for scope in (f"u:{i}/p:events" for i in range(4)):
+        hits = writes.name_hits(p, scope, set(names))
+        found = {n: writes.decided(hits.get(n, []), n) for n in names}
+        rows += [(scope, n, f["status"], f.get("entity_id")) for n, f in found.items()]
+    return spark.createDataFrame(rows, "scope_key string, name string, status string, entity_id string")
+
+
 def incremental_vs_replay(spark, d):
     """Projections after appending the whole journal in three batches, scope by scope, against one replay: rows of the six tables, and rows that only one of them has."""
     s = shared(spark, d)
@@ -407,7 +421,7 @@ def queries() -> dict[str, Query]:
         claim_aggregate, journal_scan, draft_explode, body_validation, supersedes_root, statement_state, effective_stream, statement_expiry, entity_dedup, surface_forms, id_redirects, claim_state, claim_support_live, valid_support,
         contested_claims, rank_topk, overview_entities, overview_raw, surface_seed_lookup, phrase_match, bm25_topk, fts_raw_suppression, links_incidents, hub_topk, bfs_reached, bfs_paths, invariants, expiry_mismatch,
         identity_dry_run, rollout_metrics, dispatch_mode, replay_reason, upsert_changes, star_contested, canonical_digest, fold_parity, merge_alias_projection, incremental_vs_replay, incremental_reducer, redirect_compression, surface_dump, assembled_answer, mask_secrets, stream_projection,
-        refusals, row_counts, kind_conflicts, redirect_violations, reinterpretation_candidates, trigram_postings, bm25_indexed,
+        refusals, row_counts, kind_conflicts, redirect_violations, reinterpretation_candidates, trigram_postings, bm25_indexed, reference_resolution,
     )
     return {f.__name__: (lambda spark, d, f=f: _out(f(spark, d))) for f in own}
 
@@ -567,10 +581,15 @@ def _oracles() -> dict[str, str]:
         return f"""w{k} AS (SELECT l.scope_key, l.to_id AS id, min({order}) AS o, arg_min(l.claim_id, {order}) AS via, arg_min(v.path, {order}) AS path FROM lnk l JOIN v{k - 1} v ON v.scope_key = l.scope_key AND v.id = l.from_id WHERE l.rank <= {K.FANOUT} AND {seen} GROUP BY ALL),
           v{k} AS (SELECT w.scope_key, w.id, (SELECT max(disc) FROM v{k - 1} b WHERE b.scope_key = w.scope_key) + row_number() OVER (PARTITION BY w.scope_key ORDER BY o) AS disc, list_append(w.path, en.name) AS path, w.via, {k} AS lv FROM w{k} w JOIN en ON en.scope_key = w.scope_key AND en.eid = w.id)"""
 
-    out["bfs_paths"] = f"""WITH {_EV}, v0 AS (SELECT scope_key, eid AS id, 1::BIGINT AS disc, [name] AS path, NULL::VARCHAR AS via, 0 AS lv FROM en WHERE norm IN {users}), {level(1)}, {level(2)},
-      best AS (SELECT v.scope_key, r.claim_id, arg_min(struct_pack(id := v.id, to_id := r.to_id, via := v.via, path := v.path), v.lv * 1000000000000 + v.disc * 1000 + r.ri) AS b FROM (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2) v JOIN rnk r ON r.scope_key = v.scope_key AND r.from_id = v.id WHERE r.ri <= {K.FANOUT} GROUP BY ALL),
-      full_ AS (SELECT best.scope_key, claim_id, b.id AS anchor_id, CASE WHEN en.name IS NOT NULL AND b.to_id <> b.id AND b.via IS DISTINCT FROM claim_id THEN list_append(b.path, en.name) ELSE b.path END AS path FROM best LEFT JOIN en ON en.scope_key = best.scope_key AND en.eid = b.to_id)
-      SELECT scope_key, claim_id, anchor_id, array_to_string(path, ' → ') AS path, (len(path) - 1)::BIGINT AS hops FROM full_"""
+    met = f"""WITH {_EV}, v0 AS (SELECT scope_key, eid AS id, 1::BIGINT AS disc, [name] AS path, NULL::VARCHAR AS via, 0 AS lv FROM en WHERE norm IN {users}), {level(1)}, {level(2)},
+      best AS (SELECT v.scope_key, r.claim_id, arg_min(struct_pack(lv := v.lv, id := v.id, to_id := r.to_id, via := v.via, path := v.path), v.lv * 1000000000000 + v.disc * 1000 + r.ri) AS b FROM (SELECT * FROM v0 UNION ALL SELECT * FROM v1 UNION ALL SELECT * FROM v2) v JOIN rnk r ON r.scope_key = v.scope_key AND r.from_id = v.id WHERE r.ri <= {K.FANOUT} GROUP BY ALL),
+      full_ AS (SELECT best.scope_key, claim_id, b.lv AS depth, b.id AS anchor_id, CASE WHEN en.name IS NOT NULL AND b.to_id <> b.id AND b.via IS DISTINCT FROM claim_id THEN list_append(b.path, en.name) ELSE b.path END AS path FROM best LEFT JOIN en ON en.scope_key = best.scope_key AND en.eid = b.to_id)
+"""
+    out["bfs_paths"] = met + "SELECT scope_key, claim_id, anchor_id, array_to_string(path, ' → ') AS path, (len(path) - 1)::BIGINT AS hops FROM full_"
+    out["assembled_answer"] = met + f"""SELECT 'surface' AS entry, place, claim_id, text, score, depth, path FROM (SELECT *, row_number() OVER (ORDER BY score DESC, depth, strongest_rank DESC, support_count DESC, last_seen_at DESC, origin_seq, claim_id) AS place FROM (
+      SELECT vc.*, f.depth::BIGINT AS depth, array_to_string(f.path, ' → ') AS path, a.name || ' ' || coalesce(relation_label, {_case("relation", K.PREDICATES)}) || ' ' || coalesce(b.name, literal) AS text,
+      (CASE strongest_rank WHEN 3 THEN 6 WHEN 2 THEN 4 ELSE 1 END + least(support_count, 4) + CASE WHEN last_seen_at BETWEEN {NOW - K.RECENT} AND {NOW} THEN 2 ELSE 0 END - CASE WHEN con.claim_id IS NULL THEN 0 ELSE 3 END - 2 * f.depth)::BIGINT AS score
+      FROM full_ f JOIN vc USING (scope_key, claim_id) LEFT JOIN con USING (scope_key, claim_id) JOIN en a ON a.scope_key = vc.scope_key AND a.eid = subject_id LEFT JOIN en b ON b.scope_key = vc.scope_key AND b.eid = object_id WHERE f.scope_key = 'u:1/p:events')) WHERE place <= {K.LIMIT}"""
     out["trigram_postings"] = f"WITH {_TX} SELECT scope_key, seq, len(list_distinct(g))::BIGINT AS trigrams, 3 * len(list_distinct(g))::BIGINT AS points FROM (SELECT scope_key, seq, list_transform(range(1, length(t) - 1), lambda i: t[i:i + 2]) AS g FROM tx WHERE length(t) >= 3)"
     out["bm25_indexed"] = out["bm25_topk"]
     out["redirect_violations"] = """WITH e AS (SELECT event_id AS n FROM events), top AS (SELECT max(n) AS x FROM e), r AS (SELECT n, CASE WHEN n % 7 = 3 THEN n WHEN n % 7 = 5 THEN n + 10000000 ELSE n - 1 END AS t FROM e WHERE n % 5 <> 0 UNION ALL SELECT n, n - 2 FROM e WHERE n % 35 = 1)
@@ -592,6 +611,10 @@ def _oracles() -> dict[str, str]:
       SELECT r.scope_key, 'c' || (code // 10) || '.' || (code % 10) AS id, x.id AS subject_id, relation, y.id AS object_id, l AS object_value, state, code // 10 AS origin_seq, n AS support_count, label AS relation_label
       FROM (SELECT scope_key, cs, relation, co, l, code, state, CASE WHEN state = 'active' THEN n ELSE 0 END::BIGINT AS n, CASE WHEN state = 'active' THEN label END AS label FROM won UNION ALL SELECT *, 0, NULL FROM gone) r
       JOIN eid x ON x.scope_key = r.scope_key AND x.name = cs LEFT JOIN eid y ON y.scope_key = r.scope_key AND y.name = co"""
+    decided = out["merge_alias_projection"]
+    out["reference_resolution"] = decided[: decided.index("pre AS (SELECT")] + """ids AS (SELECT DISTINCT e.scope_key, replace(e.name, ' ', '') AS norm, x.id FROM eid e LEFT JOIN nm ON nm.name = e.name JOIN eid x ON x.scope_key = e.scope_key AND x.name = coalesce(nm.to_name, e.name)),
+      asked AS (SELECT 'u:' || s || '/p:events' AS scope_key, p || n AS norm FROM range(4) t(s), range(20) u(n), (VALUES ('user'), ('aluser'), ('item')) w(p))
+      SELECT scope_key, norm AS name, CASE WHEN id IS NULL THEN 'not_found' ELSE 'resolved' END AS status, id AS entity_id FROM asked LEFT JOIN ids USING (scope_key, norm)"""
     return out
 
 

@@ -97,7 +97,7 @@ def ascii_name(column: Column | str) -> Column:
     return F.nullif(F.regexp_replace(F.lower(trim(column)), r"[\s_\-]+", ""), F.lit(""))
 
 
-def relation_label(relation: Column, label: Column) -> Column:
+def relation_label(label: Column) -> Column:
     """A trimmed label of at most 256 code points, or null; relates_to needs one, which validation sees to."""
     t = trim(label)
     return F.when((F.length(t) > 0) & (F.length(t) <= K.LABEL), t)

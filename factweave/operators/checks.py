@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from factweave import constants as K, schema
-from factweave.functions import text
 from factweave.operators.projection import Projection
 
 
@@ -86,8 +85,3 @@ def rollout_metrics(claims: DataFrame, aggregate: DataFrame, contested: DataFram
     support = aggregate.groupBy("scope_key").agg(F.avg("support_count").alias("mean_support"), F.percentile("support_count", 0.95).alias("p95_support"), F.percentile("support_count", 0.99).alias("p99_support"))
     fights = contested.groupBy("scope_key").agg(F.count("*").alias("contested"))
     return by.join(support, "scope_key", "left").join(fights, "scope_key", "left").withColumn("contested", F.coalesce("contested", F.lit(0)))
-
-
-def name_case_rule(column):
-    """A stricter identity for dry runs: names without separators, case kept."""
-    return F.regexp_replace(text.trim(column), r"[\s_\-]+", "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from factweave import constants as K
 from factweave.functions import identifiers as ids, text
-from factweave.operators import validity
+from factweave.operators import redirects, validity
 from factweave.operators.projection import Projection
 
 
@@ -58,8 +58,7 @@ def surface_seeds(p: Projection, requested: DataFrame, limit: int = K.SEEDS) ->
     if requested.limit(K.TERMS + 1).count() <= K.TERMS:
         requested = F.broadcast(requested)
     hits = p.surface_forms.join(requested, "surface_norm")
-    to = p.id_redirects.where("kind = 'entity'").select("scope_key", F.col("old_id").alias("entity_id"), "new_id")
-    hits = hits.join(to, ["scope_key", "entity_id"], "left").withColumn("entity_id", F.coalesce("new_id", "entity_id")).drop("new_id")
+    hits = redirects.resolved(hits, p.id_redirects.where("kind = 'entity'"), "entity_id")
     first = hits.groupBy("scope_key", "entity_id").agg(F.min(F.struct("term_order", "surface_norm", "term")).alias("f"))
     order = Window.partitionBy("scope_key").orderBy("f.term_order", "entity_id")
     # the filter is on the row number itself, so each task keeps only the first rows before they are dealt out

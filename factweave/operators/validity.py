@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factweave import constants as K
+from factweave.functions import text
 from factweave.operators import prescan
 from factweave.operators.projection import Projection
 
@@ -31,7 +32,7 @@ def valid_supports(p: Projection, now: int, scope: str | None = None) -> DataFra
 def labels(journal: DataFrame) -> DataFrame:
     """(scope_key, event_id, draft_index, label, seq) of drafts with a label that is not blank."""
     d = prescan.parsed(journal.where("kind = 'statement'")).select("scope_key", F.col("id").alias("event_id"), "seq", F.posexplode("b.parsed").alias("draft_index", "d"))
-    return d.select("scope_key", "event_id", "draft_index", "seq", F.nullif(F.trim("d.relation_label"), F.lit("")).alias("label"))
+    return d.select("scope_key", "event_id", "draft_index", "seq", text.relation_label(F.col("d.relation_label")).alias("label"))
 
 
 def claim_aggregate(p: Projection, journal: DataFrame, now: int, scope: str | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from factweave import constants as K
 from factweave.functions import identifiers as ids, text
 from factweave.functions.identifiers import key as id_key
 from factweave.operators import masking, ranking, validity
+from factweave.operators.projection import Projection
 from factweave.plans import dispatch
 
 NOTE = 2048
@@ -21,7 +22,7 @@ NOTE = 2048
 # --- names
 
 
-def name_hits(store: dispatch.Store, scope: str, names: set[str]) -> dict[str, list[tuple[str, str]]]:
+def name_hits(p: Projection, scope: str, names: set[str]) -> dict[str, list[tuple[str, str]]]:
     """The entities that normal names lead to, as (id, own normal name), in order of ids: one join for all names of a request.
 
     Of each name come its exact owners, then at most SEEDS + 1 others, so the
@@ -29,8 +30,7 @@ def name_hits(store: dispatch.Store, scope: str, names: set[str]) -> dict[str, l
     """
     if not names:
         return {}
-    p = store.projection()
-    asked = F.broadcast(store.spark.createDataFrame([(n,) for n in sorted(names)], "surface_norm string"))  # the names of one request
+    asked = F.broadcast(p.entities.sparkSession.createDataFrame([(n,) for n in sorted(names)], "surface_norm string"))  # the names of one request
     entities = p.entities.where(F.col("scope_key") == scope).select(F.col("id").alias("entity_id"), F.coalesce("merged_into", "id").alias("to"))
     own = p.entities.where(F.col("scope_key") == scope).select(F.col("id").alias("to"), "normal_name")
     hits = p.surface_forms.where(F.col("scope_key") == scope).join(asked, "surface_norm").join(entities, "entity_id").join(own, "to").select("surface_norm", "to", "normal_name").distinct()
@@ -59,7 +59,7 @@ def resolve_entity(store: dispatch.Store, scope: str, name: str) -> dict:
         found = p.entities.where((F.col("scope_key") == scope) & (F.col("id") == to)).select("id", "merged_into").first()
         return {"status": "resolved", "entity_id": found["merged_into"] or found["id"]} if found else {"status": "not_found"}
     normal = text.normal_name(name)
-    return decided(name_hits(store, scope, {normal}).get(normal, []) if normal else [], normal or "")
+    return decided(name_hits(store.projection(), scope, {normal}).get(normal, []) if normal else [], normal or "")
 
 
 def _led(redirects: DataFrame, scope: str, identifier: str) -> str:
@@ -99,7 +99,7 @@ class Names:
 
     def __init__(self, store: dispatch.Store, scope: str, drafts: list[dict]):
         asked = {text.normal_name(n) for d in drafts for n in self._all(d)} - {None}
-        self.hits = name_hits(store, scope, asked)
+        self.hits = name_hits(store.projection(), scope, asked)
 
     @staticmethod
     def _all(d: dict) -> list[str | None]:
