@@ -76,8 +76,11 @@ def signatures(rows: DataFrame, keys: list[str], texts: list[str], samples: int
         rows = weighted_terms(rows, t)
     terms = F.flatten(F.array(*(F.transform(F.col(f"{t}_terms"), (lambda i: lambda x: F.struct(F.lit(i).alias("of"), x["h"].alias("h"), x["w"].alias("w")))(i)) for i, t in enumerate(texts))))
     made = rows.select(*keys, F.explode_outer(terms).alias("x")).select(*keys, "x.*")
-    least = [F.min(F.when(F.col("of") == i, sample(F.col("h"), F.col("w"), k))).alias(f"s{i}_{k}") for k in range(samples) for i in range(len(texts))]
-    return made.groupBy(*keys).agg(*least).select(*keys, *(F.array(*(F.col(f"s{i}_{k}") for k in range(samples))).alias(t) for i, t in enumerate(texts)))
+    # a row is a term of one text, so it has one set of samples; the texts of a row meet afterwards
+    each = made.groupBy(*keys, "of").agg(*(F.min(sample(F.col("h"), F.col("w"), k)).alias(f"s{k}") for k in range(samples)))
+    each = each.select(*keys, "of", F.array(*(F.col(f"s{k}") for k in range(samples))).alias("samples"))
+    none = F.array(*[F.lit(None).cast("double")] * samples)
+    return each.groupBy(*keys).agg(*(F.coalesce(F.max(F.when(F.col("of") == i, F.col("samples"))), none).alias(t) for i, t in enumerate(texts)))
 
 
 def fingerprint(samples: Column) -> Column:
