@@ -214,7 +214,7 @@ def random_log(seed: int, steps: int, decisions: bool = False) -> Log:
 
 
 def test_set_based_projection_equals_the_fold(spark):
-    logs = [random_log(seed, 24) for seed in range(6)]
+    logs = [random_log(seed, 24) for seed in range(4)]
     rows = []
     for i, log in enumerate(logs):
         rows += [(r[0], r[1], f"u:seed/p:{i}", *r[3:]) for r in log.rows]
@@ -669,7 +669,7 @@ def faulty_log(seed: int) -> Log:
 
 
 def test_both_ways_refuse_the_same(spark):
-    for seed in range(16):
+    for seed in range(8):
         log = faulty_log(seed)
         found = []
         for way in (log.fold, lambda: collected(projection.project(log.df(spark)))):
