@@ -41,7 +41,8 @@ def words(text: str = "text") -> Column:
 def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(source, source_size, target) from (source, source_size): water-filling in closed form.
 
-    With the sources by cap over weight, the ones that stop at their caps are
+    A row for each source, so windows without a key see as many rows as there are
+    sources. With the sources by cap over weight, the ones that stop at their caps are
     those before the first whose cap reaches its share of what is left.
     """
     by_code = Window.orderBy(F.col("source").asc_nulls_last())
