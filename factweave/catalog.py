@@ -57,8 +57,13 @@ def draft_explode(spark, d):
 
 def body_validation(spark, d):
     j = shared(spark, d)["j"]
-    bad = F.when(F.col("seq") % 1000 == 11, '{"raw_text":"x","parsed":[],"provenance":"nobody","ttl":"weeks"}').when(F.col("seq") % 1000 == 12, "not json").when(F.col("seq") % 1000 == 13, '{"raw_text":"x"}')
-    j = j.withColumn("body", F.when(F.col("kind") == "statement", F.coalesce(bad, "body")).otherwise(F.col("body")))
+    says, at, body = F.col("kind") == "statement", F.col("seq") % 1000, F.col("body")
+    bad = F.when(at == 11, '{"raw_text":"x","parsed":[],"provenance":"nobody","ttl":"weeks"}').when(at == 12, "not json").when(at == 13, '{"raw_text":"x"}')
+    bad = bad.when(at == 14, F.regexp_replace(body, '"relation":"[a-z_]*"', '"relation":"likes"')).when(at == 15, F.regexp_replace(body, r'"parsed":\[.*?\]', '"parsed":null')).when(at == 18, F.regexp_replace(body, r'"object(_value)?":"[^"]*"', '"object":"x","object_value":"y"'))
+    undo = F.floor(F.col("seq") / 301) % 4
+    odd = F.when(undo == 0, F.regexp_replace(body, ',"cascade":(true|false)', "")).when(undo == 1, F.regexp_replace(body, "ev_[0-9]*", "ev_" + "7" * 26)).when(undo == 2, '{"target":{}}')
+    j = j.withColumn("body", F.when(says, F.coalesce(bad, body)).when(body.contains('"event_id"'), F.coalesce(odd, body)).otherwise(body))
+    j = j.withColumn("id", F.when(says & (at == 16), F.concat(F.lit("x"), "id")).otherwise(F.col("id"))).withColumn("scope_key", F.when(says & (at == 17), "nowhere").otherwise(F.col("scope_key"))).withColumn("kind", F.when(says & (at == 19), "rumour").otherwise(F.col("kind")))
     return prescan.body_violations(j).groupBy("problem").agg(F.count("*").alias("n"))
 
 
@@ -325,10 +330,20 @@ def differing(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def merge_alias_projection(spark, d):
-    """The whole journal with merges, aliases and several drafts a statement, through the choice between both ways: claims, and what holds of them."""
+def _decided(spark, d) -> tuple[Projection, DataFrame]:
+    """The journal with merges, aliases and several drafts a statement, and its projection through the choice between both ways."""
     j = materialize(journalize.decided_journal(spark, d), "decided")
-    p = dispatch.project(j)
+    return Projection(**{k: materialize(t, k) for k, t in dispatch.project(j).tables().items()}), j
+
+
+def rollout_labels(spark, d):
+    p, j = _decided(spark, d)
+    return checks.top_labels(validity.valid_claims(p, validity.claim_aggregate(p, j, NOW)), 3)
+
+
+def merge_alias_projection(spark, d):
+    """The whole journal with merges, aliases and several drafts a statement: claims, and what holds of them."""
+    p, j = _decided(spark, d)
     agg = validity.claim_aggregate(p, j, NOW).select("scope_key", F.col("claim_id").alias("id"), "support_count", "relation_label")
     return p.claims.select("id", "scope_key", "subject_id", "relation", "object_id", "object_value", "state", "origin_seq").join(agg, ["scope_key", "id"], "left").withColumn("support_count", F.coalesce("support_count", F.lit(0)))
 
@@ -337,8 +352,7 @@ def reference_resolution(spark, d):
     """What names lead to after merges and aliases: entities by name or confirmed name, merged ones at their place."""
     from factweave.operators import writes
 
-    p = dispatch.project(materialize(journalize.decided_journal(spark, d), "decided"))
-    p = Projection(**{k: materialize(t, k) for k, t in p.tables().items()})
+    p, _ = _decided(spark, d)
     names, rows = [f"{p}{n}" for p in ("user", "aluser", "item") for n in range(20)], []
     for scope in (f"u:{i}/p:events" for i in range(4)):
         hits = writes.name_hits(p, scope, set(names))
@@ -421,7 +435,7 @@ def queries() -> dict[str, Query]:
         claim_aggregate, journal_scan, draft_explode, body_validation, supersedes_root, statement_state, effective_stream, statement_expiry, entity_dedup, surface_forms, id_redirects, claim_state, claim_support_live, valid_support,
         contested_claims, rank_topk, overview_entities, overview_raw, surface_seed_lookup, phrase_match, bm25_topk, fts_raw_suppression, links_incidents, hub_topk, bfs_reached, bfs_paths, invariants, expiry_mismatch,
         identity_dry_run, rollout_metrics, dispatch_mode, replay_reason, upsert_changes, star_contested, canonical_digest, fold_parity, merge_alias_projection, incremental_vs_replay, incremental_reducer, redirect_compression, surface_dump, assembled_answer, mask_secrets, stream_projection,
-        refusals, row_counts, kind_conflicts, redirect_violations, reinterpretation_candidates, trigram_postings, bm25_indexed, reference_resolution,
+        refusals, row_counts, kind_conflicts, redirect_violations, reinterpretation_candidates, trigram_postings, bm25_indexed, reference_resolution, rollout_labels,
     )
     return {f.__name__: (lambda spark, d, f=f: _out(f(spark, d))) for f in own}
 
@@ -480,7 +494,8 @@ def _oracles() -> dict[str, str]:
         "journal_scan": """SELECT scope_key, seq, id, CASE what WHEN 'statement' THEN 'statement' ELSE 'retraction' END AS kind, sec AS created_at, CASE WHEN what = 'statement' AND seq % 50 = 7 AND prev IS NOT NULL THEN 'ev_' || lpad(CAST(prev AS VARCHAR), 26, '0') END AS supersedes,
           CASE what WHEN 'event_retraction' THEN 'ev_' || lpad(CAST(prev AS VARCHAR), 26, '0') WHEN 'claim_retraction' THEN 'c' || prev || '.0' END AS target FROM ev""",
         "draft_explode": "SELECT scope_key, seq, 0::BIGINT AS draft_index, 0::BIGINT AS position, relation, 'e' || seq || '.0' AS subject_ref, CASE WHEN relation <> 'describes' THEN 'e' || seq || '.1' END AS object_ref, 'c' || seq || '.0' AS claim_ref FROM s1",
-        "body_validation": "SELECT CASE seq % 1000 WHEN 11 THEN 'INVALID_ENUM' WHEN 12 THEN 'INVALID_JSON_BODY' ELSE 'INVALID_BODY_KEYS' END AS problem, count(*) AS n FROM ev WHERE what = 'statement' AND seq % 1000 IN (11, 12, 13) GROUP BY ALL",
+        "body_validation": """SELECT problem, count(*) AS n FROM (SELECT CASE seq % 1000 WHEN 11 THEN 'INVALID_ENUM' WHEN 12 THEN 'INVALID_JSON_BODY' WHEN 13 THEN 'INVALID_BODY_KEYS' WHEN 14 THEN 'INVALID_DRAFT' WHEN 15 THEN 'INVALID_DRAFTS' WHEN 16 THEN 'INVALID_EVENT_ID' WHEN 17 THEN 'INVALID_SCOPE_KEY' WHEN 18 THEN 'INVALID_DRAFT' WHEN 19 THEN 'INVALID_KIND' END AS problem FROM ev WHERE what = 'statement'
+          UNION ALL SELECT CASE WHEN (seq // 301) % 4 = 2 THEN 'INVALID_TARGET' WHEN (seq // 301) % 4 = 1 OR prev % 1000 IN (16, 17) THEN 'TARGET_NOT_FOUND' WHEN (seq // 301) % 4 = 0 AND prev % 1000 <> 19 THEN 'CASCADE_MISSING' END FROM ev WHERE what = 'event_retraction') WHERE problem IS NOT NULL GROUP BY ALL""",
         "supersedes_root": "SELECT scope_key, seq, root AS root_seq, CASE WHEN parent IS NOT NULL THEN 'ev_' || lpad(CAST(parent AS VARCHAR), 26, '0') END AS parent FROM s0",
         "statement_state": "SELECT id AS event_id, scope_key, state, root AS order_seq, sec AS created_at, provenance FROM s1",
         "effective_stream": "SELECT scope_key, id, 'statement' AS kind, root AS order_seq, seq FROM s1 WHERE state = 'live' UNION ALL SELECT scope_key, id, 'retraction', seq, seq FROM ev WHERE what <> 'statement'",
@@ -612,6 +627,7 @@ def _oracles() -> dict[str, str]:
       FROM (SELECT scope_key, cs, relation, co, l, code, state, CASE WHEN state = 'active' THEN n ELSE 0 END::BIGINT AS n, CASE WHEN state = 'active' THEN label END AS label FROM won UNION ALL SELECT *, 0, NULL FROM gone) r
       JOIN eid x ON x.scope_key = r.scope_key AND x.name = cs LEFT JOIN eid y ON y.scope_key = r.scope_key AND y.name = co"""
     decided = out["merge_alias_projection"]
+    out["rollout_labels"] = f"SELECT scope_key, label, n, place FROM (SELECT *, row_number() OVER (PARTITION BY scope_key ORDER BY n DESC, label) AS place FROM (SELECT scope_key, relation_label AS label, count(*) AS n FROM ({decided}) WHERE relation = 'relates_to' AND state = 'active' AND relation_label IS NOT NULL GROUP BY ALL)) WHERE place <= 3"
     out["reference_resolution"] = decided[: decided.index("pre AS (SELECT")] + """ids AS (SELECT DISTINCT e.scope_key, replace(e.name, ' ', '') AS norm, x.id FROM eid e LEFT JOIN nm ON nm.name = e.name JOIN eid x ON x.scope_key = e.scope_key AND x.name = coalesce(nm.to_name, e.name)),
       asked AS (SELECT 'u:' || s || '/p:events' AS scope_key, p || n AS norm FROM range(4) t(s), range(20) u(n), (VALUES ('user'), ('aluser'), ('item')) w(p))
       SELECT scope_key, norm AS name, CASE WHEN id IS NULL THEN 'not_found' ELSE 'resolved' END AS status, id AS entity_id FROM asked LEFT JOIN ids USING (scope_key, norm)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from factweave import constants as K, schema
 from factweave.operators.projection import Projection
@@ -78,6 +78,13 @@ def identity_dry_run(entities: DataFrame, rule) -> DataFrame:
     return found.select("scope_key", "id", "groups", (F.col("groups") > 1).cast("int").alias("blocked"), F.col("k.id").alias("new_id"))
 
 
+def top_labels(claims: DataFrame, limit: int = 10) -> DataFrame:
+    """(scope_key, label, n, place): the labels that most valid claims (scope_key, relation, relation_label) have; of equals the lesser first."""
+    found = claims.where((F.col("relation") == K.LABELLED) & F.col("relation_label").isNotNull()).groupBy("scope_key", F.col("relation_label").alias("label")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("scope_key").orderBy(F.desc("n"), "label")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+
+
 def rollout_metrics(claims: DataFrame, aggregate: DataFrame, contested: DataFrame) -> DataFrame:
     """(scope_key, claims, active, retracted, superseded, relates_share, contested, mean_support, p95_support, p99_support)."""
     state = lambda s: F.sum((F.col("state") == s).cast("long")).alias(s)
