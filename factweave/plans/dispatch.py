@@ -13,7 +13,7 @@ from factweave import constants as K, schema
 from factweave.operators import checks, fold, incremental, lookup, prescan, projection
 from factweave.operators.prescan import Refused
 from factweave.operators.projection import Projection
-from factweave.scratch import materialize
+from factweave.scratch import materialize, scratch
 
 
 def project(journal: DataFrame) -> Projection:
@@ -178,7 +178,11 @@ class Store:
         return project(own)
 
     def written(self, new: DataFrame, now: int, last_seq: int, epoch: int = -1) -> Store:
-        """The next version: the new events, and the scopes that they touch projected from their whole journals. Refused or conflicting writes show nothing."""
+        """The next version: the new events, and the projection of the scopes that they touch. Refused or conflicting writes show nothing; steps on the way are freed."""
+        with scratch():
+            return self._written(new, now, last_seq, epoch)
+
+    def _written(self, new: DataFrame, now: int, last_seq: int, epoch: int) -> Store:
         folder, v = uuid.uuid4().hex, self.version
         journal = [*v.journal, folder]
         new.select(*schema.JOURNAL.names).write.partitionBy("scope_key").parquet(f"{self.path}/journal/folder={folder}")
