@@ -187,6 +187,19 @@ def test_refusals(problem):
         log.fold()
 
 
+def test_a_retracted_claim_of_an_empty_name_is_there(spark):
+    """A name without content is refused as such; the retraction of its claim is not refused again."""
+    log = Log()
+    log.says((" - ", "uses", "B"))
+    log.drop("c1.0")
+    log.drop("c9.0")
+    log.drop("c1.7")
+    steps = projection.prepared(log.df(spark))
+    resolved = projection.resolved_claims(steps.drafts, projection.entities_of(steps.mentioned.where("normal_name is not null")))
+    got = {(r["seq"], r["problem"]) for r in projection.refusals(steps, resolved).collect()}
+    assert got == {(1, "EMPTY_NAME"), (3, "CLAIM_RETRACTION_TARGET_NOT_PAST"), (4, "CLAIM_RETRACTION_TARGET_NOT_FOUND")}
+
+
 def random_log(seed: int, steps: int, decisions: bool = False) -> Log:
     rng, log = random.Random(seed), Log()
     live: list[str] = []
