@@ -1,31 +1,3 @@
-"""Connected components of an edge table, by alternating large-star and small-star steps."""
+"""Connected components, for the text operators."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, functions as F
-
-from factweave.llm.common import materialize
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every id in edges (a, b): root is the least id of its component; an empty table gives an empty one.
-
-    Each round is written to the shared folder, so a lost executor costs one
-    round at most; only a count and a sum of hashes come to the driver. The
-    largest-degree vertex never meets its neighbours in one task: neighbours'
-    minima are partial sums, and the joins can be split.
-    """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    e, last = materialize(e, "edges"), None
-    while True:
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if not now["n"] or now == last:
-            break
-        last = now
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        e = materialize(small, "edges")
-    return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+from factweave.components import components  # noqa: F401

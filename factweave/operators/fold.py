@@ -1,7 +1,9 @@
-"""The general projector of one scope: a plain fold over its effective events, run as a grouped map.
+"""The general projector: a plain fold over a scope's effective events.
 
 It handles what the set-based way can't: merges, aliases and the resolution of
-names that depends on them. `project` in this module applies it to each scope.
+names that depends on them. `reduce_scope` folds one scope in memory and says what
+is right; `factweave.operators.parts` folds journals of any size, by parts of a
+scope that don't touch each other, with the same rules.
 """
 
 from __future__ import annotations
@@ -9,15 +11,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-
-from factweave import constants as K, schema
+from factweave import constants as K
 from factweave.functions import text
 from factweave.functions.identifiers import key as id_key
 from factweave.operators.prescan import Refused
-from factweave.operators.projection import Projection
-from factweave.scratch import materialize
 
 
 @dataclass
@@ -80,6 +77,9 @@ class Scope:
     slot: dict[str, str] = field(default_factory=dict)  # the active value of each subject
     touching: dict[str, set[str]] = field(default_factory=dict)  # claims by the entities at their ends
     named: dict[str, set[str]] = field(default_factory=dict)  # normal names by entity
+    first: dict[str, str] = field(default_factory=dict)  # entities by normal name, before any decision
+    at: tuple = ()  # of the event that is applied
+    when: dict[str, tuple] = field(default_factory=dict)  # at, by moved entity
 
     # --- redirects
 
@@ -93,7 +93,7 @@ class Scope:
 
     def move_entity(self, old: str, new: str, reason: str) -> None:
         """An entity becomes another: its surfaces go along, claims that now are one are joined. Only what touches the entity is looked at."""
-        self.moved[old] = (new, reason)
+        self.moved[old], self.when[old] = (new, reason), self.at
         for normal in self.named.pop(old, ()):
             self.surface_of(normal, new, self.surfaces[normal].pop(old))
         self.join_claims(reason, self.touching.get(old, set()))
@@ -150,6 +150,8 @@ class Scope:
                 self.moved[c.id] = (first.id, reason)
                 c.state = "superseded"
                 self.displace(c)
+                if self.slot.get(c.subject) == c.id:  # an object's move may join the active value with another
+                    self.slot[c.subject] = first.id
                 del self.claims[c.id]
                 if reason == "merge":
                     self.gone[c.id] = c
@@ -174,8 +176,7 @@ class Scope:
     # --- anchors: every occurrence has an entity and a claim, dead or not
 
     def anchor(self) -> None:
-        first: dict[str, str] = {}
-        claims = self.same
+        first, claims = self.first, self.same
         for s in sorted(self.statements.values(), key=lambda s: s.seq):
             position = 0
             for i, d in enumerate(s.drafts):
@@ -206,13 +207,12 @@ class Scope:
                 d["support"] = Support(self.now(c.id), s, i)
                 self.supports.append(d["support"])
                 self.claims[d["support"].claim].supports.append(d["support"])
-        self.first = first
 
     # --- events
 
-    def resolve(self, ref: str, name: str) -> tuple[str, str]:
-        """(entity, origin of the name) of an occurrence when it is stated."""
-        own, normal = ref in self.entities and ref not in self.moved, text.normal_name(name)
+    def resolve(self, ref: str, normal: str) -> tuple[str, str]:
+        """(entity, origin of the name) of an occurrence of a normal name when it is stated."""
+        own = ref in self.entities and ref not in self.moved
         current = self.now(ref)
         hits = sorted({self.now(e) for e in self.surfaces.get(normal, {})}, key=id_key)
         if len(hits) > 1:
@@ -224,48 +224,53 @@ class Scope:
             self.move_entity(current, chosen, "deduplicated")
         return chosen, "name" if own and chosen == ref else "agent_supplied"
 
-    def say(self, name: str, entity: str, origin: str) -> None:
-        if normal := text.normal_name(name):
+    def say(self, normal: str | None, entity: str, origin: str) -> None:
+        if normal:
             self.surface_of(normal, entity, origin)
 
+    def activate(self, want: Claim, act: tuple, seen: set[tuple]) -> Claim:
+        """The claim that a draft's own one now is becomes active; seen: what its statement has stated before."""
+        same = self.identity(want)
+        if same in seen:
+            raise Refused("DUPLICATE_STATEMENT_CLAIM")
+        seen.add(same)
+        found = self.claims[self.same[same]] if same in self.same else None
+        if found is None:  # the anchor's own claim, under the name that it has now
+            found = self.claims[self.now(want.id)]
+            self.restate(found, want.subject, want.object)
+            self.same[same] = found.id
+        elif self.now(want.id) != found.id:
+            own = self.claims[self.now(want.id)]
+            self.restate(own, want.subject, want.object)
+            self.join_claims("deduplicated", {own.id})
+            self.settle(want.subject)
+            found = self.claims[self.now(found.id)]
+        if found.relation == K.SINGLE:
+            rival = self.claims.get(self.slot.get(self.now(found.subject), ""))
+            if rival is not None and rival is not found and rival.state == "active":
+                rival.state = "superseded"
+            self.slot[self.now(found.subject)] = found.id
+        found.state, found.act = "active", act
+        return found
+
     def state(self, s: Stated) -> None:
-        seen = set()
+        seen: set[tuple] = set()
         for i, d in enumerate(s.drafts):
             ends: list[str | None] = [None, None]
             for k, part in enumerate(("subject", "object")):
                 if d["refs"][k] is not None:
-                    ends[k], origin = self.resolve(d["refs"][k], d[part])
+                    ends[k], origin = self.resolve(d["refs"][k], text.normal_name(d[part]))
                     d[part + "_origin"] = origin
             for k, part in enumerate(("subject", "object")):
                 if ends[k] is None:
                     continue
-                self.say(d[part], self.now(ends[k]), d[part + "_origin"])
+                self.say(text.normal_name(d[part]), self.now(ends[k]), d[part + "_origin"])
                 for alias in d.get(part + "_aliases") or []:
-                    self.say(alias, self.now(ends[k]), "agent_supplied")
+                    self.say(text.normal_name(alias), self.now(ends[k]), "agent_supplied")
                 if kind := text.normal_kind(d.get(part + "_kind")):
                     self.kinds.append((s.order, s.seq, i, k, self.now(ends[k]), kind))
             want = Claim(f"c{s.seq}.{i}", self.now(ends[0]), d["relation"], ends[1] and self.now(ends[1]), text.normal_literal(d.get("object_value")), s.at)
-            same = self.identity(want)
-            if same in seen:
-                raise Refused("DUPLICATE_STATEMENT_CLAIM")
-            seen.add(same)
-            found = self.claims[self.same[same]] if same in self.same else None
-            if found is None:  # the anchor's own claim, under the name that it has now
-                found = self.claims[self.now(want.id)]
-                self.restate(found, want.subject, want.object)
-                self.same[same] = found.id
-            elif self.now(want.id) != found.id:
-                own = self.claims[self.now(want.id)]
-                self.restate(own, want.subject, want.object)
-                self.join_claims("deduplicated", {own.id})
-                self.settle(want.subject)
-                found = self.claims[self.now(found.id)]
-            if found.relation == K.SINGLE:
-                rival = self.claims.get(self.slot.get(self.now(found.subject), ""))
-                if rival is not None and rival is not found and rival.state == "active":
-                    rival.state = "superseded"
-                self.slot[self.now(found.subject)] = found.id
-            found.state, found.act = "active", (s.order, s.seq, i)
+            found = self.activate(want, (s.order, s.seq, i), seen)
             support = d["support"]
             if support.claim != found.id:
                 self.claims[support.claim].supports.remove(support)
@@ -296,7 +301,7 @@ class Scope:
         self.earlier(body["entity_id"], seq, "DECISION_TARGET_NOT_PAST")
         if self.now(body["entity_id"]) not in self.entities:
             raise Refused("ALIAS_TARGET_NOT_FOUND")
-        self.say(body["surface"], self.now(body["entity_id"]), "confirmed")
+        self.say(text.normal_name(body["surface"]), self.now(body["entity_id"]), "confirmed")
 
     def retract(self, seq: int, claim: str) -> None:
         self.earlier(claim, seq, "CLAIM_RETRACTION_TARGET_NOT_PAST")
@@ -326,7 +331,7 @@ class Scope:
             times = seen.get(c.id)
             if c.state == "active" and not times:
                 c.state = "retracted"
-            claims.append({"id": c.id, "scope_key": self.key, "subject_id": c.subject, "relation": c.relation, "object_id": c.object, "object_value": c.literal, "state": c.state, "origin_seq": id_key(c.id)[0], "first_seen_at": min(times) if times else c.at, "last_seen_at": max(times) if times else c.at})
+            claims.append({"id": c.id, "scope_key": self.key, "subject_id": self.now(c.subject), "relation": c.relation, "object_id": c.object and self.now(c.object), "object_value": c.literal, "state": c.state, "origin_seq": id_key(c.id)[0], "first_seen_at": min(times) if times else c.at, "last_seen_at": max(times) if times else c.at})
         return {
             "statements": [{"event_id": s.id, "scope_key": self.key, "state": s.state, "order_seq": s.order, "created_at": s.at, "provenance": s.provenance, "expires_at": s.expires} for s in self.statements.values()],
             "entities": [{"id": e.id, "scope_key": self.key, "name": e.name, "normal_name": e.normal, "kind": kinds.get(e.id), "merged_into": self.now(e.id) if e.id in self.moved else None, "origin_seq": e.seq} for e in self.entities.values()],
@@ -400,13 +405,8 @@ def reduce_scope(scope_key: str, events: list[dict]) -> dict[str, list[dict]]:
     return scope.rows()
 
 
-def project(journal: DataFrame) -> Projection:
-    """The projection of every scope by the fold; a scope's events meet in one task, as its order demands."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        key = pdf["scope_key"].iloc[0]
-        made = reduce_scope(key, pdf[["seq", "id", "kind", "body", "created_at"]].to_dict("records"))
-        return pd.DataFrame([(key, name, json.dumps(row, ensure_ascii=False)) for name, rows in made.items() for row in rows], columns=["scope_key", "name", "row"])
+def project(journal):
+    """The projection of every scope of a journal by the fold, by parts."""
+    from factweave.operators import parts
 
-    rows = materialize(journal.select("scope_key", "seq", "id", "kind", "body", "created_at").groupBy("scope_key").applyInPandas(run, "scope_key string, name string, row string"), "fold")
-    return Projection(**{n: rows.where(F.col("name") == n).select(F.from_json("row", s).alias("r")).select("r.*") for n, s in schema.TABLES.items()})
+    return parts.project(journal)

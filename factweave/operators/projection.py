@@ -1,7 +1,7 @@
 """Set-based projection of a journal: the six tables from joins, sums and windows.
 
 It holds for scopes without an effective merge or alias and without an alias
-that is another entity's name; the others go to the grouped-map reducer (fold).
+that is another entity's name; the others go through the fold.
 """
 
 from __future__ import annotations
@@ -117,17 +117,22 @@ def claims_of(resolved: DataFrame, retracted: DataFrame) -> DataFrame:
     return c.withColumn("claim_state", state)
 
 
-def refusals(p: Prepared, resolved: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """(scope_key, seq, problem) of what the model refuses when events are applied: names without content, a claim stated twice by one live statement, and retractions of claims that aren't there or not yet. refs: (scope_key, claim_ref) of all claims, where the drafts are only some."""
+def unusable(p: Prepared, refs: DataFrame | None = None) -> DataFrame:
+    """(scope_key, seq, problem): names without content, and retractions of claims that aren't there or not yet. refs: (scope_key, claim_ref) of all claims, where the drafts are only some."""
     empty = p.drafts.where("s_norm is null or (d.object is not null and o_norm is null)").select("scope_key", "seq", F.lit("EMPTY_NAME").alias("problem"))
-    twice = duplicate_identities(resolved.where("state = 'live'")).select("scope_key", "seq", F.lit("DUPLICATE_STATEMENT_CLAIM").alias("problem"))
     r = p.events.where("kind = 'retraction' and b.target.claim_id is not null").select("scope_key", "seq", F.col("b.target.claim_id").alias("claim_ref"))
     # a draft whose name is empty has no resolved claim, but what it states is there to be retracted
     own = p.drafts.select("scope_key", "claim_ref")
     own = (own if refs is None else own.unionByName(refs.select("scope_key", "claim_ref"))).distinct().withColumn("known", F.lit(True))
     problem = F.when(ids.seq_of(F.col("claim_ref")) >= F.col("seq"), "CLAIM_RETRACTION_TARGET_NOT_PAST").when(F.col("known").isNull(), "CLAIM_RETRACTION_TARGET_NOT_FOUND")
     lost = r.join(own, ["scope_key", "claim_ref"], "left").select("scope_key", "seq", problem.alias("problem")).where("problem is not null")
-    return empty.unionByName(twice).unionByName(lost)
+    return empty.unionByName(lost)
+
+
+def refusals(p: Prepared, resolved: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """(scope_key, seq, problem) of what the model refuses when events are applied: what is unusable(), and a claim stated twice by one live statement."""
+    twice = duplicate_identities(resolved.where("state = 'live'")).select("scope_key", "seq", F.lit("DUPLICATE_STATEMENT_CLAIM").alias("problem"))
+    return unusable(p, refs).unionByName(twice)
 
 
 def project(journal: DataFrame) -> Projection:

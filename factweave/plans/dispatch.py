@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, replace
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from factweave import constants as K, schema
-from factweave.operators import checks, fold, incremental, lookup, prescan, projection
+from factweave.operators import checks, incremental, lookup, parts, prescan, projection
 from factweave.operators.prescan import Refused
 from factweave.operators.projection import Projection
 from factweave.scratch import materialize, scratch
@@ -23,7 +23,7 @@ def project(journal: DataFrame) -> Projection:
     if ordered.isEmpty():
         return projection.project_prepared(steps)
     a = projection.project_prepared(steps.only(ordered, "left_anti"))
-    b = fold.project(steps.events.join(ordered, "scope_key", "left_semi"))
+    b = parts.project_prepared(steps.only(ordered, "left_semi"))
     return Projection(**{k: t.select(*schema.TABLES[k].names).unionByName(b.tables()[k].select(*schema.TABLES[k].names)) for k, t in a.tables().items()})
 
 

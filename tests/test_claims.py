@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from factweave import constants as K, schema
 from factweave.functions import text
-from factweave.operators import answers, checks, fold, lookup, masking, prescan, projection, ranking, redirects, traversal, validity, writes
+from factweave.operators import answers, checks, fold, lookup, masking, parts, prescan, projection, ranking, redirects, traversal, validity, writes
 from factweave.plans import dispatch
 from factweave.scratch import scratch_root
 
@@ -200,6 +200,103 @@ def test_a_retracted_claim_of_an_empty_name_is_there(spark):
     assert got == {(1, "EMPTY_NAME"), (3, "CLAIM_RETRACTION_TARGET_NOT_PAST"), (4, "CLAIM_RETRACTION_TARGET_NOT_FOUND")}
 
 
+def wild_log(seed: int) -> Log:
+    """The longest beginning that the fold takes of a journal of merges, aliases, retractions, reinterpretations, values and objects."""
+    rng, log, live = random.Random(seed), Log(f"u:wild/p:{seed}"), []
+    names = rng.choice([4, 8, 12])
+    name = lambda: f"n{rng.randrange(names)}"
+    called = lambda: f"al{rng.randrange(6)}"
+    for _ in range(rng.choice([12, 24, 40])):
+        roll = rng.random()
+        if roll < 0.55 or len(live) < 2:
+            drafts = []
+            for _ in range(rng.choice([1, 1, 2])):
+                relation = rng.choice([*K.PREDICATES, K.SINGLE])
+                value = {"object_value": f"v{rng.randrange(3)}"} if relation == K.SINGLE and rng.random() < 0.6 else {"object": name()}
+                subject = called() if rng.random() < 0.1 else name()
+                drafts.append({"subject": subject, "relation": relation, **value, "subject_kind": rng.choice([None, "x", "y"]), "subject_aliases": rng.choice([None, None, None, [called()]])})
+            body = {"raw_text": "t", "parsed": drafts, "provenance": "observed", "ttl": "weeks"}
+            live.append(log.add("statement", {**body, **({"supersedes": rng.choice(live)} if live and rng.random() < 0.1 else {})}))
+        elif roll < 0.65:
+            log.drop(f"c{int(rng.choice(live)[3:])}.0")
+        elif roll < 0.72:
+            log.undo(rng.choice(live), cascade=rng.random() < 0.5)
+        elif roll < 0.9:
+            log.add("merge", {"keep": f"e{int(rng.choice(live)[3:])}.0", "absorb": f"e{int(rng.choice(live)[3:])}.{rng.choice([0, 0, 1])}"})
+        elif roll < 0.97:
+            log.add("alias", {"surface": rng.choice([called(), name()]), "entity_id": f"e{int(rng.choice(live)[3:])}.0"})
+        elif decisions := [r for r in log.rows if r[3] in ("merge", "alias")]:
+            log.undo(rng.choice(decisions)[1])
+    while True:
+        try:
+            log.fold()
+            return log
+        except fold.Refused:
+            log.rows.pop()
+
+
+def test_the_fold_by_parts_equals_the_fold(spark):
+    """Scopes with all kinds of decisions, whole and with what can change nothing left out."""
+    logs = [x for x in map(wild_log, range(60)) if any(r[3] == "merge" for r in x.rows)]
+    j = spark.createDataFrame([r for x in logs for r in x.rows], schema.JOURNAL)
+    events = prescan.parsed(j)
+    stated, decided = parts.prescanned(events)
+    drafts = prescan.occurrences(stated)
+    some = parts.project_prepared(projection.Prepared(events, stated, drafts, projection.mentions(drafts)), decided)
+    tables = [log.fold() for log in logs]
+    want = canon({n: [r for t in tables for r in t[n]] for n in schema.TABLES})
+    assert any('"merge"' in r for r in want["id_redirects"]) and any('"superseded"' in r for r in want["claims"])
+    for p in (fold.project(j), some):
+        assert collected(p) == want
+
+
+@pytest.mark.parametrize("problem", ["MERGE_CYCLE", "MERGE_TARGET_NOT_FOUND", "AMBIGUOUS_ENTITY", "DUPLICATE_STATEMENT_CLAIM"])
+def test_the_fold_by_parts_refuses(spark, problem):
+    log = Log()
+    log.says(("A", "uses", "B"))
+    log.says(("C", "uses", "B"))
+    if problem == "MERGE_CYCLE":
+        log.add("merge", {"keep": "e1.0", "absorb": "e1.0"})
+    elif problem == "MERGE_TARGET_NOT_FOUND":
+        log.add("merge", {"keep": "e1.0", "absorb": "e1.9"})
+    else:
+        log.add("alias", {"surface": "al", "entity_id": "e1.0"})
+        if problem == "AMBIGUOUS_ENTITY":
+            log.add("alias", {"surface": "al", "entity_id": "e2.0"})
+        log.says(("al", "uses", "B"), ("A", "uses", "B"))
+    for way in (log.fold, lambda: fold.project(log.df(spark)), lambda: dispatch.project(log.df(spark))):
+        with pytest.raises(fold.Refused, match=problem):
+            way()
+
+
+def test_a_scope_with_decisions_is_folded_in_many_parts(spark, monkeypatch):
+    """No task needs a scope's events: pairs of merged names and their claims are apart."""
+    log, seen = Log(), {}
+    for i in range(20):
+        log.says((f"a{i}", "uses", f"b{i}"))
+    for i in range(1, 20, 2):
+        log.add("merge", {"keep": f"e{i}.0", "absorb": f"e{i + 1}.0"})
+    by_part = parts.by_part
+
+    def counted(rows, keys, fn, made, name):
+        seen[name] = rows.select(*rows.columns[:keys]).distinct().count()
+        return by_part(rows, keys, fn, made, name)
+
+    monkeypatch.setattr(parts, "by_part", counted)
+    got = collected(dispatch.project(log.df(spark)))
+    assert got == canon(log.fold()) and seen["fold-names"] == 30
+    assert collected(fold.project(log.df(spark))) == got and seen["fold-claims"] == 20
+
+
+def test_a_merge_of_objects_leaves_one_value():
+    log = Log()
+    for o in ("red", "blue"):
+        log.add("statement", {"raw_text": "t", "parsed": [{"subject": "A", "relation": "describes", "object": o}], "provenance": "observed", "ttl": "weeks"})
+    log.add("merge", {"keep": "e1.1", "absorb": "e2.1"})
+    log.says(("A", "describes", "green"))
+    assert by(log.fold()["claims"], "id", "state") == {"c1.0": "superseded", "c2.0": "superseded", "c4.0": "active"}
+
+
 def random_log(seed: int, steps: int, decisions: bool = False) -> Log:
     rng, log = random.Random(seed), Log()
     live: list[str] = []
