@@ -22,20 +22,27 @@ Query = Callable[[SparkSession, str], DataFrame]
 _SHARED: dict[tuple, dict] = {}
 
 
-def shared(spark: SparkSession, sf_dir: str) -> dict:
-    """The events journal with its projection, aggregate and valid claims: written once for each input and session, as a stored projection is."""
+def projected(spark: SparkSession, sf_dir: str) -> dict:
+    """The events journal with its projection: written once for each input and session."""
     files = spark.read.parquet(f"{sf_dir}/events.parquet").inputFiles()
     key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(files)))
     if key not in _SHARED:
         j = materialize(journalize.events_journal(spark, sf_dir), "journal")
         steps = projection.prepared(j)
         p = projection.project_prepared(steps)
-        p = Projection(**{k: materialize(t, k) for k, t in p.tables().items()})
-        agg = materialize(validity.claim_aggregate(p, j, NOW), "aggregate")
-        _SHARED[key] = {"j": j, "p": p, "agg": agg, "valid": materialize(validity.valid_claims(p, agg), "valid"), "stated": steps.stated, "steps": steps}
+        _SHARED[key] = {"j": j, "p": Projection(**{k: materialize(t, k) for k, t in p.tables().items()}), "stated": steps.stated, "steps": steps}
     return _SHARED[key]
 
 
+def shared(spark: SparkSession, sf_dir: str) -> dict:
+    """The events journal with its projection, aggregate and valid claims: written once for each input and session, as a stored projection is."""
+    s = projected(spark, sf_dir)
+    if "valid" not in s:
+        s["agg"] = materialize(validity.claim_aggregate(s["p"], s["j"], NOW), "aggregate")
+        s["valid"] = materialize(validity.valid_claims(s["p"], s["agg"]), "valid")
+    return s
+
+
 #: Columns that may be null are shown as double, so that both engines give one type for them.
 _OPEN = ("expires_at", "effective_expires_at")
 
@@ -315,8 +322,8 @@ def canonical_digest(spark, d):
 
 def fold_parity(spark, d):
     """The fold's tables against the set-based ones: rows of the fold, and rows that only one of them has, by table. Over the whole journal."""
-    s = shared(spark, d)
-    return differing(s["p"].tables(), fold.project(s["j"]).tables())
+    s = projected(spark, d)
+    return differing(s["p"].tables(), fold.project(s["steps"].events).tables())
 
 
 def differing(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:

@@ -328,7 +328,7 @@ def claims(p: Prepared, resolved: DataFrame, ways: DataFrame, whole: bool) -> Da
 
 def project(journal: DataFrame) -> Projection:
     """The projection of every scope of a journal by the fold."""
-    events = materialize(prescan.parsed(journal), "events")
+    events = journal if "b" in journal.columns else materialize(prescan.parsed(journal), "events")
     stated, decided = prescanned(events)
     stated = materialize(stated, "statements")
     drafts = materialize(prescan.occurrences(stated), "drafts")
