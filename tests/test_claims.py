@@ -837,6 +837,23 @@ def test_fold_parity_sends_all_through_the_fold_by_parts(spark, sf_dir, monkeypa
     assert all(n > 100 for _, n in rows.values())
 
 
+@pytest.mark.parametrize("query", ["reference_resolution"])
+def test_decided_queries_need_no_scope_in_one_task(spark, sf_dir, monkeypatch, query):
+    """The queries over the journal with merges fold more parts than scopes, and no part has the most of what is folded."""
+    from factweave import catalog
+
+    share, part_of = {}, parts.by_part
+
+    def counted(df, keys, fn, made, name):
+        n = [r["count"] for r in df.groupBy(*df.columns[:keys]).count().collect()]
+        share[name] = max(n) / sum(n)
+        return part_of(df, keys, fn, made, name)
+
+    monkeypatch.setattr(parts, "by_part", counted)
+    assert catalog.queries()[query](spark, sf_dir).count() > 0
+    assert set(share) == {"fold-names", "fold-claims"} and max(share.values()) < 0.2
+
+
 def test_scratch_tables_are_removed_at_the_end_of_their_scope(spark):
     from factweave.scratch import materialize, scratch
 
