@@ -837,7 +837,7 @@ def test_fold_parity_sends_all_through_the_fold_by_parts(spark, sf_dir, monkeypa
     assert all(n > 100 for _, n in rows.values())
 
 
-@pytest.mark.parametrize("query", ["reference_resolution"])
+@pytest.mark.parametrize("query", ["reference_resolution", "rollout_labels"])
 def test_decided_queries_need_no_scope_in_one_task(spark, sf_dir, monkeypatch, query):
     """The queries over the journal with merges fold more parts than scopes, and no part has the most of what is folded."""
     from factweave import catalog
