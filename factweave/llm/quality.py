@@ -6,11 +6,11 @@ scripts of most alphabets are told apart letter by letter; those above share
 CLASSES - EXACT classes by a hash. An n-gram is a number of ORDER * 12 bits.
 
 Counting is sharded: each task adds up its own n-grams, the counts meet by n-gram,
-and continuation counts, discounts and context totals come from joins and sums of
-the counts by context. Of each order the n-grams that are at least one in KEEP of
-its counts are kept, so KEEP of each at most, at any size of the corpus; what a
-context's kept n-grams leave over goes to the shorter one, so probabilities still
-add up to one. The kept tables are what a document's perplexity is read from.
+and continuation counts, discounts, context totals and probabilities come from joins
+and sums of the counts by context. No n-gram is left out. Workers hold the HELD most
+frequent rows of each table. As long as these are all rows, documents are scored
+from them alone; beyond, a document's n-grams that they can't tell are joined with
+the whole tables, so its perplexity is the same at any HELD.
 
 A document's perplexity is compared with quantiles of the trusted documents of its
 language and of about its length: it is rejected above the upper one, and below
@@ -30,10 +30,11 @@ their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from factweave.llm.common import map_arrow, materialize, slices
 
@@ -41,7 +42,10 @@ ORDER = 5
 BITS = 12
 CLASSES, EXACT = 1 << BITS, 2048
 START = 0
-KEEP = 200_000
+#: Rows of each table of the model that a worker holds; the others are joined. A smaller model (train) has the n-grams that are at least one in KEEP.
+HELD, KEEP = 2_000_000, 200_000
+#: No probability counts as less.
+LEAST = 1e-12
 #: The shares of trusted documents of a language that its thresholds cut off, and a factor on both thresholds.
 LOW, HIGH, MARGIN = 0.001, 0.995, 1.02
 #: Classes of length are powers of two up to 2 ** LONGEST characters.
@@ -96,20 +100,20 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return map_arrow(texts, run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _parts(counts: DataFrame) -> DataFrame:
-    """(gram, seen) of the kept n-grams of one order: their discounted share of what follows their context.
+def _shares(counts: DataFrame) -> DataFrame:
+    """(gram, n, seen, context, all, left) of the n-grams of one order: their discounted share of what follows their context, and what all of the context leaves.
 
     Modified Kneser-Ney: discounts for counts 1, 2 and more, from the counts of counts.
     """
-    by = counts.agg(F.sum("n").alias("all"), *(F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
+    by = counts.agg(*(F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
     ones = by["n1"] or 0
     y = ones / (ones + 2 * by["n2"]) if ones else 0.0
     discount = [max(0.0, k - (k + 1) * y * by[f"n{k + 1}"] / by[f"n{k}"]) if ones and by[f"n{k}"] else 0.5 for k in (1, 2, 3)]
     d = F.element_at(F.array(*map(F.lit, discount)), F.least(F.col("n"), F.lit(3)).cast("int"))
-    own = counts.withColumn("context", F.shiftright("gram", BITS)).withColumn("left", F.greatest(F.col("n") - d, F.lit(0.0)))
-    totals = own.groupBy("context").agg(F.sum("n").alias("all"))
-    kept = own.where(F.col("n") * KEEP >= (by["all"] or 0))
-    return kept.join(totals, "context").select("gram", (F.col("left") / F.col("all")).alias("seen"))
+    own = counts.withColumn("context", F.shiftright("gram", BITS)).withColumn("less", F.greatest(F.col("n") - d, F.lit(0.0)))
+    of = Window.partitionBy("context")  # at most CLASSES rows
+    own = own.withColumn("all", F.sum("n").over(of)).withColumn("left", F.greatest(1 - F.sum("less").over(of) / F.col("all"), F.lit(0.0)))
+    return own.select("gram", "n", (F.col("less") / F.col("all")).alias("seen"), "context", "all", "left")
 
 
 class Model:
@@ -133,7 +137,7 @@ class Model:
             g = gram & (1 << BITS * k) - 1
             at, of = np.minimum(np.searchsorted(own, g), len(own) - 1), np.minimum(np.searchsorted(context, g >> BITS), len(context) - 1)
             p = np.where(own[at] == g, seen[at], 0) + np.where(context[of] == g >> BITS, left[of], 1) * p
-        return np.log10(np.maximum(p, 1e-12))
+        return np.log10(np.maximum(p, LEAST))
 
     def perplexities(self, texts: list[str]) -> list[float | None]:
         """Perplexity by character of each text; None for an empty one. Each different n-gram is looked up once."""
@@ -146,31 +150,165 @@ class Model:
         return [float(10 ** -((logs[b] - logs[b - n]) / n)) if n else None for b, n in zip(ends.tolist(), sizes.tolist())]
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of all trusted text. At most KEEP n-grams of each order come to the driver."""
+def _counts(docs: DataFrame, labels: DataFrame) -> list[DataFrame]:
+    """(gram, n) of all trusted text by order, from 1 on: how often the longest ones occur, and how many different characters precede the shorter ones."""
     # the same plan at every size: labels grow with the documents
     text = docs.select("doc_id", "text").join(trusted(labels).hint("merge"), "doc_id", "left_semi")
-    counts = materialize(gram_counts(text), "quality-counts")
+    counts = [materialize(gram_counts(text), "quality-counts")]
+    for order in range(ORDER - 1, 0, -1):
+        counts.append(materialize(counts[-1].groupBy(_shorter("gram", order).alias("gram")).agg(F.count("*").alias("n")), "quality-counts"))
+    return counts[::-1]
+
+
+def _shorter(gram: str, order: int):
+    """The last characters of an n-gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << BITS * order) - 1))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """A small model of all trusted text, for texts that stand alone: of each order the n-grams that are at least one in KEEP. Tables of documents are scored by full()."""
     tables = []
-    for order in range(ORDER, 0, -1):
-        got = _parts(counts).toPandas()
+    for counts in _counts(docs, labels):
+        all_ = counts.agg(F.sum("n")).first()[0] or 0
+        got = _shares(counts).where(F.col("n") * KEEP >= all_).select("gram", "seen").toPandas()
         tables.append((got["gram"].to_numpy(np.int64), got["seen"].to_numpy(float)))
-        if order > 1:  # continuation counts: how many different characters precede the shorter n-gram
-            counts = materialize(counts.groupBy(F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1)).alias("gram")).agg(F.count("*").alias("n")), "quality-counts")
-    return Model(tables[::-1])
+    return Model(tables)
+
+
+# --- the whole model
+
 
+@dataclass(frozen=True)
+class Held:
+    """The most frequent keys of a table in order, with their values; whole: these are all keys, so one that isn't here is nowhere."""
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(row, perplexity): whole rows as one struct, so that no name clashes."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most KEEP n-grams of each order
+    keys: np.ndarray
+    values: np.ndarray
+    whole: bool
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, is it here) of each key."""
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.values[at], self.keys[at] == keys
+
+
+def held(table: DataFrame, key: str, value: str, n: str) -> Held:
+    """At most HELD keys of a table, those with the greatest n; of equals all or none."""
+    whole = table.count() <= HELD
+    if not whole:
+        many = table.groupBy(n).agg(F.count("*").alias("rows")).orderBy(F.desc(n)).limit(HELD).select(n, F.sum("rows").over(Window.orderBy(F.desc(n))).alias("upto"))  # a row for each count
+        least = many.where(F.col("upto") <= HELD).agg(F.min(n)).first()[0]
+        table = table.where(F.lit(False) if least is None else F.col(n) >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:  # bytes take a fraction of what rows take on their way
+            yield pa.RecordBatch.from_arrays([pa.array([got.column(0).to_numpy().astype("<i8").tobytes()]), pa.array([got.column(1).to_numpy().astype("<f8").tobytes()])], ["keys", "values"])
+
+    got = map_arrow(table.select(key, value), run, "keys binary, values binary").collect()
+    keys, values = (np.frombuffer(b"".join(r[i] for r in got), kind) for i, kind in enumerate(("<i8", "<f8")))
+    order = np.argsort(keys)
+    return Held(keys[order], values[order], whole)
+
+
+@dataclass(frozen=True)
+class Local:
+    """What a worker holds of each order from 1 on: probabilities of n-grams, and what contexts leave to shorter ones."""
+
+    orders: list[tuple[Held, Held]]
+
+    def whole(self) -> bool:
+        return all(grams.whole and left.whole for grams, left in self.orders)
+
+    def probabilities(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of each n-gram's last character after those before it, whether it is known here)."""
+        p, known, open_ = np.ones(len(gram)), np.zeros(len(gram), bool), np.arange(len(gram))
+        for k in range(ORDER, 0, -1):
+            own, left = self.orders[k - 1]
+            g = gram[open_] & (1 << BITS * k) - 1
+            value, here = own.find(g)
+            p[open_[here]] *= value[here]
+            known[open_[here]] = True
+            # where an n-gram that isn't here may be elsewhere, nothing can be said
+            open_, g = (open_[~here], g[~here]) if own.whole else (open_[:0], g[:0])
+            value, here = left.find(g >> BITS)
+            p[open_[here]] *= value[here]
+            if not left.whole:
+                open_ = open_[here]
+        p[open_] /= CLASSES
+        known[open_] = True
+        return p, known
+
+    def scores(self, texts: list[str]) -> tuple[list[float], np.ndarray, pa.ListArray]:
+        """(sum of log10 of the probabilities known here, characters, other n-grams and how often they occur) of each text. Each different n-gram is looked up once."""
+        gram, sizes = grams(texts)
+        each, at = np.unique(gram, return_inverse=True)
+        p, known = self.probabilities(each)
+        logs = np.concatenate([[0.0], np.cumsum(np.where(known, np.log10(np.maximum(p, LEAST)), 0.0)[at])])
+        ends = np.cumsum(sizes)
+        other = np.flatnonzero(~known[at])
+        pair, n = np.unique(np.searchsorted(ends, other, "right") * len(each) + at[other], return_counts=True)
+        offsets = np.searchsorted(pair, np.arange(len(texts) + 1) * len(each))
+        rest = pa.StructArray.from_arrays([pa.array(each[pair % max(len(each), 1)]), pa.array(n.astype(np.int64))], ["gram", "n"])
+        return [float(logs[b] - logs[b - k]) for b, k in zip(ends.tolist(), sizes.tolist())], sizes, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rest)
+
+
+@dataclass(frozen=True)
+class Full:
+    """The whole model: by order from 1 on, (gram, p) of every n-gram and (context, left) of every context as tables, and what of them workers hold."""
+
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    local: Local
+
+    def probabilities(self, asked: DataFrame) -> DataFrame:
+        """(gram, p) of different n-grams, seen or not, by joins with all tables."""
+        found, p = asked, F.lit(1 / CLASSES)
+        for k, (own, left) in enumerate(zip(self.grams, self.contexts), 1):
+            found = found.withColumn(f"g{k}", _shorter("gram", k)).withColumn(f"c{k}", F.shiftright(f"g{k}", BITS))
+            found = found.join(own.select(F.col("gram").alias(f"g{k}"), F.col("p").alias(f"p{k}")), f"g{k}", "left").join(left.select(F.col("context").alias(f"c{k}"), F.col("left").alias(f"left{k}")), f"c{k}", "left")
+            p = F.coalesce(f"p{k}", F.coalesce(F.col(f"left{k}"), F.lit(1.0)) * p)
+        return found.select("gram", p.alias("p"))
+
+
+def full(docs: DataFrame, labels: DataFrame) -> Full:
+    """The model of all trusted text, every n-gram in it."""
+    tables, contexts, orders, before = [], [], [], None
+    for counts in _counts(docs, labels):
+        own, k = _shares(counts), len(tables) + 1
+        shorter = F.lit(1 / CLASSES)
+        if before is not None:  # an n-gram's end is an n-gram too
+            own = own.withColumn("end", _shorter("gram", k - 1)).join(before.select(F.col("gram").alias("end"), F.col("p").alias("shorter")), "end")
+            shorter = F.col("shorter")
+        before = materialize(own.select("gram", "n", (F.col("seen") + F.col("left") * shorter).alias("p"), "context", "all", "left"), "quality-grams")
+        left = materialize(before.groupBy("context").agg(F.first("all").alias("all"), F.first("left").alias("left")), "quality-contexts")
+        tables.append(before.select("gram", "p"))
+        contexts.append(left.select("context", "left"))
+        orders.append((held(before, "gram", "p", "n"), held(left, "context", "left", "all")))
+    return Full(tables, contexts, Local(orders))
+
+
+def scored(docs: DataFrame, model: Full, columns: list[str] | None = None) -> DataFrame:
+    """(row, perplexity): rows as one struct of all columns, or of some, so that no name clashes. What a worker doesn't hold comes by a join."""
+    shared, whole = docs.sparkSession.sparkContext.broadcast(model.local), model.local.whole()  # at most HELD rows of each table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(shared.value.perplexities(texts), pa.float64())], ["row", "perplexity"])
+                total, sizes, rest = shared.value.scores(texts)
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(total, pa.float64()), pa.array(sizes), rest], ["row", "total", "size", "rest"])
 
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return map_arrow(packed, run, T.StructType([packed.schema["row"], T.StructField("perplexity", T.DoubleType())]))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns or docs.columns)).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    made = T.StructType([packed.schema["row"], *T.StructType.fromDDL("total double, size long, rest array<struct<gram: long, n: long>>")])
+    found, total = map_arrow(packed, run, made), F.col("total")
+    if not whole:
+        found = materialize(found.withColumn("at", F.monotonically_increasing_id()), "quality-local")
+        pairs = found.select("at", F.explode("rest").alias("x")).select("at", "x.gram", "x.n")
+        p = model.probabilities(pairs.select("gram").distinct())
+        more = pairs.join(p, "gram").groupBy("at").agg(F.sum(F.col("n") * F.log10(F.greatest("p", F.lit(LEAST)))).alias("more"))
+        found, total = found.drop("rest").join(more, "at", "left"), F.col("total") + F.coalesce("more", F.lit(0.0))
+    return found.select("row", F.when(F.col("size") > 0, F.pow(F.lit(10.0), -total / F.col("size"))).alias("perplexity"))
 
 
 def _length(text: str):
@@ -197,14 +335,15 @@ def _judged(own: DataFrame, slim: DataFrame, lang: str, labels: DataFrame) -> Da
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(row, perplexity, least, limit, keep) of every document. Rows are written with their perplexities, so each text is scored once."""
-    own = materialize(scored(docs, train(docs, labels)), "quality-scored")
+    own = materialize(scored(docs, full(docs, labels)), "quality-scored")
     own = own.withColumn("length", _length("row.text"))
     return _judged(own, own.select("row.doc_id", "row.lang", "length", "perplexity"), "row.lang", labels)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, perplexity, least, threshold, keep) of every document: perplexities are written once, and only they meet the thresholds."""
-    slim = materialize(scored(docs.select("doc_id", "lang", "text"), train(docs, labels)).select("row.doc_id", "row.lang", _length("row.text"), "perplexity"), "quality-scores")
+    own = docs.select("doc_id", "lang", _length("text"), "text")
+    slim = materialize(scored(own, full(docs, labels), ["doc_id", "lang", "length"]).select("row.*", "perplexity"), "quality-scores")
     return _judged(slim, slim, "lang", labels).withColumnRenamed("limit", "threshold")
 
 

@@ -687,6 +687,26 @@ def test_quality_against_brute_force(odd, labels, monkeypatch, keep):
         assert r["keep"] == (r["perplexity"] is not None and r["least"] <= r["perplexity"] <= r["threshold"])
 
 
+@pytest.mark.parametrize("held", [2_000_000, 40, 0])
+def test_quality_leaves_no_ngram_out(odd, labels, monkeypatch, held):
+    """Perplexities are those of the whole model, wherever its n-grams are read from."""
+    monkeypatch.setattr(quality, "KEEP", 40)
+    monkeypatch.setattr(quality, "HELD", held, raising=False)
+    docs = {r["doc_id"]: r["text"] or "" for r in odd.where("doc_id is not null").collect()}
+    good = {i for i in range(0, 60, 2) if i % 4 and i}
+    probability = brute_model([r["text"] or "" for r in odd.collect() if r["doc_id"] in good], quality.ORDER, 10**18)
+    got = quality.quality_report(odd, labels).where("doc_id is not null").collect()
+    assert len(got) == odd.where("doc_id is not null").count()
+    for r in got:
+        t = docs[r["doc_id"]]
+        if t and len(t) < 3000:
+            want = 10 ** -np.mean([math.log10(max(probability(t[max(0, i - 4) : i], t[i] if ord(t[i]) < quality.EXACT else "\uffff"), 1e-12)) for i in range(len(t))])
+            assert r["perplexity"] == pytest.approx(want, rel=1e-6)
+        assert (r["perplexity"] is None) == (not t)
+    keep = {r["doc_id"] for r in got if r["keep"]}
+    assert {r["doc_id"] for r in quality.keep(odd, labels).where("doc_id is not null").collect()} == keep
+
+
 def test_quality_keeps_clean_and_rejects_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
