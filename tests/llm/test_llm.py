@@ -881,3 +881,14 @@ def test_pipeline_stages_take_odd_rows(spark, odd, labels, monkeypatch):
 def test_queries_and_sql_agree_on_names():
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.queries()) == list(range(1, 11))
+
+
+def test_pipeline_judges_by_all_ngrams(spark, monkeypatch):
+    """What the first stage keeps depends neither on how many n-grams a worker holds nor on how many a small model has."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, d).collect())
+    all_ = kept()
+    monkeypatch.setattr(quality, "HELD", 1000, raising=False)
+    monkeypatch.setattr(quality, "KEEP", 40)
+    assert kept() == all_ and 0 < len(all_) < docs.count()
