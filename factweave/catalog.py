@@ -337,14 +337,14 @@ def differing(a: dict[str, DataFrame], b: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def _decided(spark, d) -> tuple[Projection, DataFrame]:
-    """The journal with merges, aliases and several drafts a statement, and its projection through the choice between both ways."""
+def _decided(spark, d, written: tuple[str, ...] = tuple(schema.TABLES)) -> tuple[Projection, DataFrame]:
+    """The journal with merges, aliases and several drafts a statement, and its projection through the choice between both ways. written: the tables that are read more than once."""
     j = materialize(journalize.decided_journal(spark, d), "decided")
-    return Projection(**{k: materialize(t, k) for k, t in dispatch.project(j).tables().items()}), j
+    return Projection(**{k: materialize(t, k) if k in written else t for k, t in dispatch.project(j).tables().items()}), j
 
 
 def rollout_labels(spark, d):
-    p, j = _decided(spark, d)
+    p, j = _decided(spark, d, ("claims",))
     return checks.top_labels(validity.valid_claims(p, validity.claim_aggregate(p, j, NOW)), 3)
 
 

@@ -28,7 +28,7 @@ from factweave.operators import prescan, projection
 from factweave.operators.fold import Claim, Entity, Scope, prescan as prescan_events
 from factweave.operators.prescan import Refused
 from factweave.operators.projection import Prepared, Projection
-from factweave.scratch import materialize
+from factweave.scratch import compact
 
 #: When something happens within a scope; a draft's claim (place CLAIM) comes after its names (places 0 and 1).
 AT = ("order_seq", "seq", "draft_index", "place")
@@ -64,7 +64,7 @@ def by_part(rows: DataFrame, keys: int, fn: Callable[[Iterator[tuple]], Iterable
 
     at = rows.columns[:keys]
     sorted_rows = rows.repartition(*at).sortWithinPartitions(*at, *AT)
-    found = materialize(sorted_rows.mapInArrow(run, out), name)
+    found = compact(sorted_rows.mapInArrow(run, out), name)
     if bad := found.where("refused is not null").take(1):
         raise Refused(bad[0]["refused"])
     return found.drop("refused")
@@ -195,13 +195,13 @@ def _telling(rows: DataFrame) -> DataFrame:
 
 def names(p: Prepared, found: DataFrame, decided: DataFrame, whole: bool) -> DataFrame:
     """What fold_names makes of all names."""
-    decided = materialize(decided.select("scope_key", "seq", "kind", "b"), "decided")
+    decided = compact(decided.select("scope_key", "seq", "kind", "b"), "decided")
     refs = decided.select("scope_key", F.explode(F.array("b.keep", "b.absorb", "b.entity_id")).alias("ref")).where("ref is not null").distinct()
     live, at = F.col("state") == "live", F.struct(*AT)
     each = p.mentioned.groupBy("scope_key", "normal_name").agg(F.count("*").alias("n"), F.min(F.when(live, at)).alias("at"), F.min(F.when(live & F.col("kind").isNotNull(), at)).alias("kind_at"))
-    found = materialize(found.join(each, ["scope_key", "normal_name"]), "named")
+    found = compact(found.join(each, ["scope_key", "normal_name"]), "named")
     first = found.select("scope_key", "normal_name", F.col("id").alias("first"), "at", "kind_at")
-    targets = materialize(p.mentioned.select("scope_key", "ref", "normal_name").join(refs, ["scope_key", "ref"], "left_semi").join(first.drop("at", "kind_at"), ["scope_key", "normal_name"]), "targets")
+    targets = compact(p.mentioned.select("scope_key", "ref", "normal_name").join(refs, ["scope_key", "ref"], "left_semi").join(first.drop("at", "kind_at"), ["scope_key", "normal_name"]), "targets")
     linked = _linked(p, decided, targets)
     text_, array_, zero = F.lit(None).cast("string"), F.lit(None).cast("array<string>"), F.lit(0)
     entity = found.select(
@@ -297,18 +297,18 @@ def claims(p: Prepared, resolved: DataFrame, ways: DataFrame, whole: bool) -> Da
     single = F.col("relation") == K.SINGLE
     keyed = resolved.select("scope_key", "claim_id", "claim_ref", "seq", "order_seq", "draft_index", "state", "created_at", "subject_id", "relation", "object_id", "literal").join(to("subject"), ["scope_key", "subject_id"], "left").join(to("object"), ["scope_key", "object_id"], "left")
     keyed = keyed.withColumn("s", F.coalesce("subject_to", "subject_id")).withColumn("r", F.col("relation")).withColumn("o", F.when(single, blank).otherwise(F.coalesce("object_to", "object_id", blank))).withColumn("l", F.when(single, blank).otherwise(F.coalesce("literal", blank)))
-    keyed = materialize(keyed.drop("subject_to", "object_to"), "fold-keyed")
+    keyed = compact(keyed.drop("subject_to", "object_to"), "fold-keyed")
     key, text_, zero, way_ = ["scope_key", "s", "r", "o", "l"], F.lit(None).cast("string"), F.lit(0), F.lit(None).cast(WAY)
     r = p.events.where("kind = 'retraction' and b.target.claim_id is not null").select("scope_key", F.col("seq").alias("r_seq"), F.col("b.target.claim_id").alias("claim_ref"))
-    gone = materialize(r.join(keyed.select(*key, "claim_ref", "claim_id"), ["scope_key", "claim_ref"]), "fold-gone")
+    gone = compact(r.join(keyed.select(*key, "claim_ref", "claim_id"), ["scope_key", "claim_ref"]), "fold-gone")
     own = keyed.groupBy(*key, "claim_id").agg(F.max((F.col("state") == "live").cast("int")).alias("live"), *(F.first(c).alias(c) for c in ("subject_id", "relation", "object_id", "literal")), F.min(F.struct("seq", "draft_index", "created_at")).alias("a"), F.count("*").alias("n"))
     made = "scope_key string, id string, to string, reason string, gone_at long, state string, subject_id string, relation string, object_id string, object_value string, origin_seq long, created_at long"
     alone = None
     if not whole:
-        own = materialize(own, "fold-own")
+        own = compact(own, "fold-own")
         twice = keyed.where((F.col("state") == "live") & (F.col("r") != K.SINGLE)).groupBy(*key, "seq").agg(F.count("*").alias("n")).where("n > 1")
         met = own.where(single).select(*key).unionByName(own.where(~single).groupBy(*key).agg(F.count("*").alias("claims")).where("claims > 1").select(*key))
-        met = materialize(met.unionByName(twice.select(*key)).unionByName(gone.select(*key)).distinct(), "fold-met")
+        met = compact(met.unionByName(twice.select(*key)).unionByName(gone.select(*key)).distinct(), "fold-met")
         alone = own.join(met, key, "left_anti").select(
             "scope_key", F.col("claim_id").alias("id"), F.col("claim_id").alias("to"), text_.alias("reason"), F.lit(None).cast("long").alias("gone_at"), F.when(F.col("live") == 1, "active").otherwise("retracted").alias("state"),
             F.col("s").alias("subject_id"), "relation", F.nullif("o", blank).alias("object_id"), F.col("literal").alias("object_value"), F.col("a.seq").alias("origin_seq"), F.col("a.created_at").alias("created_at"),
@@ -328,27 +328,27 @@ def claims(p: Prepared, resolved: DataFrame, ways: DataFrame, whole: bool) -> Da
 
 def project(journal: DataFrame) -> Projection:
     """The projection of every scope of a journal by the fold."""
-    events = journal if "b" in journal.columns else materialize(prescan.parsed(journal), "events")
+    events = journal if "b" in journal.columns else compact(prescan.parsed(journal), "events")
     stated, decided = prescanned(events)
-    stated = materialize(stated, "statements")
-    drafts = materialize(prescan.occurrences(stated), "drafts")
-    return project_prepared(Prepared(events, stated, drafts, materialize(projection.mentions(drafts), "mentions")), decided, whole=True)
+    stated = compact(stated, "statements")
+    drafts = compact(prescan.occurrences(stated), "drafts")
+    return project_prepared(Prepared(events, stated, drafts, compact(projection.mentions(drafts), "mentions")), decided, whole=True)
 
 
 def project_prepared(p: Prepared, decided: DataFrame | None = None, whole: bool = False) -> Projection:
     """As project(), after the steps before projection. decided: the decisions that stand, where they are known; whole: all mentions and claims go through the fold."""
     if bad := projection.unusable(p).take(1):
         raise Refused(bad[0]["problem"])
-    found = materialize(projection.entities_of(p.mentioned), "entities")
+    found = compact(projection.entities_of(p.mentioned), "entities")
     named = names(p, found, prescan.decisions(p.events) if decided is None else decided, whole)
     entity = named.where("what = 'entity'").select("scope_key", F.col("name").alias("id"), F.col("entity").alias("to"), F.col("value").alias("kind"), "way")
-    ways = materialize(entity.where("to is not null").drop("kind"), "ways")
-    resolved = materialize(projection.resolved_claims(p.drafts, found), "claims")
+    ways = compact(entity.where("to is not null").drop("kind"), "ways")
+    resolved = compact(projection.resolved_claims(p.drafts, found), "claims")
     folded = claims(p, resolved, ways, whole)
     led = folded.select("scope_key", F.col("id").alias("claim_id"), "to", "reason", "gone_at")
-    each = materialize(resolved.select("scope_key", "claim_id", "claim_ref", "id", "draft_index", "state", "order_seq", "created_at", "expires_at").join(led, ["scope_key", "claim_id"]), "supports")
+    each = compact(resolved.select("scope_key", "claim_id", "claim_ref", "id", "draft_index", "state", "order_seq", "created_at", "expires_at").join(led, ["scope_key", "claim_id"]), "supports")
     live = (F.col("state") == "live") & (F.col("order_seq") > F.coalesce("gone_at", F.lit(0)))
-    support = materialize(each.groupBy("scope_key", F.col("to").alias("claim_id"), F.col("id").alias("event_id")).agg(F.min("draft_index").alias("draft_index"), F.max(live.cast("int")).alias("live"), F.first("expires_at").alias("expires_at"), F.first("created_at").alias("created_at")), "support")
+    support = compact(each.groupBy("scope_key", F.col("to").alias("claim_id"), F.col("id").alias("event_id")).agg(F.min("draft_index").alias("draft_index"), F.max(live.cast("int")).alias("live"), F.first("expires_at").alias("expires_at"), F.first("created_at").alias("created_at")), "support")
     seen = support.where("live = 1").groupBy("scope_key", F.col("claim_id").alias("id")).agg(F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
     rows = folded.where("state is not null").join(seen, ["scope_key", "id"], "left").withColumn("state", F.when((F.col("state") == "active") & F.col("first_seen").isNull(), "retracted").otherwise(F.col("state")))
     moved = each.where("claim_ref != to").select("scope_key", F.col("claim_ref").alias("old_id"), F.col("to").alias("new_id"), F.lit("claim").alias("kind"), F.when(F.col("claim_ref") == F.col("claim_id"), F.col("reason")).otherwise("deduplicated").alias("reason"))

@@ -14,7 +14,7 @@ from factweave import constants as K
 from factweave.functions import identifiers as ids, text
 from factweave.operators import prescan
 from factweave.operators.prescan import Refused
-from factweave.scratch import materialize
+from factweave.scratch import compact
 
 
 @dataclass(frozen=True)
@@ -48,13 +48,13 @@ class Prepared:
 
 def prepared(journal: DataFrame) -> Prepared:
     """The steps before projection. A journal that breaks a rule of events or statements is refused."""
-    events = materialize(prescan.parsed(journal), "events")
-    stated = materialize(prescan.statements(events), "statements")
+    events = compact(prescan.parsed(journal), "events")
+    stated = compact(prescan.statements(events), "statements")
     bad = prescan.event_violations(events).unionByName(prescan.supersedes_violations(events, stated)).take(1)
     if bad:
         raise Refused(bad[0]["problem"])
-    drafts = materialize(prescan.occurrences(stated), "drafts")
-    return Prepared(events, stated, drafts, materialize(mentions(drafts), "mentions"))
+    drafts = compact(prescan.occurrences(stated), "drafts")
+    return Prepared(events, stated, drafts, compact(mentions(drafts), "mentions"))
 
 
 def _rank(column: Column, table: dict[str, int]) -> Column:
@@ -143,12 +143,12 @@ def project(journal: DataFrame) -> Projection:
 def project_prepared(p: Prepared) -> Projection:
     """As project(). What the fold refuses is refused here too."""
     journal, stated, drafts, mentioned = p.events, p.stated, p.drafts, p.mentioned
-    found = materialize(entities_of(mentioned), "entities")  # each step feeds several others, so each is written
-    resolved = materialize(resolved_claims(drafts, found), "claims")
+    found = compact(entities_of(mentioned), "entities")  # each step feeds several others, so each is written
+    resolved = compact(resolved_claims(drafts, found), "claims")
     if bad := refusals(p, resolved).take(1):
         raise Refused(bad[0]["problem"])
-    retracted = materialize(retractions(journal, resolved), "retractions")
-    support = materialize(supports(resolved, retracted), "supports")
+    retracted = compact(retractions(journal, resolved), "retractions")
+    support = compact(supports(resolved, retracted), "supports")
     seen = support.where("live = 1").groupBy("scope_key", "claim_id").agg(F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
     claims = claims_of(resolved, retracted).join(seen, ["scope_key", "claim_id"], "left")
     return Projection(

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: The scratch tables of the innermost scratch() that is open.
 _OPEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scratch", default=None)
 
+#: Cores may be few when a program starts, so a share of the shuffle partitions counts too.
+FILES_A_CORE = 4
+
 
 def scratch_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir. Only a local session may leave it unset: elsewhere a local folder would keep each executor's files to itself."""
@@ -61,3 +64,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     else:
         made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def compact(df: DataFrame, name: str) -> DataFrame:
+    """materialize() in at most a few files for each core: where Hadoop's native library is missing, a local file system starts a process for each file and folder that is made."""
+    spark = df.sparkSession
+    most = max(FILES_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // FILES_A_CORE)
+    return materialize(df.coalesce(most), name)

@@ -854,6 +854,24 @@ def test_decided_queries_need_no_scope_in_one_task(spark, sf_dir, monkeypatch, q
     assert set(share) == {"fold-names", "fold-claims"} and max(share.values()) < 0.2
 
 
+@pytest.mark.parametrize("query, tables", [("rollout_labels", {"claims"})])
+def test_decided_queries_write_what_they_read_twice(spark, sf_dir, monkeypatch, query, tables):
+    from factweave import catalog
+
+    written, write = set(), catalog.materialize
+    monkeypatch.setattr(catalog, "materialize", lambda df, name: written.add(name) or write(df, name))
+    assert catalog.queries()[query](spark, sf_dir).count() > 0
+    assert written == {"decided", *tables}
+
+
+def test_steps_are_written_in_few_files(spark):
+    from factweave import scratch
+
+    found = scratch.compact(spark.range(3000).repartition(300), "brief")
+    most = max(scratch.FILES_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // scratch.FILES_A_CORE)
+    assert found.distinct().count() == 3000 and len(found.inputFiles()) <= most < 300
+
+
 def test_scratch_tables_are_removed_at_the_end_of_their_scope(spark):
     from factweave.scratch import materialize, scratch
 
