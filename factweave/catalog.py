@@ -359,7 +359,7 @@ def reference_resolution(spark, d):
     """What names lead to after merges and aliases: entities by name or confirmed name, merged ones at their place."""
     from factweave.operators import writes
 
-    p, _ = _decided(spark, d)
+    p, _ = _decided(spark, d, ("entities", "surface_forms"))
     names, rows = [f"{p}{n}" for p in ("user", "aluser", "item") for n in range(20)], []
     for scope in (f"u:{i}/p:events" for i in range(4)):
         hits = writes.name_hits(p, scope, set(names))

@@ -854,7 +854,7 @@ def test_decided_queries_need_no_scope_in_one_task(spark, sf_dir, monkeypatch, q
     assert set(share) == {"fold-names", "fold-claims"} and max(share.values()) < 0.2
 
 
-@pytest.mark.parametrize("query, tables", [("rollout_labels", {"claims"})])
+@pytest.mark.parametrize("query, tables", [("reference_resolution", {"entities", "surface_forms"}), ("rollout_labels", {"claims"})])
 def test_decided_queries_write_what_they_read_twice(spark, sf_dir, monkeypatch, query, tables):
     from factweave import catalog
 
