@@ -1,9 +1,11 @@
 """Operator 8: a quality classifier by Kneser-Ney perplexity.
 
 An interpolated modified Kneser-Ney model of ORDER characters is trained on all
-trusted text (labels with quality 1). A character below EXACT is itself, so the
-scripts of most alphabets are told apart letter by letter; those above share
-CLASSES - EXACT classes by a hash. An n-gram is a number of ORDER * 12 bits.
+trusted text (labels with quality 1). A code point below EXACT is its own class.
+All others that stand in the documents are counted: the most frequent have classes
+of their own as far as there are any, and the rest are two classes each, one after
+another, so no two characters look alike however many a script has. An n-gram is a
+number of ORDER * 12 bits.
 
 Counting is sharded: each task adds up its own n-grams, the counts meet by n-gram,
 and continuation counts, discounts, context totals and probabilities come from joins
@@ -42,27 +44,72 @@ ORDER = 5
 BITS = 12
 CLASSES, EXACT = 1 << BITS, 2048
 START = 0
+#: A character that the documents don't have; classes of the other code points from EXACT on lie between.
+UNSEEN = CLASSES - 1
+OTHERS = UNSEEN - EXACT
 #: Rows of each table of the model that a worker holds; the others are joined. A smaller model (train) has the n-grams that are at least one in KEEP.
 HELD, KEEP = 2_000_000, 200_000
 #: No probability counts as less.
 LEAST = 1e-12
 #: The shares of trusted documents of a language that its thresholds cut off, and a factor on both thresholds.
 LOW, HIGH, MARGIN = 0.001, 0.995, 1.02
-#: Classes of length are powers of two up to 2 ** LONGEST characters.
-LEAST_TRUSTED, LONGEST = 100, 20
+#: Classes of length are powers of two.
+LEAST_TRUSTED = 100
 FLUSH_GRAMS = 1_000_000
 
 
-def classes(text: str) -> np.ndarray:
-    """The class of each code point."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    return np.where(points < EXACT, points, EXACT + points * 40503 % (CLASSES - EXACT))
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n-grams that end at each character of texts, one after another; length of each). A text follows ORDER - 1 times START."""
+class Alphabet:
+    """Characters to classes: one below EXACT is itself, and of the others (points, the most frequent first) the last are a lead and a second class."""
+
+    def __init__(self, points: np.ndarray):
+        self.order = np.argsort(points)
+        self.points = points[self.order]
+        self.leads = max(0, -(-(len(points) - OTHERS) // (OTHERS - 1)))  # each takes a class and gives OTHERS pairs
+
+    def classes(self, text: str) -> np.ndarray:
+        """The classes of a text: one or two for each character."""
+        out = _points(text)
+        far = np.flatnonzero(out >= EXACT)
+        if not len(far):
+            return out
+        rank = np.full(len(far), -1)
+        if len(self.points):
+            at = np.minimum(np.searchsorted(self.points, out[far]), len(self.points) - 1)
+            rank = np.where(self.points[at] == out[far], self.order[at], -1)
+        pair = rank - (OTHERS - self.leads)
+        out[far] = np.where(rank < 0, UNSEEN, EXACT + np.where(pair < 0, self.leads + rank, pair // OTHERS))
+        two = pair >= 0
+        return np.insert(out, far[two] + 1, EXACT + pair[two] % OTHERS) if two.any() else out
+
+
+def alphabet(docs: DataFrame) -> Alphabet:
+    """That of all texts: every code point from EXACT on is counted. They are at most as many as Unicode has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0, np.int64)
+        for batch in batches:
+            for _, texts in slices(batch):
+                points = _points("".join(t for t in texts if not t.isascii()))
+                if len(points) and points.max() >= EXACT:
+                    own = np.bincount(points[points >= EXACT], minlength=len(n))
+                    own[: len(n)] += n
+                    n = own
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["point", "n"])
+
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
+    got = map_arrow(texts, run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "point").select("point").toPandas()
+    return Alphabet(got["point"].to_numpy(np.int64))
+
+
+def grams(texts: list[str], letters: Alphabet = Alphabet(np.zeros(0, np.int64))) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams that end at each class of texts, one after another; how many of each). A text follows ORDER - 1 times START."""
     pad = np.full(ORDER - 1, START, np.int64)
-    each = [np.concatenate([pad, classes(t)]) for t in texts]
+    each = [np.concatenate([pad, letters.classes(t)]) for t in texts]
     codes, sizes = np.concatenate([np.zeros(0, np.int64), *each]), np.array([len(x) - ORDER + 1 for x in each], np.int64)
     if not len(codes):
         return codes, sizes
@@ -80,14 +127,15 @@ def trusted(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
+def gram_counts(docs: DataFrame, letters: Alphabet) -> DataFrame:
     """(gram, n) of all texts; a task sends its sums when there are many."""
+    shared = docs.sparkSession.sparkContext.broadcast(letters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, texts in slices(batch):
-                own, n = np.unique(grams(texts)[0], return_counts=True)
+                own, n = np.unique(grams(texts, shared.value)[0], return_counts=True)
                 every = np.concatenate([keys, own])
                 keys, at = np.unique(every, return_inverse=True)
                 counts = np.bincount(at, np.concatenate([counts, n]), len(keys)).astype(np.int64)
@@ -119,9 +167,9 @@ def _shares(counts: DataFrame) -> DataFrame:
 class Model:
     """Kept n-grams by order: share of their context, and what each context leaves to the shorter n-gram."""
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], letters: Alphabet):
         """tables: (gram, seen) of orders 1, 2, ..."""
-        self.orders = []
+        self.orders, self.letters = [], letters
         for gram, seen in tables:
             at = np.argsort(gram)
             gram, seen = gram[at], seen[at]
@@ -129,7 +177,7 @@ class Model:
             self.orders.append((gram, seen, context, np.maximum(1 - np.bincount(of, seen, len(context)), 0)))
 
     def log10(self, gram: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each n-gram's last character after those before it."""
+        """log10 of the probability of each n-gram's last class after those before it."""
         p = np.full(len(gram), 1 / CLASSES)
         for k, (own, seen, context, left) in enumerate(self.orders, 1):
             if not len(own):
@@ -141,38 +189,38 @@ class Model:
 
     def perplexities(self, texts: list[str]) -> list[float | None]:
         """Perplexity by character of each text; None for an empty one. Each different n-gram is looked up once."""
-        gram, sizes = grams(texts)
+        gram, sizes = grams(texts, self.letters)
         if not len(gram):
             return [None] * len(texts)
         each, at = np.unique(gram, return_inverse=True)
         logs = np.concatenate([[0.0], np.cumsum(self.log10(each)[at])])
         ends = np.cumsum(sizes)
-        return [float(10 ** -((logs[b] - logs[b - n]) / n)) if n else None for b, n in zip(ends.tolist(), sizes.tolist())]
+        return [float(10 ** -((logs[b] - logs[b - n]) / len(t))) if n else None for b, n, t in zip(ends.tolist(), sizes.tolist(), texts)]
 
 
-def _counts(docs: DataFrame, labels: DataFrame) -> list[DataFrame]:
-    """(gram, n) of all trusted text by order, from 1 on: how often the longest ones occur, and how many different characters precede the shorter ones."""
+def _counts(docs: DataFrame, labels: DataFrame, letters: Alphabet) -> list[DataFrame]:
+    """(gram, n) of all trusted text by order, from 1 on: how often the longest ones occur, and how many different classes precede the shorter ones."""
     # the same plan at every size: labels grow with the documents
     text = docs.select("doc_id", "text").join(trusted(labels).hint("merge"), "doc_id", "left_semi")
-    counts = [materialize(gram_counts(text), "quality-counts")]
+    counts = [materialize(gram_counts(text, letters), "quality-counts")]
     for order in range(ORDER - 1, 0, -1):
         counts.append(materialize(counts[-1].groupBy(_shorter("gram", order).alias("gram")).agg(F.count("*").alias("n")), "quality-counts"))
     return counts[::-1]
 
 
 def _shorter(gram: str, order: int):
-    """The last characters of an n-gram."""
+    """The last classes of an n-gram."""
     return F.col(gram).bitwiseAND(F.lit((1 << BITS * order) - 1))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A small model of all trusted text, for texts that stand alone: of each order the n-grams that are at least one in KEEP. Tables of documents are scored by full()."""
-    tables = []
-    for counts in _counts(docs, labels):
+    tables, letters = [], alphabet(docs)
+    for counts in _counts(docs, labels, letters):
         all_ = counts.agg(F.sum("n")).first()[0] or 0
         got = _shares(counts).where(F.col("n") * KEEP >= all_).select("gram", "seen").toPandas()
         tables.append((got["gram"].to_numpy(np.int64), got["seen"].to_numpy(float)))
-    return Model(tables)
+    return Model(tables, letters)
 
 
 # --- the whole model
@@ -217,12 +265,13 @@ class Local:
     """What a worker holds of each order from 1 on: probabilities of n-grams, and what contexts leave to shorter ones."""
 
     orders: list[tuple[Held, Held]]
+    letters: Alphabet
 
     def whole(self) -> bool:
         return all(grams.whole and left.whole for grams, left in self.orders)
 
     def probabilities(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probability of each n-gram's last character after those before it, whether it is known here)."""
+        """(probability of each n-gram's last class after those before it, whether it is known here)."""
         p, known, open_ = np.ones(len(gram)), np.zeros(len(gram), bool), np.arange(len(gram))
         for k in range(ORDER, 0, -1):
             own, left = self.orders[k - 1]
@@ -242,7 +291,7 @@ class Local:
 
     def scores(self, texts: list[str]) -> tuple[list[float], np.ndarray, pa.ListArray]:
         """(sum of log10 of the probabilities known here, characters, other n-grams and how often they occur) of each text. Each different n-gram is looked up once."""
-        gram, sizes = grams(texts)
+        gram, sizes = grams(texts, self.letters)
         each, at = np.unique(gram, return_inverse=True)
         p, known = self.probabilities(each)
         logs = np.concatenate([[0.0], np.cumsum(np.where(known, np.log10(np.maximum(p, LEAST)), 0.0)[at])])
@@ -251,7 +300,7 @@ class Local:
         pair, n = np.unique(np.searchsorted(ends, other, "right") * len(each) + at[other], return_counts=True)
         offsets = np.searchsorted(pair, np.arange(len(texts) + 1) * len(each))
         rest = pa.StructArray.from_arrays([pa.array(each[pair % max(len(each), 1)]), pa.array(n.astype(np.int64))], ["gram", "n"])
-        return [float(logs[b] - logs[b - k]) for b, k in zip(ends.tolist(), sizes.tolist())], sizes, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rest)
+        return [float(logs[b] - logs[b - k]) for b, k in zip(ends.tolist(), sizes.tolist())], np.fromiter(map(len, texts), np.int64, len(texts)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), rest)
 
 
 @dataclass(frozen=True)
@@ -274,8 +323,8 @@ class Full:
 
 def full(docs: DataFrame, labels: DataFrame) -> Full:
     """The model of all trusted text, every n-gram in it."""
-    tables, contexts, orders, before = [], [], [], None
-    for counts in _counts(docs, labels):
+    tables, contexts, orders, before, letters = [], [], [], None, alphabet(docs)
+    for counts in _counts(docs, labels, letters):
         own, k = _shares(counts), len(tables) + 1
         shorter = F.lit(1 / CLASSES)
         if before is not None:  # an n-gram's end is an n-gram too
@@ -286,7 +335,7 @@ def full(docs: DataFrame, labels: DataFrame) -> Full:
         tables.append(before.select("gram", "p"))
         contexts.append(left.select("context", "left"))
         orders.append((held(before, "gram", "p", "n"), held(left, "context", "left", "all")))
-    return Full(tables, contexts, Local(orders))
+    return Full(tables, contexts, Local(orders, letters))
 
 
 def scored(docs: DataFrame, model: Full, columns: list[str] | None = None) -> DataFrame:
@@ -312,7 +361,7 @@ def scored(docs: DataFrame, model: Full, columns: list[str] | None = None) -> Da
 
 
 def _length(text: str):
-    return F.least(F.floor(F.log2(F.length(F.col(text)) + 1.0)), F.lit(LONGEST)).cast("int").alias("length")
+    return F.floor(F.log2(F.length(F.col(text)) + 1.0)).cast("int").alias("length")
 
 
 def thresholds(scores: DataFrame, labels: DataFrame) -> DataFrame:

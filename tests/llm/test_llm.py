@@ -733,6 +733,55 @@ def test_quality_models_other_scripts(spark):
         assert (keep[n * 1000 + 500], keep[n * 1000 + 501], keep[n * 1000 + 502]) == (False, False, True)
 
 
+@pytest.mark.parametrize("held", [2_000_000, 40])
+def test_quality_tells_all_characters_apart(spark, monkeypatch, held):
+    """A script of more characters than there are classes: perplexities are those by brute force over one or two classes a character, and characters that aren't trusted are rejected."""
+    monkeypatch.setattr(quality, "HELD", held)
+    rng = random.Random(5)
+    own = [chr(0x4E00 + 2 * i) + chr(0x4E01 + 2 * i) for i in range(1500)]
+    texts = ["".join(rng.choices(own, weights=range(1, 1501), k=80)) for _ in range(125)]
+    for t in texts[:5]:
+        texts += ["".join(chr(ord(c) + 4096) for c in t)]
+    docs = spark.createDataFrame([(i, t, "zh") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labelled = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    each = Counter("".join(texts))
+    order, lead = sorted(each, key=lambda c: (-each[c], c)), 0
+    while len(order) > 2047 - lead + lead * 2047:
+        lead += 1
+    codes = {c: chr(2048 + lead + i) if i < 2047 - lead else chr(2048 + (i - 2047 + lead) // 2047) + chr(2048 + (i - 2047 + lead) % 2047) for i, c in enumerate(order)}
+    assert lead and len(set(codes.values())) == len(each) > 2048
+    coded = ["".join(map(codes.__getitem__, t)) for t in texts]
+    probability = brute_model(coded[:120], quality.ORDER, 10**18)
+    got = {r["doc_id"]: r for r in quality.quality_report(docs, labelled).collect()}
+    for i in range(115, 130):
+        want = 10 ** -(sum(math.log10(max(probability(coded[i][max(0, j - 4) : j], coded[i][j]), 1e-12)) for j in range(len(coded[i]))) / len(texts[i]))
+        assert got[i]["perplexity"] == pytest.approx(want, rel=1e-6)
+    kept = {r["doc_id"] for r in quality.keep(docs, labelled).collect()}
+    assert len(kept) > 110 and not kept & set(range(125, 130))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2047, 2048, 100_000, 0x110000 - 2048])
+def test_alphabet_is_read_back(n):
+    """However many characters there are, classes say which one stands there; others are all unseen."""
+    points = np.random.default_rng(3).permutation(np.arange(2048, 0x110000))[: n + 1]
+    letters, points, other = quality.Alphabet(points[:n]), points[:n], points[n:]
+    points = points[(points < 0xD800) | (points > 0xDFFF)]
+    some = np.unique(np.r_[points[:500], points[-500:]])
+    text = "".join(map(chr, some.tolist())) + "a"
+    classes, first, out = letters.classes(text).tolist(), letters.points[np.argsort(letters.order)], []
+    assert max(classes) < quality.UNSEEN
+    while classes:
+        c = classes.pop(0)
+        if c < quality.EXACT:
+            out.append(c)
+        elif c - quality.EXACT < letters.leads:
+            out.append(int(first[2047 - letters.leads + (c - quality.EXACT) * 2047 + classes.pop(0) - quality.EXACT]))
+        else:
+            out.append(int(first[c - quality.EXACT - letters.leads]))
+    assert "".join(map(chr, out)) == text
+    assert all(letters.classes(chr(c)).tolist() == [quality.UNSEEN] for c in other[:1].tolist() if not 0xD800 <= c <= 0xDFFF)
+
+
 def test_quality_odd(spark, odd, labels):
     kept = quality.keep(odd, labels)
     assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
