@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from factweave.llm import jaccard, mixing, quality, secret_scan, sentencepiece_codec
 from factweave.llm.common import materialize, table
 from factweave.llm.queries import model_path
+from factweave.scratch import scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0])
+        with scratch():  # a stage's own tables go with it
+            docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0], outlive=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from factweave.llm.common import documents_text, map_arrow, materialize, slices
 from factweave.llm.components import components
+from factweave.scratch import drop
 
 #: Classes of a tile, and hubs that each tile of a larger group meets. Above SPLIT classes of one shingle, its classes are dealt out too.
 TILE, HUBS, SPLIT = 128, 48, 1024
@@ -332,15 +333,21 @@ def groups(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFr
     if 2 * num <= den:
         raise ValueError("thresholds above 1/2 only: signatures are halved once, and sizes lie within a factor of two")
     docs = documents_text(docs)
-    sets = materialize(shingle_sets(docs, k, num, den), "jaccard-sets")
+    made = materialize(shingle_sets(docs, k, num, den), "jaccard-made")
+    sets = materialize(made.drop("prefix"), "jaccard-sets")
     full = sets.where("n_shingles > 0")
     classes = full.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("rep"))
     classes = materialize(classes, "jaccard-classes")
-    reps = full.join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles"), "digest"), ["doc_id", "n_shingles", "digest"], "left_semi")
+    reps = made.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), F.col("n_shingles"), "digest"), ["doc_id", "n_shingles", "digest"], "left_semi")
+    # prefixes and their tokens take the most room, so each step's table goes as soon as the next is there
+    prefixes = materialize(reps.select(F.col("doc_id").alias("id"), "prefix"), "jaccard-prefixes")
+    drop(made)
     # tokens are dealt out once, for counting and for what is left; most stand in one class only
-    tokens = reps.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token")).repartition("token")
+    tokens = prefixes.select("id", F.explode("prefix").alias("token")).repartition("token")
     shared = tokens.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("many")).where("least != most").select("token", "many")
-    rows = tokens.join(shared, "token").join(full.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature"), "id")
+    found = materialize(tokens.join(shared, "token"), "jaccard-tokens")
+    drop(prefixes)
+    rows = found.join(full.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "signature"), "id")
     coarse = components(candidates(rows, num, den))
     counts = coarse.groupBy("root").agg(F.count("*").alias("n")).withColumnRenamed("root", "coarse")
     members = coarse.select("id", F.col("root").alias("coarse")).join(counts, "coarse")

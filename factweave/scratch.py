@@ -11,8 +11,10 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The scratch tables of the innermost scratch() that is open.
-_OPEN: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scratch", default=None)
+#: The scratch tables of each scratch() that is open, the innermost last.
+_OPEN: ContextVar[tuple[list[tuple[SparkSession, str]], ...]] = ContextVar("scratch", default=())
+#: A setting of Spark: an action's shuffle files go when it ends, not when the driver happens to collect its garbage.
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Cores may be few when a program starts, so a share of the shuffle partitions counts too.
 FILES_A_CORE = 4
@@ -40,32 +42,49 @@ def _remove(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch() -> Iterator[None]:
     """Scratch tables made inside are removed at the end, for programs that run on: nothing lazy that reads them may leave it."""
-    token = _OPEN.set([])
+    made: list[tuple[SparkSession, str]] = []
+    token = _OPEN.set((*_OPEN.get(), made))
     try:
         yield
     finally:
-        made = _OPEN.get() or []
         _OPEN.reset(token)
         for spark, path in made:
             _remove(spark, path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared scratch folder and read it back: lineage is cut, and a lost executor costs nothing done so far.
+@contextmanager
+def _releasing(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+
 
-    It lasts as long as the scratch() around it, or else as the program.
+def materialize(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """Write a table into the shared scratch folder and read it back: lineage is cut, a lost executor costs nothing done so far, and the shuffles that led to it are gone.
+
+    It lasts as long as the scratch() around it (outlive: the one around that), or else as the program.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/factweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    made = _OPEN.get()
-    if made is None:
-        atexit.register(_remove, spark, path)
+    with _releasing(spark):
+        df.write.parquet(path)
+    scopes = _OPEN.get()[:-1] if outlive else _OPEN.get()
+    if scopes:
+        scopes[-1].append((spark, path))
     else:
-        made.append((spark, path))
+        atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(table: DataFrame) -> None:
+    """Remove a scratch table before its time, when nothing lazy reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        _remove(table.sparkSession, path)
+
+
 def compact(df: DataFrame, name: str) -> DataFrame:
     """materialize() in at most a few files for each core: where Hadoop's native library is missing, a local file system starts a process for each file and folder that is made."""
     spark = df.sparkSession

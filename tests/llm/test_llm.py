@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -250,6 +251,20 @@ def test_jaccard_hot_shingles_are_split(spark, monkeypatch):
         jaccard.groups(spark.createDataFrame(docs, "doc_id long, text string"), 1, 50, 100)
 
 
+def test_jaccard_deals_tokens_out_once(spark, monkeypatch):
+    """What stands in several classes is written, not dealt out again for each use; prefixes are gone by then."""
+    monkeypatch.setattr(jaccard, "SPLIT", 10)
+    plans, names, plain, write = [], [], jaccard.candidates, jaccard.materialize
+    monkeypatch.setattr(jaccard, "candidates", lambda rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or plain(rows, *a))
+    monkeypatch.setattr(jaccard, "materialize", lambda df, name: (made := write(df, name), names.append((name, made.inputFiles()[0])))[0])
+    docs = near_copies(60)
+    got = sorted(tuple(r) for r in jaccard.groups(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85, 100).collect())
+    assert got == brute_groups(docs, 4, 85, 100)
+    assert "Generate" not in plans[0]
+    left = {name for name, path in names if os.path.exists(path.removeprefix("file:"))}
+    assert "jaccard-tokens" in left and not left & {"jaccard-made", "jaccard-prefixes"}
+
+
 def test_jaccard_signature_bound_never_drops_a_link():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -919,6 +934,18 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == count[4]
 
 
+def test_pipeline_leaves_one_table_a_stage(spark, odd, labels, monkeypatch):
+    from factweave import scratch
+
+    made, plain = [], scratch.uuid.uuid4
+    monkeypatch.setattr(scratch.uuid, "uuid4", lambda: made.append(plain()) or made[-1])
+    monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, n: odd if n == "documents" else labels)
+    n = corpus_pipeline.run(spark, "").count()
+    root = scratch.scratch_root(spark).removeprefix("file://") + "/factweave"
+    left = [x for x in os.listdir(root) if any(m.hex in x for m in made)]
+    assert n and len(made) > 20 and sorted(x.split("-")[1] for x in left) == ["mixing", "n", "quality", "secret"]
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, labels, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "table", lambda s, d, n: labels)
     for docs in (odd, empty(spark, odd)):

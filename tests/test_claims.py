@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import random
+import time
 from dataclasses import replace
 
 import pytest
@@ -881,5 +883,36 @@ def test_scratch_tables_are_removed_at_the_end_of_their_scope(spark):
         spark.read.parquet(path).count()
 
 
+def test_scratch_tables_may_outlive_their_scope_or_go_before(spark):
+    from factweave.scratch import drop, materialize, scratch
+
+    with scratch():
+        with scratch():
+            one, two = materialize(spark.range(3), "one", outlive=True), materialize(spark.range(3), "two")
+            paths = [t.inputFiles()[0].removeprefix("file:") for t in (one, two)]
+            drop(two)
+            assert [os.path.exists(p) for p in paths] == [True, False]
+        assert one.count() == 3
+    assert not os.path.exists(paths[0])
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    """Neither a garbage collection nor the end of the program is needed for them to go."""
+    from factweave import scratch
+
+    def files():
+        on_disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {on_disk.apply(i).getName() for i in range(on_disk.size())}
+
+    two = spark.range(2000).selectExpr("id % 100 as k", "id")
+    before = files()
+    found = scratch.materialize(two.repartition(3, "k").groupBy("k").count().join(two, "k"), "dealt")
+    deadline = time.time() + 20
+    while (left := {f for f in files() - before if f.startswith("shuffle_")}) and time.time() < deadline:
+        time.sleep(0.2)
+    assert found.count() == 2000 and not left
+    assert spark.conf.get(scratch.RELEASE) == "false"
+
+
 def test_scratch_root_is_read_from_the_session(spark):
     assert scratch_root(spark)
