@@ -319,6 +319,12 @@ class Net:
         self.rows = [np.ascontiguousarray(fixed[0][:, side]) for side in self.sides]
         # fresh arrays of this size would cost more than the arithmetic
         self.space = [np.empty((2, CHUNK, side.stop - side.start), np.float32) for side in self.sides]
+        self.ones = [np.ones(side.stop - side.start, np.float32) for side in self.sides]
+        self.high = [float(rows.max()) for rows in self.rows]
+
+    def _longest(self, name: str, axis: int) -> float:
+        """The greatest norm of a parameter's rows or columns: products with them are bounded by it."""
+        return float(np.sqrt(np.square(self.p[name]).sum(axis).max()))
 
     def _attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         p = self.p
@@ -326,20 +332,24 @@ class Net:
         value = np.concatenate([p["value"], np.ones((CLASSES + 1, 1), np.float32)], axis=1)
         value[PAD] = 0  # padding has neither value nor weight
         q, k, v = p["query"][x[:, CONTEXT:]] * np.float32(KEY**-0.5), p["key"][x], value[x]
-        w = np.matmul(q, k.transpose(0, 2, 1))
-        np.exp(np.minimum(w, 60, out=w), out=w)
+        w = np.matmul(q, np.ascontiguousarray(k.transpose(0, 2, 1)))
+        if not self._longest("query", 1) * self._longest("key", 1) * KEY**-0.5 < 60:  # else no weight is that large
+            np.minimum(w, 60, out=w)
+        np.exp(w, out=w)
         w *= near
         h = np.matmul(w, v)
-        h /= np.maximum(h[..., WIDTH:], np.float32(1e-30))
-        return q, k, v, w, np.ascontiguousarray(h[..., :WIDTH]).reshape(-1, WIDTH)
+        all_ = np.maximum(h[..., WIDTH:], np.float32(1e-30))
+        return q, k, v, w, all_, np.ascontiguousarray(h[..., :WIDTH] / all_).reshape(-1, WIDTH)
 
-    def _mixed(self, side: int, out: np.ndarray, before: np.ndarray, h: np.ndarray, t: Tokens, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of at most CHUNK targets of one side: exponentials of its logits, their sums, what the network gives the target, and what the steps do."""
+    def _mixed(self, side: int, out: np.ndarray, cut: bool, before: np.ndarray, h: np.ndarray, t: Tokens, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of at most CHUNK targets of one side: exponentials of its logits (cut at 60 if any may be larger), their sums, what the network gives the target, and what the steps do."""
         n, space = len(at), self.space[side]
         e = np.dot(h, out, out=space[0, :n])
         e += np.take(self.rows[side], before, axis=0, out=space[1, :n], mode="clip")
-        np.exp(np.minimum(e, 60, out=e), out=e)
-        z = e.sum(1)
+        if cut:
+            np.minimum(e, 60, out=e)
+        np.exp(e, out=e)
+        z = e @ self.ones[side]
         net = e[np.arange(n), t.kind[at] - self.sides[side].start] * t.share[at] / z
         own, left = t.own[at], t.left[at]
         if side:
@@ -349,12 +359,13 @@ class Net:
     def _each(self, x: np.ndarray, h: np.ndarray, t: Tokens, target: np.ndarray) -> Iterator[tuple]:
         """(side, output of the side, places, results of _mixed) in parts that stay in a core's cache."""
         before, begins = x[:, CONTEXT:].ravel(), t.begins[np.maximum(target, 0)]
+        product = self._longest("value", 1) * self._longest("out", 0)  # what is gathered is a mean of values
         for side in (0, 1):
-            out = np.ascontiguousarray(self.p["out"][:, self.sides[side]])
+            out, cut = np.ascontiguousarray(self.p["out"][:, self.sides[side]]), not product + self.high[side] < 60
             places = np.flatnonzero((begins == side) & (target >= 0))
             for a in range(0, len(places), CHUNK):
                 part = places[a : a + CHUNK]
-                yield side, out, part, self._mixed(side, out, before[part], h[part], t, target[part])
+                yield side, out, part, self._mixed(side, out, cut, before[part], h[part], t, target[part])
 
     def likelihoods(self, t: Tokens, x: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 of each target's probability, 0 beyond texts."""
@@ -367,24 +378,23 @@ class Net:
 
     def gradients(self, t: Tokens, x: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-likelihood of a batch."""
-        q, k, v, w, h = self._attend(x)
+        q, k, v, w, all_, h = self._attend(x)
         target = target.ravel()
         count = np.float32(max(1, (target >= 0).sum()))
         dh, dout = np.zeros_like(h), np.zeros((WIDTH, CLASSES), np.float32)
+        # what scales whole rows of e and w is put on the narrow arrays that they are multiplied with
         for side, out, places, (e, z, net, own) in self._each(x, h, t, target):
-            weight = net / (np.maximum(net + own, np.float32(1e-37)) * count)
-            e *= (weight / z)[:, None]
-            e[np.arange(len(places)), t.kind[target[places]] - self.sides[side].start] -= weight
-            dh[places] = e @ out.T
-            dout[:, self.sides[side]] += h[places].T @ e
+            scale = (net / (np.maximum(net + own, np.float32(1e-37)) * count) / z)[:, None]
+            e[np.arange(len(places)), t.kind[target[places]] - self.sides[side].start] -= z
+            dh[places] = (e @ out.T) * scale
+            dout[:, self.sides[side]] += (h[places] * scale).T @ e
         dh = dh.reshape(len(x), STRIDE, WIDTH)
-        a = w / np.maximum(np.matmul(w, v[..., WIDTH:]), np.float32(1e-30))
-        a *= (x != PAD)[:, None, :]
-        v = v[..., :WIDTH]
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        da -= (dh * h.reshape(dh.shape)).sum(2, keepdims=True)
-        da *= a
-        dq, dk, dv = np.matmul(da, k) * np.float32(KEY**-0.5), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh)
+        dh /= all_
+        padded = np.flatnonzero((x == PAD).any(1))
+        w[padded] *= (x[padded] != PAD)[:, None, :]
+        da = np.matmul(np.concatenate([dh, -(dh * h.reshape(dh.shape)).sum(2, keepdims=True)], axis=2), np.ascontiguousarray(v.transpose(0, 2, 1)))  # the last column of v is 1
+        da *= w
+        dq, dk, dv = np.matmul(da, k) * np.float32(KEY**-0.5), np.matmul(da.transpose(0, 2, 1), q), np.matmul(w.transpose(0, 2, 1), dh)
         near = np.bincount(np.maximum(_DISTANCE, 0).ravel(), np.where(_DISTANCE >= 0, da.sum(0), 0).ravel(), _LENGTH)
         add = lambda kind, d, n: np.bincount((kind[..., None] * n + np.arange(n)).ravel(), d.ravel(), (CLASSES + 1) * n).reshape(-1, n)
         return {"query": add(x[:, CONTEXT:], dq, KEY), "key": add(x, dk, KEY), "value": add(x, dv, WIDTH), "out": dout, "near": near}

@@ -152,6 +152,20 @@ def test_lm_gradients():
         assert (found[0] - found[1]) / 0.04 == pytest.approx(g[k][place], rel=0.1, abs=2e-4)
 
 
+def test_lm_spares_passes_over_wide_arrays(monkeypatch):
+    """Weights and exponentials are cut only where one may exceed the cut, and then nothing overflows."""
+    _, net, tokens, _ = small_book()
+    x, at, _ = tokens.windows()
+    cuts, plain = [], np.minimum
+    monkeypatch.setattr(np, "minimum", lambda a, b, **o: cuts.append(1) or plain(a, b, **o) if isinstance(b, int) and b == 60 else plain(a, b, **o))
+    net.gradients(tokens, x, at)
+    assert np.isfinite(net.likelihoods(tokens, x, at)).all() and not cuts
+    for name in ("query", "key", "value", "out"):
+        net.p[name] = net.p[name] * np.float32(1000)
+    assert np.isfinite(net.likelihoods(tokens, x, at)).all() and cuts
+    assert all(np.isfinite(g).all() for g in net.gradients(tokens, x, at).values())
+
+
 def two_languages(seed, words):
     """Texts that keep to one of two halves of the words: what a text has said tells what it will say."""
     rng = random.Random(seed)
